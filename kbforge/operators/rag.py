@@ -122,33 +122,35 @@ def start_model(active: Column, primary: str = PRIMARY_MODEL,
             .otherwise(F.coalesce(F.get(F.filter(act, preferred), 0), F.get(act, 0), F.lit(primary))))
 
 
-def resolve_attempts(attempts: DataFrame, request: str = "request", position: str = "position",
-                     model: str = "model", error: str = "error") -> DataFrame:
+def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequence[str],
+                     attempt_id: str = "attempt_id", model: str = "model", error: str = "error") -> DataFrame:
     """RAG-4: outcome per request from an attempts log.
 
-    Attempts are tried in position order; retry-class errors (STR-8) move on,
-    the first other attempt decides: no error -> ``answered`` with its model,
-    an error -> ``failed``.  No deciding attempt -> ``exhausted``.
+    Attempts are tried in ``order``; retry-class errors (STR-8) move on, the
+    first other attempt decides: no error -> ``answered`` with its model, an
+    error -> ``failed``.  No deciding attempt -> ``exhausted`` (with the last error).
 
-    One partial ``min_by`` aggregation per request: a request with a third of all
-    attempts still combines map-side.
+    One partial ``min_by`` aggregation per request, ordered by a struct of the
+    ordering columns (no window): a request with a third of all attempts still
+    combines map-side.
     """
+    pos = F.struct(*[F.col(c) for c in order])
     a = attempts.withColumn("_retry", is_retry_error(F.col(error)))
-    g = a.groupBy(request).agg(
-        F.min_by(F.struct(F.col(position).alias("position"), F.col(model).alias("model"),
+    g = a.groupBy(*request).agg(
+        F.min_by(F.struct(F.col(attempt_id).alias("attempt_id"), F.col(model).alias("model"),
                           F.col(error).alias("error")),
-                 F.when(~F.col("_retry"), F.col(position))).alias("_d"),
-        F.count(F.lit(1)).alias("attempts"),
-        F.max_by(F.col(error), F.col(position)).alias("_last_error"))
+                 F.when(~F.col("_retry"), pos)).alias("_d"),
+        F.count(F.lit(1)).cast("long").alias("attempts"),
+        F.max_by(F.col(error), pos).alias("_last_error"))
     return g.select(
-        request,
+        *request,
         F.when(F.col("_d").isNull(), F.lit("exhausted"))
          .when(F.col("_d.error").isNull(), F.lit("answered"))
          .otherwise(F.lit("failed")).alias("outcome"),
         F.when(F.col("_d").isNotNull() & F.col("_d.error").isNull(), F.col("_d.model")).alias("model"),
-        F.col("_d.position").alias("decided_at"),
+        F.col("_d.attempt_id").alias("decided_by"),
         F.when(F.col("_d").isNull(), F.col("_last_error")).otherwise(F.col("_d.error")).alias("error"),
-        F.col("attempts").cast("long").alias("attempts"))
+        "attempts")
 
 
 # --- generation (RAG-5) -------------------------------------------------------------

@@ -57,13 +57,13 @@ def top_n(df: DataFrame, n: int, score: str = "Score", tiebreak: str = "Id") ->
     return df.orderBy(F.col(score).desc_nulls_last(), F.col(tiebreak).asc()).limit(n)
 
 
-def _null_last_key(score: Column, tiebreak: Column) -> Column:
-    """Orderable key: any score beats a null score; higher score first; lower id first."""
+def _null_last_key(score: Column, tiebreaks: Sequence[Column]) -> Column:
+    """Orderable key: any score beats a null score; higher score first; lower ids first."""
     return F.struct(score.isNotNull().alias("has"), F.coalesce(score.cast("double"), F.lit(0.0)).alias("s"),
-                    (-tiebreak.cast("long")).alias("t"))
+                    *[(-t.cast("long")).alias(f"t{i}") for i, t in enumerate(tiebreaks)])
 
 
-def best_child(df: DataFrame, parent: str, score: str, tiebreak: str,
+def best_child(df: DataFrame, parent: str, score: str, tiebreak: str | Sequence[str],
                value_cols: Sequence[str], mode: str = "column") -> DataFrame:
     """AGG-1 / AGG-2: best child per parent by score (desc, nulls last, ties by id).
 
@@ -76,15 +76,17 @@ def best_child(df: DataFrame, parent: str, score: str, tiebreak: str,
     task before anything moves.  Rows with a null parent are dropped.
     """
     src = df.where(F.col(parent).isNotNull())
-    key = _null_last_key(F.col(score), F.col(tiebreak))
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    key = _null_last_key(F.col(score), [F.col(t) for t in ties])
     if mode == "column":
         aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(c)
                 for c in [score, *value_cols]]
         return src.groupBy(parent).agg(*aggs)
     if mode == "row":
-        row = F.struct(*[F.col(c) for c in [score, tiebreak, *value_cols]])
+        cols = list(dict.fromkeys([score, *ties, *value_cols]))
+        row = F.struct(*[F.col(c) for c in cols])
         g = src.groupBy(parent).agg(F.max_by(row, key).alias("_best"))
-        return g.select(parent, *[F.col(f"_best.{c}").alias(c) for c in [score, tiebreak, *value_cols]])
+        return g.select(parent, *[F.col(f"_best.{c}").alias(c) for c in cols])
     raise ValueError(f"unknown mode {mode!r}")
 
 
