@@ -193,8 +193,8 @@ _UNSAFE = "|".join([
     r"&(?!(?:amp|lt|gt|quot|nbsp|copy|middot|#39);|amp[^A-Za-z0-9;])",
     r"<(?![A-Za-z/!?])",
     r"</(?![A-Za-z])",
-    r"=\s*\"[^\"]*>",
-    r"=\s*'[^']*>",
+    r"<[A-Za-z][^<>]*=\s*\"[^\"]*>",
+    r"<[A-Za-z][^<>]*=\s*'[^']*>",
     r"(?is)<(script|style|template|rt|rp)\b(?!.*</\1\s*>)",
     r"(?s)<!--(?!.*-->)",
     r"(?i)<!\[CDATA\[",
