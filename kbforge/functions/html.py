@@ -181,12 +181,16 @@ def clean_html_py(doc: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def clean_html_parsed(docs: pd.Series) -> pd.Series:
-    """Arrow batch UDF over :func:`clean_html_py`; null input -> null output
-    (callers route nulls through :func:`clean_html`)."""
+def _clean_html_parsed(docs: pd.Series) -> pd.Series:
     return docs.map(lambda d: None if d is None else clean_html_py(d))
 
 
+# Arrow batch UDF over :func:`clean_html_py`; null input -> null output.  Marked
+# non-deterministic only so the optimizer never copies the cleaning expression
+# into a pushed-down filter (which would parse every document twice).
+clean_html_parsed = _clean_html_parsed.asNondeterministic()
+
+
 # Anything the regex path does not reproduce exactly sends the row to the parser.
 _UNSAFE = "|".join([
     r"(?i)<code\b",

@@ -43,13 +43,15 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 def _bincount_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def bincount(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None:
-                out.append(None)
-            else:
-                out.append(np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64))
-        return pd.Series(out)
+        # one scatter-add for the whole Arrow batch instead of one call per row
+        n = len(buckets)
+        valid = buckets.notna().to_numpy()
+        lens = np.array([len(b) if ok else 0 for b, ok in zip(buckets.to_numpy(), valid)], dtype=np.int64)
+        m = np.zeros((n, dim), dtype=np.float64)
+        if lens.sum():
+            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b, ok in zip(buckets.to_numpy(), valid) if ok])
+            np.add.at(m, (np.repeat(np.arange(n), lens), flat), 1.0)
+        return pd.Series([m[i] if valid[i] else None for i in range(n)])
     return bincount
 
 

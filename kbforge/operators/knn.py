@@ -131,8 +131,12 @@ def _scan_fn(bc, k: int, cid: str, cvec: str, exclude_self: bool):
 def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 5,
                    corpus_id: str = "id", corpus_vec: str = "embedding",
                    query_id: str = "query_id", query_vec: str = "embedding",
-                   exclude_self: bool = False) -> DataFrame:
-    """Per-task local top-k candidates (query_id, id, distance); see module doc."""
+                   exclude_self: bool = False, dim: int | None = None) -> DataFrame:
+    """Per-task local top-k candidates (query_id, id, distance); see module doc.
+
+    ``dim`` (vector length) sizes the query blocks; when not given it is read
+    from the data.
+    """
     out_schema = T.StructType([
         T.StructField("query_id", T.LongType()),
         T.StructField("id", T.LongType()),
@@ -142,7 +146,8 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
     n_q = q.count()
     if n_q == 0:
         return spark.createDataFrame([], out_schema)
-    dim = len(q.select("_qv").first()[0] or [])
+    if dim is None:
+        dim = q.agg(F.max(F.size("_qv"))).first()[0] or 1
     block_bytes = max(1, n_q * max(dim, 1) * 8)
     n_blocks = max(1, math.ceil(block_bytes / broadcast_limit(spark)))
     corpus_slim = corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec))
@@ -173,11 +178,11 @@ def rank_topk(cands: DataFrame, k: int, group: str = "query_id",
 def knn_search(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 5,
                corpus_id: str = "id", corpus_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
-               exclude_self: bool = False) -> DataFrame:
+               exclude_self: bool = False, dim: int | None = None) -> DataFrame:
     """VEC-3: long result (query_id, rank, id, distance), ``rank`` 1..k ascending
     distance.  Fewer than ``k`` rows when the corpus is smaller."""
     cands = knn_candidates(spark, corpus, queries, k, corpus_id, corpus_vec,
-                           query_id, query_vec, exclude_self)
+                           query_id, query_vec, exclude_self, dim)
     return rank_topk(cands, k).select("query_id", "rank", "id", "distance")
 
 

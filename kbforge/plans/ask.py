@@ -31,7 +31,7 @@ def retrieve(spark: SparkSession, ok: DataFrame, index: DataFrame, embedder, k:
     """VEC-1 + VEC-3 for validated questions: (query_id, rank, key, distance)."""
     qv = embedder.embed(ok.select("query_id", "q"), "q", "embedding")
     hits = knn_search(spark, index, qv, k, corpus_id="key", corpus_vec="embedding",
-                      query_id="query_id", query_vec="embedding")
+                      query_id="query_id", query_vec="embedding", dim=getattr(embedder, "dim", None))
     return hits.withColumnRenamed("id", "key")
 
 

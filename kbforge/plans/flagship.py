@@ -8,19 +8,20 @@ rendered as strings (``' || '``-joined) so both engines hash the same values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
-from ..functions.html import clean_html
 from ..functions.vectors import HashingEmbedder, DEFAULT_DIM
-from ..operators import relational as R
 from ..operators import rag
 from . import adapters as A
 from . import sqltext as S
 from .ask import ask
 from .curate import curate, DEFAULT_TOP_N
 from .index import qa_records
+from ..operators.collection import build_collection, open_collection
+from ..session import checkpoint_dir
 
 from .registry import LIST_SEP, REGISTRY, register  # noqa: F401
 
@@ -42,10 +43,23 @@ def curated_pairs(spark: SparkSession, sf: str, tag: str | None = None, top_n: i
     return curate(A.qa_questions(spark, sf), A.qa_answers(spark, sf), A.qa_tags(spark, sf), tag, top_n)
 
 
+def flagship_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Curate + index, committed once as a collection (VEC-5) under the session's
+    checkpoint folder; the ask job then reads it instead of recomputing it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEX_CACHE:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/qa-{uuid.uuid4().hex}"
+        records = qa_records(curated_pairs(spark, sf).pairs, HashingEmbedder(DEFAULT_DIM))
+        build_collection(spark, records, path, name="python_qa", mode="rebuild")
+        _INDEX_CACHE[key] = path
+    return open_collection(spark, _INDEX_CACHE[key])
+
+
+_INDEX_CACHE: dict = {}
+
+
 def flagship_answers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    pairs = curated_pairs(spark, sf).pairs
-    records = qa_records(pairs, HashingEmbedder(DEFAULT_DIM))
-    return ask(spark, conversation_questions(spark, sf), records)
+    return ask(spark, conversation_questions(spark, sf), flagship_index(spark, sf), HashingEmbedder(DEFAULT_DIM))
 
 
 def _sql_pairs(tag: str | None = None, top_n: int = DEFAULT_TOP_N) -> str:
