@@ -51,10 +51,12 @@ def build_collection(spark: SparkSession, records: DataFrame, path: str, name: s
     elif mode not in ("skip", "rebuild", "error"):
         raise ValueError(f"unknown mode {mode!r}")
     recs = records.select(*RECORD_COLUMNS)
-    if duplicate_ids(recs).limit(1).count() > 0:
-        raise DuplicateIdError("collection records must have unique ids")
     staging = f"{path}._staging_{uuid.uuid4().hex}"
     recs.write.mode("overwrite").parquet(staging)
+    # checks run on the written copy (an id-only parquet read), not by recomputing the input
+    if duplicate_ids(spark.read.parquet(staging).select("id")).limit(1).count() > 0:
+        delete_path(spark, staging)
+        raise DuplicateIdError("collection records must have unique ids")
     first = spark.read.parquet(staging).select("embedding").where(F.col("embedding").isNotNull()).limit(1).collect()
     dim = len(first[0][0]) if first else 0
     (spark.range(1).select(F.lit(name).alias("name"), F.lit(space).alias("space"),

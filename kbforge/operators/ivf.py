@@ -53,11 +53,23 @@ def _unit(vec):
 
 
 def build_ivf(corpus: DataFrame, n_clusters: int, id_col: str = "id", vec_col: str = "embedding",
-              seed: int = 7, max_iter: int = 20) -> IvfIndex:
+              seed: int = 7, max_iter: int = 10, max_train_rows: int = 200_000) -> IvfIndex:
+    """Train centroids and assign every corpus row to its nearest one.
+
+    Centroids are trained on at most ``max_train_rows`` rows (a seeded sample
+    when the corpus is larger, as IVF indexes are usually trained); the sample
+    only places centroids — every row is still assigned and searchable.
+    """
     feats = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col),
                           array_to_vector(_unit(F.col(vec_col))).alias("_features"))
-    model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
-                   featuresCol="_features", predictionCol="cluster").fit(feats)
+    n = feats.count()
+    train = feats if n <= max_train_rows else feats.sample(fraction=max_train_rows / n, seed=seed)
+    train = train.select("_features").persist()
+    try:
+        model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
+                       featuresCol="_features", predictionCol="cluster").fit(train)
+    finally:
+        train.unpersist()
     centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     norms = np.linalg.norm(centers, axis=1, keepdims=True)
     centers = np.where(norms > 0, centers / np.where(norms > 0, norms, 1), 0.0)

@@ -42,7 +42,8 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     # TOP-1; the repartition (at most N rows) keeps the per-task top-N heap
     # (TakeOrderedAndProject) below the Python cleaning step and spreads the
     # cleaning of the N survivors over tasks
-    top = R.top_n(qs, top_n, "Score", "Id").repartition("Id")
+    parts = max(1, min(top_n // 100, questions.sparkSession.sparkContext.defaultParallelism))
+    top = R.top_n(qs, top_n, "Score", "Id").repartition(parts, "Id")
     stages.append(("top_questions", top))
     ans = R.bounded_semi_join(answers, top, "ParentId", "Id")        # JOIN-2 (size <= N keys)
     stages.append(("answers", ans))

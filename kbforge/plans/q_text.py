@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.html import clean_html
+from ..session import spread_if_small
 from . import adapters as A
 from . import sqltext as S
 from .registry import register
@@ -14,7 +15,7 @@ from .registry import register
 
 @register("str1_clean_html_pages", f"SELECT page_id, {S.clean_html('html')} AS text FROM pages")
 def str1(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.table(spark, sf, "pages")
+    p = spread_if_small(A.table(spark, sf, "pages"))
     return p.select("page_id", clean_html(F.col("html")).alias("text"))
 
 

@@ -10,6 +10,7 @@ from ..functions.vectors import DEFAULT_DIM, HashingEmbedder, cosine_distance
 from ..operators.collection import duplicate_ids
 from ..operators.ivf import build_ivf, ivf_search
 from ..operators.knn import knn_search, zip_results
+from ..session import spread_if_small
 from . import adapters as A
 from . import sqltext as S
 from .flagship import _sql_flagship_ctes, flagship_answers
@@ -23,9 +24,12 @@ IVF_CLUSTERS = 8
 WITH {S.sparse_vectors('d', 'documents', 'doc_id', 'text', DEFAULT_DIM)}
 SELECT key AS doc_id, CAST(b AS INTEGER) AS bucket, CAST(c AS DOUBLE) AS weight FROM d_vec""")
 def vec1(spark: SparkSession, sf: str) -> DataFrame:
-    d = HashingEmbedder(DEFAULT_DIM).embed(A.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    e = d.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
-    return e.where(F.col("weight") > 0).select("doc_id", F.col("bucket").cast("int"), "weight")
+    docs = spread_if_small(A.table(spark, sf, "documents").select("doc_id", "text"))
+    d = HashingEmbedder(DEFAULT_DIM).embed(docs, "text")
+    nz = F.filter(F.transform("embedding", lambda w, i: F.struct(i.alias("bucket"), w.alias("weight"))),
+                  lambda x: x["weight"] > 0)
+    e = d.select("doc_id", F.explode(nz).alias("x"))
+    return e.select("doc_id", F.col("x.bucket").cast("int").alias("bucket"), F.col("x.weight").alias("weight"))
 
 
 _SQL_EMB = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -95,8 +99,8 @@ SELECT query_id, CAST(rank AS BIGINT) AS rank, key AS doc_id, round(distance, 6)
 def vec3_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages as questions against the documents corpus (hashed vectors)."""
     emb = HashingEmbedder(DEFAULT_DIM)
-    docs = emb.embed(A.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    qs = emb.embed(A.table(spark, sf, "benchmark").select("item_id", "text"), "text")
+    docs = emb.embed(spread_if_small(A.table(spark, sf, "documents").select("doc_id", "text")), "text")
+    qs = emb.embed(spread_if_small(A.table(spark, sf, "benchmark").select("item_id", "text")), "text")
     h = knn_search(spark, docs, qs, K, corpus_id="doc_id", query_id="item_id")
     return h.select("query_id", F.col("rank").cast("long"), F.col("id").alias("doc_id"),
                     F.round("distance", 6).alias("distance"))

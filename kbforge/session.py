@@ -114,3 +114,26 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+# Inputs estimated below this size are round-robined over all cores before
+# CPU-heavy per-row work (embedding, parsing, scoring).
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
+    """Balance a small input over the cluster's cores before CPU-heavy work.
+
+    A small table is often a single row group, i.e. one scan task doing all the
+    work.  When the optimizer's size estimate is under ``max_bytes`` a
+    round-robin repartition (a cheap shuffle of a small input) spreads it; large
+    inputs already arrive in many splits and are left as they are.
+    """
+    spark = df.sparkSession
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - statistics are advisory
+        return df
+    if size <= max_bytes:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
