@@ -77,9 +77,20 @@ def build_ivf(corpus: DataFrame, n_clusters: int, id_col: str = "id", vec_col: s
     return IvfIndex(assigned, centers, id_col, vec_col)
 
 
-def persist_ivf(index: IvfIndex, path: str) -> None:
-    """Cluster-partitioned layout: a probe of cluster c reads only ``cluster=c``."""
+def persist_ivf(spark: SparkSession, index: IvfIndex, path: str) -> IvfIndex:
+    """Cluster-partitioned layout: a probe of cluster c reads only ``cluster=c``.
+    Centroids are stored next to it (``_centroids``, one row per cluster)."""
     index.assigned.write.mode("overwrite").partitionBy("cluster").parquet(path)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    (spark.createDataFrame(rows, "cluster int, centroid array<double>")
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/_centroids"))
+    return open_ivf(spark, path, index.id_col, index.vec_col)
+
+
+def open_ivf(spark: SparkSession, path: str, id_col: str = "id", vec_col: str = "embedding") -> IvfIndex:
+    cents = sorted(spark.read.parquet(f"{path}/_centroids").collect(), key=lambda r: r["cluster"])
+    centroids = np.array([r["centroid"] for r in cents], dtype=np.float64)
+    return IvfIndex(spark.read.parquet(path), centroids, id_col, vec_col)
 
 
 def _probe_fn(bc, nprobe: int):
@@ -137,13 +148,19 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     qsize = {r["cluster"]: r["n"] for r in probes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     csplit = {c: max(1, math.ceil(n / max_group_rows)) for c, n in csize.items()}
     qsplit = {c: max(1, math.ceil(qsize.get(c, 0) / max_group_queries)) for c in csize}
+    if not qsize:
+        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
     cmap = F.create_map(*[x for c, s in csplit.items() for x in (F.lit(int(c)), F.lit(int(s)))]) if csplit else None
     qmap = F.create_map(*[x for c, s in qsplit.items() for x in (F.lit(int(c)), F.lit(int(s)))]) if qsplit else None
     if cmap is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
 
     idc, vc = index.id_col, index.vec_col
-    corpus = (index.assigned
+    # only clusters some query probes are read and shuffled; the probed set has at
+    # most n_clusters ids (bounded broadcast) and prunes cluster=... folders of a
+    # persisted index
+    probed = spark.createDataFrame([(int(c),) for c in qsize], "cluster int")
+    corpus = (index.assigned.join(F.broadcast(probed), "cluster", "left_semi")
               .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), cmap[F.col("cluster")]).cast("int"))
               .withColumn("qsub", F.explode(F.sequence(F.lit(0), qmap[F.col("cluster")] - 1))))
     qside = (probes.join(q, "_qid")

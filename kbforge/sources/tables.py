@@ -54,14 +54,31 @@ def write_clean_qa(df: DataFrame, path: str) -> None:
        .write.mode("overwrite").parquet(path))
 
 
-def write_eval_results(tests: DataFrame, path: str) -> None:
+# A single results document holds the whole run in one array (one task); larger
+# runs must use the partitioned layout.
+MAX_SINGLE_DOCUMENT_ROWS = 100_000
+
+
+def _eval_frame(tests: DataFrame) -> DataFrame:
+    t = tests
+    for f in EVAL_TEST_SCHEMA.fields:
+        if f.name not in t.columns:
+            t = t.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return t.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVAL_TEST_SCHEMA.fields])
+
+
+def write_eval_results(tests: DataFrame, path: str, max_rows: int = MAX_SINGLE_DOCUMENT_ROWS) -> None:
     """SNK-2: one JSON document ``{summary, tests:[...]}`` (non-ASCII kept).
 
     The summary (AGG-4) and the ordered test list come from one aggregation over
-    the run.  A run is bounded by its question set (tens to thousands of rows);
-    it is gathered into one array because the file format is a single document.
+    the run.  The document format puts the run in one array, so its size is
+    checked first; beyond ``max_rows`` use :func:`write_eval_results_partitioned`.
     """
     from ..operators.evaluate import summary_columns
+    n = tests.count()
+    if n > max_rows:
+        raise ValueError(f"{n} evaluation rows exceed the single-document bound {max_rows}; "
+                         "use write_eval_results_partitioned")
     cols = [f.name for f in EVAL_TEST_SCHEMA.fields]
     t = tests
     for f in EVAL_TEST_SCHEMA.fields:
@@ -75,8 +92,21 @@ def write_eval_results(tests: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_eval_results_partitioned(tests: DataFrame, path: str) -> None:
+    """SNK-2 for runs of any size: ``tests/`` as JSON lines written by every task
+    in parallel, ``summary/`` as one row from a partial aggregation."""
+    from ..operators.evaluate import summary_columns
+    t = _eval_frame(tests)
+    t.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/tests")
+    t.agg(*summary_columns()).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def read_eval_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-5: (tests one row each, summary one row) from a results document."""
+    """SRC-5: (tests one row each, summary one row) from either results layout."""
+    if path_exists(spark, f"{path.rstrip('/')}/summary"):
+        tests = spark.read.schema(EVAL_TEST_SCHEMA).json(f"{path}/tests")
+        summary = spark.read.schema(EVAL_FILE_SCHEMA["summary"].dataType).json(f"{path}/summary")
+        return tests, summary
     raw = spark.read.schema(EVAL_FILE_SCHEMA).option("multiLine", "true").json(path)
     tests = raw.select(F.explode("tests").alias("t")).select("t.*")
     summary = raw.select("summary.*")

@@ -109,3 +109,21 @@ def test_eval_summary_zero_pass(spark):
     df = spark.createDataFrame([(1, "FAIL", 2.0), (2, "ERROR", 1.0)], "test_id long, status string, latency_s double")
     s = summarize(df).first()
     assert (s["total"], s["passed"], s["failed"], s["avg_latency"]) == (2, 0, 2, 0.0)
+
+
+def test_eval_results_partitioned_layout(spark, tmp_dir):
+    from kbforge.sources.tables import write_eval_results_partitioned
+    rows = [(i + 1, "q", "PASS", lat) for i, lat in enumerate(LATENCIES)]
+    df = spark.createDataFrame(rows, "test_id long, question string, status string, latency_s double")
+    out = os.path.join(tmp_dir, "results_parts")
+    write_eval_results_partitioned(df.repartition(3), out)
+    tests, summary = read_eval_results(spark, out)
+    s = summary.first()
+    assert (s["total"], s["passed"], s["failed"], s["avg_latency"]) == (10, 10, 0, 5.922)
+    assert tests.count() == 10
+
+
+def test_single_document_bound(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "PASS", 1.0), (2, "PASS", 2.0)], "test_id long, status string, latency_s double")
+    with pytest.raises(ValueError):
+        write_eval_results(df, os.path.join(tmp_dir, "r"), max_rows=1)

@@ -84,6 +84,17 @@ def test_ivf_full_probe_is_exact_and_recall(spark):
     assert 0.0 < r <= 1.0
 
 
+def test_ivf_persisted_layout(spark, tmp_dir):
+    from kbforge.operators.ivf import persist_ivf
+    e = _emb(spark)
+    idx = persist_ivf(spark, build_ivf(e, 6, id_col="vec_id"), f"{tmp_dir}/ivf")
+    exact = knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True)
+    full = ivf_search(spark, idx, e, 5, nprobe=6, query_id="vec_id", exclude_self=True)
+    assert _hits_by_query(full) == _hits_by_query(exact)
+    one = ivf_search(spark, idx, e.where("vec_id < 5"), 5, nprobe=1, query_id="vec_id")
+    assert one.count() == 25
+
+
 def test_ivf_hot_cluster_split_is_exact(spark):
     e = _emb(spark)
     idx = build_ivf(e, 4, id_col="vec_id")
