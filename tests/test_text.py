@@ -97,3 +97,44 @@ def test_model_label_and_error_action(spark):
                                 ("a-b", None)], "m string, e string")
     r = df.select(TX.model_label(F.col("m")), TX.error_action(F.col("e"))).collect()
     assert [tuple(x) for x in r] == [("llama-3.3", "retry"), ("gemma", "fail"), ("a-b", "none")]
+
+
+# --- generated HTML: wherever the regex path claims a document, it equals the parser ---
+_words = st.sampled_from(["a", "b", "x y", "é", "Tom & Jerry", "1 < 2", "q\"q", "it's", "  ", "\n", "\xa0",
+                          "&amp;", "&amp", "&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&nbsp;", "&#39;",
+                          "&amp;lt;", "&foo;", "&#169;", "x&ampy"])
+_tags = st.sampled_from(["p", "b", "i", "div", "span", "li", "h1", "title", "a", "em", "code", "pre"])
+
+
+@st.composite
+def _html(draw, depth=0):
+    parts = []
+    for _ in range(draw(st.integers(0, 4))):
+        kind = draw(st.integers(0, 9 if depth < 3 else 3))
+        if kind <= 3:
+            parts.append(draw(_words))
+        elif kind == 4:
+            parts.append("<!-- " + draw(_words) + " -->")
+        elif kind == 5:
+            parts.append('<script>var t="</p>";</script>')
+        elif kind == 6:
+            parts.append("<br>")
+        else:
+            tag = draw(_tags)
+            attr = draw(st.sampled_from(["", ' class="c"', " href='/x'", ' title="a>b"']))
+            close = draw(st.booleans())
+            parts.append(f"<{tag}{attr}>" + draw(_html(depth + 1)) + (f"</{tag}>" if close else ""))
+    return "".join(parts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(_html(), min_size=1, max_size=10))
+def test_regex_path_matches_parser_where_safe(spark, docs):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, h string")
+    rows = df.select("i", regex_safe(F.col("h")).alias("safe"), clean_html_regex(F.col("h")).alias("r"),
+                     clean_html(F.col("h")).alias("routed")).collect()
+    for r in rows:
+        expect = clean_html_py(docs[r["i"]])
+        assert r["routed"] == expect, docs[r["i"]]
+        if r["safe"]:
+            assert r["r"] == expect, docs[r["i"]]
