@@ -6,5 +6,5 @@ results that involve floating-point sums are rounded in both; list results are
 rendered as strings so both engines hash the same values.
 """
 
-from . import flagship, q_relational, q_text, q_vectors, q_eval, q_streaming  # noqa: F401
+from . import flagship, q_relational, q_text, q_vectors, q_eval, q_streaming, q_sources  # noqa: F401
 from .registry import LIST_SEP, REGISTRY, register  # noqa: F401
