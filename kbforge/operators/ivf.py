@@ -106,8 +106,10 @@ def _probe_fn(bc, nprobe: int):
                 sim = (centers @ qm.T) / np.where(qn > 0, qn, 1)[None, :]
             d = 1.0 - sim                      # (n_clusters, nq)
             cols, sel, _ = topk_columns(d, cids, nprobe)
+            # each probe row carries its query vector, so no join back to the queries
             yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy(dtype=np.int64)[cols],
-                                "cluster": sel.astype(np.int32)})
+                                "cluster": sel.astype(np.int32),
+                                "_qv": pdf["_qv"].to_numpy()[cols]})
     return probe
 
 
@@ -141,11 +143,13 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     nprobe = max(1, min(nprobe, n_clusters))
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     bc = spark.sparkContext.broadcast(index.centroids)
-    probes = q.mapInPandas(_probe_fn(bc, nprobe), "_qid long, cluster int")
+    qv_type = q.schema["_qv"].dataType.simpleString()
+    probes = q.mapInPandas(_probe_fn(bc, nprobe), f"_qid long, cluster int, _qv {qv_type}")
 
     # split plan from per-cluster counts (one row per cluster: bounded by n_clusters)
     csize = {r["cluster"]: r["n"] for r in index.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    qsize = {r["cluster"]: r["n"] for r in probes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    qsize = {r["cluster"]: r["n"] for r in probes.select("cluster").groupBy("cluster")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
     csplit = {c: max(1, math.ceil(n / max_group_rows)) for c, n in csize.items()}
     qsplit = {c: max(1, math.ceil(qsize.get(c, 0) / max_group_queries)) for c in csize}
     if not qsize:
@@ -163,8 +167,7 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     corpus = (index.assigned.join(F.broadcast(probed), "cluster", "left_semi")
               .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), cmap[F.col("cluster")]).cast("int"))
               .withColumn("qsub", F.explode(F.sequence(F.lit(0), qmap[F.col("cluster")] - 1))))
-    qside = (probes.join(q, "_qid")
-             .where(cmap[F.col("cluster")].isNotNull())
+    qside = (probes.where(cmap[F.col("cluster")].isNotNull())
              .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), qmap[F.col("cluster")]).cast("int"))
              .withColumn("csub", F.explode(F.sequence(F.lit(0), cmap[F.col("cluster")] - 1))))
     keys = ["cluster", "csub", "qsub"]

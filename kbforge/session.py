@@ -131,7 +131,8 @@ def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
     """
     spark = df.sparkSession
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw) if isinstance(raw, int) else int(str(raw.toString()))
     except Exception:  # noqa: BLE001 - statistics are advisory
         return df
     if size <= max_bytes:
