@@ -29,13 +29,18 @@ from .registry import LIST_SEP, REGISTRY, register  # noqa: F401
 # =====================================================================================
 # Flagship: curate conversations -> index -> answer every user turn (RAG-7 / RAG-8)
 # =====================================================================================
-QUESTION_KEY = "conv_id * 1000 + turn"   # turn < 1000 in the conversations table
+# question id = conv_id * 2^20 + turn; a turn number that does not fit fails the job
+TURN_BITS = 20
+QUESTION_KEY = f"conv_id * {1 << TURN_BITS} + turn"
 
 
 def conversation_questions(spark: SparkSession, sf: str) -> DataFrame:
     conv = A.table(spark, sf, "conversations")
+    turn = F.when((F.col("turn") < 0) | (F.col("turn") >= (1 << TURN_BITS)),
+                  F.raise_error(F.lit("turn number out of range for the question key")).cast("long")
+                  ).otherwise(F.col("turn"))
     return conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"),
+        (F.col("conv_id") * (1 << TURN_BITS) + turn).cast("long").alias("query_id"),
         F.col("text").alias("question"))
 
 

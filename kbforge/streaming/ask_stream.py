@@ -42,8 +42,14 @@ def streaming_ask(spark: SparkSession, source_dir: str, schema: T.StructType, in
 
 def request_metrics_to_table(spark: SparkSession, source_dir: str, schema: T.StructType, out_path: str,
                              checkpoint: str, window: str, watermark: str,
-                             max_files_per_trigger: int | None = None) -> None:
-    """STM-3 running totals: complete-mode counts, each epoch overwrites ``out_path``."""
+                             max_files_per_trigger: int | None = None, output_mode: str = "complete") -> None:
+    """STM-3 request counts per (window, type).
+
+    ``complete``: running totals, each epoch overwrites ``out_path`` (state holds
+    every window; for bounded replays and dashboards).  ``append``: each window is
+    written once when the watermark passes it and its state is dropped, so state
+    stays bounded on an endless stream (rows later than the watermark are not counted).
+    """
     from .metrics import request_counts_stream
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -51,9 +57,9 @@ def request_metrics_to_table(spark: SparkSession, source_dir: str, schema: T.Str
     counts = request_counts_stream(reader.parquet(source_dir), window=window, watermark=watermark)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out_path)
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+    q = (counts.writeStream.outputMode(output_mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -46,3 +46,16 @@ def test_incremental_load_is_idempotent_on_replay(spark, tmp_dir):
     out = spark.read.parquet(coll)
     assert out.count() == docs.count() == out.select("id").distinct().count()
     assert os.path.exists(f"{coll}/_SUCCESS")
+
+
+def test_append_mode_windows_are_final(spark, tmp_dir):
+    from kbforge.streaming.ask_stream import request_metrics_to_table
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev.orderBy("ts").repartitionByRange(4, "ts").write.parquet(f"{tmp_dir}/in")
+    request_metrics_to_table(spark, f"{tmp_dir}/in", ev.schema, f"{tmp_dir}/out", f"{tmp_dir}/ck",
+                             "1 hour", "1 day", max_files_per_trigger=1, output_mode="append")
+    out = spark.read.parquet(f"{tmp_dir}/out")
+    batch = request_counts(ev)
+    assert out.count() > 0
+    assert out.exceptAll(batch).count() == 0          # every emitted window is final and exact
+    assert out.count() <= batch.count()               # the last open windows are not emitted yet
