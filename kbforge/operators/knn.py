@@ -142,7 +142,8 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         T.StructField("id", T.LongType()),
         T.StructField("distance", T.DoubleType()),
     ])
-    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
+    q = (queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
+         .where(F.col("_qv").isNotNull()))
     n_q = q.count()
     if n_q == 0:
         return spark.createDataFrame([], out_schema)
@@ -150,7 +151,8 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         dim = q.agg(F.max(F.size("_qv"))).first()[0] or 1
     block_bytes = max(1, n_q * max(dim, 1) * 8)
     n_blocks = max(1, math.ceil(block_bytes / broadcast_limit(spark)))
-    corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec)))
+    corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec))
+                                  .where(F.col(corpus_vec).isNotNull()))
     parts = []
     for b in range(n_blocks):
         block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)

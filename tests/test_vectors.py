@@ -141,3 +141,29 @@ def test_unfinished_collection_is_rebuilt(spark, tmp_dir):
     import os
     os.remove(f"{path}/_SUCCESS")
     assert C.build_collection(spark, _records(spark, 0, 7), path, mode="skip").count() == 7
+
+
+def test_batch_model_embedder_plugs_into_search(spark):
+    from kbforge.functions.vectors import BatchModelEmbedder
+
+    def factory():
+        def encode(texts):   # a stand-in "model": letter frequencies a..z
+            out = np.zeros((len(texts), 26))
+            for i, t in enumerate(texts):
+                for ch in t.lower():
+                    if "a" <= ch <= "z":
+                        out[i, ord(ch) - 97] += 1
+            return out
+        return encode
+
+    emb = BatchModelEmbedder(factory, 26)
+    corpus = emb.embed(spark.createDataFrame([(1, "aaaa"), (2, "zzzz"), (3, "abab")], "id long, t string"), "t")
+    qs = emb.embed(spark.createDataFrame([(10, "aaab")], "query_id long, t string"), "t")
+    got = [r["id"] for r in knn_search(spark, corpus, qs, 2, dim=26).orderBy("rank").collect()]
+    assert got == [1, 3]
+
+
+def test_null_vectors_are_skipped(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
+    assert [r["id"] for r in knn_search(spark, df, q, 5).orderBy("rank").collect()] == [1, 3]
