@@ -45,6 +45,8 @@ class IvfIndex:
     centroids: np.ndarray        # (n_clusters, dim), unit rows
     id_col: str
     vec_col: str
+    # estimated rows per cluster (from training); only sizes the hot-cluster split
+    cluster_sizes: dict | None = None
 
 
 def _unit(vec):
@@ -68,13 +70,15 @@ def build_ivf(corpus: DataFrame, n_clusters: int, id_col: str = "id", vec_col: s
     try:
         model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
                        featuresCol="_features", predictionCol="cluster").fit(train)
+        trained = sum(model.summary.clusterSizes) or 1
+        sizes = {c: int(math.ceil(s * n / trained)) for c, s in enumerate(model.summary.clusterSizes)}
     finally:
         train.unpersist()
     centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     norms = np.linalg.norm(centers, axis=1, keepdims=True)
     centers = np.where(norms > 0, centers / np.where(norms > 0, norms, 1), 0.0)
     assigned = model.transform(feats).select(id_col, vec_col, F.col("cluster").cast("int"))
-    return IvfIndex(assigned, centers, id_col, vec_col)
+    return IvfIndex(assigned, centers, id_col, vec_col, sizes)
 
 
 def persist_ivf(spark: SparkSession, index: IvfIndex, path: str) -> IvfIndex:
@@ -147,7 +151,12 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     probes = q.mapInPandas(_probe_fn(bc, nprobe), f"_qid long, cluster int, _qv {qv_type}")
 
     # split plan from per-cluster counts (one row per cluster: bounded by n_clusters)
-    csize = {r["cluster"]: r["n"] for r in index.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if index.cluster_sizes is not None:
+        csize = dict(index.cluster_sizes)
+    else:   # one row per cluster; on a persisted index this reads parquet footers only
+        csize = {r["cluster"]: r["n"] for r in index.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # every cluster id gets an entry (estimates may miss a cluster; its split is then 1)
+    csize = {c: max(1, int(csize.get(c, 1))) for c in range(n_clusters)}
     qsize = {r["cluster"]: r["n"] for r in probes.select("cluster").groupBy("cluster")
              .agg(F.count(F.lit(1)).alias("n")).collect()}
     csplit = {c: max(1, math.ceil(n / max_group_rows)) for c, n in csize.items()}
@@ -165,11 +174,11 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     # persisted index
     probed = spark.createDataFrame([(int(c),) for c in qsize], "cluster int")
     corpus = (index.assigned.join(F.broadcast(probed), "cluster", "left_semi")
-              .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), cmap[F.col("cluster")]).cast("int"))
-              .withColumn("qsub", F.explode(F.sequence(F.lit(0), qmap[F.col("cluster")] - 1))))
-    qside = (probes.where(cmap[F.col("cluster")].isNotNull())
-             .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), qmap[F.col("cluster")]).cast("int"))
-             .withColumn("csub", F.explode(F.sequence(F.lit(0), cmap[F.col("cluster")] - 1))))
+              .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), F.coalesce(cmap[F.col("cluster")], F.lit(1))).cast("int"))
+              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.coalesce(qmap[F.col("cluster")], F.lit(1)) - 1))))
+    qside = (probes
+             .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), F.coalesce(qmap[F.col("cluster")], F.lit(1))).cast("int"))
+             .withColumn("csub", F.explode(F.sequence(F.lit(0), F.coalesce(cmap[F.col("cluster")], F.lit(1)) - 1))))
     keys = ["cluster", "csub", "qsub"]
     cands = (corpus.groupBy(*keys).cogroup(qside.groupBy(*keys))
              .applyInPandas(_score_fn(k, vc, idc, exclude_self), "query_id long, id long, distance double"))
