@@ -53,7 +53,7 @@ def join2(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- AGG-1 / AGG-2 / JOIN-3 / SET-2: best line item per order -----------------------
 def _answers_with_nulls(spark, sf):
-    """rel_answers with some values missing: quantity is null on returned lines."""
+    """rel_answers with some values missing: quantity is null on line 1 of every order."""
     a = A.rel_answers(spark, sf)
     return a.withColumn("l_quantity", F.when(F.col("l_linenumber") != 1, F.col("l_quantity")))
 
