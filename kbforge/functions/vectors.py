@@ -18,6 +18,7 @@ dot products exact, so every engine computes bit-identical distances.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
 import numpy as np
@@ -56,19 +57,32 @@ def _bincount_udf(dim: int):
 
 
 class HashingEmbedder:
-    """Feature-hashing bag-of-words embedder (see module doc)."""
+    """Feature-hashing bag-of-words embedder (see module doc).
 
-    def __init__(self, dim: int = DEFAULT_DIM):
+    ``normalize=True`` returns unit-length vectors (L2); cosine results are the
+    same either way, raw counts keep distances exact across engines.
+    """
+
+    def __init__(self, dim: int = DEFAULT_DIM, normalize: bool = False):
         self.dim = dim
+        self.normalize = normalize
         self._udf = _bincount_udf(dim)
 
     def column(self, text: Column) -> Column:
-        return self._udf(token_buckets(text, self.dim))
+        v = self._udf(token_buckets(text, self.dim))
+        if not self.normalize:
+            return v
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
     def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 
+# Models loaded by BatchModelEmbedder, one per Python worker process.
+_MODELS: dict = {}
+
+
 class BatchModelEmbedder:
     """Runs ``encode(list_of_texts) -> 2-D array`` once per Arrow batch.
 
@@ -79,16 +93,17 @@ class BatchModelEmbedder:
     def __init__(self, factory: Callable[[], Callable[[list], np.ndarray]], dim: int):
         self.factory = factory
         self.dim = dim
+        self._token = uuid.uuid4().hex
 
     def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        factory = self.factory
+        factory, token = self.factory, self._token
         schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-        holder: dict = {}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if "encode" not in holder:
-                holder["encode"] = factory()
-            encode = holder["encode"]
+            from kbforge.functions import vectors as _self   # per-process model registry
+            if token not in _self._MODELS:
+                _self._MODELS[token] = factory()
+            encode = _self._MODELS[token]
             for pdf in batches:
                 texts = pdf[text_col].fillna("").tolist()
                 vecs = np.asarray(encode(texts), dtype=np.float64) if texts else np.zeros((0, 0))

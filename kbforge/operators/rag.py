@@ -6,6 +6,7 @@ Every per-question list here has at most ``k`` elements (the retrieval depth), s
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -190,6 +191,13 @@ GENERATION_FIELDS = [
 ]
 
 
+# Per Python-worker state: the generator instance and the last model that
+# answered, keyed by a token of each ``generate`` call.  Module globals live as
+# long as the (reused) worker process, unlike closure state, which is rebuilt
+# every time a task deserialises the function.
+_WORKER_STATE: dict = {}
+
+
 def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list], str]] | None = None,
              messages_col: str = "messages", candidates_col: str = "candidates",
              keep: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -202,11 +210,13 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
     ``keep`` columns pass through unchanged, so no join back is needed.
     """
     factory = generator_factory or (lambda: extractive_generator)
-    holder: dict = {}
+    token = uuid.uuid4().hex
     retry_markers = tuple(RETRY_MARKERS_PY)
     keep = list(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from kbforge.operators import rag as _self   # the worker's module instance
+        holder = _self._WORKER_STATE.setdefault(token, {})
         if "gen" not in holder:
             holder["gen"] = factory()
             holder["last_good"] = None

@@ -95,12 +95,18 @@ _FLAG = "WITH " + _sql_flagship_ctes()[len("WITH "):]
 
 
 @register("evl2_report_rows", _FLAG + """
- SELECT query_id AS test_id, CAST(rank - 1 AS INTEGER) AS source_pos, title AS source FROM parts""")
+ SELECT p.query_id AS test_id, v.question, CAST(NULL AS DOUBLE) AS latency_s, 'answered' AS status,
+        CAST(c.docs_actual AS BIGINT) AS docs, CAST(p.rank - 1 AS INTEGER) AS source_pos, p.title AS source
+ FROM parts p JOIN val v USING (query_id) JOIN ctx c USING (query_id)""")
 def evl2(spark: SparkSession, sf: str) -> DataFrame:
-    """EVL-2: one row per (answered question, source) of the flagship run."""
-    a = flagship_answers(spark, sf)["answers"].where(F.col("status") == "answered")
-    r = a.select(F.col("query_id").alias("test_id"), F.posexplode("sources").alias("source_pos", "source"))
-    return r.select("test_id", F.col("source_pos").cast("int"), "source")
+    """EVL-2: one row per (answered question, source) of the flagship run.  The
+    batch run has no per-request wall time, so latency is null."""
+    a = (flagship_answers(spark, sf)["answers"].where(F.col("status") == "answered")
+         .withColumn("latency_s", F.lit(None).cast("double"))
+         .withColumnRenamed("query_id", "test_id"))
+    r = EV.report_rows(a).where(F.col("source").isNotNull())
+    return r.select("test_id", "question", "latency_s", "status", "docs",
+                    F.col("source_pos").cast("int"), "source")
 
 
 @register("top3_source_preview", _FLAG + f"""
