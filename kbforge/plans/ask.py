@@ -27,12 +27,30 @@ def validated(questions: DataFrame, text_col: str = "question") -> DataFrame:
                             status.alias("status"), clean.alias("q"))
 
 
-def retrieve(spark: SparkSession, ok: DataFrame, index: DataFrame, embedder, k: int) -> DataFrame:
-    """VEC-1 + VEC-3 for validated questions: (query_id, rank, key, distance)."""
+def exact_search(dim: int | None = None):
+    """Retrieval by exact k-NN (VEC-3): every question scans the whole index.
+    Cost grows with (number of query blocks) x (index size)."""
+    def search(spark: SparkSession, index: DataFrame, qv: DataFrame, k: int) -> DataFrame:
+        return knn_search(spark, index, qv, k, corpus_id="key", corpus_vec="embedding",
+                          query_id="query_id", query_vec="embedding", dim=dim)
+    return search
+
+
+def ivf_searcher(ivf_index, nprobe: int):
+    """Retrieval through a clustered index (VEC-4): each question reads only its
+    ``nprobe`` clusters; the scalable choice for very large question sets."""
+    from ..operators.ivf import ivf_search
+
+    def search(spark: SparkSession, index: DataFrame, qv: DataFrame, k: int) -> DataFrame:
+        return ivf_search(spark, ivf_index, qv, k, nprobe=nprobe, query_id="query_id", query_vec="embedding")
+    return search
+
+
+def retrieve(spark: SparkSession, ok: DataFrame, index: DataFrame, embedder, k: int, search=None) -> DataFrame:
+    """VEC-1 + retrieval for validated questions: (query_id, rank, key, distance)."""
     qv = embedder.embed(ok.select("query_id", "q"), "q", "embedding")
-    hits = knn_search(spark, index, qv, k, corpus_id="key", corpus_vec="embedding",
-                      query_id="query_id", query_vec="embedding", dim=getattr(embedder, "dim", None))
-    return hits.withColumnRenamed("id", "key")
+    run = search or exact_search(getattr(embedder, "dim", None))
+    return run(spark, index, qv, k).withColumnRenamed("id", "key")
 
 
 def attach_payload(spark: SparkSession, hits: DataFrame, index: DataFrame, n_queries: int, k: int) -> DataFrame:
@@ -47,14 +65,15 @@ def attach_payload(spark: SparkSession, hits: DataFrame, index: DataFrame, n_que
 
 def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=None, k: int = rag.TOP_K,
         generator_factory=None, active_models: list[str] | None = None,
-        primary: str = rag.PRIMARY_MODEL) -> dict[str, DataFrame]:
+        primary: str = rag.PRIMARY_MODEL, search=None) -> dict[str, DataFrame]:
     """Returns the intermediate frames (``hits``, ``context``, ``requests``) and
-    the final ``answers`` table."""
+    the final ``answers`` table.  ``search`` picks retrieval: exact by default,
+    or :func:`ivf_searcher` over a clustered index."""
     emb = embedder or HashingEmbedder()
     v = validated(questions)
     ok = v.where(F.col("status") == "ok")
     n_ok = ok.count()
-    hits = retrieve(spark, ok, index, emb, k)
+    hits = retrieve(spark, ok, index, emb, k, search)
     full = attach_payload(spark, hits, index, n_ok, k)
     ctx = rag.assemble_context(full.withColumnRenamed("key", "doc_key"))
     active = (F.array(*[F.lit(m) for m in active_models]) if active_models
