@@ -72,6 +72,7 @@ def _vectors_to_matrix(col: pd.Series, dim: int | None = None) -> np.ndarray:
 def _collect_block(block: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
     """Bring one size-checked query block to the driver as numpy arrays."""
     tbl = block.select(F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")).toArrow()
+    tbl = tbl.filter(pa.compute.is_valid(tbl.column("v")))
     ids = tbl.column("q").to_numpy()
     vecs = tbl.column("v").combine_chunks()
     if len(ids) == 0:
@@ -91,6 +92,7 @@ def _scan_fn(bc, k: int, cid: str, cvec: str, exclude_self: bool):
         best_d = np.zeros((0, nq))
         best_i = np.zeros((0, nq), dtype=np.int64)
         for pdf in batches:
+            pdf = pdf[pdf[cvec].notna()]
             if len(pdf) == 0 or nq == 0:
                 continue
             ids_all = pdf[cid].to_numpy(dtype=np.int64)
@@ -142,8 +144,9 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         T.StructField("id", T.LongType()),
         T.StructField("distance", T.DoubleType()),
     ])
-    q = (queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-         .where(F.col("_qv").isNotNull()))
+    # rows without a vector are skipped inside the numpy code, not by a filter: a
+    # filter would be pushed below the embedding projection and run the embedder twice
+    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     n_q = q.count()
     if n_q == 0:
         return spark.createDataFrame([], out_schema)
@@ -151,8 +154,7 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         dim = q.agg(F.max(F.size("_qv"))).first()[0] or 1
     block_bytes = max(1, n_q * max(dim, 1) * 8)
     n_blocks = max(1, math.ceil(block_bytes / broadcast_limit(spark)))
-    corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec))
-                                  .where(F.col(corpus_vec).isNotNull()))
+    corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec)))
     parts = []
     for b in range(n_blocks):
         block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)
