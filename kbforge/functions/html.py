@@ -19,8 +19,8 @@ Rules (the behaviour of a tree-building HTML parser followed by
 Two implementations produce the same output:
 
 * :func:`clean_html_regex` — pure JVM regular expressions, valid for HTML that
-  :func:`regex_safe` accepts (no ``<code>``, only a known entity set, no stray
-  ``<``, no quoted ``>``, closed script/style/comments).
+  :func:`regex_safe` accepts (code blocks closed with no markup inside, only a
+  known entity set, no stray ``<``, no quoted ``>``, closed script/style/comments).
 * :func:`clean_html_parsed` — an Arrow pandas UDF over the standard library
   parser with an open-element stack; handles everything.
 
@@ -193,7 +193,10 @@ clean_html_parsed = _clean_html_parsed.asNondeterministic()
 
 # Anything the regex path does not reproduce exactly sends the row to the parser.
 _UNSAFE = "|".join([
-    r"(?i)<code\b",
+    # code blocks are handled when closed with no markup inside; anything else
+    # (nested, unclosed, tags inside) and code next to template/rt/rp go to the parser
+    r"(?i)<code\b(?![^>]*>[^<]*</code\s*>)",
+    r"(?is)^(?=.*<code\b)(?=.*<(?:template|rt|rp)\b)",
     r"&(?!(?:amp|lt|gt|quot|nbsp|copy|middot|#39);|amp[^A-Za-z0-9;])",
     r"<(?![A-Za-z/!?])",
     r"</(?![A-Za-z])",
@@ -202,7 +205,6 @@ _UNSAFE = "|".join([
     r"(?is)<(script|style|template|rt|rp)\b(?!.*</\1\s*>)",
     r"(?s)<!--(?!.*-->)",
     r"(?i)<!\[CDATA\[",
-    r"(?i)<(?:pre|textarea)\b",
 ])
 
 
@@ -214,6 +216,7 @@ def clean_html_regex(doc: Column) -> Column:
     """Code-free HTML cleaning with JVM regular expressions."""
     x = F.regexp_replace(doc, r"(?is)<(script|style|template|rt|rp)\b.*?</(script|style|template|rt|rp)\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
+    x = F.regexp_replace(x, r"(?i)<code\b[^>]*>([^<]*)</code\s*>", " \n```\n$1\n```\n ")
     x = F.regexp_replace(x, r"<[!?/]?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>", " ")
     for ent, ch in REGEX_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))

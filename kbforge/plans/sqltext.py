@@ -31,6 +31,7 @@ def clean_html(x: str) -> str:
     tags = "script|style|template|rt|rp"
     e = f"regexp_replace({x}, '(?is)<({tags})\\b.*?</({tags})\\s*>', ' ', 'g')"
     e = f"regexp_replace({e}, '(?s)<!--.*?-->', ' ', 'g')"
+    e = f"regexp_replace({e}, '(?i)<code\\b[^>]*>([^<]*)</code\\s*>', ' ' || chr(10) || '```' || chr(10) || '\\1' || chr(10) || '```' || chr(10) || ' ', 'g')"
     e = f"regexp_replace({e}, '<[!?/]?[A-Za-z][^>]*>|<![^>]*>|<\\?[^>]*>', ' ', 'g')"
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")]:
