@@ -18,7 +18,7 @@ from ..functions.vectors import DEFAULT_DIM, HashingEmbedder
 from ..session import checkpoint_dir
 from ..streaming.ask_stream import request_metrics_to_table, streaming_ask
 from ..streaming.index_load import incremental_index_load
-from ..streaming.metrics import DEFAULT_WATERMARK, DEFAULT_WINDOW, health_snapshot, request_counts
+from ..streaming.metrics import DEFAULT_WATERMARK, DEFAULT_WINDOW, health_snapshot, health_stream, request_counts
 from . import adapters as A
 from . import sqltext as S
 from .flagship import SQL_RAG_ANSWERS, _answers_out, conversation_questions, curated_pairs
@@ -57,10 +57,24 @@ def stm3_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{run}/out")
 
 
-@register("evt1_health_snapshot", """
+SQL_HEALTH = """
 SELECT 'ok' AS status, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 2) AS uptime_seconds,
        CAST(count(*) AS BIGINT) AS requests_served, (SELECT CAST(count(*) AS BIGINT) FROM embeddings) AS index_size
-FROM events""")
+FROM events"""
+
+
+@register("evt1_health_snapshot_stream", SQL_HEALTH)
+def evt1_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals over the event stream; the last epoch equals the batch snapshot."""
+    run = _run_dir(spark, "health")
+    ev = A.table(spark, sf, "events")
+    _as_file_stream(ev, f"{run}/in")
+    health_stream(spark, f"{run}/in", ev.schema, A.table(spark, sf, "embeddings"), f"{run}/out",
+                  f"{run}/ckpt", max_files_per_trigger=1)
+    return spark.read.parquet(f"{run}/out")
+
+
+@register("evt1_health_snapshot", SQL_HEALTH)
 def evt1(spark: SparkSession, sf: str) -> DataFrame:
     return health_snapshot(A.table(spark, sf, "events"), A.table(spark, sf, "embeddings"))
 

@@ -44,3 +44,28 @@ def health_snapshot(events: DataFrame, index: DataFrame, ts: str = "ts") -> Data
     up = (F.unix_micros("last") - F.unix_micros("first")) / F.lit(1_000_000.0)
     return g.select(F.lit("ok").alias("status"), F.round(F.coalesce(up, F.lit(0.0)), 2).alias("uptime_seconds"),
                     "requests_served", "index_size")
+
+
+def health_stream(spark, source_dir: str, schema, index: DataFrame, out_path: str, checkpoint: str,
+                  ts: str = "ts", max_files_per_trigger: int | None = None) -> None:
+    """EVT-1 / STM-3 streaming form: running request total, first and last
+    request time and uptime, refreshed every micro-batch (complete mode over a
+    single global group, so state is one row).  The index size is counted once
+    from the static collection."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(source_dir).select(F.col(ts).cast("timestamp").alias("_t"))
+    running = ev.agg(F.min("_t").alias("first"), F.max("_t").alias("last"),
+                     F.count(F.lit(1)).cast("long").alias("requests_served"))
+    size = index.count()
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        up = (F.unix_micros("last") - F.unix_micros("first")) / F.lit(1_000_000.0)
+        (batch.select(F.lit("ok").alias("status"), F.round(F.coalesce(up, F.lit(0.0)), 2).alias("uptime_seconds"),
+                      "requests_served", F.lit(size).cast("long").alias("index_size"))
+         .write.mode("overwrite").parquet(out_path))
+
+    q = (running.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
