@@ -39,7 +39,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import UNICODE_WS_RUN, collapse_ws
+from .text import collapse_ws
 
 # ---------------------------------------------------------------------------
 # Fixed values (parser behaviour that output parity depends on)
@@ -233,5 +233,4 @@ def clean_html(doc: Column) -> Column:
             .otherwise(parsed))
 
 
-__all__ = ["clean_html", "clean_html_regex", "clean_html_parsed", "clean_html_py", "regex_safe",
-           "UNICODE_WS_RUN"]
+__all__ = ["clean_html", "clean_html_regex", "clean_html_parsed", "clean_html_py", "regex_safe"]

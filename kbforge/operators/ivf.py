@@ -31,9 +31,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .knn import _collect_block, _vectors_to_matrix, rank_topk, topk_columns
+from .knn import _vectors_to_matrix, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_GROUP_QUERIES = 5_000
@@ -192,4 +191,4 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return j.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
-__all__ = ["IvfIndex", "build_ivf", "persist_ivf", "ivf_search", "recall_at_k", "_collect_block"]
+__all__ = ["IvfIndex", "build_ivf", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]

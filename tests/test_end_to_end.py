@@ -1,7 +1,6 @@
 """Curate -> index -> ask from raw CSV files shaped like the reference dump."""
 import os
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbforge.functions.vectors import HashingEmbedder

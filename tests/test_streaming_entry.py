@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from kbforge.streaming.index_load import incremental_index_load
 from kbforge.streaming.metrics import request_counts
 
-from conftest import SF001, SF01
+from conftest import SF001
 
 
 def test_entry_smoke(spark):
