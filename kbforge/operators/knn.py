@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_limit, spread_if_small
+from ..session import broadcast_limit, checkpoint_dir, spread_if_small
 
 # Score at most this many (corpus rows x queries) cells at once inside a task.
 CELLS_PER_CHUNK = 4_000_000
@@ -154,6 +154,11 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         dim = q.agg(F.max(F.size("_qv"))).first()[0] or 1
     block_bytes = max(1, n_q * max(dim, 1) * 8)
     n_blocks = max(1, math.ceil(block_bytes / broadcast_limit(spark)))
+    if n_blocks > 1:
+        # every block reads the query vectors once more: compute them once and cut
+        # the lineage in the shared checkpoint folder (survives executor loss)
+        checkpoint_dir(spark)
+        q = q.checkpoint(eager=True)
     corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec)))
     parts = []
     for b in range(n_blocks):
