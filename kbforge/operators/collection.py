@@ -81,17 +81,27 @@ def collection_properties(spark: SparkSession, path: str) -> dict:
 
 
 def add_records(spark: SparkSession, records: DataFrame, path: str) -> int:
-    """VEC-6: append records whose ids are new; duplicate ids (inside the batch
-    or against the collection) fail the job before anything is written."""
-    recs = records.select(*RECORD_COLUMNS)
-    if duplicate_ids(recs).limit(1).count() > 0:
-        raise DuplicateIdError("batch contains repeated ids")
+    """VEC-6: append records whose ids are new.
+
+    The batch is computed once into a staging folder; repeated ids inside it or
+    ids already in the collection fail the job (the staging folder is removed and
+    the collection is untouched).  Otherwise the staged rows are appended.
+    """
+    path = path.rstrip("/")
     existing = open_collection(spark, path).select("id")
-    if recs.join(existing, "id", "left_semi").limit(1).count() > 0:
-        raise DuplicateIdError("batch contains ids already in the collection")
-    n = recs.count()
-    recs.write.mode("append").parquet(path)
-    return n
+    staging = f"{path}._add_{uuid.uuid4().hex}"
+    records.select(*RECORD_COLUMNS).write.mode("overwrite").parquet(staging)
+    try:
+        staged = spark.read.parquet(staging)
+        if duplicate_ids(staged.select("id")).limit(1).count() > 0:
+            raise DuplicateIdError("batch contains repeated ids")
+        if staged.select("id").join(existing, "id", "left_semi").limit(1).count() > 0:
+            raise DuplicateIdError("batch contains ids already in the collection")
+        n = staged.count()
+        staged.write.mode("append").parquet(path)
+        return n
+    finally:
+        delete_path(spark, staging)
 
 
 def index_size(spark: SparkSession, path: str) -> int:

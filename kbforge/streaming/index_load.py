@@ -31,7 +31,8 @@ def incremental_index_load(spark: SparkSession, source_dir: str, schema: T.Struc
     stream = reader.parquet(source_dir)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        recs = dedupe_by_key(to_records(batch), "id", [F.col("id")])
+        # one record per id inside the batch, chosen by content so a replay picks the same one
+        recs = dedupe_by_key(to_records(batch), "id", [F.col("document").asc_nulls_last()])
         if path_exists(spark, f"{collection_path}/_SUCCESS"):
             existing = spark.read.parquet(collection_path).select("id")
             recs = recs.join(existing, "id", "left_anti")
