@@ -139,9 +139,12 @@ def clock_label(ts: Column) -> Column:
 
 
 def elapsed_seconds(start: Column, end: Column, digits: int = 3) -> Column:
-    """STR-11: ``end - start`` in seconds, rounded."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.round(micros / F.lit(1_000_000.0), digits)
+    """STR-11: ``end - start`` in seconds, rounded.
+
+    ``timestamp_diff`` on wall-clock (NTZ) values does not depend on the session
+    time zone, so a daylight-saving change never shifts the result.
+    """
+    return F.round(F.timestamp_diff("MICROSECOND", start, end) / F.lit(1_000_000.0), digits)
 
 
 def validate_question(raw: Column) -> tuple[Column, Column]:

@@ -214,3 +214,18 @@ WHERE pos <= {HISTORY_DEPTH}""")
 def win2(spark: SparkSession, sf: str) -> DataFrame:
     c = A.table(spark, sf, "conversations")
     return recent_history(c, "conv_id", "turn", "text")
+
+
+@register("win2_recent_events_per_user", f"""
+SELECT user_id, event_id, CAST(pos AS BIGINT) AS pos, pos = 1 AS is_latest, strftime(ts, '%H:%M') AS hhmm, event_type
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM events)
+WHERE pos <= {HISTORY_DEPTH}""")
+def win2_events(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-2/3 over the event log: each user's newest entries, newest first, with clock labels."""
+    from pyspark.sql import Window
+    from ..functions.text import clock_label
+    e = A.table(spark, sf, "events")
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    r = e.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= HISTORY_DEPTH)
+    return r.select("user_id", "event_id", F.col("pos").cast("long"), (F.col("pos") == 1).alias("is_latest"),
+                    clock_label(F.col("ts")).alias("hhmm"), "event_type")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import elapsed_seconds
+
 DEFAULT_WINDOW = "1 hour"
 DEFAULT_WATERMARK = "1 day"
 
@@ -36,13 +38,14 @@ def health_snapshot(events: DataFrame, index: DataFrame, ts: str = "ts") -> Data
     Every event counts as a served request; uptime is last minus first event
     time.  Both inputs feed one aggregation (tagged union), no join.
     """
-    tagged = (events.select(F.col(ts).cast("timestamp").alias("_t"), F.lit(True).alias("_req"))
-              .unionByName(index.select(F.lit(None).cast("timestamp").alias("_t"), F.lit(False).alias("_req"))))
+    t_type = events.schema[ts].dataType.simpleString()
+    tagged = (events.select(F.col(ts).alias("_t"), F.lit(True).alias("_req"))
+              .unionByName(index.select(F.lit(None).cast(t_type).alias("_t"), F.lit(False).alias("_req"))))
     g = tagged.agg(F.min("_t").alias("first"), F.max("_t").alias("last"),
                    F.count_if("_req").cast("long").alias("requests_served"),
                    F.count_if(~F.col("_req")).cast("long").alias("index_size"))
-    up = (F.unix_micros("last") - F.unix_micros("first")) / F.lit(1_000_000.0)
-    return g.select(F.lit("ok").alias("status"), F.round(F.coalesce(up, F.lit(0.0)), 2).alias("uptime_seconds"),
+    return g.select(F.lit("ok").alias("status"),
+                    F.coalesce(elapsed_seconds(F.col("first"), F.col("last"), 2), F.lit(0.0)).alias("uptime_seconds"),
                     "requests_served", "index_size")
 
 
@@ -55,14 +58,14 @@ def health_stream(spark, source_dir: str, schema, index: DataFrame, out_path: st
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = reader.parquet(source_dir).select(F.col(ts).cast("timestamp").alias("_t"))
+    ev = reader.parquet(source_dir).select(F.col(ts).alias("_t"))
     running = ev.agg(F.min("_t").alias("first"), F.max("_t").alias("last"),
                      F.count(F.lit(1)).cast("long").alias("requests_served"))
     size = index.count()
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        up = (F.unix_micros("last") - F.unix_micros("first")) / F.lit(1_000_000.0)
-        (batch.select(F.lit("ok").alias("status"), F.round(F.coalesce(up, F.lit(0.0)), 2).alias("uptime_seconds"),
+        up = elapsed_seconds(F.col("first"), F.col("last"), 2)
+        (batch.select(F.lit("ok").alias("status"), F.coalesce(up, F.lit(0.0)).alias("uptime_seconds"),
                       "requests_served", F.lit(size).cast("long").alias("index_size"))
          .write.mode("overwrite").parquet(out_path))
 
