@@ -14,6 +14,10 @@ Plan
    query and ranked with ``row_number() <= k``; Spark plans a partial
    ``WindowGroupLimit`` before that exchange.
 
+Shuffle volume is ``k x queries x corpus scan tasks`` rows.  ``corpus_tasks``
+coalesces the corpus scan (no shuffle) into fewer, larger tasks, trading task
+granularity for fewer candidate rows when both sides are very large.
+
 Distances are ``1 - dot / sqrt(|a|^2 |b|^2)`` (1.0 for an all-zero vector); ties
 break by ascending corpus id so ranks are deterministic.
 """
@@ -133,7 +137,8 @@ def _scan_fn(bc, k: int, cid: str, cvec: str, exclude_self: bool):
 def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 5,
                    corpus_id: str = "id", corpus_vec: str = "embedding",
                    query_id: str = "query_id", query_vec: str = "embedding",
-                   exclude_self: bool = False, dim: int | None = None) -> DataFrame:
+                   exclude_self: bool = False, dim: int | None = None,
+                   corpus_tasks: int | None = None) -> DataFrame:
     """Per-task local top-k candidates (query_id, id, distance); see module doc.
 
     ``dim`` (vector length) sizes the query blocks; when not given it is read
@@ -160,6 +165,8 @@ def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k
         checkpoint_dir(spark)
         q = q.checkpoint(eager=True)
     corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec)))
+    if corpus_tasks:
+        corpus_slim = corpus_slim.coalesce(corpus_tasks)
     parts = []
     for b in range(n_blocks):
         block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)
@@ -187,11 +194,12 @@ def rank_topk(cands: DataFrame, k: int, group: str = "query_id",
 def knn_search(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 5,
                corpus_id: str = "id", corpus_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
-               exclude_self: bool = False, dim: int | None = None) -> DataFrame:
+               exclude_self: bool = False, dim: int | None = None,
+               corpus_tasks: int | None = None) -> DataFrame:
     """VEC-3: long result (query_id, rank, id, distance), ``rank`` 1..k ascending
     distance.  Fewer than ``k`` rows when the corpus is smaller."""
     cands = knn_candidates(spark, corpus, queries, k, corpus_id, corpus_vec,
-                           query_id, query_vec, exclude_self, dim)
+                           query_id, query_vec, exclude_self, dim, corpus_tasks)
     return rank_topk(cands, k).select("query_id", "rank", "id", "distance")
 
 

@@ -53,6 +53,14 @@ def test_knn_invariant_under_repartition_and_blocks(spark):
     assert other == base
 
 
+def test_knn_coalesced_scan_same_result(spark):
+    e = _emb(spark)
+    base = _hits_by_query(knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True))
+    fewer = _hits_by_query(knn_search(spark, e.repartition(9), e, 5, corpus_id="vec_id", query_id="vec_id",
+                                      exclude_self=True, corpus_tasks=2))
+    assert fewer == base
+
+
 def test_knn_fewer_than_k(spark):
     e = _emb(spark)
     small = e.where("vec_id < 3")
