@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .knn import _vectors_to_matrix, rank_topk, topk_columns
+from .knn import TopKAccumulator, _vectors_to_matrix, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_GROUP_QUERIES = 5_000
@@ -101,6 +101,7 @@ def _probe_fn(bc, nprobe: int):
         centers = bc.value
         cids = np.arange(centers.shape[0], dtype=np.int64)
         for pdf in batches:
+            pdf = pdf[pdf["_qv"].notna()]
             if len(pdf) == 0:
                 continue
             qm = _vectors_to_matrix(pdf["_qv"])
@@ -118,22 +119,14 @@ def _probe_fn(bc, nprobe: int):
 
 def _score_fn(k: int, vec_col: str, id_col: str, exclude_self: bool):
     def score(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
+        corpus = corpus[corpus[vec_col].notna()]
         if len(corpus) == 0 or len(queries) == 0:
-            return empty
-        ids = corpus[id_col].to_numpy(dtype=np.int64)
-        mat = _vectors_to_matrix(corpus[vec_col])
-        qids = queries["_qid"].to_numpy(dtype=np.int64)
-        qm = _vectors_to_matrix(queries["_qv"])
-        dots = mat @ qm.T
-        den = np.sqrt((mat * mat).sum(axis=1)[:, None] * (qm * qm).sum(axis=1)[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(den == 0, 1.0, 1.0 - dots / den)
-        if exclude_self:
-            d = np.where(ids[:, None] == qids[None, :], np.inf, d)
-        cols, sel_i, sel_d = topk_columns(d, ids, k)
-        return pd.DataFrame({"query_id": qids[cols], "id": sel_i, "distance": sel_d})
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        acc = TopKAccumulator(queries["_qid"].to_numpy(dtype=np.int64), _vectors_to_matrix(queries["_qv"]),
+                              k, exclude_self)
+        acc.add(corpus[id_col].to_numpy(dtype=np.int64), _vectors_to_matrix(corpus[vec_col]))
+        return acc.result()
     return score
 
 

@@ -88,49 +88,65 @@ def _collect_block(block: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, n
     return ids.astype(np.int64), flat.reshape(len(ids), int(lens[0]))
 
 
+class TopKAccumulator:
+    """Running top-k per query over corpus chunks (numpy, inside one task).
+
+    Memory is bounded: at most ``CELLS_PER_CHUNK`` distances are materialised at
+    a time, plus a ``k x queries`` table of the best so far.
+    """
+
+    def __init__(self, qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool = False):
+        self.qids, self.qmat, self.k, self.exclude_self = qids, qmat, k, exclude_self
+        self.nq = len(qids)
+        self.qn = (qmat * qmat).sum(axis=1) if self.nq else np.zeros(0)
+        self.best_d = np.zeros((0, self.nq))
+        self.best_i = np.zeros((0, self.nq), dtype=np.int64)
+
+    def add(self, ids_all: np.ndarray, mat_all: np.ndarray) -> None:
+        if self.nq == 0 or len(ids_all) == 0:
+            return
+        step = max(1, CELLS_PER_CHUNK // self.nq)
+        for s in range(0, len(ids_all), step):
+            ids = ids_all[s:s + step]
+            mat = mat_all[s:s + step]
+            dots = mat @ self.qmat.T
+            dn = (mat * mat).sum(axis=1)
+            den = np.sqrt(dn[:, None] * self.qn[None, :])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where(den == 0, 1.0, 1.0 - dots / den)
+            if self.exclude_self:
+                d = np.where(ids[:, None] == self.qids[None, :], np.inf, d)
+            cand_d = np.vstack([self.best_d, d])
+            cand_i = np.vstack([self.best_i, np.broadcast_to(ids[:, None], d.shape)])
+            cols, sel_i, sel_d = topk_columns(cand_d, cand_i, self.k)
+            # dense (k, nq) best table; missing cells stay +inf
+            nb = np.full((self.k, self.nq), np.inf)
+            ni = np.zeros((self.k, self.nq), dtype=np.int64)
+            if len(cols):
+                starts = np.r_[0, np.flatnonzero(np.diff(cols)) + 1]
+                counts = np.diff(np.r_[starts, len(cols)])
+                pos = np.arange(len(cols)) - np.repeat(starts, counts)
+                nb[pos, cols] = sel_d
+                ni[pos, cols] = sel_i
+            self.best_d, self.best_i = nb, ni
+
+    def result(self) -> pd.DataFrame:
+        r, c = np.nonzero(np.isfinite(self.best_d))
+        return pd.DataFrame({"query_id": self.qids[c].astype(np.int64), "id": self.best_i[r, c],
+                             "distance": self.best_d[r, c]})
+
+
 def _scan_fn(bc, k: int, cid: str, cvec: str, exclude_self: bool):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qmat = bc.value
-        nq = len(qids)
-        qn = (qmat * qmat).sum(axis=1)
-        best_d = np.zeros((0, nq))
-        best_i = np.zeros((0, nq), dtype=np.int64)
+        acc = TopKAccumulator(qids, qmat, k, exclude_self)
         for pdf in batches:
             pdf = pdf[pdf[cvec].notna()]
-            if len(pdf) == 0 or nq == 0:
-                continue
-            ids_all = pdf[cid].to_numpy(dtype=np.int64)
-            mat_all = _vectors_to_matrix(pdf[cvec])
-            step = max(1, CELLS_PER_CHUNK // max(nq, 1))
-            for s in range(0, len(ids_all), step):
-                ids = ids_all[s:s + step]
-                mat = mat_all[s:s + step]
-                dots = mat @ qmat.T
-                dn = (mat * mat).sum(axis=1)
-                den = np.sqrt(dn[:, None] * qn[None, :])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(den == 0, 1.0, 1.0 - dots / den)
-                if exclude_self:
-                    d = np.where(ids[:, None] == qids[None, :], np.inf, d)
-                cand_d = np.vstack([best_d, d])
-                cand_i = np.vstack([best_i, np.broadcast_to(ids[:, None], d.shape)])
-                cols, sel_i, sel_d = topk_columns(cand_d, cand_i, k)
-                # rebuild a dense (k, nq) best table; missing cells stay +inf
-                nb = np.full((k, nq), np.inf)
-                ni = np.zeros((k, nq), dtype=np.int64)
-                starts = np.r_[0, np.flatnonzero(np.diff(cols)) + 1] if len(cols) else np.zeros(0, int)
-                counts = np.diff(np.r_[starts, len(cols)]) if len(cols) else np.zeros(0, int)
-                pos = np.arange(len(cols)) - np.repeat(starts, counts)
-                nb[pos, cols] = sel_d
-                ni[pos, cols] = sel_i
-                best_d, best_i = nb, ni
-        if best_d.shape[0]:
-            r, c = np.nonzero(np.isfinite(best_d))
-            yield pd.DataFrame({
-                "query_id": qids[c],
-                "id": best_i[r, c],
-                "distance": best_d[r, c],
-            })
+            if len(pdf):
+                acc.add(pdf[cid].to_numpy(dtype=np.int64), _vectors_to_matrix(pdf[cvec]))
+        out = acc.result()
+        if len(out):
+            yield out
     return scan
 
 
