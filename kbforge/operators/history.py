@@ -26,3 +26,22 @@ def recent_history(log: DataFrame, session: str, time: str, text: str,
         session, time, F.col("pos").cast("long").alias("pos"),
         (F.col("pos") == 1).alias("is_latest"),
         ellipsis(F.col(text), PREVIEW_CHARS, "if_longer").alias("preview"))
+
+
+# Fixed value: previous entries are labelled with the question cut to 80 characters.
+PREVIOUS_LABEL_CHARS = 80
+
+
+def latest_and_previous(log: DataFrame, session: str, time: str, text: str) -> DataFrame:
+    """WIN-3 over the whole history: the newest entry of each session flagged, all
+    earlier ones kept, everything ordered newest first per session.
+
+    No window over a session: the newest time comes from a partial ``max`` per
+    session joined back (AQE splits a skewed join), and the ordering is a global
+    range-partitioned sort, which spreads a hot session over several tasks.
+    """
+    newest = log.groupBy(session).agg(F.max(time).alias("_newest"))
+    j = log.join(newest, session, "inner")
+    return (j.select(session, time, (F.col(time) == F.col("_newest")).alias("is_latest"),
+                     F.concat(F.lit("Q: "), ellipsis(F.col(text), PREVIOUS_LABEL_CHARS, "always")).alias("label"))
+            .orderBy(F.col(session), F.col(time).desc()))

@@ -229,3 +229,12 @@ def win2_events(spark: SparkSession, sf: str) -> DataFrame:
     r = e.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= HISTORY_DEPTH)
     return r.select("user_id", "event_id", F.col("pos").cast("long"), (F.col("pos") == 1).alias("is_latest"),
                     clock_label(F.col("ts")).alias("hhmm"), "event_type")
+
+
+@register("win3_latest_and_previous", """
+SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS is_latest,
+       'Q: ' || left(text, 80) || '...' AS label
+FROM conversations""")
+def win3(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.history import latest_and_previous
+    return latest_and_previous(A.table(spark, sf, "conversations"), "conv_id", "turn", "text")
