@@ -144,7 +144,12 @@ def elapsed_seconds(start: Column, end: Column, digits: int = 3) -> Column:
     ``timestamp_diff`` on wall-clock (NTZ) values does not depend on the session
     time zone, so a daylight-saving change never shifts the result.
     """
-    return F.round(F.timestamp_diff("MICROSECOND", start, end) / F.lit(1_000_000.0), digits)
+    # round in integer microseconds (half up), then one division: no engine-specific
+    # rounding of a binary fraction, so every engine returns the same double
+    unit = 10 ** (6 - digits)
+    micros = F.timestamp_diff("MICROSECOND", start, end)
+    q = F.floor((micros + F.lit(unit // 2)) / F.lit(unit))
+    return q / F.lit(float(10 ** digits))
 
 
 def validate_question(raw: Column) -> tuple[Column, Column]:

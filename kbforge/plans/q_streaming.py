@@ -58,7 +58,7 @@ def stm3_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_HEALTH = """
-SELECT 'ok' AS status, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 2) AS uptime_seconds,
+SELECT 'ok' AS status, CAST((epoch_us(max(ts)) - epoch_us(min(ts)) + 5000) // 10000 AS BIGINT) / 100.0 AS uptime_seconds,
        CAST(count(*) AS BIGINT) AS requests_served, (SELECT CAST(count(*) AS BIGINT) FROM embeddings) AS index_size
 FROM events"""
 

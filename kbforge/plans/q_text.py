@@ -120,7 +120,8 @@ def str10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("str11_session_elapsed", """
-SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 3) AS elapsed_s FROM events GROUP BY user_id""")
+SELECT user_id, CAST((epoch_us(max(ts)) - epoch_us(min(ts)) + 500) // 1000 AS BIGINT) / 1000.0 AS elapsed_s
+FROM events GROUP BY user_id""")
 def str11(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "events")
     g = e.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
