@@ -127,3 +127,18 @@ def test_single_document_bound(spark, tmp_dir):
     df = spark.createDataFrame([(1, "PASS", 1.0), (2, "PASS", 2.0)], "test_id long, status string, latency_s double")
     with pytest.raises(ValueError):
         write_eval_results(df, os.path.join(tmp_dir, "r"), max_rows=1)
+
+
+def test_latin1_default_reproduces_mojibake(spark, tmp_dir):
+    # UTF-8 bytes read with the default latin-1 decoding, as the curate job does
+    p = _write(tmp_dir, "utf8.csv", "Id,Score,Title\n1,3,What’s new\n".encode("utf-8"))
+    got = read_posts_csv(spark, p, SCHEMA).first()["Title"]
+    assert got == "What’s new".encode("utf-8").decode("latin-1")
+    assert got.startswith("Whatâ\x80\x99s")
+    assert read_posts_csv(spark, p, SCHEMA, encoding="UTF-8").first()["Title"] == "What’s new"
+
+
+def test_strict_csv_pads_short_rows(spark, tmp_dir):
+    p = _write(tmp_dir, "short.csv", b"Id,Score,Title\n1,2\n3,4,x\n")
+    rows = {r["Id"]: (r["Score"], r["Title"]) for r in read_tags_csv(spark, p, SCHEMA).collect()}
+    assert rows == {1: (2, None), 3: (4, "x")}
