@@ -7,9 +7,10 @@ survivors) -> inner join -> rename -> quality filters -> de-duplicate.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.html import clean_html
@@ -23,19 +24,37 @@ DEFAULT_TOP_N = 15000
 class CurateResult:
     pairs: DataFrame
     stages: list  # (name, DataFrame) for the funnel report (AGG-3)
+    observations: dict = field(default_factory=dict)  # name -> Observation (observe=True)
+
+    def observed_funnel(self) -> list[tuple[int, str, int]]:
+        """AGG-3 from the metrics gathered while ``pairs`` was computed (one pass)."""
+        names = [n for n, _ in self.stages if n in self.observations]
+        return [(i + 1, n, int(self.observations[n].get["rows"])) for i, n in enumerate(names)]
 
 
 def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str | None,
-           top_n: int = DEFAULT_TOP_N, answer_mode: str = "column") -> CurateResult:
+           top_n: int = DEFAULT_TOP_N, answer_mode: str = "column", observe: bool = False) -> CurateResult:
     """Inputs use the raw column names Id/Title/Body/Score, ParentId/Body/Score/Id, Id/Tag.
 
-    ``tag=None`` skips the tag filter (FLT-1 + JOIN-1).
+    ``tag=None`` skips the tag filter (FLT-1 + JOIN-1).  ``observe=True`` attaches
+    a row-count ``Observation`` to each stage, so the funnel (AGG-3) is gathered
+    while the pairs are computed once (see :func:`write_curated`).
     """
     stages = []
+    observations: dict = {}
+    run = uuid.uuid4().hex[:8]
+
+    def mark(name: str, df: DataFrame) -> DataFrame:
+        if not observe:
+            return df
+        o = Observation(f"curate_{name}_{run}")
+        observations[name] = o
+        return df.observe(o, F.count(F.lit(1)).alias("rows"))
+
     if tag is not None:
         ids = R.tag_ids(tags, tag)                                   # FLT-1
         stages.append(("tagged_ids", ids))
-        qs = R.semi_join(questions, ids, "Id")                       # JOIN-1
+        qs = R.semi_join(questions, mark("tagged_ids", ids), "Id")   # JOIN-1
     else:
         qs = questions
     stages.append(("questions", qs))
@@ -43,15 +62,18 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     # (TakeOrderedAndProject) below the Python cleaning step and spreads the
     # cleaning of the N survivors over tasks
     parts = max(1, min(top_n // 100, questions.sparkSession.sparkContext.defaultParallelism))
-    top = R.top_n(qs, top_n, "Score", "Id").repartition(parts, "Id")
+    top_keys = R.top_n(qs, top_n, "Score", "Id")                     # keys for JOIN-2
+    top = R.top_n(mark("questions", qs), top_n, "Score", "Id").repartition(parts, "Id")
     stages.append(("top_questions", top))
-    ans = R.bounded_semi_join(answers, top, "ParentId", "Id")        # JOIN-2 (size <= N keys)
+    top = mark("top_questions", top)
+    ans = R.bounded_semi_join(answers, top_keys, "ParentId", "Id")   # JOIN-2 (size <= N keys)
     stages.append(("answers", ans))
-    best = R.best_child(ans, "ParentId", "Score", "Id", ["Body"], mode=answer_mode)   # AGG-1/2
+    best = R.best_child(mark("answers", ans), "ParentId", "Score", "Id", ["Body"], mode=answer_mode)   # AGG-1/2
     best = best.select(F.col("ParentId").alias("QuestionId"),
                        clean_html(F.col("Body")).alias("CleanAnswer"),             # STR-1
                        F.col("Score").alias("AnswerScore"))
     stages.append(("best_answers", best))
+    best = mark("best_answers", best)
     qclean = top.select("Id", "Title", "Score", clean_html(F.col("Body")).alias("CleanBody"))
     merged = R.equi_join(qclean, best, "Id", "QuestionId")           # JOIN-3
     out = R.rename_clean_qa(merged)                                  # PRJ-1
@@ -60,4 +82,21 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
                           [F.col("question_score").desc_nulls_last(), F.col("answer_score").desc_nulls_last(),
                            F.col("answer_body").asc_nulls_last()])
     stages.append(("final", out))
-    return CurateResult(out, stages)
+    return CurateResult(out, stages, observations)
+
+
+def write_curated(result: CurateResult, path: str) -> list[tuple[int, str, int]]:
+    """SNK-1 plus AGG-3 in one pass: write the pairs, return the observed funnel
+    (requires ``curate(..., observe=True)``).
+
+    The final count is observed above the sink's global sort: the sort samples
+    its input in a separate job, which would otherwise count the last stage twice.
+    """
+    from ..sources.tables import CLEAN_QA_COLUMNS
+    o = Observation(f"curate_final_{uuid.uuid4().hex[:8]}")
+    (result.pairs.select(*CLEAN_QA_COLUMNS)
+     .orderBy(F.col("question_score").desc_nulls_last(), F.col("question_id"))
+     .observe(o, F.count(F.lit(1)).alias("rows"))
+     .write.mode("overwrite").parquet(path))
+    result.observations["final"] = o
+    return result.observed_funnel()

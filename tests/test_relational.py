@@ -68,3 +68,13 @@ def test_curate_without_tag_matches_sql(spark):
     assert len(expect) > 50
     names = [n for n, _ in res.stages]
     assert names == ["questions", "top_questions", "answers", "best_answers", "final"]
+
+
+def test_observed_funnel_equals_counted_funnel(spark, tmp_dir):
+    from kbforge.plans.curate import write_curated
+    args = (A.qa_questions(spark, SF01), A.qa_answers(spark, SF01), A.qa_tags(spark, SF01), "the", 15000)
+    observed = write_curated(curate(*args, observe=True), f"{tmp_dir}/pairs")
+    counted = [(r["step_no"], r["step"], r["rows"]) for r in
+               R.funnel(curate(*args).stages).orderBy("step_no").collect()]
+    assert observed == counted
+    assert spark.read.parquet(f"{tmp_dir}/pairs").count() == counted[-1][2]
