@@ -92,9 +92,13 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``kbforge`` importable in executor Python workers (once per app).
 
-    Equivalent to ``--py-files kbforge.zip``: the zip is built from the driver's
-    copy and distributed by Spark itself.
+    Equivalent to ``--py-files kbforge.zip``: the zip is built in memory from the
+    driver's copy and written into the shared folder named by
+    ``spark.checkpoint.dir`` (a local scratch folder only when that is unset, as in
+    tests); Spark distributes it to the executors.
     """
+    import hashlib
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -103,16 +107,25 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="kbforge-pyfiles-")
-    zpath = os.path.join(out_dir, "kbforge.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, dirnames, filenames in os.walk(pkg_dir):
-            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
-            for f in filenames:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, dirnames, filenames in sorted(os.walk(pkg_dir)):
+            dirnames[:] = sorted(d for d in dirnames if d != "__pycache__")
+            for f in sorted(filenames):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    target = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-pyfiles/{digest}/kbforge.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        out = fs.create(hpath, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(app)
 
 
