@@ -68,6 +68,18 @@ def build_collection(spark: SparkSession, records: DataFrame, path: str, name: s
     return open_collection(spark, path)
 
 
+def collection_path(root: str, name: str) -> str:
+    """Collections live as ``{root}/{name}``; names are plain identifiers."""
+    if not name or "/" in name or name.startswith((".", "_")):
+        raise ValueError(f"invalid collection name {name!r}")
+    return f"{root.rstrip('/')}/{name}"
+
+
+def open_collection_by_name(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """VEC-5: open a committed collection by name; absent -> error."""
+    return open_collection(spark, collection_path(root, name))
+
+
 def open_collection(spark: SparkSession, path: str) -> DataFrame:
     """Open by path; a missing or unfinished collection is an error."""
     if not is_committed(spark, path):

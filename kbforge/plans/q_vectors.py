@@ -127,3 +127,35 @@ SELECT conv_id AS id, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY
 def vec6(spark: SparkSession, sf: str) -> DataFrame:
     c = A.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"))
     return duplicate_ids(c, "id").select("id", F.col("n").cast("long"))
+
+
+@register("vec4_ivf_persisted_full_probe", _SQL_KNN_EMB +
+          f"SELECT query_id, CAST(rank AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM hits WHERE rank <= {K}")
+def vec4_persisted(spark: SparkSession, sf: str) -> DataFrame:
+    """VEC-4 over the persisted ``cluster=`` layout (probed clusters only are read)."""
+    import uuid
+    from ..operators.ivf import persist_ivf
+    from ..session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/ivf-{uuid.uuid4().hex}"
+    e = A.table(spark, sf, "embeddings")
+    idx = persist_ivf(spark, build_ivf(e, IVF_CLUSTERS, id_col="vec_id", vec_col="embedding"), path)
+    h = ivf_search(spark, idx, e, K, nprobe=IVF_CLUSTERS, query_id="vec_id", query_vec="embedding",
+                   exclude_self=True)
+    return h.select("query_id", F.col("rank").cast("long"), "id", F.round("distance", 6).alias("distance"))
+
+
+@register("agg7_collection_size", "SELECT CAST(count(*) AS BIGINT) AS index_size FROM documents")
+def agg7_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-7 on a committed collection built from the documents table, opened by name (VEC-5)."""
+    import uuid
+    from ..operators.collection import build_collection, collection_path, open_collection_by_name
+    from ..session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/run-{uuid.uuid4().hex}"
+    docs = A.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"))
+    meta = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("question_score"),
+                    F.lit(None).cast("int").alias("answer_score"))
+    recs = HashingEmbedder(DEFAULT_DIM).embed(docs, "document").withColumn("meta", meta)
+    build_collection(spark, recs, collection_path(root, "documents"), name="documents")
+    return open_collection_by_name(spark, root, "documents").agg(
+        F.count(F.lit(1)).cast("long").alias("index_size"))
