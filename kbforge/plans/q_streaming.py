@@ -116,3 +116,19 @@ def stm2(spark: SparkSession, sf: str) -> DataFrame:
                   HashingEmbedder(DEFAULT_DIM), present=lambda a: _answers_out({"answers": a}),
                   max_files_per_trigger=1)
     return spark.read.parquet(f"{run}/answers")
+
+
+@register("win2_history_state_stream", f"""
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, pos = 1 AS is_latest,
+       CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END AS preview
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations)
+WHERE pos <= 8""")
+def win2_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns arrive as a stream; each conversation keeps its newest 8 in bounded state."""
+    from ..streaming.history_state import history_stream, latest_history
+    run = _run_dir(spark, "history")
+    conv = A.table(spark, sf, "conversations")
+    _as_file_stream(conv, f"{run}/in")
+    history_stream(spark, f"{run}/in", conv.schema, "conv_id", "turn", "text", f"{run}/out", f"{run}/ckpt",
+                   max_files_per_trigger=1)
+    return latest_history(spark, f"{run}/out", "conv_id", "turn")
