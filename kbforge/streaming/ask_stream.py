@@ -57,7 +57,10 @@ def request_metrics_to_table(spark: SparkSession, source_dir: str, schema: T.Str
     counts = request_counts_stream(reader.parquet(source_dir), window=window, watermark=watermark)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out_path)
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(out_path)
+        else:   # one folder per micro-batch: a re-run batch replaces its own rows
+            batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     q = (counts.writeStream.outputMode(output_mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint)

@@ -53,7 +53,9 @@ def history_stream(spark: SparkSession, source_dir: str, schema: T.StructType, s
         _update_fn(depth), out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(out_path)
+        # one folder per micro-batch, overwritten if the batch is re-run after a
+        # failure (foreachBatch is at-least-once), so no emission is stored twice
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     q = (hist.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
