@@ -48,3 +48,22 @@ def test_extractive_generator_reads_rank1_answer():
     msgs = [{"role": "user", "content": "Python Question: q\n\nStack Overflow Context:\n" + ctx +
              "\n\nPlease answer the question based on the context above."}]
     assert rag.extractive_generator("m", msgs) == "first answer"
+
+
+def test_ask_against_empty_index(spark):
+    from kbforge.functions.vectors import HashingEmbedder
+    from kbforge.plans.ask import ask
+    index = spark.createDataFrame([], "key long, id string, document string, embedding array<double>, "
+                                      "meta struct<title:string,question_score:int,answer_score:int>")
+    qs = spark.createDataFrame([(1, "how do I sort a list?"), (2, "hi")], "query_id long, question string")
+    out = {r["query_id"]: r for r in ask(spark, qs, index, HashingEmbedder(), k=5)["answers"].collect()}
+    assert out[1]["status"] == "answered" and out[1]["docs_actual"] == 0 and out[1]["sources"] == []
+    assert out[1]["answer"] == ""
+    assert out[2]["status"] == "too_short"
+
+
+def test_knn_empty_corpus(spark):
+    from kbforge.operators.knn import knn_search
+    corpus = spark.createDataFrame([], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert knn_search(spark, corpus, q, 5).count() == 0
