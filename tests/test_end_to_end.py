@@ -67,3 +67,18 @@ def test_csv_to_answers(spark, tmp_dir):
     assert out[1]["answer"].startswith("Use slicing")
     assert out[3]["sources"][0] == "Merge two dictionaries in one expression"
     assert out[1]["docs_retrieved"] == 5 and out[1]["docs_actual"] == 2
+
+
+def test_cli_jobs_chain(spark, tmp_dir):
+    from kbforge import cli
+    funnel = cli.run_curate(spark, _write(tmp_dir, "Q.csv", QUESTIONS), _write(tmp_dir, "A.csv", ANSWERS),
+                            _write(tmp_dir, "T.csv", TAGS), f"{tmp_dir}/clean_qa.parquet", "python", top_n=2)
+    assert [s for _, s, _ in funnel] == ["tagged_ids", "questions", "top_questions", "answers", "best_answers",
+                                         "final"]
+    assert funnel[-1][2] == 2
+    assert cli.run_index(spark, f"{tmp_dir}/clean_qa.parquet", f"{tmp_dir}/coll") == 2
+    qs = spark.createDataFrame([(1, "How do I reverse a list in Python?"), (2, "abc")], "query_id long, question string")
+    qs.write.parquet(f"{tmp_dir}/questions")
+    assert cli.run_ask(spark, f"{tmp_dir}/coll", f"{tmp_dir}/answers", questions=f"{tmp_dir}/questions") == 2
+    summary = cli.run_evaluate(spark, f"{tmp_dir}/answers", f"{tmp_dir}/results")
+    assert (summary["total"], summary["passed"], summary["failed"]) == (2, 1, 1)
