@@ -72,7 +72,7 @@ def run_evaluate(spark, answers: str, out: str, single_document: bool = True) ->
                  F.coalesce(F.col("error"), F.col("status")))
     status, obs = eval_status(http.cast("long"), err)
     rows = a.select(F.col("query_id").alias("test_id"), "question", "answer", "sources", "model",
-                    "docs_retrieved", F.lit(None).cast("double").alias("latency_s"), status.alias("status"),
+                    "docs_retrieved", "latency_s", status.alias("status"),
                     obs.alias("observation"), http.cast("long").alias("http_status"), err.alias("error"))
     if single_document:
         write_eval_results(rows, out)

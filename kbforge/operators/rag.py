@@ -6,6 +6,7 @@ Every per-question list here has at most ``k`` elements (the retrieval depth), s
 
 from __future__ import annotations
 
+import time
 import uuid
 from typing import Callable, Iterator, Sequence
 
@@ -188,6 +189,7 @@ GENERATION_FIELDS = [
     T.StructField("model", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("error", T.StringType()),
+    T.StructField("latency_s", T.DoubleType()),   # wall time of the generation calls for the row
 ]
 
 
@@ -222,8 +224,9 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
             holder["last_good"] = None
         gen = holder["gen"]
         for pdf in batches:
-            answers, models, statuses, errors = [], [], [], []
+            answers, models, statuses, errors, latencies = [], [], [], [], []
             for msgs, cands in zip(pdf[messages_col], pdf[candidates_col]):
+                t0 = time.perf_counter()
                 messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
                 order = list(dict.fromkeys(
                     ([holder["last_good"]] if holder["last_good"] else []) + [c for c in cands if c]))
@@ -245,11 +248,13 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
                 models.append(model_used)
                 statuses.append(status)
                 errors.append(err)
+                latencies.append(round(time.perf_counter() - t0, 3))
             out = pdf[keep].copy()
             out["answer"] = answers
             out["model"] = models
             out["status"] = statuses
             out["error"] = errors
+            out["latency_s"] = latencies
             yield out
 
     src = df.select(*keep, messages_col, candidates_col)

@@ -88,11 +88,11 @@ def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=No
     answered = gen.select(
         "query_id", "question", "answer", "sources", "model",
         F.lit(k).cast("long").alias("docs_retrieved"), "docs_actual",
-        "status", "error")
+        "status", "error", "latency_s")
     rejected = v.where(F.col("status") != "ok").select(
         "query_id", "question", F.lit(None).cast("string").alias("answer"),
         F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("string").alias("model"),
         F.lit(k).cast("long").alias("docs_retrieved"), F.lit(0).cast("long").alias("docs_actual"),
-        "status", F.lit(None).cast("string").alias("error"))
+        "status", F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("latency_s"))
     answers = answered.unionByName(rejected)
     return {"hits": full, "context": ctx, "requests": req, "answers": answers}
