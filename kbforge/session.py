@@ -129,9 +129,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-# Inputs estimated below this size are round-robined over all cores before
-# CPU-heavy per-row work (embedding, parsing, scoring).
+# Inputs estimated below this size are round-robined over the cores before
+# CPU-heavy per-row work (embedding, parsing, scoring), about SPREAD_BYTES each (the work per byte
+# is high: parsing, hashing every token, or scoring against every query).
 SMALL_INPUT_BYTES = 1 << 30
+SPREAD_BYTES = 256 << 10
 
 
 def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
@@ -139,8 +141,10 @@ def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
 
     A small table is often a single row group, i.e. one scan task doing all the
     work.  When the optimizer's size estimate is under ``max_bytes`` a
-    round-robin repartition (a cheap shuffle of a small input) spreads it; large
-    inputs already arrive in many splits and are left as they are.
+    round-robin repartition (a cheap shuffle of a small input) spreads it over at
+    most the default parallelism, about 256 KiB per partition, so a large cluster
+    does not get thousands of near-empty tasks; large inputs already arrive in
+    many splits and are left as they are.
     """
     spark = df.sparkSession
     try:
@@ -149,5 +153,6 @@ def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
     except Exception:  # noqa: BLE001 - statistics are advisory
         return df
     if size <= max_bytes:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+        parts = max(1, min(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))
+        return df.repartition(parts) if parts > 1 else df
     return df
