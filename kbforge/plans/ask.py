@@ -27,6 +27,13 @@ def validated(questions: DataFrame, text_col: str = "question") -> DataFrame:
                             status.alias("status"), clean.alias("q"))
 
 
+def split_questions(questions: DataFrame, text_col: str = "question") -> tuple[DataFrame, DataFrame]:
+    """FLT-3 as a quarantine split: (valid questions with stripped text ``q``,
+    rejected questions with their ``status``) — both from one validated frame."""
+    v = validated(questions, text_col)
+    return v.where(F.col("status") == "ok"), v.where(F.col("status") != "ok")
+
+
 def exact_search(dim: int | None = None):
     """Retrieval by exact k-NN (VEC-3): every question scans the whole index.
     Cost grows with (number of query blocks) x (index size)."""
@@ -70,8 +77,7 @@ def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=No
     the final ``answers`` table.  ``search`` picks retrieval: exact by default,
     or :func:`ivf_searcher` over a clustered index."""
     emb = embedder or HashingEmbedder()
-    v = validated(questions)
-    ok = v.where(F.col("status") == "ok")
+    ok, quarantined = split_questions(questions)
     n_ok = ok.count()
     hits = retrieve(spark, ok, index, emb, k, search)
     full = attach_payload(spark, hits, index, n_ok, k)
@@ -89,7 +95,7 @@ def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=No
         "query_id", "question", "answer", "sources", "model",
         F.lit(k).cast("long").alias("docs_retrieved"), "docs_actual",
         "status", "error", "latency_s")
-    rejected = v.where(F.col("status") != "ok").select(
+    rejected = quarantined.select(
         "query_id", "question", F.lit(None).cast("string").alias("answer"),
         F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("string").alias("model"),
         F.lit(k).cast("long").alias("docs_retrieved"), F.lit(0).cast("long").alias("docs_actual"),
