@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import clean_html
 from ..operators import relational as R
+from ..session import checkpoint_dir
 
 # Fixed value: number of top-scored questions kept before the quality filters.
 DEFAULT_TOP_N = 15000
@@ -58,13 +59,15 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     else:
         qs = questions
     stages.append(("questions", qs))
-    # TOP-1; the repartition (at most N rows) keeps the per-task top-N heap
-    # (TakeOrderedAndProject) below the Python cleaning step and spreads the
-    # cleaning of the N survivors over tasks
     parts = max(1, min(top_n // 100, questions.sparkSession.sparkContext.defaultParallelism))
-    top_keys = R.top_n(qs, top_n, "Score", "Id")                     # keys for JOIN-2
-    top = R.top_n(mark("questions", qs), top_n, "Score", "Id").repartition(parts, "Id")
+    # TOP-1 runs once: its result (at most N rows) is checkpointed into the shared
+    # checkpoint folder and read by both the question side and the JOIN-2 keys,
+    # so the full question input is scanned once.  The repartition keeps the
+    # per-task top-N heap (TakeOrderedAndProject) and spreads later cleaning.
+    checkpoint_dir(questions.sparkSession)
+    top = R.top_n(mark("questions", qs), top_n, "Score", "Id").repartition(parts, "Id").checkpoint(eager=True)
     stages.append(("top_questions", top))
+    top_keys = top.select("Id")
     top = mark("top_questions", top)
     ans = R.bounded_semi_join(answers, top_keys, "ParentId", "Id")   # JOIN-2 (size <= N keys)
     stages.append(("answers", ans))
