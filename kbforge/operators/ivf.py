@@ -32,6 +32,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_limit
 from .knn import TopKAccumulator, _vectors_to_matrix, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
@@ -136,6 +137,9 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
                max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES) -> DataFrame:
     """Long result (query_id, rank, id, distance) like :func:`knn.knn_search`."""
     n_clusters = index.centroids.shape[0]
+    if index.centroids.nbytes > broadcast_limit(spark):
+        raise ValueError(f"{n_clusters} centroids ({index.centroids.nbytes} bytes) exceed the broadcast bound "
+                         "kbforge.broadcast.maxBytes; use fewer clusters or raise the bound")
     nprobe = max(1, min(nprobe, n_clusters))
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     bc = spark.sparkContext.broadcast(index.centroids)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import clean_html
 from ..operators import relational as R
-from ..session import checkpoint_dir
+from ..session import broadcast_limit, checkpoint_dir
 
 # Fixed value: number of top-scored questions kept before the quality filters.
 DEFAULT_TOP_N = 15000
@@ -69,7 +69,11 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     stages.append(("top_questions", top))
     top_keys = top.select("Id")
     top = mark("top_questions", top)
-    ans = R.bounded_semi_join(answers, top_keys, "ParentId", "Id")   # JOIN-2 (size <= N keys)
+    # JOIN-2: N keys are broadcast when N x 16 bytes is under the broadcast bound
+    if top_n * 16 <= broadcast_limit(questions.sparkSession):
+        ans = R.bounded_semi_join(answers, top_keys, "ParentId", "Id")
+    else:
+        ans = R.semi_join(answers, top_keys, "ParentId", "Id")
     stages.append(("answers", ans))
     best = R.best_child(mark("answers", ans), "ParentId", "Score", "Id", ["Body"], mode=answer_mode)   # AGG-1/2
     best = best.select(F.col("ParentId").alias("QuestionId"),
