@@ -156,6 +156,16 @@ def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequenc
 
 
 # --- generation (RAG-5) -------------------------------------------------------------
+def _extractive_factory():
+    return extractive_generator
+
+
+def _factory_key(factory) -> str:
+    name = getattr(factory, "__qualname__", "")
+    if not name or "<lambda>" in name or "<locals>" in name:
+        return uuid.uuid4().hex   # anonymous factory: no stable identity to share
+    return f"{getattr(factory, '__module__', '')}.{name}"
+
 class ModelUnavailable(Exception):
     """Raised by a generator when a model does not exist (a retry-class error)."""
 
@@ -202,7 +212,7 @@ _WORKER_STATE: dict = {}
 
 def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list], str]] | None = None,
              messages_col: str = "messages", candidates_col: str = "candidates",
-             keep: Sequence[str] = ("query_id",)) -> DataFrame:
+             keep: Sequence[str] = ("query_id",), cache_key: str | None = None) -> DataFrame:
     """RAG-5: ``mapInPandas`` that calls ``generate(model, messages)`` per row,
     trying candidate models in order with RAG-4 semantics.
 
@@ -210,9 +220,13 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
     is tried first for later rows of that worker (a per-worker cache, never a
     global).  Errors become a per-row status instead of failing the job.  The
     ``keep`` columns pass through unchanged, so no join back is needed.
+
+    The worker cache is keyed by ``cache_key`` (default: the factory's module and
+    qualified name), so repeated calls (one per streaming micro-batch) reuse the
+    generator already loaded in each worker instead of loading another.
     """
-    factory = generator_factory or (lambda: extractive_generator)
-    token = uuid.uuid4().hex
+    factory = generator_factory or _extractive_factory
+    token = cache_key or _factory_key(factory)
     retry_markers = tuple(RETRY_MARKERS_PY)
     keep = list(keep)
 

@@ -72,7 +72,7 @@ def attach_payload(spark: SparkSession, hits: DataFrame, index: DataFrame, n_que
 
 def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=None, k: int = rag.TOP_K,
         generator_factory=None, active_models: list[str] | None = None,
-        primary: str = rag.PRIMARY_MODEL, search=None) -> dict[str, DataFrame]:
+        primary: str = rag.PRIMARY_MODEL, search=None, generator_key: str | None = None) -> dict[str, DataFrame]:
     """Returns the intermediate frames (``hits``, ``context``, ``requests``) and
     the final ``answers`` table.  ``search`` picks retrieval: exact by default,
     or :func:`ivf_searcher` over a clustered index."""
@@ -90,7 +90,8 @@ def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=No
            .withColumn("docs_actual", F.coalesce("docs_actual", F.lit(0).cast("long")))
            .withColumn("messages", rag.prompt_messages(F.col("q"), F.col("context")))
            .withColumn("candidates", rag.candidate_order(rag.start_model(active, primary), active, primary)))
-    gen = rag.generate(req, generator_factory, keep=("query_id", "question", "sources", "docs_actual"))
+    gen = rag.generate(req, generator_factory, keep=("query_id", "question", "sources", "docs_actual"),
+                       cache_key=generator_key)
     answered = gen.select(
         "query_id", "question", "answer", "sources", "model",
         F.lit(k).cast("long").alias("docs_retrieved"), "docs_actual",
