@@ -90,10 +90,14 @@ class BatchModelEmbedder:
     per executor process rather than once per row or per task.
     """
 
-    def __init__(self, factory: Callable[[], Callable[[list], np.ndarray]], dim: int):
+    def __init__(self, factory: Callable[[], Callable[[list], np.ndarray]], dim: int,
+                 cache_key: str | None = None):
         self.factory = factory
         self.dim = dim
-        self._token = uuid.uuid4().hex
+        # workers cache one model per key: the factory's identity unless given
+        name = getattr(factory, "__qualname__", "")
+        stable = name and "<lambda>" not in name and "<locals>" not in name
+        self._token = cache_key or (f"{getattr(factory, '__module__', '')}.{name}" if stable else uuid.uuid4().hex)
 
     def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
         factory, token = self.factory, self._token
