@@ -11,9 +11,22 @@ DEFAULT_WINDOW = "1 hour"
 DEFAULT_WATERMARK = "1 day"
 
 
+_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
-    # timestamp_ntz is not accepted by withWatermark; read it as UTC wall time
-    return df.withColumn("_et", F.col(ts).cast("timestamp"))
+    """Event time as an instant: the wall-clock (NTZ) value read as UTC.
+
+    ``withWatermark`` does not accept timestamp_ntz, and a plain cast would read
+    the wall clock in the session time zone (windows of a +05:30 session would
+    start at :30).  Microseconds since the NTZ epoch avoid the session zone.
+    """
+    return df.withColumn("_et", F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(ts))))
+
+
+def _wall_clock(instant) -> F.Column:
+    """Inverse of :func:`_event_time` rendered as text (no session zone involved)."""
+    return F.date_format(F.timestamp_add("MICROSECOND", F.unix_micros(instant), _EPOCH), "yyyy-MM-dd HH:mm:ss")
 
 
 def request_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type",
@@ -21,7 +34,7 @@ def request_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type",
     """Batch form: requests per (time window, type)."""
     e = _event_time(events, ts)
     g = e.groupBy(F.window("_et", window).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).cast("long").alias("requests"))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), kind, "requests")
+    return g.select(_wall_clock(F.col("w.start")).alias("window_start"), kind, "requests")
 
 
 def request_counts_stream(events_stream: DataFrame, ts: str = "ts", kind: str = "event_type",
@@ -29,7 +42,7 @@ def request_counts_stream(events_stream: DataFrame, ts: str = "ts", kind: str =
     """Streaming form: the same counts with a watermark bounding the state."""
     e = _event_time(events_stream, ts).withWatermark("_et", watermark)
     g = e.groupBy(F.window("_et", window).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).cast("long").alias("requests"))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), kind, "requests")
+    return g.select(_wall_clock(F.col("w.start")).alias("window_start"), kind, "requests")
 
 
 def health_snapshot(events: DataFrame, index: DataFrame, ts: str = "ts") -> DataFrame:

@@ -77,3 +77,23 @@ def test_history_state_rerun_epoch_is_idempotent(spark, tmp_dir):
     second = latest_history(spark, f"{tmp_dir}/out", "conv_id", "turn")
     assert n_first == second.count() == conv.groupBy("conv_id").count().selectExpr(
         "sum(least(count, 8))").first()[0]
+
+
+def test_time_outputs_do_not_depend_on_session_zone(spark):
+    from kbforge.functions.text import clock_label, elapsed_seconds
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+
+    def snapshot():
+        counts = sorted(tuple(r) for r in request_counts(ev).collect())
+        g = ev.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+        el = sorted(tuple(r) for r in g.select("user_id", elapsed_seconds(F.col("a"), F.col("b"))).collect())
+        hm = sorted(tuple(r) for r in ev.select("event_id", clock_label(F.col("ts"))).collect())
+        return counts, el, hm
+
+    base = snapshot()
+    try:
+        for tz in ("Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert snapshot() == base, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
