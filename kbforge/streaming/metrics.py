@@ -11,7 +11,9 @@ DEFAULT_WINDOW = "1 hour"
 DEFAULT_WATERMARK = "1 day"
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch() -> F.Column:
+    # built per call: a module-level Column would need an active session at import
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -21,12 +23,12 @@ def _event_time(df: DataFrame, ts: str) -> DataFrame:
     the wall clock in the session time zone (windows of a +05:30 session would
     start at :30).  Microseconds since the NTZ epoch avoid the session zone.
     """
-    return df.withColumn("_et", F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(ts))))
+    return df.withColumn("_et", F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts))))
 
 
 def _wall_clock(instant) -> F.Column:
     """Inverse of :func:`_event_time` rendered as text (no session zone involved)."""
-    return F.date_format(F.timestamp_add("MICROSECOND", F.unix_micros(instant), _EPOCH), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch()), "yyyy-MM-dd HH:mm:ss")
 
 
 def request_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type",
