@@ -97,3 +97,14 @@ def test_time_outputs_do_not_depend_on_session_zone(spark):
             assert snapshot() == base, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_entry_module_imports_without_a_session():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_q, n_sql = map(int, out.stdout.split())
+    assert n_q == n_sql >= 60
