@@ -103,8 +103,8 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
-        return
+    if app in _SHIPPED or spark.conf.get("kbforge.shipPackage", "true").lower() == "false":
+        return   # already shipped, or installed on the executors (pip install .)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     buf = io.BytesIO()
