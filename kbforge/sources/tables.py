@@ -43,6 +43,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SET-1 re-aimed: many parquet inputs of one schema as one scan (one file
+    listing, splits from every input); missing inputs are a clear error."""
+    missing = [p for p in paths if not path_exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(f"input tables not found: {missing}")
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
 def write_clean_qa(df: DataFrame, path: str) -> None:
     """SNK-1: the six curated columns, written once, sorted by question score.
 

@@ -142,3 +142,13 @@ def test_strict_csv_pads_short_rows(spark, tmp_dir):
     p = _write(tmp_dir, "short.csv", b"Id,Score,Title\n1,2\n3,4,x\n")
     rows = {r["Id"]: (r["Score"], r["Title"]) for r in read_tags_csv(spark, p, SCHEMA).collect()}
     assert rows == {1: (2, None), 3: (4, "x")}
+
+
+def test_read_tables_multi_path(spark, tmp_dir):
+    from kbforge.sources.tables import read_tables
+    a, b = os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "b")
+    spark.range(0, 5).write.parquet(a)
+    spark.range(5, 8).write.parquet(b)
+    assert read_tables(spark, [a, b]).count() == 8
+    with pytest.raises(FileNotFoundError):
+        read_tables(spark, [a, os.path.join(tmp_dir, "nope")])
