@@ -156,3 +156,24 @@ def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
         parts = max(1, min(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))
         return df.repartition(parts) if parts > 1 else df
     return df
+
+
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Stable digest of input files (path, size, modification time) through the
+    Hadoop file system: equal inputs give equal digests, any rewrite changes it."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
+    for p in sorted(paths):
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hpath.getFileSystem(conf)
+        it = fs.listFiles(hpath, True)
+        entries = []
+        while it.hasNext():
+            st = it.next()
+            entries.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+        for e in sorted(entries):
+            h.update(repr(e).encode())
+    return h.hexdigest()[:20]
