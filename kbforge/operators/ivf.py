@@ -15,6 +15,9 @@ Search:
    each group runs one matrix product and emits at most ``k`` rows per query.
 4. ``row_number() <= k`` per query merges the groups.
 
+The probes (query vectors with their chosen clusters) are checkpointed once, so
+the query embedding behind them is never computed twice.
+
 With ``nprobe = n_clusters`` every corpus row is scored and the result equals
 the exact search (:mod:`kbforge.operators.knn`).
 """
@@ -32,7 +35,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit
+from ..session import broadcast_limit, checkpoint_dir
 from .knn import TopKAccumulator, _vectors_to_matrix, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
@@ -144,7 +147,10 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     bc = spark.sparkContext.broadcast(index.centroids)
     qv_type = q.schema["_qv"].dataType.simpleString()
-    probes = q.mapInPandas(_probe_fn(bc, nprobe), f"_qid long, cluster int, _qv {qv_type}")
+    # probes (and the query embedding behind them) are computed once: written to the
+    # shared checkpoint folder, then both the per-cluster counts and the cogroup read them
+    checkpoint_dir(spark)
+    probes = q.mapInPandas(_probe_fn(bc, nprobe), f"_qid long, cluster int, _qv {qv_type}").checkpoint(eager=True)
 
     # split plan from per-cluster counts (one row per cluster: bounded by n_clusters)
     if index.cluster_sizes is not None:
