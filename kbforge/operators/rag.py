@@ -130,7 +130,8 @@ def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequenc
 
     Attempts are tried in ``order``; retry-class errors (STR-8) move on, the
     first other attempt decides: no error -> ``answered`` with its model, an
-    error -> ``failed``.  No deciding attempt -> ``exhausted`` (with the last error).
+    error -> ``failed``.  No deciding attempt -> ``exhausted`` (with the last error;
+    ``decided_by`` is then the last attempt).
 
     One partial ``min_by`` aggregation per request, ordered by a struct of the
     ordering columns (no window): a request with a third of all attempts still
@@ -143,14 +144,16 @@ def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequenc
                           F.col(error).alias("error")),
                  F.when(~F.col("_retry"), pos)).alias("_d"),
         F.count(F.lit(1)).cast("long").alias("attempts"),
-        F.max_by(F.col(error), pos).alias("_last_error"))
+        F.max_by(F.col(error), pos).alias("_last_error"),
+        F.max_by(F.col(attempt_id), pos).alias("_last_attempt"))
     return g.select(
         *request,
         F.when(F.col("_d").isNull(), F.lit("exhausted"))
          .when(F.col("_d.error").isNull(), F.lit("answered"))
          .otherwise(F.lit("failed")).alias("outcome"),
         F.when(F.col("_d").isNotNull() & F.col("_d.error").isNull(), F.col("_d.model")).alias("model"),
-        F.col("_d.attempt_id").alias("decided_by"),
+        # the attempt at which the outcome was settled (the last one when exhausted)
+        F.coalesce(F.col("_d.attempt_id"), F.col("_last_attempt")).alias("decided_by"),
         F.when(F.col("_d").isNull(), F.col("_last_error")).otherwise(F.col("_d.error")).alias("error"),
         "attempts")
 

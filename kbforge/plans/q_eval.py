@@ -187,12 +187,13 @@ r AS (SELECT *, coalesce(contains(error, '404') OR contains(error, 'model_not_fo
       FROM a),
 g AS (SELECT user_id, day,
              arg_min({{'attempt_id': event_id, 'model': model, 'error': error}}, CASE WHEN NOT retry THEN (ts, event_id) END) AS d,
-             CAST(count(*) AS BIGINT) AS attempts, arg_max(error, (ts, event_id)) AS last_error
+             CAST(count(*) AS BIGINT) AS attempts, arg_max(error, (ts, event_id)) AS last_error,
+             arg_max(event_id, (ts, event_id)) AS last_attempt
       FROM r GROUP BY user_id, day)
 SELECT user_id, day,
        CASE WHEN d IS NULL THEN 'exhausted' WHEN d.error IS NULL THEN 'answered' ELSE 'failed' END AS outcome,
        CASE WHEN d IS NOT NULL AND d.error IS NULL THEN d.model END AS model,
-       d.attempt_id AS decided_by,
+       coalesce(d.attempt_id, last_attempt) AS decided_by,
        CASE WHEN d IS NULL THEN last_error ELSE d.error END AS error, attempts
 FROM g""")
 def rag4(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ def test_attempt_resolution_fixtures(spark):
     df = spark.createDataFrame(rows, "req long, pos long, model string, error string")
     got = {r["req"]: (r["outcome"], r["model"], r["decided_by"]) for r in
            rag.resolve_attempts(df, ["req"], ["pos"], attempt_id="pos").collect()}
-    assert got == {1: ("answered", "m3", 3), 2: ("failed", None, 2), 3: ("exhausted", None, None)}
+    assert got == {1: ("answered", "m3", 3), 2: ("failed", None, 2), 3: ("exhausted", None, 2)}
 
 
 def test_start_model_and_candidates(spark):
