@@ -169,6 +169,7 @@ def _factory_key(factory) -> str:
         return uuid.uuid4().hex   # anonymous factory: no stable identity to share
     return f"{getattr(factory, '__module__', '')}.{name}"
 
+
 class ModelUnavailable(Exception):
     """Raised by a generator when a model does not exist (a retry-class error)."""
 
