@@ -78,3 +78,40 @@ def test_observed_funnel_equals_counted_funnel(spark, tmp_dir):
                R.funnel(curate(*args).stages).orderBy("step_no").collect()]
     assert observed == counted
     assert spark.read.parquet(f"{tmp_dir}/pairs").count() == counted[-1][2]
+
+
+# --- AGG-1 against pandas itself: sort by score desc (nulls last, ties by id), groupby.first ---
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.sampled_from(["p1", "p2", "p3", None]),
+                           st.one_of(st.none(), st.integers(-3, 3)),
+                           st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))),
+                 min_size=1, max_size=25)
+
+
+@settings(max_examples=40, deadline=None)
+@given(_rows)
+def test_best_child_matches_pandas_first(spark, rows):
+    import pandas as pd
+    data = [(p, s, b, i) for i, (p, s, b) in enumerate(rows)]
+    pdf = pd.DataFrame(data, columns=["ParentId", "Score", "Body", "Id"])
+    want = (pdf.sort_values(["Score", "Id"], ascending=[False, True], na_position="last", kind="stable")
+            .groupby("ParentId", as_index=False).first())
+    expect = {r.ParentId: (None if pd.isna(r.Score) else int(r.Score), None if pd.isna(r.Body) else r.Body)
+              for r in want.itertuples()}
+    df = spark.createDataFrame(data, "ParentId string, Score int, Body string, Id long")
+    got = {r["ParentId"]: (r["Score"], r["Body"]) for r in
+           R.best_child(df, "ParentId", "Score", "Id", ["Body"]).collect()}
+    assert got == expect
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=30), st.integers(1, 10))
+def test_top_n_matches_pandas_head(spark, scores, n):
+    import pandas as pd
+    pdf = pd.DataFrame({"Id": range(len(scores)), "Score": pd.array(scores, dtype="Int64")})
+    want = pdf.sort_values(["Score", "Id"], ascending=[False, True], na_position="last", kind="stable").head(n)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "Id long, Score long")
+    got = [r["Id"] for r in R.top_n(df, n).collect()]
+    assert got == want["Id"].tolist()
