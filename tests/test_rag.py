@@ -67,3 +67,31 @@ def test_knn_empty_corpus(spark):
     corpus = spark.createDataFrame([], "id long, embedding array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert knn_search(spark, corpus, q, 5).count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_models = st.lists(st.sampled_from(["llama-a", "Gemma-b", "mixtral-c", "whisper", "other", "",
+                                    rag.PRIMARY_MODEL, "LLAMA-Z"]), max_size=8)
+
+
+def _py_start(active):
+    if rag.PRIMARY_MODEL in active:
+        return rag.PRIMARY_MODEL
+    preferred = [m for m in active if any(k in m.lower() for k in rag.PREFERRED_FAMILIES)]
+    return preferred[0] if preferred else (active[0] if active else rag.PRIMARY_MODEL)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(_models, min_size=1, max_size=5))
+def test_candidate_order_matches_python(spark, actives):
+    fallbacks = list(dict.fromkeys([m for m in [rag.PRIMARY_MODEL, *rag.CANDIDATE_MODELS] if m]))
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(actives)], "i int, a array<string>")
+    rows = df.select("i", rag.start_model(F.col("a")).alias("s"),
+                     rag.candidate_order(rag.start_model(F.col("a")), F.col("a")).alias("c")).collect()
+    for r in rows:
+        active = actives[r["i"]]
+        start = _py_start(active)
+        assert r["s"] == start
+        assert r["c"] == [m for m in dict.fromkeys([start] + active + fallbacks) if m]

@@ -115,3 +115,17 @@ def test_top_n_matches_pandas_head(spark, scores, n):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "Id long, Score long")
     got = [r["Id"] for r in R.top_n(df, n).collect()]
     assert got == want["Id"].tolist()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from(["view", "click", "buy", "", None])),
+                min_size=1, max_size=30))
+def test_first_seen_distinct_matches_dict_fromkeys(spark, events):
+    data = [(g, t, v) for t, (g, v) in enumerate(events)]
+    df = spark.createDataFrame(data, "g long, t long, v string")
+    got = {r["g"]: r["values"] for r in R.first_seen_distinct(df, "g", F.col("v"), [F.col("t")]).collect()}
+    want = {}
+    for g, _t, v in sorted(data, key=lambda x: x[1]):
+        if v:
+            want.setdefault(g, {})[v] = None
+    assert got == {g: list(d) for g, d in want.items()}
