@@ -138,3 +138,26 @@ def test_regex_path_matches_parser_where_safe(spark, docs):
         assert r["routed"] == expect, docs[r["i"]]
         if r["safe"]:
             assert r["r"] == expect, docs[r["i"]]
+
+
+_texty = st.text(st.sampled_from(list("ab é") + ["\t", "\n", "\xa0", " ", "😀", "𝔸", "\x85", "x"]),
+                 max_size=1100)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(_texty, _texty), min_size=1, max_size=6))
+def test_cuts_templates_validation_match_python(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    status, clean = TX.validate_question(F.col("a"))
+    rows = df.select("i", TX.ellipsis(F.col("a"), 60).alias("e60"), TX.ellipsis(F.col("a"), 180, "strip").alias("s180"),
+                     TX.doc_template(F.col("b"), F.col("a"), F.col("b")).alias("doc"),
+                     status.alias("st"), clean.alias("q")).collect()
+    for r in rows:
+        a, b = pairs[r["i"]]
+        assert r["e60"] == a[:60] + ("..." if len(a) > 60 else "")
+        assert r["s180"] == a[:180].strip() + "..."
+        assert r["doc"] == f"Q: {b}\n{a[:600]}\n\nA: {b[:900]}"
+        want = ("too_short" if len(a) < 5 else "too_long" if len(a) > 1000
+                else "empty_after_strip" if not a.strip() else "ok")
+        assert r["st"] == want
+        assert r["q"] == (a.strip() if want == "ok" else None)
