@@ -82,3 +82,16 @@ def test_cli_jobs_chain(spark, tmp_dir):
     assert cli.run_ask(spark, f"{tmp_dir}/coll", f"{tmp_dir}/answers", questions=f"{tmp_dir}/questions") == 2
     summary = cli.run_evaluate(spark, f"{tmp_dir}/answers", f"{tmp_dir}/results")
     assert (summary["total"], summary["passed"], summary["failed"]) == (2, 1, 1)
+
+
+def test_cli_main_arguments(spark, tmp_dir, capsys):
+    import json
+    import pytest
+    from kbforge import cli
+    with pytest.raises(SystemExit):
+        cli.main(["ask", "--collection", f"{tmp_dir}/none", "--out", f"{tmp_dir}/o"])   # no question given
+    capsys.readouterr()
+    cli.main(["curate", "--questions", _write(tmp_dir, "Q.csv", QUESTIONS), "--answers", _write(tmp_dir, "A.csv", ANSWERS),
+              "--tags", _write(tmp_dir, "T.csv", TAGS), "--out", f"{tmp_dir}/pairs", "--top-n", "2"])
+    funnel = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert funnel[-1][1] == "final" and funnel[-1][2] == 2
