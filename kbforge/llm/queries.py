@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kbforge.llm.common import documents, scratch
 
@@ -23,8 +24,17 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from kbforge.llm.simhash_segments import as_hex, near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), words=3, max_bits=2)
+    return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
+    "op2_simhash_components": op2_simhash_components,
 }
 
 ORACLE_SQL: dict[str, str] = {}
