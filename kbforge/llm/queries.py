@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm.common import documents, scratch
+from kbforge.llm.waterfill import MIX_SQL
 
 
 def tokenizer_path() -> str:
@@ -32,9 +33,19 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    from kbforge.llm.waterfill import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_simhash_components": op2_simhash_components,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mix_sources": MIX_SQL,
+}
