@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import documents, scratch
+from kbforge.llm.common import documents, read_table, scratch
 from kbforge.llm.waterfill import MIX_SQL
 
 
@@ -40,9 +40,35 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, base rules and the verdict of boosted trees for every document."""
+    from kbforge.llm.gbt_quality import train, verdicts
+
+    docs = documents(spark, sf_dir)
+    return verdicts(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a benchmark item into a document; documents without a leak have no row."""
+    from kbforge.llm.tiling import contamination
+
+    return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the sparse rule ensemble."""
+    from kbforge.llm.rulefit import scores, train
+
+    docs = documents(spark, sf_dir)
+    return scores(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_simhash_components": op2_simhash_components,
+    "op4_quality_trees": op4_quality_trees,
+    "op7_string_tiling": op7_string_tiling,
+    "op9_rule_ensemble": op9_rule_ensemble,
     "op10_mix_sources": op10_mix_sources,
 }
 

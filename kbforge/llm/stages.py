@@ -1,26 +1,59 @@
-"""Stages of the corpus pipeline: each calls one operator and applies its decisions."""
+"""Stages of the corpus pipeline: each calls one operator and applies its decisions.
+
+Every stage takes all rows its predecessor kept.  All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
+
+from kbforge.llm import bitplanes, rulefit, simhash_segments, tiling, waterfill
+from kbforge.llm.common import prepare, read_table, scratch
+from kbforge.llm.queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keep the documents that the rule ensemble does not reject (score 0.3 or more)."""
+    model = rulefit.train(docs, read_table(spark, sf_dir, "labels"))
+    return rulefit.keep_good(docs, model)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keep one document of each near-duplicate component: the one with the smallest doc_id.
+
+    Rows that share that doc_id are reduced to the first by text, source and
+    language.  A component without any doc_id keeps one row in the same way.
+    """
+    prepare(spark)
+    found = simhash_segments.near_duplicates(docs, words=3, max_bits=2)
+    # one id per component stays; rows of that id are few, but reduced to one below
+    stay = found.groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep").distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
+    return one_row_per_id(kept)
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: the smallest text hash, by a partial aggregate."""
+    order = F.struct(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "text"], F.col("text"))
+    row = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return row.select("__row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drop the documents into which a benchmark item leaks."""
+    return tiling.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Each document as many times as the mix takes it (0, 1 or 2)."""
+    prepare(spark)
+    return waterfill.repeated(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Write the token-id files and return the digests read back from them."""
+    path = scratch(prepare(spark), "pipeline-ids")
+    bitplanes.write_ids(docs, path, tokenizer_path())
+    return bitplanes.read_digests(spark, path)

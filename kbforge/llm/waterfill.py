@@ -110,6 +110,17 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_
             .drop("h", "bucket", "words", "epochs", "left", "extra"))
 
 
+def repeated(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
+             seed: str = "mix:") -> DataFrame:
+    """The rows of ``docs``, all columns, each as many times as the mix takes it."""
+    rows = F.struct(*docs.columns)
+    plan_rows = docs.select(rows.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
+                            size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h"))
+    chosen = plan(plan_rows, weights, budget_halves, max_epochs)
+    return (chosen.where("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+            .select("row.*"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
