@@ -48,6 +48,14 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by the factorization machine."""
+    from kbforge.llm.fm_toxicity import scores, train
+
+    docs = documents(spark, sf_dir)
+    return scores(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a benchmark item into a document; documents without a leak have no row."""
     from kbforge.llm.tiling import contamination
@@ -67,6 +75,7 @@ QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_simhash_components": op2_simhash_components,
     "op4_quality_trees": op4_quality_trees,
+    "op6_fm_toxicity": op6_fm_toxicity,
     "op7_string_tiling": op7_string_tiling,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_mix_sources": op10_mix_sources,
