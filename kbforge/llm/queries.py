@@ -63,6 +63,14 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte convolutional network."""
+    from kbforge.llm.bytecnn import predictions, train
+
+    docs = documents(spark, sf_dir)
+    return predictions(docs, train(docs))
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the sparse rule ensemble."""
     from kbforge.llm.rulefit import scores, train
@@ -77,6 +85,7 @@ QUERIES = {
     "op4_quality_trees": op4_quality_trees,
     "op6_fm_toxicity": op6_fm_toxicity,
     "op7_string_tiling": op7_string_tiling,
+    "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_mix_sources": op10_mix_sources,
 }
