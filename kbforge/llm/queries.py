@@ -40,6 +40,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from kbforge.llm.blocktext import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, base rules and the verdict of boosted trees for every document."""
     from kbforge.llm.gbt_quality import train, verdicts
@@ -82,6 +89,7 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_simhash_components": op2_simhash_components,
+    "op3_block_text": op3_block_text,
     "op4_quality_trees": op4_quality_trees,
     "op6_fm_toxicity": op6_fm_toxicity,
     "op7_string_tiling": op7_string_tiling,
