@@ -55,6 +55,13 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base kinds and hard-to-guess credential values."""
+    from kbforge.llm.guesscost import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by the factorization machine."""
     from kbforge.llm.fm_toxicity import scores, train
@@ -91,6 +98,7 @@ QUERIES = {
     "op2_simhash_components": op2_simhash_components,
     "op3_block_text": op3_block_text,
     "op4_quality_trees": op4_quality_trees,
+    "op5_guess_cost_secrets": op5_guess_cost_secrets,
     "op6_fm_toxicity": op6_fm_toxicity,
     "op7_string_tiling": op7_string_tiling,
     "op8_byte_cnn_language": op8_byte_cnn_language,
