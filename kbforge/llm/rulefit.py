@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,8 +129,6 @@ def scores(docs: DataFrame, model: RuleModel | None, threshold: float = THRESHOL
 
 def keep_good(docs: DataFrame, model: RuleModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    import pandas as pd
-
     @F.pandas_udf(", ".join(f"{c} double" for c in RATIOS))
     def stats(text: pd.Series) -> pd.DataFrame:
         n = len(RATIOS)

@@ -24,6 +24,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,11 +230,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TIL
 def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,
           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs``, all columns, into whose text no item leaks (decided row by row)."""
-    import pandas as pd
-
     for block in blocks(benchmark, min_tile, threshold, block_tokens):
-        def free(text: pd.Series, block=block) -> pd.Series:
-            return pd.Series([not block.value.findings(t) for t in text], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(free, "boolean")(F.coalesce("text", F.lit(""))))
+        docs = docs.where(_free_of(block)(F.coalesce("text", F.lit(""))))
     return docs
+
+
+def _free_of(block):
+    @F.pandas_udf("boolean")
+    def free(text: pd.Series) -> pd.Series:
+        return pd.Series([not block.value.findings(t) for t in text], dtype=bool)
+
+    return free
