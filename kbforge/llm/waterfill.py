@@ -14,7 +14,7 @@ sums are taken over hash buckets first and inside the one bucket where the
 remainder ends, so no source is ever sorted in one task.
 
 Null text has size 0.  Rows with a null doc_id are hashed as the empty id.
-Repeated rows are separate documents with neighbouring places.  A source without
+Rows of one doc_id share its hash and are taken or left together.  A source without
 words has target 0, and an empty table gives an empty result.  Other columns are
 not read.
 """
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbforge.llm.common import save
+
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_CHARS = 4      # hex digits of the seeded hash that name a bucket
@@ -69,56 +71,71 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3,
         .otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
-        seed: str = "mix:") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
-    h = seeded(F.col("doc_id"), seed)
-    return plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
-                            size_of(F.col("text")).alias("size"), h.alias("h")),
-                weights, budget_halves, max_epochs)
-
+def cutoffs(slim: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2) -> DataFrame:
+    """(s, source_size, target, epochs, cutoff): one row per source of ``slim`` (source, size, h).
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2) -> DataFrame:
-    """As :func:`mix`, for rows (doc_id, source, size, h hex string and any others)."""
-    key = "key"
-    docs = docs.withColumn("bucket", F.substring("h", 1, HASH_CHARS))
-    per_bucket = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    A document is taken ``epochs`` times, and once more if its hash is at most ``cutoff``.
+    """
+    spots = slim.select("source", "size", "h", F.substring("h", 1, HASH_CHARS).alias("bucket"))
+    per_bucket = spots.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")),
                    weights, budget_halves, max_epochs)
-    goal = (goal.withColumn("epochs", F.when(F.col("source_size") > 0,
-                                             F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    whole = F.least(F.lit(max_epochs), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+                    .otherwise(0)).cast("long")
+    goal = (goal.withColumnRenamed("source", "s").withColumn("epochs", whole)
             .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (per_bucket.withColumn("before", F.sum("words").over(before) - F.col("words"))
-              .join(goal.withColumn(key, F.col("source")).drop("source"), F.col("source").eqNullSafe(F.col(key)))
-              .drop(key)
-              # what is left of the remainder when the bucket begins
-              .withColumn("left", F.col("rest") - F.col("before"))
-              .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "words", "source_size", "target",
-                      "epochs", "left"))
-    tagged = (docs.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-              .drop("s", "b"))
-    border = (F.col("left") > 0) & (F.col("left") < F.col("words"))
-    order = (Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = tagged.where(border).withColumn("upto", F.sum("size").over(order)).withColumn(
-        "extra", (2 * F.col("upto") - F.col("size") <= 2 * F.col("left")).cast("long")).drop("upto")
-    outside = tagged.where(~border).withColumn("extra", (F.col("left") > 0).cast("long"))
-    copies = (F.col("epochs") + F.when(F.col("epochs") < max_epochs, F.col("extra")).otherwise(0)).cast("long")
-    return (outside.unionByName(inside).withColumn("copies", copies)
-            .withColumn("taken", F.col("copies") * F.col("size"))
-            .drop("h", "bucket", "words", "epochs", "left", "extra"))
+    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the one bucket of each source in which the remainder ends
+    border = (per_bucket.withColumn("upto", F.sum("words").over(running))
+              .join(goal.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
+              .where("rest < upto and rest > upto - words")
+              .select("s", F.col("bucket").alias("b"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left")))
+    inside = (spots.join(border, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+              .groupBy("s", "b", "left", "h").agg(F.sum("size").alias("words")))
+    by_hash = Window.partitionBy("s", "b", "left").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = (inside.withColumn("upto", F.sum("words").over(by_hash))
+            .groupBy("s", "b").agg(F.max(F.when(2 * F.col("upto") - F.col("words") <= 2 * F.col("left"), F.col("h")))
+                                   .alias("last"))
+            # a bare bucket name sorts after all earlier hashes and before its own
+            .select("s", F.coalesce("last", "b").alias("last")))
+    # without a border bucket the remainder ends between two buckets: after the last one that it fills
+    filled = (per_bucket.withColumn("upto", F.sum("words").over(running))
+              .join(goal.select("s", "rest"), F.col("source").eqNullSafe(F.col("s"))).where("upto <= rest")
+              .groupBy("s").agg(F.concat(F.max("bucket"), F.lit("g")).alias("filled")))
+    key = lambda df, name: df.withColumnRenamed("s", name)
+    return (goal.join(key(last, "s1"), F.col("s").eqNullSafe(F.col("s1")), "left")
+            .join(key(filled, "s2"), F.col("s").eqNullSafe(F.col("s2")), "left")
+            .select("s", "source_size", "target", "epochs", F.when(F.col("epochs") >= max_epochs, F.lit(""))
+                    .otherwise(F.coalesce("last", "filled", F.lit(""))).alias("cutoff")))
+
+
+def _copies() -> Column:
+    return (F.col("epochs") + (F.col("h") <= F.col("cutoff")).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
+        seed: str = "mix:") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
+    slim = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
+                            size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h")), "sizes")
+    goal = cutoffs(slim, weights, budget_halves, max_epochs)
+    return (slim.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
+            .select("doc_id", "source", "size", "source_size", "target", "copies",
+                    (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def repeated(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
              seed: str = "mix:") -> DataFrame:
-    """The rows of ``docs``, all columns, each as many times as the mix takes it."""
-    rows = F.struct(*docs.columns)
-    plan_rows = docs.select(rows.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
-                            size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h"))
-    chosen = plan(plan_rows, weights, budget_halves, max_epochs)
-    return (chosen.where("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-            .select("row.*"))
+    """The rows of ``docs``, all columns, each as many times as the mix takes it.
+
+    Only sizes and hashes are summed up; the rows themselves meet one small row per source.
+    """
+    h = seeded(F.col("doc_id"), seed)
+    goal = save(cutoffs(save(docs.select("source", size_of(F.col("text")).alias("size"), h.alias("h")), "sizes"),
+                        weights, budget_halves, max_epochs).select("s", "epochs", "cutoff"), "cutoffs")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), h.alias("h"))
+    return (rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
+            .select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*"))
 
 
 MIX_SQL = r"""
@@ -146,20 +163,13 @@ goal AS (
               THEN CAST(f.w * l.share AS DOUBLE) / CAST(2 * l.free_w AS DOUBLE) ELSE CAST(f.cap AS DOUBLE) END AS target
   FROM filled f LEFT JOIN level l ON true),
 parts AS (
-  SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS epochs FROM goal),
-ordered AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs,
-         CAST(round(p.target - p.epochs * p.source_size) AS BIGINT) AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS FIRST, d.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, substr(h, 1, 4)) AS bucket_words,
-         sum(d.size) OVER (PARTITION BY d.source, substr(h, 1, 4) ORDER BY h, d.doc_id NULLS FIRST, d.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto_in_bucket
-  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
-placed AS (SELECT *, rest - (upto - upto_in_bucket) AS bucket_left FROM ordered)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN epochs < 2 AND (CASE WHEN bucket_left > 0 AND bucket_left < bucket_words
-                                                  THEN 2 * upto_in_bucket - size <= 2 * bucket_left
-                                                  ELSE bucket_left > 0 END) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed
+  SELECT *, least(2, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT)) AS epochs FROM goal),
+by_hash AS (
+  SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) AS words
+  FROM sized GROUP BY source, h)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       CAST(d.size * (p.epochs + CASE WHEN p.epochs < 2 AND
+            2 * b.upto - b.words <= 2 * round(p.target - p.epochs * p.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+JOIN by_hash b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h
 """
