@@ -61,12 +61,14 @@ LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "
 _RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
 _LONGEST = max(map(len, COMMON_WORDS))
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
-                   r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+                   r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d", re.ASCII)
+_YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 _DATE_BITS = math.log2(366 * 120 * 4)
 _YEAR_BITS = math.log2(120)
 _SPLIT_BITS = 1.0            # for the choice of where a segment ends
 MAX_PERIOD = 8
 MAX_WALK = 32
+MAX_TIMES = 16               # shorter repeats than the longest are tried up to this often
 
 
 def _next_keys() -> set[str]:
@@ -97,10 +99,6 @@ def guess_bits(value: str) -> float:
         low = value
     plain = low.translate(LOOK_ALIKES)
     cost = [0.0] + [math.inf] * n
-    dates = {}
-    for at in range(n):
-        if low[at] in "0123" and (m := _DATE.match(low, at)):
-            dates[at] = m.end()
     # walk[i]: how many following characters continue a keyboard walk; same[p][i]: equal to the one p later
     walk = [0] * (n + 1)
     for i in range(n - 2, -1, -1):
@@ -131,18 +129,21 @@ def guess_bits(value: str) -> float:
                 upper = sum(c.isupper() for c in value[i:j])
                 case = 0.0 if not upper else 1.0 if upper in (1, j - i) else min(upper, j - i - upper) + 1.0
                 reach(j, math.log2(rank + 1) + extra + case + _SPLIT_BITS)
-        if i in dates:
-            j = dates[i]
-            reach(j, (_YEAR_BITS if j - i == 4 else _DATE_BITS) + _SPLIT_BITS)
+        if low[i] in "0123":
+            for pattern, bits in ((_DATE, _DATE_BITS), (_YEAR, _YEAR_BITS)):
+                if m := pattern.match(low, i):
+                    reach(m.end(), bits + _SPLIT_BITS)
         turns = 0
         for steps in range(2, min(walk[i], MAX_WALK) + 1):
             if steps > 1 and low[i + steps] == low[i + steps - 2]:
                 turns += 1                           # back to the key before
             reach(i + steps + 1, math.log2(47) + math.log2(steps + 1) + turns + _SPLIT_BITS)
         for p in range(1, MAX_PERIOD + 1):
-            times = same[p - 1][i] // p + 1
-            if times >= 2 and p * times >= 3:
-                reach(i + p * times, sum(per_char[i:i + p]) + math.log2(times) + _SPLIT_BITS)
+            most = same[p - 1][i] // p + 1
+            if most >= 2:
+                block = sum(per_char[i:i + p]) + _SPLIT_BITS
+                for times in (*range(2, min(most, MAX_TIMES) + 1), most):
+                    reach(i + p * times, block + math.log2(times))
     return cost[n]
 
 

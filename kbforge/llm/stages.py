@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm import bitplanes, rulefit, simhash_segments, tiling, waterfill
-from kbforge.llm.common import prepare, read_table, scratch
+from kbforge.llm.common import prepare, read_table, save, scratch
 from kbforge.llm.queries import tokenizer_path
 
 
@@ -28,17 +28,20 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     prepare(spark)
     found = simhash_segments.near_duplicates(docs, words=3, max_bits=2)
-    # one id per component stays; rows of that id are few, but reduced to one below
-    stay = found.groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep").distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
-    return one_row_per_id(kept)
+    # the smallest doc_id of each component; as a set, a plain equality join keeps the rows where
+    # they are for the aggregate that follows
+    stay = save(found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "stay")
+    kept = one_row_per_id(docs.join(stay, "doc_id", "left_semi"))
+    if stay.where("doc_id is null").isEmpty():
+        return kept
+    return kept.unionByName(one_row_per_id(docs.where("doc_id is null")))
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: the smallest text hash, by a partial aggregate."""
+    """One row of each doc_id: the smallest by text hash, then by the other columns and the text."""
     order = F.struct(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "text"], F.col("text"))
-    row = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return row.select("__row.*")
+    row = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("chosen"))
+    return row.select("chosen.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
