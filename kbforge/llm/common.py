@@ -73,10 +73,12 @@ def training_ids(labels: DataFrame, label: str, fold_count: int, held_fold: int,
 
     The rows are those with the smallest seeded hash of doc_id, so the choice does
     not depend on the partitioning.  Rows with a null id or label are not used; an
-    id labelled more than once gets the larger label.
+    id labelled more than once gets the larger label.  The result is written once, so
+    that its ``max_rows`` rows of two numbers can be broadcast to find their texts.
     """
-    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
             .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
             .agg(F.max(F.col(label).cast("int")).alias("label"))
             .where(~held_out(fold_count, held_fold))
             .orderBy(F.xxhash64(F.lit("train"), F.col("doc_id")), "doc_id").limit(max_rows))
+    return save(chosen, "training-ids")

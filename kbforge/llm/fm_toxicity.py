@@ -172,9 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
         return {"doc_id": batch.column(0),
                 "terms": [[t for w in sorted(words_of(x.as_py())) for t in terms(w)] for x in batch.column(1)]}
 
-    used = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
+    used = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     table = (map_batches(id_and_text(used), hashed, "doc_id long, terms array<int>")
-             .join(chosen, "doc_id").orderBy("doc_id", F.xxhash64("terms")).toArrow())
+             .join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("terms")).toArrow())
     if not table.num_rows:
         return None
     # one row of TERMS a word, viewed without making Python objects

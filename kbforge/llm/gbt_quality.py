@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kbforge.llm.common import id_and_text, map_batches, training_ids
 from kbforge.llm.docstats import ALL, COUNTS, RATIOS, measure
@@ -43,8 +44,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 def training_table(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Ratios and 0/1 labels of at most ``max_rows`` documents outside the held-out fold."""
     chosen = training_ids(labels, label, 5, 0, max_rows)
-    rows = (statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi"))
-            .select("doc_id", *RATIOS).join(chosen, "doc_id").orderBy("doc_id", *RATIOS).toPandas())
+    rows = (statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+            .select("doc_id", *RATIOS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *RATIOS).toPandas())
     return rows[list(RATIOS)].to_numpy(float), (rows["label"].to_numpy() > 0).astype(float)
 
 

@@ -28,7 +28,7 @@ from kbforge.llm.common import save
 
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
-HASH_CHARS = 4      # hex digits of the seeded hash that name a bucket
+HASH_CHARS = 3      # hex digits of the seeded hash that name a bucket
 
 
 def size_of(text: Column) -> Column:
