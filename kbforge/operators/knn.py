@@ -2,21 +2,18 @@
 
 Plan
 ----
-1. The query side is bounded and checked: its vectors are counted and split into
-   blocks of at most ``kbforge.broadcast.maxBytes``; each block is shipped once to
-   every executor as a broadcast variable.
-2. The corpus is scanned in place (only ``id`` and the vector column are read;
-   no shuffle of the corpus).  In every task an Arrow batch becomes a matrix,
-   one matrix product scores it against the query block, and a running top-k per
-   query is kept.  Each task emits at most ``k`` rows per query: no pair list is
-   ever materialised.
-3. The per-task candidates (``k x tasks`` rows per query at most) are shuffled by
-   query and ranked with ``row_number() <= k``; Spark plans a partial
-   ``WindowGroupLimit`` before that exchange.
-
-Shuffle volume is ``k x queries x corpus scan tasks`` rows.  ``corpus_tasks``
-coalesces the corpus scan (no shuffle) into fewer, larger tasks, trading task
-granularity for fewer candidate rows when both sides are very large.
+1. Both sides are counted (ids only) and cut by id hash into blocks of at most
+   ``block_bytes`` of vectors.  Neither side passes through the driver.
+2. Every query block meets every corpus block in one task (a cogroup on the pair of
+   block numbers): the stated query set against all rows, in blocks.  Inside, a
+   matrix product scores a chunk at a time and a running top-k per query is kept, so
+   a pair of blocks gives at most ``k`` rows per query and no pair list exists.
+3. Those ``k x corpus blocks`` rows per query are reduced to ``k`` in two levels:
+   first per query and group of ``MERGE_FAN_IN`` corpus blocks, then per query, so
+   no merge reads more than ``k x MERGE_FAN_IN`` rows of a query at the first level.
+
+Shuffle volume: corpus x query blocks + queries x corpus blocks.  Block sizes come
+from the data and the block bound, not from how the inputs happen to be split.
 
 Distances are ``1 - dot / sqrt(|a|^2 |b|^2)`` (1.0 for an all-zero vector); ties
 break by ascending corpus id so ranks are deterministic.
@@ -25,19 +22,19 @@ break by ascending corpus id so ranks are deterministic.
 from __future__ import annotations
 
 import math
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import broadcast_limit, checkpoint_dir, spread_if_small
+from ..session import block_limit
 
 # Score at most this many (corpus rows x queries) cells at once inside a task.
 CELLS_PER_CHUNK = 4_000_000
+# Corpus blocks whose results are merged at the first level.
+MERGE_FAN_IN = 64
+# A corpus block below this many rows is not cut further only to occupy more tasks.
+MIN_BLOCK_ROWS = 256
 
 
 def topk_columns(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,21 +70,6 @@ def _vectors_to_matrix(col: pd.Series, dim: int | None = None) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def _collect_block(block: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bring one size-checked query block to the driver as numpy arrays."""
-    tbl = block.select(F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")).toArrow()
-    tbl = tbl.filter(pa.compute.is_valid(tbl.column("v")))
-    ids = tbl.column("q").to_numpy()
-    vecs = tbl.column("v").combine_chunks()
-    if len(ids) == 0:
-        return ids.astype(np.int64), np.zeros((0, 0))
-    flat = pa.compute.list_flatten(vecs).to_numpy(zero_copy_only=False).astype(np.float64)
-    lens = pa.compute.list_value_length(vecs).to_numpy(zero_copy_only=False)
-    if len(set(lens.tolist())) != 1:
-        raise ValueError("query vectors must all have the same length")
-    return ids.astype(np.int64), flat.reshape(len(ids), int(lens[0]))
-
-
 class TopKAccumulator:
     """Running top-k per query over corpus chunks (numpy, inside one task).
 
@@ -136,68 +118,61 @@ class TopKAccumulator:
                              "distance": self.best_d[r, c]})
 
 
-def _scan_fn(bc, k: int, cid: str, cvec: str, exclude_self: bool):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = bc.value
-        acc = TopKAccumulator(qids, qmat, k, exclude_self)
-        for pdf in batches:
-            pdf = pdf[pdf[cvec].notna()]
-            if len(pdf):
-                acc.add(pdf[cid].to_numpy(dtype=np.int64), _vectors_to_matrix(pdf[cvec]))
-        out = acc.result()
-        if len(out):
-            yield out
-    return scan
+def _score_blocks(k: int, exclude_self: bool):
+    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                          "distance": pd.Series([], dtype="float64"), "part": pd.Series([], dtype="int64")})
+
+    def score(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        corpus, queries = corpus[corpus["_cv"].notna()], queries[queries["_qv"].notna()]
+        if len(corpus) == 0 or len(queries) == 0:
+            return empty
+        lengths = {len(v) for v in queries["_qv"]}
+        if len(lengths) != 1:
+            raise ValueError("query vectors must all have the same length")
+        acc = TopKAccumulator(queries["_qid"].to_numpy(dtype=np.int64), _vectors_to_matrix(queries["_qv"]),
+                              k, exclude_self)
+        acc.add(corpus["_cid"].to_numpy(dtype=np.int64), _vectors_to_matrix(corpus["_cv"]))
+        return acc.result().assign(part=int(key[1]) // MERGE_FAN_IN)
+    return score
+
+
+def _blocks(rows: int, row_bytes: int, block_bytes: int, at_least: int = 1) -> int:
+    return max(1, at_least, math.ceil(rows * row_bytes / block_bytes))
 
 
 def knn_candidates(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 5,
                    corpus_id: str = "id", corpus_vec: str = "embedding",
                    query_id: str = "query_id", query_vec: str = "embedding",
                    exclude_self: bool = False, dim: int | None = None,
-                   corpus_tasks: int | None = None) -> DataFrame:
-    """Per-task local top-k candidates (query_id, id, distance); see module doc.
+                   block_bytes: int | None = None) -> DataFrame:
+    """Top-k candidates (query_id, id, distance) of every pair of blocks; see module doc.
 
-    ``dim`` (vector length) sizes the query blocks; when not given it is read
-    from the data.
+    ``dim`` (vector length) sizes the blocks; when not given it is read from the
+    data.  ``block_bytes`` defaults to ``spark.kbforge.block.maxBytes``.
     """
-    out_schema = T.StructType([
-        T.StructField("query_id", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("distance", T.DoubleType()),
-    ])
     # rows without a vector are skipped inside the numpy code, not by a filter: a
     # filter would be pushed below the embedding projection and run the embedder twice
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    n_q = q.count()
-    if n_q == 0:
-        return spark.createDataFrame([], out_schema)
+    c = corpus.select(F.col(corpus_id).cast("long").alias("_cid"), F.col(corpus_vec).alias("_cv"))
     if dim is None:
         dim = q.agg(F.max(F.size("_qv"))).first()[0] or 1
-    block_bytes = max(1, n_q * max(dim, 1) * 8)
-    n_blocks = max(1, math.ceil(block_bytes / broadcast_limit(spark)))
-    if n_blocks > 1:
-        # every block reads the query vectors once more: compute them once and cut
-        # the lineage in the shared checkpoint folder (survives executor loss)
-        checkpoint_dir(spark)
-        q = q.checkpoint(eager=True)
-    corpus_slim = spread_if_small(corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec)))
-    if corpus_tasks:
-        corpus_slim = corpus_slim.coalesce(corpus_tasks)
-    parts = []
-    for b in range(n_blocks):
-        block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)
-        qids, qmat = _collect_block(block, "_qid", "_qv")
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(corpus_slim.mapInPandas(
-            _scan_fn(bc, k, corpus_id, corpus_vec, exclude_self), out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bound, row = block_bytes or block_limit(spark), 8 * max(dim, 1) + 16
+    n_q, n_c = q.select("_qid").count(), c.select("_cid").count()
+    q_blocks = _blocks(n_q, row, bound)
+    # enough pairs to occupy the cluster, as long as a block has a matrix worth multiplying
+    spread = min(math.ceil(spark.sparkContext.defaultParallelism / q_blocks), math.ceil(n_c / MIN_BLOCK_ROWS))
+    c_blocks = _blocks(n_c, row, bound, spread)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = (c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(c_blocks)).cast("int"))
+            .withColumn("_qb", every(q_blocks)))
+    right = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int"))
+             .withColumn("_cb", every(c_blocks)))
+    pairs = (left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb"))
+             .applyInPandas(_score_blocks(k, exclude_self), "query_id long, id long, distance double, part long"))
+    if c_blocks > MERGE_FAN_IN:
+        w = Window.partitionBy("query_id", "part").orderBy("distance", "id")
+        pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return pairs.drop("part")
 
 
 def rank_topk(cands: DataFrame, k: int, group: str = "query_id",
@@ -211,11 +186,11 @@ def knn_search(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: in
                corpus_id: str = "id", corpus_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
                exclude_self: bool = False, dim: int | None = None,
-               corpus_tasks: int | None = None) -> DataFrame:
+               block_bytes: int | None = None) -> DataFrame:
     """VEC-3: long result (query_id, rank, id, distance), ``rank`` 1..k ascending
     distance.  Fewer than ``k`` rows when the corpus is smaller."""
     cands = knn_candidates(spark, corpus, queries, k, corpus_id, corpus_vec,
-                           query_id, query_vec, exclude_self, dim, corpus_tasks)
+                           query_id, query_vec, exclude_self, dim, block_bytes)
     return rank_topk(cands, k).select("query_id", "rank", "id", "distance")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.html import clean_html
-from ..session import spread_if_small
+from ..session import spread
 from . import adapters as A
 from . import sqltext as S
 from .registry import register
@@ -15,10 +15,21 @@ from .registry import register
 
 @register("str1_clean_html_pages", f"SELECT page_id, {S.clean_html('html')} AS text FROM pages")
 def str1(spark: SparkSession, sf: str) -> DataFrame:
-    p = spread_if_small(A.table(spark, sf, "pages"))
+    p = spread(A.table(spark, sf, "pages"))
     return p.select("page_id", clean_html(F.col("html")).alias("text"))
 
 
+@register("str3_code_marks", f"""
+SELECT doc_id, CASE WHEN body = '' THEN '' ELSE body || ' ' END || '``` ' || lang || ' ``` end' AS text
+FROM (SELECT doc_id, lang, {S.collapse_ws('text')} AS body FROM documents)""")
+def str3(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-3: a page made of every document, with its language in a code block."""
+    d = A.table(spark, sf, "documents")
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<p>"), escaped, F.lit("</p><code class='x'>"), F.col("lang"), F.lit("</code><p>end</p>"))
+    return d.select("doc_id", clean_html(page).alias("text"))
+
+
 @register("str2_collapse_whitespace", f"SELECT doc_id, {S.collapse_ws('text')} AS text FROM documents")
 def str2(spark: SparkSession, sf: str) -> DataFrame:
     d = A.table(spark, sf, "documents")

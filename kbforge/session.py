@@ -9,32 +9,45 @@ from pyspark.sql import SparkSession
 
 # Broadcasts are only made for data whose size is checked against this bound.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+# One block of vectors in exact search; a task holds one of each side.
+DEFAULT_BLOCK_BYTES = 32 * 1024 * 1024
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "kbforge", driver_memory: str = "16g",
+# Set only where nobody else has: a submitted setting always wins.
+_DEFAULTS = {"spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
+             "spark.ui.showConsoleProgress": "false"}
+
+
+def _submitted() -> set[str]:
+    """Keys that the launcher (spark-submit and its files) has set."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return set()
+    from pyspark import SparkConf
+
+    return {k for k, _ in SparkConf().getAll()}
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "kbforge", driver_memory: str | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session configured for these jobs.
+    """Create (or reuse) a session for these jobs.
 
-    AQE is on so partition counts coalesce at runtime and skewed joins split;
-    the UI is off (no server is started); time zone is UTC so NTZ timestamps and
-    ``HH:mm`` labels do not depend on the host.
+    Only what the caller passes is set.  Without a submitted value the time zone is
+    UTC and the UI is off (no server is started); everything else, shuffle
+    partitions and memory included, stays as submitted or as Spark's default.
     """
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", driver_memory)
-    )
+    known = _submitted()
+    chosen = {k: v for k, v in _DEFAULTS.items() if k not in known}
+    if shuffle_partitions is not None:
+        chosen["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory is not None:
+        chosen["spark.driver.memory"] = driver_memory
+    builder = SparkSession.builder
+    if "spark.app.name" not in known:
+        builder = builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in (extra or {}).items():
+    for k, v in (chosen | (extra or {})).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,22 +58,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created and
-    registered, so a cluster job always uses the cluster's shared storage.
+    Only a local session (tests) may go without: it gets a scratch folder of its own.
+    Anywhere else a missing setting is an error, as executors do not see the
+    driver's folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
     local = tempfile.mkdtemp(prefix="kbforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def block_limit(spark: SparkSession) -> int:
+    """Byte bound of one block of vectors in exact search (``spark.kbforge.block.maxBytes``)."""
+    return int(spark.conf.get("spark.kbforge.block.maxBytes", str(DEFAULT_BLOCK_BYTES)))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
-    """Byte bound for explicit broadcasts (``kbforge.broadcast.maxBytes``)."""
-    return int(spark.conf.get("kbforge.broadcast.maxBytes", str(DEFAULT_BROADCAST_BYTES)))
+    """Byte bound for explicit broadcasts (``spark.kbforge.broadcast.maxBytes``)."""
+    return int(spark.conf.get("spark.kbforge.broadcast.maxBytes", str(DEFAULT_BROADCAST_BYTES)))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -79,11 +101,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(hpath, True)
 
 
-def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    s = jvm.org.apache.hadoop.fs.Path(src)
-    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.rename(s, jvm.org.apache.hadoop.fs.Path(dst)))
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder through its Hadoop file system; none if it does not exist."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it exists already."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        return False
+    fs.create(hpath, False).close()
+    return True
 
 
 _SHIPPED: set = set()
@@ -103,7 +135,7 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED or spark.conf.get("kbforge.shipPackage", "true").lower() == "false":
+    if app in _SHIPPED or spark.conf.get("spark.kbforge.shipPackage", "true").lower() == "false":
         return   # already shipped, or installed on the executors (pip install .)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
@@ -129,33 +161,29 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-# Inputs estimated below this size are round-robined over the cores before
-# CPU-heavy per-row work (embedding, parsing, scoring), about SPREAD_BYTES each (the work per byte
-# is high: parsing, hashing every token, or scoring against every query).
-SMALL_INPUT_BYTES = 1 << 30
-SPREAD_BYTES = 256 << 10
+def spread(df):
+    """Round-robin over ``spark.kbforge.inputTasks`` tasks, if that is set.
 
+    For inputs that arrive in fewer splits than there are cores (one row group) and
+    need much work per byte.  Unset, the scan's own splits are used.
+    """
+    tasks = df.sparkSession.conf.get("spark.kbforge.inputTasks", None)
+    return df.repartition(int(tasks)) if tasks else df
 
-def spread_if_small(df, max_bytes: int = SMALL_INPUT_BYTES):
-    """Balance a small input over the cluster's cores before CPU-heavy work.
 
-    A small table is often a single row group, i.e. one scan task doing all the
-    work.  When the optimizer's size estimate is under ``max_bytes`` a
-    round-robin repartition (a cheap shuffle of a small input) spreads it over at
-    most the default parallelism, about 256 KiB per partition, so a large cluster
-    does not get thousands of near-empty tasks; large inputs already arrive in
-    many splits and are left as they are.
-    """
-    spark = df.sparkSession
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(raw) if isinstance(raw, int) else int(str(raw.toString()))
-    except Exception:  # noqa: BLE001 - statistics are advisory
-        return df
-    if size <= max_bytes:
-        parts = max(1, min(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))
-        return df.repartition(parts) if parts > 1 else df
-    return df
+def code_digest() -> str:
+    """Digest of this package's source files."""
+    import hashlib
+
+    h = hashlib.sha1()
+    root = os.path.dirname(os.path.abspath(__file__))
+    for folder, names, files in sorted(os.walk(root)):
+        names.sort()
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(folder, f), "rb") as src:
+                    h.update(src.read())
+    return h.hexdigest()[:20]
 
 
 def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:

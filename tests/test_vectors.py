@@ -44,21 +44,44 @@ def test_knn_equals_brute_force(spark):
 def test_knn_invariant_under_repartition_and_blocks(spark):
     e = _emb(spark)
     base = _hits_by_query(knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True))
-    spark.conf.set("kbforge.broadcast.maxBytes", str(50_000))   # forces several query blocks
+    spark.conf.set("spark.kbforge.block.maxBytes", str(50_000))   # forces several blocks of both sides
     try:
         other = _hits_by_query(knn_search(spark, e.repartition(7), e, 5, corpus_id="vec_id", query_id="vec_id",
                                           exclude_self=True))
     finally:
-        spark.conf.unset("kbforge.broadcast.maxBytes")
+        spark.conf.unset("spark.kbforge.block.maxBytes")
     assert other == base
 
 
-def test_knn_coalesced_scan_same_result(spark):
-    e = _emb(spark)
+def test_knn_one_kilobyte_blocks_and_two_level_merge(spark):
+    e = _emb(spark).where("vec_id < 150")
     base = _hits_by_query(knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True))
-    fewer = _hits_by_query(knn_search(spark, e.repartition(9), e, 5, corpus_id="vec_id", query_id="vec_id",
-                                      exclude_self=True, corpus_tasks=2))
-    assert fewer == base
+    tiny = _hits_by_query(knn_search(spark, e.repartition(9), e, 5, corpus_id="vec_id", query_id="vec_id",
+                                     exclude_self=True, block_bytes=8192))
+    assert tiny == base
+
+
+def test_knn_brings_no_rows_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    e = _emb(spark)
+    taken = []
+    plain = Classic.collect
+
+    def collect(self):
+        rows = plain(self)
+        taken.append(len(rows))
+        return rows
+
+    def refuse(self, *a, **k):
+        raise AssertionError("rows through the driver")
+
+    monkeypatch.setattr(Classic, "collect", collect)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(Classic, name, refuse)
+    knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True).write.format("noop").mode(
+        "overwrite").save()
+    assert all(n <= 1 for n in taken)       # counts and the vector length only
 
 
 def test_knn_fewer_than_k(spark):
@@ -145,9 +168,8 @@ def test_collection_lifecycle(spark, tmp_dir):
 
 def test_unfinished_collection_is_rebuilt(spark, tmp_dir):
     path = f"{tmp_dir}/half"
-    _records(spark, 0, 4).write.parquet(path)
-    import os
-    os.remove(f"{path}/_SUCCESS")
+    _records(spark, 0, 4).write.parquet(f"{path}/v-unfinished")     # a build that ended before its commit
+    assert C.index_size(spark, path) == -1
     assert C.build_collection(spark, _records(spark, 0, 7), path, mode="skip").count() == 7
 
 
@@ -175,3 +197,16 @@ def test_null_vectors_are_skipped(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
     assert [r["id"] for r in knn_search(spark, df, q, 5).orderBy("rank").collect()] == [1, 3]
+
+
+def test_bad_mode_changes_nothing_and_readers_keep_their_version(spark, tmp_dir):
+    path = f"{tmp_dir}/coll"
+    reader = C.build_collection(spark, _records(spark, 0, 3), path)
+    with pytest.raises(ValueError):
+        C.build_collection(spark, _records(spark, 0, 1), path, mode="sikp")
+    assert C.index_size(spark, path) == 3
+    with pytest.raises(C.DuplicateIdError):         # a failed rebuild leaves the old version current
+        C.build_collection(spark, _records(spark, 0, 2).unionByName(_records(spark, 0, 2)), path, mode="rebuild")
+    assert C.index_size(spark, path) == 3
+    assert C.build_collection(spark, _records(spark, 0, 5), path, mode="rebuild").count() == 5
+    assert reader.count() == 3                      # opened before the rebuild
