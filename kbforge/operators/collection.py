@@ -2,19 +2,21 @@
 
 A collection is a parquet directory of records
 ``(key long, id string, document string, embedding array<double>, meta struct)``
-plus a one-row ``_properties`` JSON folder (name, space, dim).  Spark's
-``_SUCCESS`` marker is the commit record: a directory without it is an
-unfinished build and is rebuilt, never reused as if whole.
+plus a one-row ``_properties`` JSON folder (name, space, dim), in a version folder.
+The newest file in ``_commits`` names the current version; a version without one is
+an unfinished build and is never read.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete_path, path_exists, rename_path
+from ..session import create_file, delete_path, list_names
 
 RECORD_COLUMNS = ["key", "id", "document", "embedding", "meta"]
 
@@ -24,7 +26,7 @@ class DuplicateIdError(ValueError):
 
 
 def is_committed(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return current_version(spark, path) is not None
 
 
 def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -39,19 +41,21 @@ def build_collection(spark: SparkSession, records: DataFrame, path: str, name: s
 
     ``mode='skip'``: reuse a committed collection, rebuild an unfinished one;
     ``'rebuild'``: always rebuild; ``'error'``: fail if one exists.
-    The new build is written to a staging folder and renamed into place, so
-    readers never see a half-written collection.
+    The new build is written to a version folder of its own and made current by one
+    small commit file, so readers never see a half-written collection, a crash at any
+    point leaves the old one in place, and nothing is renamed.
     """
+    if mode not in ("skip", "rebuild", "error"):
+        raise ValueError(f"unknown mode {mode!r}")
     path = path.rstrip("/")
     if is_committed(spark, path):
         if mode == "skip":
             return open_collection(spark, path)
         if mode == "error":
             raise FileExistsError(f"collection already exists: {path}")
-    elif mode not in ("skip", "rebuild", "error"):
-        raise ValueError(f"unknown mode {mode!r}")
     recs = records.select(*RECORD_COLUMNS)
-    staging = f"{path}._staging_{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
+    staging = f"{path}/{version}"
     recs.write.mode("overwrite").parquet(staging)
     # checks run on the written copy (an id-only parquet read), not by recomputing the input
     if duplicate_ids(spark.read.parquet(staging).select("id")).limit(1).count() > 0:
@@ -62,12 +66,46 @@ def build_collection(spark: SparkSession, records: DataFrame, path: str, name: s
     (spark.range(1).select(F.lit(name).alias("name"), F.lit(space).alias("space"),
                            F.lit(dim).alias("dim"))
      .coalesce(1).write.mode("overwrite").json(f"{staging}/_properties"))
-    delete_path(spark, path)
-    if not rename_path(spark, staging, path):
-        raise IOError(f"could not move {staging} to {path}")
+    old = _pointers(spark, path)
+    _commit(spark, path, version)
+    # readers that opened an old version keep its files until the next rebuild
+    for _, name in old[:-1]:
+        delete_path(spark, f"{path}/{name}")
     return open_collection(spark, path)
 
 
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of every commit, oldest first: empty files named by both."""
+    folder = f"{path.rstrip('/')}/_commits"
+    out = []
+    for name in list_names(spark, folder):
+        number, _, version = name.partition("-")
+        if number.isdigit():
+            out.append((int(number), version))
+    return sorted(out)
+
+
+def _commit(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` current by creating the next commit file.
+
+    Creating a file that must not exist is atomic on file systems and object stores
+    alike; of two builds that end together one gets the next number and the other
+    the one after.
+    """
+    for _ in range(100):
+        last = _pointers(spark, path)
+        number = last[-1][0] + 1 if last else 1
+        if create_file(spark, f"{path}/_commits/{number:012d}-{version}"):
+            return
+    raise IOError(f"could not commit {version} in {path}")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the committed version, or None."""
+    commits = _pointers(spark, path)
+    return f"{path.rstrip('/')}/{commits[-1][1]}" if commits else None
+
+
 def collection_path(root: str, name: str) -> str:
     """Collections live as ``{root}/{name}``; names are plain identifiers."""
     if not name or "/" in name or name.startswith((".", "_")):
@@ -84,11 +122,11 @@ def open_collection(spark: SparkSession, path: str) -> DataFrame:
     """Open by path; a missing or unfinished collection is an error."""
     if not is_committed(spark, path):
         raise FileNotFoundError(f"no committed collection at {path}")
-    return spark.read.parquet(path)
+    return spark.read.parquet(current_version(spark, path))
 
 
 def collection_properties(spark: SparkSession, path: str) -> dict:
-    row = spark.read.json(f"{path.rstrip('/')}/_properties").first()
+    row = spark.read.json(f"{current_version(spark, path)}/_properties").first()
     return row.asDict() if row else {}
 
 
@@ -101,7 +139,7 @@ def add_records(spark: SparkSession, records: DataFrame, path: str) -> int:
     """
     path = path.rstrip("/")
     existing = open_collection(spark, path).select("id")
-    staging = f"{path}._add_{uuid.uuid4().hex}"
+    staging = f"{path}/_add_{uuid.uuid4().hex}"
     records.select(*RECORD_COLUMNS).write.mode("overwrite").parquet(staging)
     try:
         staged = spark.read.parquet(staging)
@@ -110,15 +148,15 @@ def add_records(spark: SparkSession, records: DataFrame, path: str) -> int:
         if staged.select("id").join(existing, "id", "left_semi").limit(1).count() > 0:
             raise DuplicateIdError("batch contains ids already in the collection")
         n = staged.count()
-        staged.write.mode("append").parquet(path)
+        staged.write.mode("append").parquet(current_version(spark, path))
         return n
     finally:
         delete_path(spark, staging)
 
 
 def index_size(spark: SparkSession, path: str) -> int:
-    """AGG-7: record count, -1 when the collection cannot be read."""
+    """AGG-7: record count, -1 when there is no committed collection or its files cannot be read."""
     try:
         return open_collection(spark, path).count()
-    except Exception:  # noqa: BLE001 - health reporting never raises
+    except (FileNotFoundError, AnalysisException, Py4JJavaError):
         return -1
