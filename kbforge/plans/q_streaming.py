@@ -25,15 +25,20 @@ from .flagship import SQL_RAG_ANSWERS, _answers_out, conversation_questions, cur
 from .index import qa_records
 from .registry import register
 
-STREAM_FILES = 4
+# Rows of one file of a replayed table; a trigger takes as many files as there are cores.
+ROWS_PER_FILE = 50_000
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/{name}-{uuid.uuid4().hex}"
 
 
-def _as_file_stream(df: DataFrame, path: str, n_files: int = STREAM_FILES) -> None:
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+def _as_file_stream(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+
+
+def _per_trigger(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
 
 
 SQL_COUNTS = """
@@ -51,9 +56,9 @@ def stm3_batch(spark: SparkSession, sf: str) -> DataFrame:
 def stm3_stream(spark: SparkSession, sf: str) -> DataFrame:
     run = _run_dir(spark, "metrics")
     ev = A.table(spark, sf, "events")
-    _as_file_stream(ev.orderBy("ts"), f"{run}/in")
+    _as_file_stream(ev, f"{run}/in")
     request_metrics_to_table(spark, f"{run}/in", ev.schema, f"{run}/out", f"{run}/ckpt",
-                             DEFAULT_WINDOW, DEFAULT_WATERMARK, max_files_per_trigger=1)
+                             DEFAULT_WINDOW, DEFAULT_WATERMARK, max_files_per_trigger=_per_trigger(spark))
     return spark.read.parquet(f"{run}/out")
 
 
@@ -70,7 +75,7 @@ def evt1_stream(spark: SparkSession, sf: str) -> DataFrame:
     ev = A.table(spark, sf, "events")
     _as_file_stream(ev, f"{run}/in")
     health_stream(spark, f"{run}/in", ev.schema, A.table(spark, sf, "embeddings"), f"{run}/out",
-                  f"{run}/ckpt", max_files_per_trigger=1)
+                  f"{run}/ckpt", max_files_per_trigger=_per_trigger(spark))
     return spark.read.parquet(f"{run}/out")
 
 
@@ -98,7 +103,8 @@ def stm1(spark: SparkSession, sf: str) -> DataFrame:
                              F.lit(None).cast("int").alias("answer_score")))
 
     incremental_index_load(spark, f"{run}/in", docs.schema, to_records, f"{run}/collection",
-                           f"{run}/ckpt", max_files_per_trigger=1)
+                           f"{run}/ckpt", max_files_per_trigger=_per_trigger(spark),
+                           source_id=F.col("doc_id").cast("string"))
     col = spark.read.parquet(f"{run}/collection")
     return col.select("key", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n_buckets"))
 
@@ -114,14 +120,14 @@ def stm2(spark: SparkSession, sf: str) -> DataFrame:
     _as_file_stream(qs, f"{run}/in")
     streaming_ask(spark, f"{run}/in", qs.schema, index, f"{run}/answers", f"{run}/ckpt",
                   HashingEmbedder(DEFAULT_DIM), present=lambda a: _answers_out({"answers": a}),
-                  max_files_per_trigger=1)
-    return spark.read.parquet(f"{run}/answers")
+                  max_files_per_trigger=_per_trigger(spark))
+    return spark.read.parquet(f"{run}/answers").drop("batch")
 
 
-@register("win2_history_state_stream", f"""
+@register("win2_history_state_stream", """
 SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, pos = 1 AS is_latest,
        CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END AS preview
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations)
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS pos FROM conversations)
 WHERE pos <= 8""")
 def win2_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Turns arrive as a stream; each conversation keeps its newest 8 in bounded state."""
@@ -130,5 +136,22 @@ def win2_stream(spark: SparkSession, sf: str) -> DataFrame:
     conv = A.table(spark, sf, "conversations")
     _as_file_stream(conv, f"{run}/in")
     history_stream(spark, f"{run}/in", conv.schema, "conv_id", "turn", "text", f"{run}/out", f"{run}/ckpt",
-                   max_files_per_trigger=1)
+                   max_files_per_trigger=_per_trigger(spark))
     return latest_history(spark, f"{run}/out", "conv_id", "turn")
+
+
+@register("win2_event_history_stream", """
+SELECT user_id, ts_us, CAST(pos AS BIGINT) AS pos, pos = 1 AS is_latest, event_type AS preview
+FROM (SELECT user_id, epoch_us(date_trunc('day', ts)) AS ts_us, event_type,
+             row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_type DESC) AS pos FROM events)
+WHERE pos <= 8""")
+def win2_event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user by day, so that many share a time: none may be lost in the state."""
+    from ..streaming.history_state import history_stream, latest_history
+    run = _run_dir(spark, "event-history")
+    ev = A.table(spark, sf, "events").select(
+        "user_id", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("ts_us"), "event_type")
+    _as_file_stream(ev, f"{run}/in")
+    history_stream(spark, f"{run}/in", ev.schema, "user_id", "ts_us", "event_type", f"{run}/out", f"{run}/ckpt",
+                   max_files_per_trigger=_per_trigger(spark))
+    return latest_history(spark, f"{run}/out", "user_id", "ts_us")

@@ -2,7 +2,8 @@
 
 Ranking windows are not allowed on streaming frames, so each micro-batch runs
 the batch ask plan (:func:`kbforge.plans.ask.ask`) inside ``foreachBatch`` and
-appends answers whose ``query_id`` is not yet written (idempotent on replay).
+writes the answers of questions whose ``query_id`` no other batch has written, in
+a folder of its own that a re-run of the batch replaces.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.ask import ask
-from ..session import path_exists
+from .batches import batch_folder, written_elsewhere
 
 
 def streaming_ask(spark: SparkSession, source_dir: str, schema: T.StructType, index: DataFrame,
@@ -26,13 +27,15 @@ def streaming_ask(spark: SparkSession, source_dir: str, schema: T.StructType, in
     stream = reader.parquet(source_dir)
 
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
+        own = batch_folder(checkpoint, epoch_id)
+        # known questions leave before anything is embedded or asked
+        done = written_elsewhere(spark, answers_path, own)
+        if done is not None:
+            batch = batch.join(done.select("query_id"), "query_id", "left_anti")
         out = ask(spark, batch, index, embedder)["answers"]
         if present is not None:
             out = present(out)
-        if path_exists(spark, f"{answers_path}/_SUCCESS"):
-            done = spark.read.parquet(answers_path).select("query_id")
-            out = out.join(done, "query_id", "left_anti")
-        out.write.mode("append").parquet(answers_path)
+        out.write.mode("overwrite").parquet(f"{answers_path}/{own}")
 
     q = (stream.writeStream.foreachBatch(answer_batch)
          .option("checkpointLocation", checkpoint)

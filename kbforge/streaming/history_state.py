@@ -21,8 +21,16 @@ from ..functions.text import ellipsis
 from ..operators.history import HISTORY_DEPTH, PREVIEW_CHARS
 
 
-def _update_fn(depth: int):
+def _newest(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """Newest first; entries of one time by text, so any split into batches keeps the same ones."""
+    return rows.sort_values(["t", "text"], ascending=False, na_position="last", kind="stable").head(depth)
+
+
+def _update_fn(depth: int, idle_ms: int | None):
     def update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             times, texts = state.get
             keep = pd.DataFrame({"t": list(times), "text": list(texts)})
@@ -30,9 +38,9 @@ def _update_fn(depth: int):
             keep = pd.DataFrame({"t": pd.Series([], dtype="int64"), "text": pd.Series([], dtype="object")})
         for pdf in pdfs:
             # reduce each chunk to its newest entries before merging: memory stays O(depth)
-            chunk = pdf[["t", "text"]].sort_values("t", ascending=False).head(depth)
-            keep = (pd.concat([keep, chunk]).drop_duplicates("t", keep="last")
-                    .sort_values("t", ascending=False).head(depth))
+            keep = _newest(pd.concat([keep, _newest(pdf[["t", "text"]], depth)]), depth)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         state.update((keep["t"].astype("int64").tolist(), keep["text"].tolist()))
         yield pd.DataFrame({"session": [key[0]] * len(keep), "t": keep["t"].astype("int64").to_numpy(),
                             "pos": range(1, len(keep) + 1), "text": keep["text"].to_numpy()})
@@ -41,7 +49,8 @@ def _update_fn(depth: int):
 
 def history_stream(spark: SparkSession, source_dir: str, schema: T.StructType, session: str, time: str,
                    text: str, out_path: str, checkpoint: str, depth: int = HISTORY_DEPTH,
-                   max_files_per_trigger: int | None = None) -> None:
+                   max_files_per_trigger: int | None = None, idle_ms: int | None = None) -> None:
+    """``idle_ms``: a session's state is dropped after that long without an entry (never if None)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -50,7 +59,8 @@ def history_stream(spark: SparkSession, source_dir: str, schema: T.StructType, s
     out_schema = "session long, t long, pos long, text string"
     state_schema = "times array<long>, texts array<string>"
     hist = src.groupBy("session").applyInPandasWithState(
-        _update_fn(depth), out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+        _update_fn(depth, idle_ms), out_schema, state_schema, "update",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         # one folder per micro-batch, overwritten if the batch is re-run after a

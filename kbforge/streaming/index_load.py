@@ -9,21 +9,24 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import dedupe_by_key
-from ..session import path_exists
+from .batches import batch_folder, written_elsewhere
 
 
 def incremental_index_load(spark: SparkSession, source_dir: str, schema: T.StructType,
                            to_records: Callable[[DataFrame], DataFrame], collection_path: str,
-                           checkpoint: str, max_files_per_trigger: int | None = None) -> None:
+                           checkpoint: str, max_files_per_trigger: int | None = None,
+                           source_id: Column | None = None) -> None:
     """Run until every file present now is indexed (``availableNow``).
 
     ``to_records`` maps a batch of source rows to collection records (must yield
     ``id``); it runs on each micro-batch DataFrame, so it is ordinary batch code.
+    ``source_id`` gives a source row's record id without embedding it; with it, rows
+    that are known already leave before ``to_records`` runs.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -31,12 +34,16 @@ def incremental_index_load(spark: SparkSession, source_dir: str, schema: T.Struc
     stream = reader.parquet(source_dir)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
+        own = batch_folder(checkpoint, epoch_id)
+        done = written_elsewhere(spark, collection_path, own)
+        if done is not None and source_id is not None:
+            known = done.select(F.col("id").alias("__known_id"))
+            batch = batch.join(known, source_id.eqNullSafe(F.col("__known_id")), "left_anti")
         # one record per id inside the batch, chosen by content so a replay picks the same one
         recs = dedupe_by_key(to_records(batch), "id", [F.col("document").asc_nulls_last()])
-        if path_exists(spark, f"{collection_path}/_SUCCESS"):
-            existing = spark.read.parquet(collection_path).select("id")
-            recs = recs.join(existing, "id", "left_anti")
-        recs.write.mode("append").parquet(collection_path)
+        if done is not None and source_id is None:
+            recs = recs.join(done.select("id"), "id", "left_anti")
+        recs.write.mode("overwrite").parquet(f"{collection_path}/{own}")
 
     q = (stream.writeStream.foreachBatch(upsert)
          .option("checkpointLocation", checkpoint)
