@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,19 @@ TAGS_SCHEMA = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Ta
 def run_curate(spark, questions: str, answers: str, tags: str, out: str, tag: str | None = "python",
                top_n: int = 15000, encoding: str = "ISO-8859-1") -> list:
     from .plans.curate import curate, write_curated
-    from .sources.csv import read_posts_csv, read_tags_csv
-    q = read_posts_csv(spark, questions, QUESTIONS_SCHEMA, encoding).select("Id", "Title", "Body", "Score")
-    a = read_posts_csv(spark, answers, ANSWERS_SCHEMA, encoding).select("Id", "ParentId", "Body", "Score")
-    t = read_tags_csv(spark, tags, TAGS_SCHEMA, encoding)
+    from .session import checkpoint_dir
+    from .sources.csv import csv_to_parquet, read_posts_csv, read_tags_csv
+    # multi-line CSV is read by one task a file; the job's several passes read parquet
+    root = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-csv/{uuid.uuid4().hex}"
+    q = csv_to_parquet(read_posts_csv(spark, questions, QUESTIONS_SCHEMA, encoding)
+                       .select("Id", "Title", "Body", "Score"), f"{root}/questions")
+    a = csv_to_parquet(read_posts_csv(spark, answers, ANSWERS_SCHEMA, encoding)
+                       .select("Id", "ParentId", "Body", "Score"), f"{root}/answers")
+    t = csv_to_parquet(read_tags_csv(spark, tags, TAGS_SCHEMA, encoding), f"{root}/tags")
     return write_curated(curate(q, a, t, tag, top_n, observe=True), out)
 
 
-def run_index(spark, pairs: str, collection: str, mode: str = "skip", name: str = "python_qa") -> int:
+def run_index(spark, pairs: str, collection: str, mode: str = "skip", name: str = "qa_pairs") -> int:
     from .operators.collection import build_collection
     from .plans.index import qa_records
     from .sources.tables import read_table
@@ -59,11 +65,11 @@ def run_ask(spark, collection: str, out: str, questions: str | None = None, ques
     return spark.read.parquet(out).count()
 
 
-def run_evaluate(spark, answers: str, out: str, single_document: bool = True) -> dict:
+def run_evaluate(spark, answers: str, out: str, single_document: bool = False) -> dict:
     """Answers -> evaluation rows: answered = PASS (200), rejected question = FAIL
     (422 / 400 as in the request validation), generation failure = ERROR."""
     from .operators.evaluate import eval_status
-    from .sources.tables import read_eval_results, write_eval_results, write_eval_results_partitioned
+    from .sources.tables import export_eval_document, read_eval_results, write_eval_results
     a = spark.read.parquet(answers)
     http = (F.when(F.col("status") == "answered", F.lit(200))
             .when(F.col("status").isin("too_short", "too_long"), F.lit(422))
@@ -75,9 +81,9 @@ def run_evaluate(spark, answers: str, out: str, single_document: bool = True) ->
                     "docs_retrieved", "latency_s", status.alias("status"),
                     obs.alias("observation"), http.cast("long").alias("http_status"), err.alias("error"))
     if single_document:
-        write_eval_results(rows, out)
+        export_eval_document(rows, out)
     else:
-        write_eval_results_partitioned(rows, out)
+        write_eval_results(rows, out)
     return read_eval_results(spark, out)[1].first().asDict()
 
 
@@ -107,7 +113,7 @@ def main(argv: list[str] | None = None) -> int:
     e = sub.add_parser("evaluate")
     e.add_argument("--answers", required=True)
     e.add_argument("--out", required=True)
-    e.add_argument("--partitioned", action="store_true")
+    e.add_argument("--single-document", action="store_true")
     args = p.parse_args(argv)
 
     spark = build_session(args.master)
@@ -122,7 +128,7 @@ def main(argv: list[str] | None = None) -> int:
             p.error("ask needs --questions or --question")
         result = {"answers": run_ask(spark, args.collection, args.out, args.questions, args.question, args.k)}
     else:
-        result = run_evaluate(spark, args.answers, args.out, not args.partitioned)
+        result = run_evaluate(spark, args.answers, args.out, args.single_document)
     print(json.dumps(result))
     return 0
 

@@ -196,6 +196,9 @@ _UNSAFE = "|".join([
     # code blocks are handled when closed with no markup inside; anything else
     # (nested, unclosed, tags inside) and code next to template/rt/rp go to the parser
     r"(?i)<code\b(?![^>]*>[^<]*</code\s*>)",
+    r"(?i)<code\b[^>]*/>",
+    # a tag that another one begins in
+    r"<[A-Za-z/][^<>]*<",
     r"(?is)^(?=.*<code\b)(?=.*<(?:template|rt|rp)\b)",
     r"&(?!(?:amp|lt|gt|quot|nbsp|copy|middot|#39);|amp[^A-Za-z0-9;])",
     r"<(?![A-Za-z/!?])",
@@ -214,7 +217,7 @@ def regex_safe(doc: Column) -> Column:
 
 def clean_html_regex(doc: Column) -> Column:
     """Code-free HTML cleaning with JVM regular expressions."""
-    x = F.regexp_replace(doc, r"(?is)<(script|style|template|rt|rp)\b.*?</(script|style|template|rt|rp)\s*>", " ")
+    x = F.regexp_replace(doc, r"(?is)<(script|style|template|rt|rp)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<code\b[^>]*>([^<]*)</code\s*>", " \n```\n$1\n```\n ")
     x = F.regexp_replace(x, r"<[!?/]?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>", " ")
@@ -233,4 +236,9 @@ def clean_html(doc: Column) -> Column:
             .otherwise(parsed))
 
 
-__all__ = ["clean_html", "clean_html_regex", "clean_html_parsed", "clean_html_py", "regex_safe"]
+def register_sql(spark, name: str = "clean_html") -> None:
+    """Make STR-1 callable from SQL text: ``SELECT clean_html(body) FROM posts``."""
+    spark.udf.register(name, F.udf(clean_html_py, T.StringType()))
+
+
+__all__ = ["clean_html", "register_sql", "clean_html_regex", "clean_html_parsed", "clean_html_py", "regex_safe"]

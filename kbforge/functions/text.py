@@ -55,12 +55,12 @@ def normalize_na(c: Column, tokens: list[str] | None = None) -> Column:
 
 
 def doc_template(title: Column, question: Column, answer: Column,
-                 q_cut: int = DOC_QUESTION_CUT, a_cut: int = DOC_ANSWER_CUT) -> Column:
-    """STR-4: ``Q: {title}\\n{question[:600]}\\n\\nA: {answer[:900]}`` (title not cut)."""
+                 q_cut: int | None = DOC_QUESTION_CUT, a_cut: int | None = DOC_ANSWER_CUT) -> Column:
+    """STR-4: ``Q: {title}\\n{question[:600]}\\n\\nA: {answer[:900]}`` (title not cut; None: no cut)."""
     return F.concat(
         F.lit("Q: "), title, F.lit("\n"),
-        F.substring(question, 1, q_cut), F.lit("\n\nA: "),
-        F.substring(answer, 1, a_cut),
+        question if q_cut is None else F.substring(question, 1, q_cut), F.lit("\n\nA: "),
+        answer if a_cut is None else F.substring(answer, 1, a_cut),
     )
 
 

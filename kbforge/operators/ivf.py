@@ -30,6 +30,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ class IvfIndex:
     centroids: np.ndarray        # (n_clusters, dim), unit rows
     id_col: str
     vec_col: str
-    # estimated rows per cluster (from training); only sizes the hot-cluster split
+    # rows per cluster; only sizes the hot-cluster split
     cluster_sizes: dict | None = None
 
 
@@ -57,24 +58,27 @@ def _unit(vec):
     return F.transform(vec, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
-def build_ivf(corpus: DataFrame, n_clusters: int, id_col: str = "id", vec_col: str = "embedding",
-              seed: int = 7, max_iter: int = 10, max_train_rows: int = 200_000) -> IvfIndex:
-    """Train centroids and assign every corpus row to its nearest one.
+def cluster_count(n_rows: int, dim: int, bound_bytes: int) -> int:
+    """About the square root of the rows, and never more centroids than the broadcast bound holds."""
+    return max(1, min(round(math.sqrt(n_rows)), bound_bytes // (8 * max(1, dim))))
 
-    Centroids are trained on at most ``max_train_rows`` rows (a seeded sample
-    when the corpus is larger, as IVF indexes are usually trained); the sample
-    only places centroids — every row is still assigned and searchable.
+
+def build_ivf(corpus: DataFrame, n_clusters: int | None = None, id_col: str = "id", vec_col: str = "embedding",
+              seed: int = 7, max_iter: int = 10) -> IvfIndex:
+    """Train centroids on all rows and assign every row to its nearest one.
+
+    Without ``n_clusters`` their number follows the corpus (:func:`cluster_count`).
     """
     feats = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col),
                           array_to_vector(_unit(F.col(vec_col))).alias("_features"))
-    n = feats.count()
-    train = feats if n <= max_train_rows else feats.sample(fraction=max_train_rows / n, seed=seed)
-    train = train.select("_features").persist()
+    if n_clusters is None:
+        dim = corpus.agg(F.max(F.size(vec_col))).first()[0] or 1
+        n_clusters = cluster_count(corpus.select(id_col).count(), dim, broadcast_limit(corpus.sparkSession))
+    train = feats.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
                        featuresCol="_features", predictionCol="cluster").fit(train)
-        trained = sum(model.summary.clusterSizes) or 1
-        sizes = {c: int(math.ceil(s * n / trained)) for c, s in enumerate(model.summary.clusterSizes)}
+        sizes = {c: int(s) for c, s in enumerate(model.summary.clusterSizes)}
     finally:
         train.unpersist()
     centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
@@ -84,10 +88,29 @@ def build_ivf(corpus: DataFrame, n_clusters: int, id_col: str = "id", vec_col: s
     return IvfIndex(assigned, centers, id_col, vec_col, sizes)
 
 
+def assign_ivf(corpus: DataFrame, centroids: np.ndarray, id_col: str = "id", vec_col: str = "embedding") -> IvfIndex:
+    """An index over given centroids: every row goes to the one with the largest cosine (ties: the first).
+
+    Rows without a vector have no cluster and are left out.
+    """
+    norms = np.linalg.norm(centroids, axis=1, keepdims=True)
+    unit = np.where(norms > 0, centroids / np.where(norms > 0, norms, 1), 0.0)
+    bc = corpus.sparkSession.sparkContext.broadcast(unit)
+    rows = corpus.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
+    vec_type = rows.schema["_qv"].dataType.simpleString()
+    nearest = rows.mapInPandas(_probe_fn(bc, 1), f"_qid long, cluster int, _qv {vec_type}")
+    return IvfIndex(nearest.select(F.col("_qid").alias(id_col), F.col("_qv").alias(vec_col), "cluster"), unit,
+                    id_col, vec_col)
+
+
 def persist_ivf(spark: SparkSession, index: IvfIndex, path: str) -> IvfIndex:
     """Cluster-partitioned layout: a probe of cluster c reads only ``cluster=c``.
     Centroids are stored next to it (``_centroids``, one row per cluster)."""
-    index.assigned.write.mode("overwrite").partitionBy("cluster").parquet(path)
+    # a cluster's rows meet in a few tasks (more for large clusters), so it has a few files
+    sizes = index.cluster_sizes or {}
+    split = math.ceil(max(sizes.values(), default=1) / DEFAULT_MAX_GROUP_ROWS)
+    salted = index.assigned.repartition("cluster", F.pmod(F.xxhash64(index.id_col), F.lit(split)))
+    salted.write.mode("overwrite").partitionBy("cluster").parquet(path)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     (spark.createDataFrame(rows, "cluster int, centroid array<double>")
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/_centroids"))
@@ -142,7 +165,7 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     n_clusters = index.centroids.shape[0]
     if index.centroids.nbytes > broadcast_limit(spark):
         raise ValueError(f"{n_clusters} centroids ({index.centroids.nbytes} bytes) exceed the broadcast bound "
-                         "kbforge.broadcast.maxBytes; use fewer clusters or raise the bound")
+                         "spark.kbforge.broadcast.maxBytes; use fewer clusters or raise the bound")
     nprobe = max(1, min(nprobe, n_clusters))
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     bc = spark.sparkContext.broadcast(index.centroids)
@@ -165,22 +188,22 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     qsplit = {c: max(1, math.ceil(qsize.get(c, 0) / max_group_queries)) for c in csize}
     if not qsize:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    cmap = F.create_map(*[x for c, s in csplit.items() for x in (F.lit(int(c)), F.lit(int(s)))]) if csplit else None
-    qmap = F.create_map(*[x for c, s in qsplit.items() for x in (F.lit(int(c)), F.lit(int(s)))]) if qsplit else None
-    if cmap is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+    # one row per probed cluster (bounded by n_clusters, whose centroids fit the broadcast bound)
+    split_rows = [(int(c), int(csplit[c]), int(qsplit[c])) for c in qsize]
+
+    def splits() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(split_rows, "cluster int, csplit int, qsplit int"))
+
 
     idc, vc = index.id_col, index.vec_col
-    # only clusters some query probes are read and shuffled; the probed set has at
-    # most n_clusters ids (bounded broadcast) and prunes cluster=... folders of a
-    # persisted index
-    probed = spark.createDataFrame([(int(c),) for c in qsize], "cluster int")
-    corpus = (index.assigned.join(F.broadcast(probed), "cluster", "left_semi")
-              .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), F.coalesce(cmap[F.col("cluster")], F.lit(1))).cast("int"))
-              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.coalesce(qmap[F.col("cluster")], F.lit(1)) - 1))))
-    qside = (probes
-             .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), F.coalesce(qmap[F.col("cluster")], F.lit(1))).cast("int"))
-             .withColumn("csub", F.explode(F.sequence(F.lit(0), F.coalesce(cmap[F.col("cluster")], F.lit(1)) - 1))))
+    # only clusters some query probes are read and shuffled: the join prunes the
+    # cluster=... folders of a persisted index
+    corpus = (index.assigned.join(splits(), "cluster")
+              .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), F.col("csplit")).cast("int"))
+              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("qsplit") - 1))))
+    qside = (probes.join(splits(), "cluster")
+             .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), F.col("qsplit")).cast("int"))
+             .withColumn("csub", F.explode(F.sequence(F.lit(0), F.col("csplit") - 1))))
     keys = ["cluster", "csub", "qsub"]
     cands = (corpus.groupBy(*keys).cogroup(qside.groupBy(*keys))
              .applyInPandas(_score_fn(k, vc, idc, exclude_self), "query_id long, id long, distance double"))
@@ -194,4 +217,4 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return j.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
-__all__ = ["IvfIndex", "build_ivf", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]
+__all__ = ["IvfIndex", "assign_ivf", "build_ivf", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]

@@ -4,7 +4,7 @@ Each adapter exists twice: as a DataFrame (used by the jobs) and as SQL text
 (used by the DuckDB oracle).  Both read whole tables.
 
 * ``qa_questions`` — per conversation the first ``user`` turn: Id = conv_id,
-  Title = first 60 characters, Body = text, Score = total characters of all turns.
+  Title = the whole first line, Body = text, Score = total characters of all turns.
 * ``qa_answers`` — every ``assistant`` turn: Id = turn, ParentId = conv_id,
   Body = text, Score = length(text).
 * ``qa_tags`` — one row per distinct word of the question text: Id, Tag.
@@ -21,8 +21,6 @@ from ..functions.text import tokens
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-# Title = first TITLE_CHARS characters of the question text.
-TITLE_CHARS = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +37,7 @@ def qa_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.length("text")).cast("long").alias("Score"),
     )
     return g.where("_has_user = 1").select(
-        F.col("conv_id").alias("Id"), F.substring("Body", 1, TITLE_CHARS).alias("Title"),
+        F.col("conv_id").alias("Id"), F.substring_index("Body", "\n", 1).alias("Title"),
         "Body", "Score")
 
 
@@ -68,8 +66,8 @@ def rel_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- the same views as DuckDB SQL -------------------------------------------------
-SQL_QA_QUESTIONS = f"""
-SELECT conv_id AS Id, left(Body, {TITLE_CHARS}) AS Title, Body, Score FROM (
+SQL_QA_QUESTIONS = """
+SELECT conv_id AS Id, split_part(Body, chr(10), 1) AS Title, Body, Score FROM (
   SELECT conv_id,
          arg_min(text, CASE WHEN role = 'user' THEN turn END) AS Body,
          max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS has_user,

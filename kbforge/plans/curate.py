@@ -34,9 +34,10 @@ class CurateResult:
 
 
 def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str | None,
-           top_n: int = DEFAULT_TOP_N, answer_mode: str = "column", observe: bool = False) -> CurateResult:
+           top_n: int | None = DEFAULT_TOP_N, answer_mode: str = "column", observe: bool = False) -> CurateResult:
     """Inputs use the raw column names Id/Title/Body/Score, ParentId/Body/Score/Id, Id/Tag.
 
+    ``top_n=None`` keeps every question (no TOP-1 and no JOIN-2 restriction).
     ``tag=None`` skips the tag filter (FLT-1 + JOIN-1).  ``observe=True`` attaches
     a row-count ``Observation`` to each stage, so the funnel (AGG-3) is gathered
     while the pairs are computed once (see :func:`write_curated`).
@@ -59,6 +60,8 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     else:
         qs = questions
     stages.append(("questions", qs))
+    if top_n is None:
+        return _finish(qs, answers, stages, observations, mark, answer_mode)
     parts = max(1, min(top_n // 100, questions.sparkSession.sparkContext.defaultParallelism))
     # TOP-1 runs once: its result (at most N rows) is checkpointed into the shared
     # checkpoint folder and read by both the question side and the JOIN-2 keys,
@@ -75,6 +78,11 @@ def curate(questions: DataFrame, answers: DataFrame, tags: DataFrame, tag: str |
     else:
         ans = R.semi_join(answers, top_keys, "ParentId", "Id")
     stages.append(("answers", ans))
+    return _finish(top, ans, stages, observations, mark, answer_mode)
+
+
+def _finish(top: DataFrame, ans: DataFrame, stages: list, observations: dict, mark, answer_mode: str) -> CurateResult:
+    """Best answer per question, cleaning, join, filters and one row per question."""
     best = R.best_child(mark("answers", ans), "ParentId", "Score", "Id", ["Body"], mode=answer_mode)   # AGG-1/2
     best = best.select(F.col("ParentId").alias("QuestionId"),
                        clean_html(F.col("Body")).alias("CleanAnswer"),             # STR-1

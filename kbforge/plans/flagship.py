@@ -8,6 +8,7 @@ rendered as strings (``' || '``-joined) so both engines hash the same values.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from .ask import ask
 from .curate import curate, DEFAULT_TOP_N
 from .index import qa_records
 from ..operators.collection import build_collection, open_collection
-from ..session import checkpoint_dir, input_fingerprint
+from ..session import checkpoint_dir, code_digest, input_fingerprint
 
 from .registry import LIST_SEP, REGISTRY, register  # noqa: F401
 
@@ -44,42 +45,39 @@ def conversation_questions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("question"))
 
 
-def curated_pairs(spark: SparkSession, sf: str, tag: str | None = None, top_n: int = DEFAULT_TOP_N):
+def curated_pairs(spark: SparkSession, sf: str, tag: str | None = None, top_n: int | None = None):
     return curate(A.qa_questions(spark, sf), A.qa_answers(spark, sf), A.qa_tags(spark, sf), tag, top_n)
 
 
 def flagship_index(spark: SparkSession, sf: str) -> DataFrame:
     """Curate + index, committed once as a collection (VEC-5) under the session's
     checkpoint folder and reused while the input files are unchanged (build mode
-    ``skip``, keyed by a fingerprint of the inputs); the ask job reads it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEX_CACHE:
-        # kbforge.reuseIndex=false forces a fresh build (bench.py measures curate + index + ask)
-        reuse = spark.conf.get("kbforge.reuseIndex", "true").lower() != "false"
-        digest = input_fingerprint(spark, [f"{sf.rstrip('/')}/conversations.parquet"])
-        if not reuse:
-            digest = f"{digest}-{uuid.uuid4().hex[:8]}"
-        path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/qa-{DEFAULT_DIM}-{digest}"
-        records = qa_records(curated_pairs(spark, sf).pairs, HashingEmbedder(DEFAULT_DIM))
-        build_collection(spark, records, path, name="python_qa", mode="skip" if reuse else "rebuild")
-        _INDEX_CACHE[key] = path
-    return open_collection(spark, _INDEX_CACHE[key])
-
-
-_INDEX_CACHE: dict = {}
+    ``skip``, keyed by a fingerprint of the inputs, the settings and the code); the ask job reads it."""
+    # spark.kbforge.reuseIndex=false forces a fresh build (bench.py measures curate + index + ask)
+    reuse = spark.conf.get("spark.kbforge.reuseIndex", "true").lower() != "false"
+    digest = input_fingerprint(spark, [f"{sf.rstrip('/')}/conversations.parquet"])
+    settings = f"dim={DEFAULT_DIM},top_n=None,tag=None"
+    key = hashlib.sha1(f"{digest}|{settings}|{code_digest()}".encode()).hexdigest()[:20]
+    if not reuse:
+        key = f"{key}-{uuid.uuid4().hex[:8]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/qa-{key}"
+    records = qa_records(curated_pairs(spark, sf).pairs, HashingEmbedder(DEFAULT_DIM))
+    build_collection(spark, records, path, name="qa_pairs", mode="skip" if reuse else "rebuild")
+    return open_collection(spark, path)
 
 
 def flagship_answers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return ask(spark, conversation_questions(spark, sf), flagship_index(spark, sf), HashingEmbedder(DEFAULT_DIM))
 
 
-def _sql_pairs(tag: str | None = None, top_n: int = DEFAULT_TOP_N) -> str:
+def _sql_pairs(tag: str | None = None, top_n: int | None = DEFAULT_TOP_N) -> str:
     """CTE chain ending in ``pairs`` (the curated six columns) over the qa_* CTEs."""
     tagged = (f"qs AS (SELECT * FROM qa_questions WHERE Id IN (SELECT DISTINCT Id FROM qa_tags WHERE Tag = {S.q(tag)})), "
               if tag is not None else "qs AS (SELECT * FROM qa_questions), ")
     return (
         tagged +
-        f"topq AS (SELECT * FROM qs ORDER BY Score DESC NULLS LAST, Id LIMIT {top_n}), "
+        ("topq AS (SELECT * FROM qs), " if top_n is None else
+         f"topq AS (SELECT * FROM qs ORDER BY Score DESC NULLS LAST, Id LIMIT {top_n}), ") +
         "ans AS (SELECT * FROM qa_answers WHERE ParentId IN (SELECT Id FROM topq)), "
         "best AS (SELECT ParentId AS QuestionId, "
         "  arg_max(Body, (Score IS NOT NULL, coalesce(CAST(Score AS DOUBLE), 0.0), -Id)) AS AnswerBody, "
@@ -96,9 +94,9 @@ def _sql_pairs(tag: str | None = None, top_n: int = DEFAULT_TOP_N) -> str:
 
 def _sql_flagship_ctes(k: int = rag.TOP_K) -> str:
     nl2 = f"{S.NL} || {S.NL}"
-    return A.sql_with_qa("SELECT 1").replace(" SELECT 1", "") + ", " + _sql_pairs() + ", " + (
-        f"docs AS (SELECT question_id AS key, 'Q: ' || title || {S.NL} || left(question_body, 600) || {nl2} || 'A: ' "
-        f"  || left(answer_body, 900) AS document, left(title, 200) AS mtitle, CAST(question_score AS INTEGER) AS mscore FROM pairs), "
+    return A.sql_with_qa("SELECT 1").replace(" SELECT 1", "") + ", " + _sql_pairs(top_n=None) + ", " + (
+        f"docs AS (SELECT question_id AS key, 'Q: ' || title || {S.NL} || question_body || {nl2} || 'A: ' "
+        f"  || answer_body AS document, left(title, 200) AS mtitle, CAST(question_score AS INTEGER) AS mscore FROM pairs), "
         f"questions AS (SELECT CAST({QUESTION_KEY} AS BIGINT) AS query_id, text AS question FROM conversations WHERE role = 'user'), "
         f"val AS (SELECT query_id, question, {S.validate('question')} AS status, {S.py_strip('question')} AS q FROM questions), "
         "okq AS (SELECT query_id, q FROM val WHERE status = 'ok'), "

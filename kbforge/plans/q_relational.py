@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import text as TX
 from ..operators import relational as R
 from . import adapters as A
 from . import sqltext as S
-from .curate import curate
+from ..session import checkpoint_dir
+from .curate import DEFAULT_TOP_N, curate, write_curated
 from .registry import LIST_SEP, register
 
 URGENT = "1-URGENT"
@@ -172,9 +175,9 @@ def flt3(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", status.alias("status"), clean.alias("question"))
 
 
-def _curated(spark, sf, tag=CURATE_TAG):
-    from .curate import DEFAULT_TOP_N
-    return curate(A.qa_questions(spark, sf), A.qa_answers(spark, sf), A.qa_tags(spark, sf), tag, DEFAULT_TOP_N)
+def _curated(spark, sf, tag=CURATE_TAG, observe=False):
+    return curate(A.qa_questions(spark, sf), A.qa_answers(spark, sf), A.qa_tags(spark, sf), tag, DEFAULT_TOP_N,
+                  observe=observe)
 
 
 def _sql_curated(tag=CURATE_TAG) -> str:
@@ -211,4 +214,7 @@ def prj2(spark: SparkSession, sf: str) -> DataFrame:
    UNION ALL SELECT 6, 'final', count(*) FROM pairs)
  SELECT CAST(step_no AS BIGINT) AS step_no, step, CAST(rows AS BIGINT) AS rows FROM funnel""")
 def agg3(spark: SparkSession, sf: str) -> DataFrame:
-    return R.funnel(_curated(spark, sf).stages)
+    """The counts are observed while the pairs are computed and written once."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/funnel-{uuid.uuid4().hex}"
+    counts = write_curated(_curated(spark, sf, observe=True), path)
+    return spark.createDataFrame(counts, "step_no long, step string, rows long")

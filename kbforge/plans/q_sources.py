@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 from ..sources.csv import read_posts_csv, read_tags_csv
-from ..sources.tables import read_eval_results, read_table, write_clean_qa, write_eval_results_partitioned
+from ..sources.tables import read_eval_results, read_table, write_clean_qa, write_eval_results
+from ..operators import evaluate as EV
 from . import adapters as A
+from . import sqltext as S
 from .q_eval import SQL_EVAL_ROWS, _SQL_SUMMARY, eval_rows
 from .q_relational import _curated, _sql_curated
 from .registry import register
@@ -60,6 +64,39 @@ def snk1(spark: SparkSession, sf: str) -> DataFrame:
 @register("snk2_eval_results_round_trip", f"WITH {SQL_EVAL_ROWS} SELECT {_SQL_SUMMARY} FROM er")
 def snk2(spark: SparkSession, sf: str) -> DataFrame:
     path = _run_dir(spark, "eval")
-    write_eval_results_partitioned(eval_rows(spark, sf), path)
+    write_eval_results(eval_rows(spark, sf), path)
     _tests, summary = read_eval_results(spark, path)
     return summary
+
+
+@register("src1_lenient_csv_ragged", """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN NULL ELSE role END AS role,
+       CASE WHEN turn % 3 = 1 THEN NULL ELSE text END AS text
+FROM conversations WHERE turn % 3 <> 2""")
+def src1_ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of too few fields are padded with nulls, rows of too many are skipped."""
+    path = _run_dir(spark, "ragged")
+    conv = A.table(spark, sf, "conversations")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"),
+                       F.when(F.col("turn") % 3 != 1, F.col("role")), F.when(F.col("turn") % 3 != 1, quoted),
+                       F.when(F.col("turn") % 3 == 2, F.lit('"one, more"')))
+
+    def with_header(batches):                # the reader takes the first line of every file for one
+        yield pd.DataFrame({"value": ["conv_id,turn,role,text"]})
+        yield from batches
+
+    conv.select(line.alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    return read_posts_csv(spark, path, CONV_SCHEMA, encoding="UTF-8", na_tokens=[])
+
+
+@register("src5_eval_test_rows", f"""WITH {SQL_EVAL_ROWS}
+SELECT test_id, status, CASE status WHEN 'PASS' THEN {S.q(EV.OBS_PASS)}
+  WHEN 'FAIL' THEN {S.q(EV.OBS_FAIL_PREFIX)} || coalesce(CAST(http_status AS VARCHAR), 'None') || '.'
+  ELSE {S.q(EV.OBS_ERROR)} END AS observation, latency_s FROM er""")
+def src5(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-5: every test row of the results as read back."""
+    path = _run_dir(spark, "eval-rows")
+    write_eval_results(eval_rows(spark, sf), path)
+    tests, _summary = read_eval_results(spark, path)
+    return tests.select("test_id", "status", "observation", "latency_s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions.vectors import DEFAULT_DIM, HashingEmbedder, cosine_distance
 from ..operators.collection import duplicate_ids
 from ..operators.ivf import build_ivf, ivf_search
 from ..operators.knn import knn_search, zip_results
-from ..session import spread_if_small
+from ..session import spread
 from . import adapters as A
 from . import sqltext as S
 from .flagship import _sql_flagship_ctes, flagship_answers
@@ -24,7 +25,7 @@ IVF_CLUSTERS = 8
 WITH {S.sparse_vectors('d', 'documents', 'doc_id', 'text', DEFAULT_DIM)}
 SELECT key AS doc_id, CAST(b AS INTEGER) AS bucket, CAST(c AS DOUBLE) AS weight FROM d_vec""")
 def vec1(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread_if_small(A.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = spread(A.table(spark, sf, "documents").select("doc_id", "text"))
     d = HashingEmbedder(DEFAULT_DIM).embed(docs, "text")
     nz = F.filter(F.transform("embedding", lambda w, i: F.struct(i.alias("bucket"), w.alias("weight"))),
                   lambda x: x["weight"] > 0)
@@ -99,8 +100,8 @@ SELECT query_id, CAST(rank AS BIGINT) AS rank, key AS doc_id, round(distance, 6)
 def vec3_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages as questions against the documents corpus (hashed vectors)."""
     emb = HashingEmbedder(DEFAULT_DIM)
-    docs = emb.embed(spread_if_small(A.table(spark, sf, "documents").select("doc_id", "text")), "text")
-    qs = emb.embed(spread_if_small(A.table(spark, sf, "benchmark").select("item_id", "text")), "text")
+    docs = emb.embed(spread(A.table(spark, sf, "documents").select("doc_id", "text")), "text")
+    qs = emb.embed(spread(A.table(spark, sf, "benchmark").select("item_id", "text")), "text")
     h = knn_search(spark, docs, qs, K, corpus_id="doc_id", query_id="item_id")
     return h.select("query_id", F.col("rank").cast("long"), F.col("id").alias("doc_id"),
                     F.round("distance", 6).alias("distance"))
@@ -159,3 +160,72 @@ def agg7_collection(spark: SparkSession, sf: str) -> DataFrame:
     build_collection(spark, recs, collection_path(root, "documents"), name="documents")
     return open_collection_by_name(spark, root, "documents").agg(
         F.count(F.lit(1)).cast("long").alias("index_size"))
+
+
+PROBE_STEP, PROBES = 25, 3
+
+
+@register("vec4_ivf_pruned", f"""
+WITH {_SQL_EMB},
+c AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS cluster FROM e WHERE vec_id % {PROBE_STEP} = 0),
+near AS (SELECT e.vec_id, c.cluster, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+         round(list_dot_product(e.v, c.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(e.v, e.v)), 9) DESC, c.cluster) AS r
+         FROM e, c),
+d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, {_sql_cos('q.v', 'b.v')} AS distance
+      FROM near p JOIN near a ON a.cluster = p.cluster AND a.r = 1 AND p.r <= {PROBES} AND a.vec_id <> p.vec_id
+      JOIN e q ON q.vec_id = p.vec_id JOIN e b ON b.vec_id = a.vec_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM hits WHERE rank <= {K}""")
+def vec4_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """VEC-4 probing few clusters of a persisted index.
+
+    Every 25th vector is a centroid, so the oracle can compute the probes by itself.
+    """
+    import uuid
+    from ..operators.ivf import assign_ivf, persist_ivf
+    from ..session import checkpoint_dir
+    e = A.table(spark, sf, "embeddings")
+    # the codebook: bounded by the centroid broadcast limit that ivf_search checks
+    seeds = e.where(F.col("vec_id") % PROBE_STEP == 0).orderBy("vec_id").collect()
+    centroids = np.array([r["embedding"] for r in seeds], dtype=np.float64)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/ivf-{uuid.uuid4().hex}"
+    idx = persist_ivf(spark, assign_ivf(e, centroids, "vec_id", "embedding"), path)
+    h = ivf_search(spark, idx, e, K, nprobe=PROBES, query_id="vec_id", query_vec="embedding", exclude_self=True)
+    return h.select("query_id", F.col("rank").cast("long"), "id", F.round("distance", 6).alias("distance"))
+
+
+def _document_records(docs: DataFrame) -> DataFrame:
+    meta = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("question_score"),
+                    F.lit(None).cast("int").alias("answer_score"))
+    recs = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("id"),
+                       F.col("text").alias("document"))
+    return HashingEmbedder(DEFAULT_DIM).embed(recs, "document").withColumn("meta", meta)
+
+
+@register("vec6_add_records", """
+SELECT doc_id AS key, CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest FROM documents""")
+def vec6_add(spark: SparkSession, sf: str) -> DataFrame:
+    """VEC-6: a collection built from the even documents, the odd ones added: the whole table."""
+    import uuid
+    from ..operators.collection import add_records, build_collection, open_collection
+    from ..session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/add-{uuid.uuid4().hex}"
+    docs = A.table(spark, sf, "documents").select("doc_id", "text")
+    build_collection(spark, _document_records(docs.where("doc_id % 2 = 0")), path)
+    add_records(spark, _document_records(docs.where("doc_id % 2 <> 0")), path)
+    return open_collection(spark, path).select("key", "id", F.md5(F.col("document").cast("binary")).alias("digest"))
+
+
+@register("agg7_index_size_states", """
+SELECT 'absent' AS state, CAST(-1 AS BIGINT) AS index_size
+UNION ALL SELECT 'built', CAST(count(*) AS BIGINT) FROM documents""")
+def agg7_states(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-7: -1 while there is no committed collection, then its number of records."""
+    import uuid
+    from ..operators.collection import build_collection, index_size
+    from ..session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/size-{uuid.uuid4().hex}"
+    absent = index_size(spark, path)
+    build_collection(spark, _document_records(A.table(spark, sf, "documents").select("doc_id", "text")), path)
+    return spark.createDataFrame([("absent", absent), ("built", index_size(spark, path))],
+                                 "state string, index_size long")

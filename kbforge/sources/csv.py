@@ -25,8 +25,12 @@ _CORRUPT = "_corrupt_record"
 
 
 def field_count(line: Column) -> Column:
-    """Number of comma-separated fields of a raw CSV record (quoted parts count as one)."""
-    return F.size(F.split(F.regexp_replace(line, r'"([^"]|"")*"', "q"), ",", -1))
+    """Number of comma-separated fields of a raw CSV record (quoted parts count as one).
+
+    The quoted part is matched possessively: no backtracking state per character, so
+    fields of any length are safe.
+    """
+    return F.size(F.split(F.regexp_replace(line, r'"(?:[^"]++|"")*+"', "q"), ",", -1))
 
 
 def _raw(spark: SparkSession, path: str, schema: T.StructType, encoding: str) -> DataFrame:
@@ -76,6 +80,7 @@ def read_tags_csv(spark: SparkSession, path: str, schema: T.StructType,
     return _typed(checked, schema, NA_TOKENS if na_tokens is None else na_tokens)
 
 
-def csv_to_parquet(df: DataFrame, out: str) -> None:
-    """Write a scanned CSV once as parquet; downstream jobs read the parquet."""
+def csv_to_parquet(df: DataFrame, out: str) -> DataFrame:
+    """Write a scanned CSV once as parquet and return that table for the steps that follow."""
     df.write.mode("overwrite").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import path_exists
+from ..session import checkpoint_dir, path_exists
 
 CLEAN_QA_COLUMNS = ["question_id", "title", "question_body", "question_score",
                     "answer_body", "answer_score"]
@@ -55,19 +55,18 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
 def write_clean_qa(df: DataFrame, path: str) -> None:
     """SNK-1: the six curated columns, written once, sorted by question score.
 
+    The rows are checkpointed first: the sort samples its input in a job of its own,
+    which would otherwise compute the pairs twice.
+
     The global sort is a range-partitioned shuffle (no single task); readers that
     take the "first row" get the highest-scored pair.
     """
-    (df.select(*CLEAN_QA_COLUMNS)
+    checkpoint_dir(df.sparkSession)
+    (df.select(*CLEAN_QA_COLUMNS).checkpoint(eager=True)
        .orderBy(F.col("question_score").desc_nulls_last(), F.col("question_id"))
        .write.mode("overwrite").parquet(path))
 
 
-# A single results document holds the whole run in one array (one task); larger
-# runs must use the partitioned layout.
-MAX_SINGLE_DOCUMENT_ROWS = 100_000
-
-
 def _eval_frame(tests: DataFrame) -> DataFrame:
     t = tests
     for f in EVAL_TEST_SCHEMA.fields:
@@ -76,18 +75,13 @@ def _eval_frame(tests: DataFrame) -> DataFrame:
     return t.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVAL_TEST_SCHEMA.fields])
 
 
-def write_eval_results(tests: DataFrame, path: str, max_rows: int = MAX_SINGLE_DOCUMENT_ROWS) -> None:
+def export_eval_document(tests: DataFrame, path: str) -> None:
     """SNK-2: one JSON document ``{summary, tests:[...]}`` (non-ASCII kept).
 
-    The summary (AGG-4) and the ordered test list come from one aggregation over
-    the run.  The document format puts the run in one array, so its size is
-    checked first; beyond ``max_rows`` use :func:`write_eval_results_partitioned`.
+    An explicit export for small runs: the document format itself is one array, built
+    by one task.  :func:`write_eval_results` is the sink for runs of any size.
     """
     from ..operators.evaluate import summary_columns
-    n = tests.count()
-    if n > max_rows:
-        raise ValueError(f"{n} evaluation rows exceed the single-document bound {max_rows}; "
-                         "use write_eval_results_partitioned")
     cols = [f.name for f in EVAL_TEST_SCHEMA.fields]
     t = tests
     for f in EVAL_TEST_SCHEMA.fields:
@@ -101,7 +95,7 @@ def write_eval_results(tests: DataFrame, path: str, max_rows: int = MAX_SINGLE_D
     doc.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def write_eval_results_partitioned(tests: DataFrame, path: str) -> None:
+def write_eval_results(tests: DataFrame, path: str) -> None:
     """SNK-2 for runs of any size: ``tests/`` as JSON lines written by every task
     in parallel, ``summary/`` as one row from a partial aggregation."""
     from ..operators.evaluate import summary_columns

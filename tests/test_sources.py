@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbforge.sources.csv import read_posts_csv, read_tags_csv
-from kbforge.sources.tables import read_eval_results, read_table, write_clean_qa, write_eval_results
+from kbforge.sources.tables import read_eval_results, read_table, write_clean_qa, export_eval_document, write_eval_results
 
 LENIENT = (
     b'Id,Score,Title\n'
@@ -91,7 +91,7 @@ def test_eval_results_round_trip_golden(spark, tmp_dir):
     df = spark.createDataFrame(rows, "test_id long, question string, answer string, sources array<string>, "
                                      "model string, docs_retrieved long, latency_s double, status string, observation string")
     out = os.path.join(tmp_dir, "results")
-    write_eval_results(df, out)
+    export_eval_document(df, out)
     tests, summary = read_eval_results(spark, out)
     s = summary.first()
     assert (s["total"], s["passed"], s["failed"], s["avg_latency"]) == (10, 10, 0, 5.922)
@@ -112,21 +112,29 @@ def test_eval_summary_zero_pass(spark):
 
 
 def test_eval_results_partitioned_layout(spark, tmp_dir):
-    from kbforge.sources.tables import write_eval_results_partitioned
     rows = [(i + 1, "q", "PASS", lat) for i, lat in enumerate(LATENCIES)]
     df = spark.createDataFrame(rows, "test_id long, question string, status string, latency_s double")
     out = os.path.join(tmp_dir, "results_parts")
-    write_eval_results_partitioned(df.repartition(3), out)
+    write_eval_results(df.repartition(3), out)
     tests, summary = read_eval_results(spark, out)
     s = summary.first()
     assert (s["total"], s["passed"], s["failed"], s["avg_latency"]) == (10, 10, 0, 5.922)
     assert tests.count() == 10
 
 
-def test_single_document_bound(spark, tmp_dir):
-    df = spark.createDataFrame([(1, "PASS", 1.0), (2, "PASS", 2.0)], "test_id long, status string, latency_s double")
-    with pytest.raises(ValueError):
-        write_eval_results(df, os.path.join(tmp_dir, "r"), max_rows=1)
+def test_field_count_of_long_quoted_rows(spark, tmp_dir):
+    from kbforge.sources.csv import read_tags_csv
+    body = "<p>" + "word, \"\"said\"\"\n" * 60_000 + "</p>"          # about 1 MB, quotes doubled
+    text = f'Id,Score,Title\n1,3,"{body}"\n2,"{body}"\n3,4,"{body}",extra\n4\n'
+    p = _write(tmp_dir, "long.csv", text.encode("latin-1"))
+    got = {r["Id"]: r for r in read_posts_csv(spark, p, SCHEMA).collect()}
+    assert set(got) == {1, 2, 4} and len(got[1]["Title"]) > 700_000 and got[4]["Title"] is None
+    short = _write(tmp_dir, "short.csv", f'Id,Tag\n1,"{body}"\n"{body}"\n'.encode("latin-1"))
+    schema = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Tag", T.StringType())])
+    assert read_tags_csv(spark, short, schema).count() == 2
+    bad = _write(tmp_dir, "bad.csv", f'Id,Tag\n1,"{body}",x\n'.encode("latin-1"))
+    with pytest.raises(Exception, match="malformed CSV row"):
+        read_tags_csv(spark, bad, schema).count()
 
 
 def test_latin1_default_reproduces_mojibake(spark, tmp_dir):

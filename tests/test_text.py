@@ -102,7 +102,8 @@ def test_model_label_and_error_action(spark):
 # --- generated HTML: wherever the regex path claims a document, it equals the parser ---
 _words = st.sampled_from(["a", "b", "x y", "é", "Tom & Jerry", "1 < 2", "q\"q", "it's", "  ", "\n", "\xa0",
                           "&amp;", "&amp", "&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&nbsp;", "&#39;",
-                          "&amp;lt;", "&foo;", "&#169;", "x&ampy"])
+                          "&amp;lt;", "&foo;", "&#169;", "x&ampy", "<code/>", "<code />", "<b", "</i", "</template>",
+                          "</script>", "<template>", "<style>", "</style>"])
 _tags = st.sampled_from(["p", "b", "i", "div", "span", "li", "h1", "title", "a", "em", "code", "pre"])
 
 
