@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_e
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
     slim = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
                             size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h")), "sizes")
-    goal = cutoffs(slim, weights, budget_halves, max_epochs)
+    goal = save(cutoffs(slim, weights, budget_halves, max_epochs), "cutoffs")
     return (slim.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
