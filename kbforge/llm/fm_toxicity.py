@@ -66,6 +66,14 @@ def telling_terms(docs: list[np.ndarray], y: np.ndarray, min_docs: int, min_chi:
     return every[(count >= min_docs) & (every > 0) & ((toxic - expected) ** 2 / spread >= min_chi)]
 
 
+def _places(kept: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Row of each term: its place in ``kept`` plus 1, or 0."""
+    if not len(kept):
+        return np.zeros_like(found)
+    at = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
+    return np.where(kept[at] == found, at + 1, 0)
+
+
 @dataclass
 class Machine:
     bias: float
@@ -74,11 +82,15 @@ class Machine:
     factors: np.ndarray          # row 0 is zero, for terms without a weight
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, rate: float = 0.1,
-        ridge: float = 1e-4, min_docs: int = 4, min_chi: float = 12.0, batch: int = 64, seed: int = 11) -> Machine:
+def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20, rate: float = 0.4,
+        ridge: float = 1e-5, min_docs: int = 4, min_chi: float = 12.0, batch: int = 64, seed: int = 11) -> Machine:
     """``docs``: for each document the terms of its words, one row of ``TERMS`` a word."""
     kept = telling_terms(docs, y, min_docs, min_chi)
-    rows = [np.where(np.isin(d, kept), np.searchsorted(kept, d) + 1, 0) for d in docs]
+    rows = [_places(kept, d) for d in docs]
+    length = np.array([max(1, len(d)) for d in docs])
+    # words without a weight add nothing but their number; one empty word stands for a text without others
+    empty = np.zeros((1, TERMS), np.int64)
+    rows = [r[r.any(axis=1)] if r.any() else empty for r in rows]
     rng = np.random.default_rng(seed)
     linear = np.zeros(len(kept) + 1)
     factors = rng.normal(0, 0.02, (len(kept) + 1, rank))
@@ -89,22 +101,20 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, r
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
-            pick = [k for k in order[at:at + batch] if len(rows[k])]
-            if not pick:
-                continue
-            n = np.array([len(rows[k]) for k in pick])
+            pick = order[at:at + batch]
+            own, n = np.array([len(rows[k]) for k in pick]), length[pick]
             idx = np.concatenate([rows[k] for k in pick])
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
+            start = np.concatenate([[0], np.cumsum(own)[:-1]])
             words = factors[idx].sum(axis=1)
             total = np.add.reduceat(words, start)
             pair = (total ** 2).sum(axis=1) - np.add.reduceat((words ** 2).sum(axis=1), start)
             z = bias + np.add.reduceat(linear[idx].sum(axis=1), start) + pair / (2 * n)
             g = (sigmoid(z) - y[pick]) / len(pick)
-            each = np.repeat(g, n)
+            each = np.repeat(g, own)
             flat = idx.ravel()
             size = len(linear)
             d_linear = np.bincount(flat, np.repeat(each, TERMS), size) + ridge * linear
-            d_words = (np.repeat(g / n, n))[:, None] * (np.repeat(total, n, axis=0) - words)
+            d_words = (np.repeat(g / n, own))[:, None] * (np.repeat(total, own, axis=0) - words)
             d_factors = np.stack([np.bincount(flat, np.repeat(d_words[:, f], TERMS), size) for f in range(rank)],
                                  axis=1) + ridge * factors
             gl += d_linear ** 2
