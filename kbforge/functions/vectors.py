@@ -79,20 +79,24 @@ class HashingEmbedder:
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 
+# Fixed value: texts per call of an embedding model.
+MODEL_BATCH = 128
+
 # Models loaded by BatchModelEmbedder, one per Python worker process.
 _MODELS: dict = {}
 
 
 class BatchModelEmbedder:
-    """Runs ``encode(list_of_texts) -> 2-D array`` once per Arrow batch.
+    """Runs ``encode(list_of_texts) -> 2-D array`` on ``batch_size`` texts at a time.
 
     ``factory`` is called lazily once per Python worker, so large models load once
     per executor process rather than once per row or per task.
     """
 
     def __init__(self, factory: Callable[[], Callable[[list], np.ndarray]], dim: int,
-                 cache_key: str | None = None):
+                 cache_key: str | None = None, batch_size: int = MODEL_BATCH):
         self.factory = factory
+        self.batch_size = batch_size
         self.dim = dim
         # workers cache one model per key: the factory's identity unless given
         name = getattr(factory, "__qualname__", "")
@@ -100,7 +104,7 @@ class BatchModelEmbedder:
         self._token = cache_key or (f"{getattr(factory, '__module__', '')}.{name}" if stable else uuid.uuid4().hex)
 
     def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        factory, token = self.factory, self._token
+        factory, token, size = self.factory, self._token, self.batch_size
         schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,8 +114,8 @@ class BatchModelEmbedder:
             encode = _self._MODELS[token]
             for pdf in batches:
                 texts = pdf[text_col].fillna("").tolist()
-                vecs = np.asarray(encode(texts), dtype=np.float64) if texts else np.zeros((0, 0))
-                pdf[out_col] = list(vecs)
+                pdf[out_col] = [v for at in range(0, len(texts), size)
+                                for v in np.asarray(encode(texts[at:at + size]), dtype=np.float64)]
                 yield pdf
 
         return df.mapInPandas(run, schema)

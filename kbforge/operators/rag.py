@@ -6,6 +6,7 @@ Every per-question list here has at most ``k`` elements (the retrieval depth), s
 
 from __future__ import annotations
 
+import inspect
 import time
 import uuid
 from typing import Callable, Iterator, Sequence
@@ -64,7 +65,7 @@ def context_part(rank: Column, title: Column, score: Column, distance: Column, d
 
 def assemble_context(hits: DataFrame, label: str = RESULT_LABEL) -> DataFrame:
     """RAG-1 + AGG-5 + AGG-6 + RAG-6 (lists): per query the context block, source
-    titles in rank order, and the number of documents actually returned.
+    titles in rank order, the number of documents actually returned and the rank-1 document.
 
     ``hits`` columns: query_id, rank, distance, document, title, question_score.
     """
@@ -72,14 +73,15 @@ def assemble_context(hits: DataFrame, label: str = RESULT_LABEL) -> DataFrame:
         "query_id", "rank",
         context_part(F.col("rank"), F.col("title"), F.col("question_score"), F.col("distance"),
                      F.col("document"), label).alias("part"),
-        default_title(F.col("title")).alias("title"))
+        default_title(F.col("title")).alias("title"), "document")
     g = parts.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "part", "title"))).alias("_r"))
+        F.array_sort(F.collect_list(F.struct("rank", "part", "title", "document"))).alias("_r"))
     return g.select(
         "query_id",
         F.array_join(F.transform("_r", lambda x: x["part"]), PART_SEPARATOR).alias("context"),
         F.transform("_r", lambda x: x["title"]).alias("sources"),
-        F.size("_r").cast("long").alias("docs_actual"))
+        F.size("_r").cast("long").alias("docs_actual"),
+        F.col("_r")[0]["document"].alias("top_document"))
 
 
 def user_message(question: Column, context: Column) -> Column:
@@ -159,6 +161,34 @@ def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequenc
 
 
 # --- generation (RAG-5) -------------------------------------------------------------
+# Sampling parameters of a generation call.
+GENERATION_PARAMS = {"temperature": 0.1, "max_tokens": 1024}
+
+
+def _accepted(gen: Callable, params: dict) -> dict:
+    """The parameters that ``gen`` takes by name (all, if it takes any keyword)."""
+    taken = inspect.signature(gen).parameters.values()
+    if any(p.kind is p.VAR_KEYWORD for p in taken):
+        return dict(params)
+    names = {p.name for p in taken}
+    return {k: v for k, v in params.items() if k in names}
+
+
+def extractive_answers(df: DataFrame, document_col: str = "top_document", candidates_col: str = "candidates",
+                       keep: Sequence[str] = ("query_id",)) -> DataFrame:
+    """The default offline generation as columns: the answer part of the rank-1 document.
+
+    Same columns as :func:`generate`; no call is made, so ``latency_s`` is null.
+    """
+    doc = F.coalesce(F.col(document_col), F.lit(""))
+    at = F.instr(doc, ANSWER_MARKER)
+    return df.select(
+        *keep,
+        F.when(at > 0, F.substr(doc, at + len(ANSWER_MARKER))).otherwise(doc).alias("answer"),
+        F.try_element_at(candidates_col, F.lit(1)).alias("model"), F.lit("answered").alias("status"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("latency_s"))
+
+
 def _extractive_factory():
     return extractive_generator
 
@@ -170,6 +200,10 @@ def _factory_key(factory) -> str:
     return f"{getattr(factory, '__module__', '')}.{name}"
 
 
+# Where the answer begins in an indexed document (STR-4).
+ANSWER_MARKER = "\n\nA: "
+
+
 class ModelUnavailable(Exception):
     """Raised by a generator when a model does not exist (a retry-class error)."""
 
@@ -178,9 +212,8 @@ def extractive_answer(document: str | None) -> str:
     """Default offline generator core: the answer part of a retrieved document."""
     if not document:
         return ""
-    marker = "\n\nA: "
-    i = document.find(marker)
-    return document[i + len(marker):] if i >= 0 else document
+    i = document.find(ANSWER_MARKER)
+    return document[i + len(ANSWER_MARKER):] if i >= 0 else document
 
 
 def extractive_generator(model: str, messages: list[dict]) -> str:
@@ -216,7 +249,8 @@ _WORKER_STATE: dict = {}
 
 def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list], str]] | None = None,
              messages_col: str = "messages", candidates_col: str = "candidates",
-             keep: Sequence[str] = ("query_id",), cache_key: str | None = None) -> DataFrame:
+             keep: Sequence[str] = ("query_id",), cache_key: str | None = None,
+             params: dict | None = None) -> DataFrame:
     """RAG-5: ``mapInPandas`` that calls ``generate(model, messages)`` per row,
     trying candidate models in order with RAG-4 semantics.
 
@@ -228,7 +262,11 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
     The worker cache is keyed by ``cache_key`` (default: the factory's module and
     qualified name), so repeated calls (one per streaming micro-batch) reuse the
     generator already loaded in each worker instead of loading another.
+
+    ``params`` (default :data:`GENERATION_PARAMS`) go to the generator by name, as far
+    as it takes them.
     """
+    params = GENERATION_PARAMS if params is None else params
     factory = generator_factory or _extractive_factory
     token = cache_key or _factory_key(factory)
     retry_markers = tuple(RETRY_MARKERS_PY)
@@ -241,6 +279,7 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
             holder["gen"] = factory()
             holder["last_good"] = None
         gen = holder["gen"]
+        options = _accepted(gen, params)
         for pdf in batches:
             answers, models, statuses, errors, latencies = [], [], [], [], []
             for msgs, cands in zip(pdf[messages_col], pdf[candidates_col]):
@@ -252,7 +291,7 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
                 status = "exhausted"
                 for model in order:
                     try:
-                        answer = gen(model, messages)
+                        answer = gen(model, messages, **options)
                         model_used, status, err = model, "answered", None
                         holder["last_good"] = model
                         break

@@ -90,8 +90,11 @@ def ask(spark: SparkSession, questions: DataFrame, index: DataFrame, embedder=No
            .withColumn("docs_actual", F.coalesce("docs_actual", F.lit(0).cast("long")))
            .withColumn("messages", rag.prompt_messages(F.col("q"), F.col("context")))
            .withColumn("candidates", rag.candidate_order(rag.start_model(active, primary), active, primary)))
-    gen = rag.generate(req, generator_factory, keep=("query_id", "question", "sources", "docs_actual"),
-                       cache_key=generator_key)
+    kept = ("query_id", "question", "sources", "docs_actual")
+    if generator_factory is None:        # the offline default needs no Python and no prompt parsing
+        gen = rag.extractive_answers(req, keep=kept)
+    else:
+        gen = rag.generate(req, generator_factory, keep=kept, cache_key=generator_key)
     answered = gen.select(
         "query_id", "question", "answer", "sources", "model",
         F.lit(k).cast("long").alias("docs_retrieved"), "docs_actual",

@@ -109,6 +109,20 @@ def evl2(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("source_pos").cast("int"), "source")
 
 
+@register("evl2_report_rows_latency", f"""
+WITH {SQL_EVAL_ROWS}
+SELECT test_id, round(latency_s, 2) AS latency_s, status, CAST(2 AS BIGINT) AS docs, CAST(p.pos AS INTEGER) AS source_pos,
+       CASE p.pos WHEN 0 THEN er0_type ELSE 'user ' || user_id END AS source
+FROM (SELECT er.*, e.event_type AS er0_type FROM er JOIN events e ON e.event_id = er.test_id), (VALUES (0), (1)) p(pos)""")
+def evl2_latency(spark: SparkSession, sf: str) -> DataFrame:
+    """EVL-2 over the event log: every row keeps its latency, one row per source."""
+    kinds = A.table(spark, sf, "events").select(F.col("event_id").alias("test_id"), "event_type")
+    rows = eval_rows(spark, sf).join(kinds, "test_id").withColumn("question", F.lit(None).cast("string")).withColumn(
+        "sources", F.array("event_type", F.concat(F.lit("user "), F.col("user_id").cast("string"))))
+    r = EV.report_rows(rows)
+    return r.select("test_id", "latency_s", "status", "docs", F.col("source_pos").cast("int"), "source")
+
+
 @register("top3_source_preview", _FLAG + f"""
  SELECT query_id, string_agg(title, {S.q(LIST_SEP)} ORDER BY rank) AS preview FROM parts WHERE rank <= 2 GROUP BY query_id""")
 def top3(spark: SparkSession, sf: str) -> DataFrame:

@@ -95,3 +95,45 @@ def test_candidate_order_matches_python(spark, actives):
         start = _py_start(active)
         assert r["s"] == start
         assert r["c"] == [m for m in dict.fromkeys([start] + active + fallbacks) if m]
+
+
+def test_generation_parameters_reach_the_generator(spark):
+    from kbforge.operators import rag
+
+    def factory():
+        def gen(model, messages, temperature, **rest):
+            return f"{model} {temperature} {sorted(rest.items())}"
+        return gen
+
+    def plain():
+        return lambda model, messages: model
+
+    df = spark.createDataFrame([(1, [("user", "q")], ["m"])],
+                               "query_id long, messages array<struct<role string, content string>>, candidates array<string>")
+    assert rag.generate(df, factory).first()["answer"] == "m 0.1 [('max_tokens', 1024)]"
+    assert rag.generate(df, factory, params={"temperature": 0.9}).first()["answer"] == "m 0.9 []"
+    assert rag.generate(df, plain).first()["answer"] == "m"
+
+
+def test_native_extractive_answers_equal_the_python_ones(spark):
+    from kbforge.operators import rag
+    docs = [None, "", "no marker", "Q: t\nq\n\nA: the answer\n\nA: more", "\n\nA: "]
+    df = spark.createDataFrame([(i, d, ["m1", "m2"]) for i, d in enumerate(docs)],
+                               "query_id long, top_document string, candidates array<string>")
+    got = {r["query_id"]: (r["answer"], r["model"]) for r in rag.extractive_answers(df).collect()}
+    assert got == {i: (rag.extractive_answer(d), "m1") for i, d in enumerate(docs)}
+
+
+def test_model_batches_are_bounded(spark):
+    from kbforge.functions.vectors import BatchModelEmbedder
+
+    def factory():
+        def encode(texts):
+            assert len(texts) <= 7
+            return [[float(len(t)), float(len(texts))] for t in texts]
+        return encode
+
+    df = spark.createDataFrame([("x" * i,) for i in range(40)], "t string").coalesce(1)
+    rows = BatchModelEmbedder(factory, 2, batch_size=7).embed(df, "t").collect()
+    assert [r["embedding"][0] for r in rows] == [float(len(r["t"])) for r in rows]
+    assert max(r["embedding"][1] for r in rows) == 7
