@@ -13,7 +13,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +31,10 @@ TAGS_SCHEMA = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Ta
 def run_curate(spark, questions: str, answers: str, tags: str, out: str, tag: str | None = "python",
                top_n: int = 15000, encoding: str = "ISO-8859-1") -> list:
     from .plans.curate import curate, write_curated
-    from .session import checkpoint_dir
+    from .session import run_folder
     from .sources.csv import csv_to_parquet, read_posts_csv, read_tags_csv
     # multi-line CSV is read by one task a file; the job's several passes read parquet
-    root = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-csv/{uuid.uuid4().hex}"
+    root = run_folder(spark, "csv")
     q = csv_to_parquet(read_posts_csv(spark, questions, QUESTIONS_SCHEMA, encoding)
                        .select("Id", "Title", "Body", "Score"), f"{root}/questions")
     a = csv_to_parquet(read_posts_csv(spark, answers, ANSWERS_SCHEMA, encoding)

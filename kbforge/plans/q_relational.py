@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import text as TX
 from ..operators import relational as R
 from . import adapters as A
 from . import sqltext as S
-from ..session import checkpoint_dir
+from ..session import run_folder
 from .curate import DEFAULT_TOP_N, curate, write_curated
 from .registry import LIST_SEP, register
 
@@ -215,6 +213,6 @@ def prj2(spark: SparkSession, sf: str) -> DataFrame:
  SELECT CAST(step_no AS BIGINT) AS step_no, step, CAST(rows AS BIGINT) AS rows FROM funnel""")
 def agg3(spark: SparkSession, sf: str) -> DataFrame:
     """The counts are observed while the pairs are computed and written once."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/funnel-{uuid.uuid4().hex}"
+    path = run_folder(spark, "funnel")
     counts = write_curated(_curated(spark, sf, observe=True), path)
     return spark.createDataFrame(counts, "step_no long, step string, rows long")

@@ -7,15 +7,13 @@ oracle is the SQL of the original data.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import run_folder
 from ..sources.csv import read_posts_csv, read_tags_csv
 from ..sources.tables import read_eval_results, read_table, write_clean_qa, write_eval_results
 from ..operators import evaluate as EV
@@ -26,9 +24,6 @@ from .q_relational import _curated, _sql_curated
 from .registry import register
 
 
-def _run_dir(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/{name}-{uuid.uuid4().hex}"
-
 
 CONV_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                             T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -37,7 +32,7 @@ CONV_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructFiel
 @register("src1_lenient_csv_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def src1(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-line quoted text (commas, quotes, newlines) survives CSV out and back in."""
-    path = _run_dir(spark, "csv")
+    path = run_folder(spark, "csv")
     conv = A.table(spark, sf, "conversations")
     (conv.write.option("header", "true").option("quote", '"').option("escape", '"')
      .option("encoding", "UTF-8").csv(path))
@@ -47,7 +42,7 @@ def src1(spark: SparkSession, sf: str) -> DataFrame:
 @register("src2_strict_csv_round_trip", "SELECT conv_id AS Id, role AS Tag FROM conversations")
 def src2(spark: SparkSession, sf: str) -> DataFrame:
     """The strict reader over a well-formed (id, tag) file derived from the table."""
-    path = _run_dir(spark, "tags")
+    path = run_folder(spark, "tags")
     tags = A.table(spark, sf, "conversations").select(F.col("conv_id").alias("Id"), F.col("role").alias("Tag"))
     tags.write.option("header", "true").csv(path)
     schema = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Tag", T.StringType())])
@@ -56,14 +51,14 @@ def src2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("snk1_clean_qa_round_trip", _sql_curated() + " SELECT * FROM pairs")
 def snk1(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run_dir(spark, "clean_qa")
+    path = run_folder(spark, "clean_qa")
     write_clean_qa(_curated(spark, sf).pairs, path)
     return read_table(spark, path)
 
 
 @register("snk2_eval_results_round_trip", f"WITH {SQL_EVAL_ROWS} SELECT {_SQL_SUMMARY} FROM er")
 def snk2(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run_dir(spark, "eval")
+    path = run_folder(spark, "eval")
     write_eval_results(eval_rows(spark, sf), path)
     _tests, summary = read_eval_results(spark, path)
     return summary
@@ -75,7 +70,7 @@ SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN NULL ELSE role END AS role,
 FROM conversations WHERE turn % 3 <> 2""")
 def src1_ragged(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of too few fields are padded with nulls, rows of too many are skipped."""
-    path = _run_dir(spark, "ragged")
+    path = run_folder(spark, "ragged")
     conv = A.table(spark, sf, "conversations")
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"),
@@ -96,7 +91,7 @@ SELECT test_id, status, CASE status WHEN 'PASS' THEN {S.q(EV.OBS_PASS)}
   ELSE {S.q(EV.OBS_ERROR)} END AS observation, latency_s FROM er""")
 def src5(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-5: every test row of the results as read back."""
-    path = _run_dir(spark, "eval-rows")
+    path = run_folder(spark, "eval-rows")
     write_eval_results(eval_rows(spark, sf), path)
     tests, _summary = read_eval_results(spark, path)
     return tests.select("test_id", "status", "observation", "latency_s")

@@ -9,13 +9,11 @@ is the batch SQL of the same operator.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DEFAULT_DIM, HashingEmbedder
-from ..session import checkpoint_dir
+from ..session import run_folder
 from ..streaming.ask_stream import request_metrics_to_table, streaming_ask
 from ..streaming.index_load import incremental_index_load
 from ..streaming.metrics import DEFAULT_WATERMARK, DEFAULT_WINDOW, health_snapshot, health_stream, request_counts
@@ -29,9 +27,6 @@ from .registry import register
 ROWS_PER_FILE = 50_000
 
 
-def _run_dir(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/{name}-{uuid.uuid4().hex}"
-
 
 def _as_file_stream(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
@@ -54,7 +49,7 @@ def stm3_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stm3_request_counts_stream", SQL_COUNTS)
 def stm3_stream(spark: SparkSession, sf: str) -> DataFrame:
-    run = _run_dir(spark, "metrics")
+    run = run_folder(spark, "metrics")
     ev = A.table(spark, sf, "events")
     _as_file_stream(ev, f"{run}/in")
     request_metrics_to_table(spark, f"{run}/in", ev.schema, f"{run}/out", f"{run}/ckpt",
@@ -71,7 +66,7 @@ FROM events"""
 @register("evt1_health_snapshot_stream", SQL_HEALTH)
 def evt1_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Running totals over the event stream; the last epoch equals the batch snapshot."""
-    run = _run_dir(spark, "health")
+    run = run_folder(spark, "health")
     ev = A.table(spark, sf, "events")
     _as_file_stream(ev, f"{run}/in")
     health_stream(spark, f"{run}/in", ev.schema, A.table(spark, sf, "embeddings"), f"{run}/out",
@@ -90,7 +85,7 @@ SELECT s.doc_id AS key, CAST(count(v.b) AS BIGINT) AS n_buckets
 FROM documents s LEFT JOIN d_vec v ON v.key = s.doc_id GROUP BY s.doc_id""")
 def stm1(spark: SparkSession, sf: str) -> DataFrame:
     """Documents arrive in several files; the collection ends with each id once."""
-    run = _run_dir(spark, "index")
+    run = run_folder(spark, "index")
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
     _as_file_stream(docs, f"{run}/in")
     emb = HashingEmbedder(DEFAULT_DIM)
@@ -112,7 +107,7 @@ def stm1(spark: SparkSession, sf: str) -> DataFrame:
 @register("stm2_streaming_ask", SQL_RAG_ANSWERS)
 def stm2(spark: SparkSession, sf: str) -> DataFrame:
     """User turns arrive as a stream and are answered against the curated index."""
-    run = _run_dir(spark, "ask")
+    run = run_folder(spark, "ask")
     records = qa_records(curated_pairs(spark, sf).pairs, HashingEmbedder(DEFAULT_DIM))
     records.write.mode("overwrite").parquet(f"{run}/index")
     index = spark.read.parquet(f"{run}/index")
@@ -132,7 +127,7 @@ WHERE pos <= 8""")
 def win2_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Turns arrive as a stream; each conversation keeps its newest 8 in bounded state."""
     from ..streaming.history_state import history_stream, latest_history
-    run = _run_dir(spark, "history")
+    run = run_folder(spark, "history")
     conv = A.table(spark, sf, "conversations")
     _as_file_stream(conv, f"{run}/in")
     history_stream(spark, f"{run}/in", conv.schema, "conv_id", "turn", "text", f"{run}/out", f"{run}/ckpt",
@@ -148,7 +143,7 @@ WHERE pos <= 8""")
 def win2_event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a user by day, so that many share a time: none may be lost in the state."""
     from ..streaming.history_state import history_stream, latest_history
-    run = _run_dir(spark, "event-history")
+    run = run_folder(spark, "event-history")
     ev = A.table(spark, sf, "events").select(
         "user_id", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("ts_us"), "event_type")
     _as_file_stream(ev, f"{run}/in")

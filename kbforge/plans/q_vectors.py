@@ -11,7 +11,7 @@ from ..functions.vectors import DEFAULT_DIM, HashingEmbedder, cosine_distance
 from ..operators.collection import duplicate_ids
 from ..operators.ivf import build_ivf, ivf_search
 from ..operators.knn import knn_search, zip_results
-from ..session import spread
+from ..session import run_folder, spread
 from . import adapters as A
 from . import sqltext as S
 from .flagship import _sql_flagship_ctes, flagship_answers
@@ -134,10 +134,8 @@ def vec6(spark: SparkSession, sf: str) -> DataFrame:
           f"SELECT query_id, CAST(rank AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM hits WHERE rank <= {K}")
 def vec4_persisted(spark: SparkSession, sf: str) -> DataFrame:
     """VEC-4 over the persisted ``cluster=`` layout (probed clusters only are read)."""
-    import uuid
     from ..operators.ivf import persist_ivf
-    from ..session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/ivf-{uuid.uuid4().hex}"
+    path = run_folder(spark, "ivf")
     e = A.table(spark, sf, "embeddings")
     idx = persist_ivf(spark, build_ivf(e, IVF_CLUSTERS, id_col="vec_id", vec_col="embedding"), path)
     h = ivf_search(spark, idx, e, K, nprobe=IVF_CLUSTERS, query_id="vec_id", query_vec="embedding",
@@ -148,10 +146,8 @@ def vec4_persisted(spark: SparkSession, sf: str) -> DataFrame:
 @register("agg7_collection_size", "SELECT CAST(count(*) AS BIGINT) AS index_size FROM documents")
 def agg7_collection(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-7 on a committed collection built from the documents table, opened by name (VEC-5)."""
-    import uuid
     from ..operators.collection import build_collection, collection_path, open_collection_by_name
-    from ..session import checkpoint_dir
-    root = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/run-{uuid.uuid4().hex}"
+    root = run_folder(spark, "run")
     docs = A.table(spark, sf, "documents").select(
         F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"))
     meta = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("question_score"),
@@ -181,14 +177,12 @@ def vec4_pruned(spark: SparkSession, sf: str) -> DataFrame:
 
     Every 25th vector is a centroid, so the oracle can compute the probes by itself.
     """
-    import uuid
     from ..operators.ivf import assign_ivf, persist_ivf
-    from ..session import checkpoint_dir
     e = A.table(spark, sf, "embeddings")
     # the codebook: bounded by the centroid broadcast limit that ivf_search checks
     seeds = e.where(F.col("vec_id") % PROBE_STEP == 0).orderBy("vec_id").collect()
     centroids = np.array([r["embedding"] for r in seeds], dtype=np.float64)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/ivf-{uuid.uuid4().hex}"
+    path = run_folder(spark, "ivf")
     idx = persist_ivf(spark, assign_ivf(e, centroids, "vec_id", "embedding"), path)
     h = ivf_search(spark, idx, e, K, nprobe=PROBES, query_id="vec_id", query_vec="embedding", exclude_self=True)
     return h.select("query_id", F.col("rank").cast("long"), "id", F.round("distance", 6).alias("distance"))
@@ -206,10 +200,8 @@ def _document_records(docs: DataFrame) -> DataFrame:
 SELECT doc_id AS key, CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest FROM documents""")
 def vec6_add(spark: SparkSession, sf: str) -> DataFrame:
     """VEC-6: a collection built from the even documents, the odd ones added: the whole table."""
-    import uuid
     from ..operators.collection import add_records, build_collection, open_collection
-    from ..session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/add-{uuid.uuid4().hex}"
+    path = run_folder(spark, "add")
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
     build_collection(spark, _document_records(docs.where("doc_id % 2 = 0")), path)
     add_records(spark, _document_records(docs.where("doc_id % 2 <> 0")), path)
@@ -221,10 +213,8 @@ SELECT 'absent' AS state, CAST(-1 AS BIGINT) AS index_size
 UNION ALL SELECT 'built', CAST(count(*) AS BIGINT) FROM documents""")
 def agg7_states(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-7: -1 while there is no committed collection, then its number of records."""
-    import uuid
     from ..operators.collection import build_collection, index_size
-    from ..session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-collections/size-{uuid.uuid4().hex}"
+    path = run_folder(spark, "size")
     absent = index_size(spark, path)
     build_collection(spark, _document_records(A.table(spark, sf, "documents").select("doc_id", "text")), path)
     return spark.createDataFrame([("absent", absent), ("built", index_size(spark, path))],

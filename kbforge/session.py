@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 # Broadcasts are only made for data whose size is checked against this bound.
@@ -101,6 +104,33 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(hpath, True)
 
 
+_RUN_FOLDERS: list = []
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables below the shared checkpoint folder.
+
+    It is deleted when the driver program ends; results that shall stay are written
+    to a path of the caller's.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kbforge-runs/{name}-{uuid.uuid4().hex}"
+    if not _RUN_FOLDERS:
+        atexit.register(_delete_run_folders)
+    sc = spark.sparkContext
+    _RUN_FOLDERS.append((sc._jvm, sc._jsc.hadoopConfiguration(), path))
+    return path
+
+
+def _delete_run_folders() -> None:
+    while _RUN_FOLDERS:
+        jvm, conf, path = _RUN_FOLDERS.pop()
+        try:
+            hpath = jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(conf).delete(hpath, True)
+        except (Py4JError, OSError):     # the JVM has ended before: the folders stay
+            return
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder through its Hadoop file system; none if it does not exist."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
