@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.session import checkpoint_dir, ship_package
+from kbforge.session import checkpoint_dir, run_folder, ship_package
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,8 +20,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder named by ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-llm/{name}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, deleted when the driver program ends."""
+    return run_folder(spark, name)
+
+
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir`` that stays, for results."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-results/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

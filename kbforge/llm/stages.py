@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm import bitplanes, rulefit, simhash_segments, tiling, waterfill
-from kbforge.llm.common import prepare, read_table, save, scratch
+from kbforge.llm.common import kept_folder, prepare, read_table, save
 from kbforge.llm.queries import tokenizer_path
 
 
@@ -57,6 +57,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token-id files and return the digests read back from them."""
-    path = scratch(prepare(spark), "pipeline-ids")
+    path = kept_folder(prepare(spark), "token-ids")
     bitplanes.write_ids(docs, path, tokenizer_path())
     return bitplanes.read_digests(spark, path)
