@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_limit, checkpoint_dir
-from .knn import TopKAccumulator, _vectors_to_matrix, rank_topk, topk_columns
+from .knn import TopKAccumulator, _vectors_to_matrix, knn_search, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_GROUP_QUERIES = 5_000
+TARGET_RECALL = 0.92      # of the sample, so that all queries reach 0.9
+SAMPLE_QUERIES = 500
 
 
 @dataclass
@@ -210,6 +212,37 @@ def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int
     return rank_topk(cands, k).select("query_id", "rank", "id", "distance")
 
 
+def choose_nprobe(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, recall: float = TARGET_RECALL,
+                  query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
+                  sample_rows: int = SAMPLE_QUERIES) -> int:
+    """The fewest probes with which a sample of the queries finds ``recall`` of its exact neighbours.
+
+    The sample is the ``sample_rows`` queries with the smallest seeded hash of their id.  Its exact
+    neighbours come from :func:`knn.knn_search` over the whole index; a neighbour is found with as
+    many probes as the place of its cluster among the query's nearest centroids.
+    """
+    n_clusters = index.centroids.shape[0]
+    qid, qv = F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("_qv")
+    sample = (queries.select(qid, qv).where(F.col("query_id").isNotNull() & F.col("_qv").isNotNull())
+              .orderBy(F.xxhash64(F.lit("nprobe"), F.col("query_id")), "query_id").limit(sample_rows))
+    checkpoint_dir(spark)
+    sample = sample.checkpoint(eager=True)
+    true = knn_search(spark, index.assigned, sample, k, corpus_id=index.id_col, corpus_vec=index.vec_col,
+                      query_vec="_qv", exclude_self=exclude_self)
+    owners = index.assigned.select(F.col(index.id_col).alias("id"), "cluster")
+    # at most sample_rows * k pairs and sample_rows vectors come to the driver
+    pairs = true.select("query_id", "id").join(owners, "id").select("query_id", "cluster").collect()
+    vectors = {r["query_id"]: r["_qv"] for r in sample.collect()}
+    if not pairs:
+        return n_clusters
+    places = {}
+    for i, v in vectors.items():
+        order = np.argsort(-(index.centroids @ np.asarray(v, dtype=np.float64)), kind="stable")
+        places[i] = np.argsort(order, kind="stable")
+    needed = np.sort([int(places[r["query_id"]][r["cluster"]]) + 1 for r in pairs])
+    return int(needed[min(len(needed), math.ceil(recall * len(needed))) - 1])
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact top-k ids also returned by the approximate search."""
     marks = approx.select("query_id", "id", F.lit(1).alias("_hit"))
@@ -217,4 +250,4 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return j.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
-__all__ = ["IvfIndex", "assign_ivf", "build_ivf", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]
+__all__ = ["IvfIndex", "assign_ivf", "build_ivf", "choose_nprobe", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]

@@ -210,3 +210,28 @@ def test_bad_mode_changes_nothing_and_readers_keep_their_version(spark, tmp_dir)
     assert C.index_size(spark, path) == 3
     assert C.build_collection(spark, _records(spark, 0, 5), path, mode="rebuild").count() == 5
     assert reader.count() == 3                      # opened before the rebuild
+
+
+def test_chosen_probes_reach_a_recall_of_nine_tenths(spark):
+    from kbforge.operators.ivf import choose_nprobe
+    from kbforge.plans import catalog
+    from conftest import SF001
+
+    for sf in (SF001, SF01):
+        e = spark.read.parquet(f"{sf}/embeddings.parquet")
+        exact = knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True)
+        got = catalog.REGISTRY["vec4_ivf_recall"][0](spark, sf)
+        assert recall_at_k(got, exact).first()["recall"] >= 0.9
+    # fewer probes than clusters, also from a small sample
+    idx = build_ivf(e, id_col="vec_id")
+    assert 1 <= choose_nprobe(spark, idx, e, 5, query_id="vec_id", exclude_self=True, sample_rows=100) < len(idx.centroids)
+
+
+def test_a_codebook_past_the_bound_is_refused_before_it_is_collected(spark):
+    from kbforge.plans import catalog
+    spark.conf.set("spark.kbforge.broadcast.maxBytes", "64")
+    try:
+        with pytest.raises(ValueError, match="vec4_ivf_recall"):
+            catalog.REGISTRY["vec4_ivf_pruned"][0](spark, SF01)
+    finally:
+        spark.conf.unset("spark.kbforge.broadcast.maxBytes")
