@@ -37,11 +37,11 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")          # a shorter run is dropped
 _HEX = re.compile(r"[0-9a-f]{24,}")                 # likewise
-# Names that announce a credential.
-CONTEXT_NAMES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api key", "api_key",
-                 "api-key", "apikey", "access key", "access_key", "access-key", "private key", "private_key",
-                 "credential", "bearer")
-_CONTEXT = re.compile(r"(?:password|passwd|passphrase|passcode|pwd|secret|token|(?:api|access|private)[ _-]?key|credential)s?"
+# Names that announce a credential.  The expression and the gate before it are made from the same.
+_NAMES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token",
+          *(f"{kind}{mark}key" for kind in ("api", "access", "private") for mark in ("", " ", "_", "-")), "credential")
+CONTEXT_NAMES = (*_NAMES, "bearer")
+_CONTEXT = re.compile(r"(?:" + "|".join(map(re.escape, _NAMES)) + r")s?"
                       r"[\"'\]]{0,2}[ \t]{0,3}(?::=|=>|[:=]|is[ \t])[ \t]{0,3}(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'`,;]+))"
                       r"|bearer[ \t]+([^\s\"'`,;]+)", re.IGNORECASE | re.ASCII)
 

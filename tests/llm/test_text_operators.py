@@ -101,6 +101,15 @@ def test_added_values():
         assert found(t) == []
 
 
+def test_every_context_name_alone_is_enough():
+    names = ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential"]
+    names += [f"{a}{m}key" for a in ("api", "access", "private") for m in ("", " ", "_", "-")] + ["accessKey", "privateKey"]
+    for name in names:
+        for n in (name, name.upper(), name + "s"):
+            assert [k for k, *_ in G.spans(f'{n} => "x8#Kq2 ZpL9vw"')] == ["guess"], n
+    assert [k for k, *_ in G.spans("Bearer x8#Kq2ZpL9vw")] == ["guess"]
+
+
 def test_scan_edge_rows(edge_docs, no_docs):
     got = G.scan(edge_docs).collect()
     assert len(got) == edge_docs.count() and all(r.spans == "" and r.n_assign == r.n_access == r.n_hex == 0 for r in got)
