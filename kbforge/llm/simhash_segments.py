@@ -69,12 +69,21 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+def text_hash(text: Column) -> Column:
+    """Names a text beside its doc_id; null text is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp long) for every row, with ``hashes`` also :func:`text_hash`."""
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "fp": [fingerprint(t.as_py(), words) for t in batch.column(1)]}
+        out = {"doc_id": batch.column(0), "fp": [fingerprint(t.as_py(), words) for t in batch.column(1)]}
+        return out | ({"text_hash": batch.column(2)} if hashes else {})
 
-    return map_batches(id_and_text(docs), run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    if hashes:
+        rows = rows.withColumn("text_hash", text_hash(F.col("text")))
+    return map_batches(rows, run, "doc_id long, fp long" + (", text_hash long" if hashes else ""))
 
 
 def grid_cells(fp: Column, segments: int) -> Column:
@@ -126,20 +135,23 @@ def links(nodes: DataFrame, segments: int = 16, cell_rows: int = 48) -> DataFram
     return close.unionByName(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id): documents linked at ``max_bits`` (0 or 2) or fewer differing bits."""
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id, root): documents linked at ``max_bits`` (0 or 2) or fewer differing bits.
+
+    ``root`` is the smallest fingerprint of the component, never null; ``hashes`` adds ``text_hash``.
+    """
     if max_bits not in (0, MAX_BITS):
         raise ValueError("max_bits is 0 or 2")
-    prints = save(fingerprints(docs, words), "fingerprints")
+    prints = save(fingerprints(docs, words, hashes), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     if max_bits:
         roots = connected_components(links(nodes.select("fp")))
-        nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        root = F.coalesce("root", "fp")
-        low = nodes.groupBy(root.alias("r")).agg(F.min("low").alias("component_id"))
-        nodes = nodes.select("fp", root.alias("r")).join(low, "r").select("fp", "component_id")
+        nodes = (nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                 .withColumn("root", F.coalesce("root", "fp")))
+        low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+        nodes = nodes.select("fp", "root").join(low, "root").select("fp", "component_id", "root")
     else:
-        nodes = nodes.withColumnRenamed("low", "component_id")
+        nodes = nodes.select("fp", F.col("low").alias("component_id"), F.col("fp").alias("root"))
     return prints.join(nodes, "fp")
 
 

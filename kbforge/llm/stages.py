@@ -6,7 +6,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm import bitplanes, rulefit, simhash_segments, tiling, waterfill
@@ -21,27 +21,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component: the one with the smallest doc_id.
+    """Keep one row of each near-duplicate component: the one with the smallest doc_id.
 
     Rows that share that doc_id are reduced to the first by text, source and
-    language.  A component without any doc_id keeps one row in the same way.
+    language.  A component without any doc_id keeps one row in the same way, so
+    components that share a doc_id, or have none, keep a row each.
     """
     prepare(spark)
-    found = simhash_segments.near_duplicates(docs, words=3, max_bits=2)
-    # the smallest doc_id of each component; as a set, a plain equality join keeps the rows where
-    # they are for the aggregate that follows
-    stay = save(found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "stay")
-    kept = one_row_per_id(docs.join(stay, "doc_id", "left_semi"))
-    if stay.where("doc_id is null").isEmpty():
-        return kept
-    return kept.unionByName(one_row_per_id(docs.where("doc_id is null")))
-
-
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: the smallest by text hash, then by the other columns and the text."""
-    order = F.struct(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "text"], F.col("text"))
-    row = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("chosen"))
-    return row.select("chosen.*")
+    found = simhash_segments.near_duplicates(docs, words=3, max_bits=2, hashes=True)
+    # what names the row that stays of each component: doc_id (nulls last), then the text's hash
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                           "text_hash"))
+    stay = save(found.groupBy("root").agg(first.alias("first")).select("first.*", "root"), "stay")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_id.isNull().alias("no_id"),
+                       F.coalesce(doc_id, F.lit(0)).alias("id"), simhash_segments.text_hash(F.col("text")).alias("text_hash"))
+    # the aggregate groups by the keys of the join, so the rows stay where they are
+    keys = ["no_id", "id", "text_hash"]
+    kept = rows.join(stay, keys).groupBy(*keys, "root").agg(F.min_by("row", row_order(docs.columns)).alias("chosen"))
+    return kept.select("chosen.*")
+
+
+def row_order(columns: list[str]) -> Column:
+    """Order of the rows of one component and text hash: by the columns but the text, then by the text."""
+    return F.struct(*[F.col("row")[c] for c in columns if c != "text"], F.col("row")["text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

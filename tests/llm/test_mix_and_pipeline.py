@@ -89,6 +89,22 @@ def test_dedup_keeps_one_row_of_each_component(spark, edge_docs):
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in classes)
 
 
+def test_dedup_keeps_different_texts_of_one_id_and_without_an_id(spark):
+    a = [f"alpha{k} beta{k}" for k in range(40)]
+    b = [f"gamma{k} delta{k}" for k in range(40)]
+    c = [f"omega{k} sigma{k}" for k in range(40)]
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    schema = "doc_id long, text string, lang string, source string"
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in stages.simhash_near_dedup(
+        spark, spark.createDataFrame([(i, t, "en", "s") for i, t in rows], schema), "").collect())
+    # two texts without an id, one of them twice; a copy without an id of a document with one goes
+    assert kept([(None, a), (None, b), (None, b), (4, c), (None, c)]) == sorted([("None", a), ("None", b), ("4", c)])
+    # one id in two components, whichever text comes first
+    assert kept([(3, a), (5, a), (5, b), (9, b)]) == [("3", a), ("5", b)]
+    assert kept([(3, b), (5, b), (5, a), (9, a)]) == [("3", b), ("5", a)]
+    assert kept([(7, a), (7, b), (7, b)]) == [("7", a), ("7", b)]
+
+
 def test_pipeline_against_a_plain_version(spark):
     """Each stage of a small run against what its operator says, by plain set logic."""
     from kbforge.llm import rulefit, simhash_segments, tiling
