@@ -10,13 +10,16 @@ comments in the markup, forms' controls and hidden parts are not text.
 
 Null html is the empty page; pages without a kept block have text '' and n_chars 0.
 Pages of any length are read whole, in one pass; unclosed or misplaced tags end
-with the next enclosing end tag.  Repeated rows are separate pages, null ids and
+with the next enclosing end tag, except script, style, textarea and title, which
+hold everything up to their own end tag.  A head ends at the latest with the first
+text or tag that cannot stand in it.  Repeated rows are separate pages, null ids and
 urls are kept.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -33,8 +36,12 @@ from kbforge.llm.trees import Bins, Tree, grow
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select option button canvas "
-                "audio video datalist".split())
+RAW = frozenset("script style textarea title".split())       # no tags inside but their own end tag
+HIDES = frozenset("noscript template svg math iframe object select option button canvas audio video datalist".split())
+IN_LINE = frozenset("svg math noscript".split())                # hidden without ending a block
+IN_HEAD = RAW - {"textarea"} | frozenset("base basefont bgsound link meta noscript template head html".split())
+# tags of HTML that cannot stand in an svg or math element and so end it
+ENDS_DRAWING = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
 # Class, id and role words of what is not the article, and of readers' comments.
@@ -84,6 +91,16 @@ def _roles(name: str, attributes: str, article: bool) -> tuple:
             name == "header", name == "footer", name in ("form", "fieldset"), aside, comment, hidden)
 
 
+def drawing(stack: list, shown: int) -> int:
+    """Place of the svg or math element in whose own markup the top of the stack is, 0 if there is none."""
+    for k in range(len(stack) - 1, shown - 1, -1):
+        if stack[k][0] in ("svg", "math"):
+            return k
+        if stack[k][0] in ("foreignobject", "annotation-xml", "desc"):
+            return 0
+    return 0
+
+
 def blocks(html: str) -> list[Block]:
     """The non-empty text blocks of a page, in order."""
     out: list[Block] = []
@@ -92,21 +109,50 @@ def blocks(html: str) -> list[Block]:
     buffer: list[str] = []
     linked: list[str] = []
     in_link, in_head, at, end = 0, False, 0, len(html)
+    # how many elements from the bottom of the stack are not hidden, and open inline elements around hidden ones
+    shown, around = 1, Counter()
+    opened = Counter()                               # names on the stack
 
     def flush() -> None:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
-            if text and not stack[-1][1][8]:
-                out.append(Block(text, len(unescape(" ".join(linked)).split()), text.count(" ") + 1,
-                                 stack[-1][1][:8], stack[-1][0]))
+            if text:
+                tag, flags = stack[shown - 1]
+                out.append(Block(text, len(unescape(" ".join(linked)).split()), text.count(" ") + 1, flags[:8], tag))
             linked.clear()
 
     def take(text: str) -> None:
-        if text and not in_head:
-            buffer.append(text)
-            if in_link:
-                linked.append(text)
+        nonlocal in_head
+        if text and shown == len(stack):
+            in_head = in_head and text.isspace()
+            if not in_head:
+                buffer.append(text)
+                if in_link:
+                    linked.append(text)
+
+    def push(name: str, flags: tuple) -> None:
+        nonlocal shown
+        stack.append((name, flags))
+        opened[name] += 1
+        if not flags[8]:
+            shown = len(stack)
+
+    def cut(size: int) -> None:
+        nonlocal shown
+        opened.subtract(name for name, _ in stack[size:])
+        del stack[size:]
+        shown = min(shown, size)
+
+    def place(name: str) -> int:
+        """Place of the innermost ``name`` on the stack, 0 if there is none."""
+        if not opened[name]:
+            return 0
+        return next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+
+    def reopen() -> None:
+        """End the hidden elements at the top that are open for want of an end tag."""
+        cut(next((k for k in range(shown, len(stack)) if stack[k][0] in HIDES), len(stack)))
 
     while at < end:
         m = _TAG.search(html, at)
@@ -119,39 +165,72 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if name == "head":
-            flush()
-            in_head = not closing
-        elif name == "body":
-            flush()
+        hidden = shown < len(stack)
+        if hidden and not closing and name in ENDS_DRAWING and opened["svg"] + opened["math"]:
+            cut(drawing(stack, shown) or len(stack))
+            hidden = shown < len(stack)
+        if in_head and not hidden and not closing and name not in IN_HEAD:
             in_head = False
+        if name in ("head", "body"):
+            reopen()
+            flush()
+            in_head = name == "head" and not closing
         elif name in RAW:
             if not closing and not attributes.endswith("/"):
-                flush() if name not in ("svg", "math", "noscript") else None
+                if not hidden:
+                    flush()
                 stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
                 at = stop.end() if stop else end
-        elif name == "a":
-            in_link = 0 if closing else 1
+        elif hidden and not closing and (name in VOID or attributes.endswith("/")):
+            continue
+        elif hidden and closing and name in INLINE:
+            k = place(name)
+            if k:
+                cut(k)
+            elif around[name]:                       # it was opened before what is hidden
+                reopen()
+                around[name] -= 1
+                in_link = 0 if name == "a" else in_link
+        elif name in HIDES:
+            if closing:
+                k = place(name)
+                if k:
+                    cut(k)
+            elif not attributes.endswith("/"):
+                if not hidden and name not in IN_LINE:
+                    flush()
+                k = place(name) if name in ("button", "option", "select") else 0
+                if k:                                # these do not stand in themselves
+                    cut(k)
+                push(name, (*stack[-1][1][:8], True))
+        elif name in INLINE and hidden:
+            push(name, stack[-1][1])
         elif name == "br":
             take(" ")
         elif name in INLINE:
-            continue
+            if name == "a":
+                in_link = 0 if closing else 1
+            if name not in VOID:
+                around[name] = max(0, around[name] + (-1 if closing else 1))
         elif closing:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            in_link = 0
+            k = place(name)
+            if not hidden or 0 < k <= shown:
+                flush()
+                in_link = 0
+                around.clear()
+            if k:
+                cut(k)
         else:
-            flush()
+            if not hidden:
+                flush()
+                around.clear()
             if name in CLOSES_SELF and stack[-1][0] == name:
-                stack.pop()
+                cut(len(stack) - 1)
             elif stack[-1][0] == "p":                # a block-level tag ends an open paragraph
-                stack.pop()
+                cut(len(stack) - 1)
             if name not in VOID:
                 own = _roles(name, attributes, stack[-1][1][0])
-                stack.append((name, tuple(a or b for a, b in zip(stack[-1][1], own, strict=True))))
+                push(name, tuple(a or b for a, b in zip(stack[-1][1], own, strict=True)))
     flush()
     return out
 

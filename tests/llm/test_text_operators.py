@@ -47,6 +47,30 @@ def test_pages_table_against_its_generator(spark):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_a_head_ends_without_its_end_tag():
+    for page in ["<html><head><title>T</title><h1>one</h1><p>two", "<head><meta charset=x><title>T</title>one<p>two</head>",
+                 "<head><script>x</script><noscript><link><img></noscript><style>y</style><h1>one</h1><p>two"]:
+        assert [b.text for b in H.blocks(page)] == ["one", "two"], page
+    assert H.blocks("<head><title>T</title><template><p>x</p></template></head>") == []
+
+
+@pytest.mark.parametrize("name", sorted(H.HIDES))
+def test_an_unclosed_hidden_element_ends_with_the_next_enclosing_end_tag(name):
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts(f"<div><{name}>x</div><p>one</p><p>two") == ["one", "two"]
+    assert texts(f"<p>one <a href=y><{name}></a> two</p><p>three")[-1] == "three"
+    assert " ".join(texts(f"<p>one <a href=y><{name}></a> two</p>")) == "one two"
+    assert " ".join(texts(f"<p>one <{name}><i>x</i><{name}/></{name}> two</p>")) == "one two"
+    assert texts(f"<head><{name}>x</head><body><p>one") == ["one"] or name not in H.IN_HEAD
+
+
+def test_only_raw_elements_hold_the_rest_of_a_page():
+    for name in H.RAW:
+        assert [b.text for b in H.blocks(f"<p>one</p><{name}><p>two</p>")] == ["one"]
+    assert [b.text for b in H.blocks("<p>a <svg><title>x</title><g><path/></g></svg> b</p>")] == ["a b"]
+    assert [b.text for b in H.blocks("<p>a <svg><g><p>b")] == ["a", "b"]
+
+
 def test_page_edge_rows(spark):
     rows = [(None, None, None), (1, "u", None), (1, "u", ""), (2, "v", "<article><p>" + "word " * 100_000 + "</article>"),
             (2, "v", "<div>" * 3000 + "deep")]
