@@ -134,6 +134,22 @@ def test_every_context_name_alone_is_enough():
     assert [k for k, *_ in G.spans("Bearer x8#Kq2ZpL9vw")] == ["guess"]
 
 
+def test_random_values_are_found_and_placeholders_are_not():
+    rng = random.Random(7)
+    found = lambda v: [k for k, *_ in G.spans(f"pwd: {v}")] == ["guess"]
+    letters, capitals, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for kinds, n, least in [(letters + capitals + digits, 8, 0.9), (letters + capitals + digits, 9, 0.97),
+                            (letters, 16, 0.95), (capitals, 16, 0.95), (digits, 16, 0.95)]:
+        assert sum(found("".join(rng.choices(kinds, k=n))) for _ in range(1000)) >= 1000 * least, (n, kinds)
+    assert found("xkqzvtplmwrgbnhd") and found("83947561023948571")
+    for v in ("changeme your_password your-api-key-here YOUR_API_KEY YOUR_SECRET_TOKEN <your-token> ${DB_PASSWORD} "
+              "{{vault_password}} %(password)s xxxxxxxxxxxxxxxx XXXX-XXXX-XXXX ************ ------------ password123 "
+              "P@ssw0rd123 Welcome2024! qwerty123456 1234567890 abc123abc123 understanding responsible authentication "
+              "case-sensitive insert-your-key-here replace_this_value REPLACE_ME_PLEASE 2024-01-31 os.environ process.env "
+              "getPassword() self._token correct-horse-battery-staple contraseña обязательный acknowledgement").split():
+        assert not found(v), v
+
+
 def test_scan_edge_rows(edge_docs, no_docs):
     got = G.scan(edge_docs).collect()
     assert len(got) == edge_docs.count() and all(r.spans == "" and r.n_assign == r.n_access == r.n_hex == 0 for r in got)
