@@ -164,11 +164,11 @@ IVF_CLUSTERS = 4
 @register("rag_ask_answers_ivf", SQL_RAG_ANSWERS)
 def q_rag_answers_ivf(spark: SparkSession, sf: str) -> DataFrame:
     """RAG-7 with retrieval through the clustered index (VEC-4), all clusters
-    probed: answers must equal the exact flagship."""
+    probed, and generation calls (RAG-5): answers must equal the exact flagship."""
     from ..operators.ivf import build_ivf
     from .ask import ivf_searcher
     index = flagship_index(spark, sf)
     ivf = build_ivf(index, IVF_CLUSTERS, id_col="key", vec_col="embedding")
     res = ask(spark, conversation_questions(spark, sf), index, HashingEmbedder(DEFAULT_DIM),
-              search=ivf_searcher(ivf, nprobe=IVF_CLUSTERS))
+              search=ivf_searcher(ivf, nprobe=IVF_CLUSTERS), generator_factory=rag._extractive_factory)
     return _answers_out(res)

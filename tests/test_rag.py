@@ -137,3 +137,14 @@ def test_model_batches_are_bounded(spark):
     rows = BatchModelEmbedder(factory, 2, batch_size=7).embed(df, "t").collect()
     assert [r["embedding"][0] for r in rows] == [float(len(r["t"])) for r in rows]
     assert max(r["embedding"][1] for r in rows) == 7
+
+
+def test_a_registered_query_makes_generation_calls(spark, monkeypatch):
+    from conftest import SF001
+    from kbforge.operators import rag
+    from kbforge.plans import catalog
+    calls, generate = [], rag.generate
+    monkeypatch.setattr(rag, "generate", lambda *a, **k: calls.append(a) or generate(*a, **k))
+    rows = lambda name: sorted(map(str, catalog.REGISTRY[name][0](spark, SF001).collect()))
+    assert rows("rag_ask_answers") and not calls
+    assert rows("rag_ask_answers_ivf") == rows("rag_ask_answers") and len(calls) == 1
