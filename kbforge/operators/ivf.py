@@ -43,6 +43,7 @@ DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_GROUP_QUERIES = 5_000
 TARGET_RECALL = 0.92      # of the sample, so that all queries reach 0.9
 SAMPLE_QUERIES = 500
+PROBE_ROWS = 20_000
 
 
 @dataclass
@@ -133,16 +134,20 @@ def _probe_fn(bc, nprobe: int):
             pdf = pdf[pdf["_qv"].notna()]
             if len(pdf) == 0:
                 continue
-            qm = _vectors_to_matrix(pdf["_qv"])
-            qn = np.linalg.norm(qm, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = (centers @ qm.T) / np.where(qn > 0, qn, 1)[None, :]
-            d = 1.0 - sim                      # (n_clusters, nq)
-            cols, sel, _ = topk_columns(d, cids, nprobe)
-            # each probe row carries its query vector, so no join back to the queries
-            yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy(dtype=np.int64)[cols],
-                                "cluster": sel.astype(np.int32),
-                                "_qv": pdf["_qv"].to_numpy()[cols]})
+            # parts of a batch, so that the rows made of it stay few at a time
+            step = max(1, PROBE_ROWS // nprobe)
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
+                qm = _vectors_to_matrix(part["_qv"])
+                qn = np.linalg.norm(qm, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim = (centers @ qm.T) / np.where(qn > 0, qn, 1)[None, :]
+                d = 1.0 - sim                      # (n_clusters, nq)
+                cols, sel, _ = topk_columns(d, cids, nprobe)
+                # each probe row carries its query vector, so no join back to the queries
+                yield pd.DataFrame({"_qid": part["_qid"].to_numpy(dtype=np.int64)[cols],
+                                    "cluster": sel.astype(np.int32),
+                                    "_qv": part["_qv"].to_numpy()[cols]})
     return probe
 
 
