@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm.common import documents, read_table, scratch
+from kbforge.llm.setm import PHRASES_SQL
 from kbforge.llm.waterfill import MIX_SQL
 
 
@@ -93,6 +94,13 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations of two and three words."""
+    from kbforge.llm.setm import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_simhash_components": op2_simhash_components,
@@ -104,8 +112,10 @@ QUERIES = {
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_mix_sources": op10_mix_sources,
+    "op13_setm_phrases": op13_setm_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_mix_sources": MIX_SQL,
+    "op13_setm_phrases": PHRASES_SQL,
 }
