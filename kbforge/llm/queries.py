@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbforge.llm.common import documents, read_table, scratch
 from kbforge.llm.setm import PHRASES_SQL
+from kbforge.llm.strata import RANKED_SQL
 from kbforge.llm.waterfill import MIX_SQL
 
 
@@ -94,6 +95,20 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard similarity 0.85 of its 4-word shingles."""
+    from kbforge.llm.combinations import similar_documents
+
+    return similar_documents(documents(spark, sf_dir), words=4, percent=85)
+
+
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, by the length-stratified index."""
+    from kbforge.llm.strata import ranked
+
+    return ranked(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2,000 collocations of two and three words."""
     from kbforge.llm.setm import collocations
@@ -112,10 +127,13 @@ QUERIES = {
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_mix_sources": op10_mix_sources,
+    "op11_combination_join": op11_combination_join,
+    "op12_stratified_search": op12_stratified_search,
     "op13_setm_phrases": op13_setm_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_mix_sources": MIX_SQL,
+    "op12_stratified_search": RANKED_SQL,
     "op13_setm_phrases": PHRASES_SQL,
 }

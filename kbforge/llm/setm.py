@@ -45,9 +45,9 @@ BREAK = b"\xff"             # no byte of UTF-8
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
 
 SEGMENT = "seg long, lang string, n long, words array<binary>, counts array<int>, codes array<int>"
-RELATION = "seg long, lang string, codes array<int>, ids array<long>"
+RELATION = "seg long, lang string, codes array<int>, ids array<long>, named array<long>, words array<binary>"
 DEALT = "bucket int, seg long, at array<int>, a array<long>, b array<long>, c array<long>"
-COUNTED = "seg long, at array<int>, gid array<long>, a array<long>, b array<long>, f array<long>"
+COUNTED = "seg long, at array<int>, gid array<long>, lead array<boolean>, a array<long>, b array<long>, f array<long>"
 
 
 def words_and_breaks(text: str) -> list[bytes]:
@@ -170,15 +170,16 @@ def _count(dealt: DataFrame, min_count: int, give_back: bool) -> DataFrame:
     """Group-count of one bucket at a time.
 
     Rows with ``seg`` -1 hold the frequent groups; with ``give_back`` the others tell
-    each segment which of its groups are frequent.
+    each segment which of its groups are frequent, and for which it leads, one segment
+    a group.
     """
     target = schema_of(COUNTED)
 
-    def rows(seg, at, gid, ends, a=(), b=(), f=(), named=None) -> pa.Table:
+    def rows(seg, at, gid, lead, ends, a=(), b=(), f=(), named=None) -> pa.Table:
         named = np.zeros(len(seg) + 1, np.int32) if named is None else named
         kind = {f.name: f.type for f in target}
         return pa.Table.from_arrays(
-            [pa.array(seg, pa.int64()), lists(at, ends, kind["at"]), lists(gid, ends, kind["gid"]),
+            [pa.array(seg, pa.int64()), lists(at, ends, kind["at"]), lists(gid, ends, kind["gid"]), lists(lead, ends, kind["lead"]),
              lists(a, named, kind["a"]), lists(b, named, kind["b"]), lists(f, named, kind["f"])], schema=target)
 
     def run(key, table):
@@ -191,13 +192,16 @@ def _count(dealt: DataFrame, min_count: int, give_back: bool) -> DataFrame:
         gid[good] = (key[0].as_py() << 32) + np.arange(len(good))
         named = offsets(np.array([len(good)]))
         head = order[start][good]
-        out = [rows([-1], np.arange(len(good), dtype=np.int32), gid[good], named, a[head], b[head], total[good], named)]
+        out = [rows([-1], np.arange(len(good), dtype=np.int32), gid[good], np.zeros(len(good), bool), named, a[head],
+                    b[head], total[good], named)]
         if give_back:
             group = np.empty(len(order), np.int64)
             group[order] = np.repeat(gid, np.diff(np.append(start, len(order))))
+            lead = np.zeros(len(order), bool)
+            lead[order[start]] = True
             back = group >= 0
             kept = np.diff(offsets(back)[ends])     # of each segment
-            out.append(rows(table["seg"].to_numpy(), at[back], group[back], offsets(kept)))
+            out.append(rows(table["seg"].to_numpy(), at[back], group[back], lead[back], offsets(kept)))
         return pa.concat_tables(out)
 
     return save(dealt.groupBy("bucket").applyInArrow(run, COUNTED), "groups")
@@ -226,22 +230,22 @@ def _semi_join(relation: DataFrame, counted: DataFrame, first: bool) -> DataFram
         number = np.full(n + 1, -1, np.int32)       # the last one is for breaks, code -1
         number[at] = np.arange(len(at), dtype=np.int32)
         codes = _squeezed(number[codes])
-        return pa.Table.from_arrays([
-            left["seg"], left["lang"], lists(codes, offsets(np.array([len(codes)])), target.field("codes").type),
-            lists(gid, offsets(np.array([len(gid)])), target.field("ids").type)], schema=target)
+        lead = flat(right["lead"])[0] if first else np.zeros(len(at), bool)
+        words = left["words"].combine_chunks().flatten().take(pa.array(at[lead])) if first else []
+        one = lambda v, name: lists(v, offsets(np.array([len(v)])), target.field(name).type)
+        return pa.Table.from_arrays([left["seg"], left["lang"], one(codes, "codes"), one(gid, "ids"),
+                                     one(gid[lead], "named"), one(words, "words")], schema=target)
 
-    back = counted.where("seg >= 0").select("seg", "at", "gid")
+    back = counted.where("seg >= 0").select("seg", "at", "gid", "lead")
     columns = ["seg", "lang", "words", "codes"] if first else ["seg", "lang", "codes", "ids"]
     return save(relation.select(*columns).groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(run, RELATION),
                 "relation")
 
 
-def _vocabulary(r1: DataFrame, counted: DataFrame) -> DataFrame:
-    """(gid, lang, word) of the frequent words."""
-    back = counted.where("seg >= 0").select("seg", F.explode(F.arrays_zip("at", "gid")).alias("g"))
-    words = r1.select("seg", "lang", F.posexplode("words").alias("at", "word"))
-    return (words.join(back.select("seg", F.col("g.at").alias("at"), F.col("g.gid").alias("gid")), ["seg", "at"])
-            .groupBy("gid").agg(F.any_value("lang").alias("lang"), F.any_value("word").cast("string").alias("word")))
+def _vocabulary(relation: DataFrame) -> DataFrame:
+    """(gid, lang, word) of the frequent words, each from the segment that leads for it."""
+    return (relation.select("lang", F.explode(F.arrays_zip("named", "words")).alias("g"))
+            .select(F.col("g.named").alias("gid"), "lang", F.col("g.words").cast("string").alias("word")))
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -256,8 +260,8 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
     keys, held = r1.agg(F.sum(F.size("words")), F.sum("n")).first()
     dealt = r1.select("seg", "lang", "words", "counts").mapInArrow(_deal_words(bucket_count(r1, keys or 0)), DEALT)
     counted = _count(dealt, min_count, True)
-    levels = [_frequent(counted).select("gid", "f").join(_vocabulary(r1, counted), "gid")]
     relation = _semi_join(r1, counted, first=True)
+    levels = [_frequent(counted).select("gid", "f").join(_vocabulary(relation), "gid")]
     for k in range(2, max_words + 1):
         parts = bucket_count(relation, (held or 0) // 2)
         counted = _count(relation.select("seg", "codes", "ids").mapInArrow(_deal_pairs(parts), DEALT), min_count,
