@@ -14,9 +14,10 @@ by falling bound and visits those whose bound reaches the threshold, which its o
 findings raise.  Every stratum is indexed and none is left out that could hold a
 result.
 
-The documents are dealt by ranges of (m, hash of doc_id), so a stratum with a third
-of all documents is spread over many tasks, and a stratum of more than
-``PART_POSTINGS`` postings has several rows.  The items are a query set, read in
+The documents are dealt to buckets of about equal numbers of terms: ranges of strata,
+and shares of a stratum that is larger, so one with a third of all documents is
+spread over many tasks.  A stratum of more than ``PART_POSTINGS`` postings has several
+rows.  The items are a query set, read in
 blocks of at most ``block_terms`` terms.  Terms meet by a 64-bit hash.
 
 Null text has no terms; such documents are not counted and never found.  Documents
@@ -29,25 +30,26 @@ read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import prepare, scratch
+from kbforge.llm.common import prepare, save, scratch
 from kbforge.llm.packed import flat, lists, offsets, runs, schema_of
 
 PART_POSTINGS = 1_000_000
 BLOCK_TERMS = 100_000
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum())
-_LOWER = bytes(c if c in _WORD else 0x20 for c in bytes(range(256)).lower())
+# ASCII letters in lower case, digits and all bytes of other characters; the rest parts terms
+_LOWER = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
 
 STRATUM = ("m long, doc_id array<long>, term array<long>, term_runs array<int>, run_tf array<int>, "
            "run_docs array<int>, doc array<int>")
+DEALT = "bucket int, m long, h long, doc_id long, term array<long>, tf array<int>"
 FOUND = "item_no int, item_id long, doc_id long, score long"
 
 
@@ -68,37 +70,105 @@ class _Hashes(dict):
         return h
 
 
-def normaliser(n: Column, documents: int, all_terms: int) -> Column:
-    """m of a document of ``n`` terms; the product may pass 64 bits."""
-    top = n.cast("decimal(38,0)") * F.lit(75 * documents).cast("decimal(38,0)")
-    return F.lit(25) + F.call_function("div", top, F.lit(max(all_terms, 1)).cast("decimal(38,0)"))
+def normaliser(n: int, documents: int, all_terms: int) -> int:
+    """m of a document of ``n`` terms."""
+    return 25 + (75 * n * documents) // max(all_terms, 1)
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    """(n, documents): how many documents have ``n`` terms, n above 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, count = np.unique([len(terms(t.as_py())) for t in batch.column(0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(count, pa.int64())], names=["n", "documents"])
+
+    counted = rows.select("text").mapInArrow(run, "n long, documents long")
+    return counted.where("n > 0").groupBy("n").agg(F.sum("documents").alias("documents"))
+
+
+def _bin(m: int) -> int:
+    """Strata in order, the long ones some together, so that their number is bounded."""
+    return m if m < 4096 else 4096 + int(256 * math.log2(m / 4096))
+
+
+class _Dealer:
+    """Buckets of about ``target`` terms: ranges of strata, or shares of one stratum (by a hash)."""
+
+    def __init__(self, sizes: list[tuple[int, int]], target: int):
+        self.first, self.shares, bucket, held = [], [], 0, target
+        self.start = []
+        for b, words in sorted(sizes):
+            if words > target or held + words > target:
+                self.first.append(b)
+                self.shares.append(max(1, -(-words // target)))
+                self.start.append(bucket)
+                bucket += self.shares[-1]
+                held = words if words <= target else target
+            else:
+                held += words
+        self.buckets = max(1, bucket)
+
+    def bucket(self, m: int, h: int) -> int:
+        k = bisect_right(self.first, _bin(m)) - 1
+        return self.start[k] + h % self.shares[k]
 
 
 def build_index(docs: DataFrame, path: str) -> None:
     """Write ``<path>/strata`` and ``<path>/totals`` (documents, terms) for all documents."""
-    prepare(docs.sparkSession)
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .withColumn("n", F.regexp_count("text", F.lit(TERM)).cast("long")).where("n > 0"))
-    totals = rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"))
-    totals.write.parquet(f"{path}/totals")
-    count, length = docs.sparkSession.read.parquet(f"{path}/totals").first()
+    spark = prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    lengths = save(_lengths(rows), "lengths")
+    lengths.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"),
+                F.coalesce(F.sum(F.col("n") * F.col("documents")), F.lit(0)).alias("terms")).write.parquet(f"{path}/totals")
+    count, length = spark.read.parquet(f"{path}/totals").first()
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d = (batch.column(k).to_pylist() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([_bin(normaliser(x, count, length)) for x in n], pa.int64()),
+                pa.array([x * y for x, y in zip(n, d, strict=True)], pa.int64())], names=["b", "terms"])
+
+    # a few thousand bins at most
+    sizes = lengths.mapInArrow(binned, "b long, terms long").groupBy("b").agg(F.sum("terms").alias("terms")).collect()
+    cores = spark.sparkContext.defaultParallelism
+    dealer = _Dealer([(r["b"], r["terms"]) for r in sizes], min(2 * PART_POSTINGS, max(1, length // (2 * cores))))
+    dealt_to = schema_of(DEALT)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known = _Hashes()
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in dealt_to}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                found = terms(text)
+                if not found:
+                    continue
+                m = normaliser(len(found), count, length)
+                h = xxhash.xxh64_intdigest(f"{doc_id}:{len(text)}:{text[:64]}".encode("utf-8", "surrogatepass")) >> 1
+                counts = Counter(map(known.__getitem__, found))
+                for name, v in zip(out, (dealer.bucket(m, h), m, h, doc_id, np.fromiter(counts.keys(), np.int64, len(counts)),
+                                         np.fromiter(counts.values(), np.int32, len(counts))), strict=True):
+                    out[name].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in dealt_to], schema=dealt_to)
+
     target = schema_of(STRATUM)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part = _Hashes(), _Part()
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _Part()
         for batch in batches:
-            for m, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
-                                       strict=True):
+            (term, ends), (tf, _) = flat(batch.column("term")), flat(batch.column("tf"))
+            for i, (m, doc_id) in enumerate(zip(batch.column("m").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
                 if part.m != m or part.size >= PART_POSTINGS:
                     yield from part.rows(target)
                     part = _Part(m)
-                part.add(doc_id, Counter(map(known.__getitem__, terms(text.as_py()))))
+                part.add(doc_id, term[ends[i]:ends[i + 1]], tf[ends[i]:ends[i + 1]])
         yield from part.rows(target)
 
-    dealt = (rows.select(normaliser(F.col("n"), count, length).alias("m"), "doc_id", "text",
-                         F.xxhash64("doc_id", "text").alias("h"))
-             .repartitionByRange("m", "h").sortWithinPartitions("m", "h"))
-    dealt.select("m", "doc_id", "text").mapInArrow(run, STRATUM).write.parquet(f"{path}/strata")
+    (rows.mapInArrow(deal, DEALT).repartition(dealer.buckets, "bucket").sortWithinPartitions("m", "h")
+     .mapInArrow(build, STRATUM).write.parquet(f"{path}/strata"))
 
 
 class _Part:
@@ -107,11 +177,11 @@ class _Part:
     def __init__(self, m: int | None = None):
         self.m, self.size, self.ids, self.term, self.tf = m, 0, [], [], []
 
-    def add(self, doc_id: int | None, counts: Counter) -> None:
+    def add(self, doc_id: int | None, term: np.ndarray, tf: np.ndarray) -> None:
         self.ids.append(doc_id)
-        self.term.append(np.fromiter(counts.keys(), np.int64, len(counts)))
-        self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)))
-        self.size += len(counts)
+        self.term.append(term)
+        self.tf.append(tf)
+        self.size += len(term)
 
     def rows(self, target: pa.Schema) -> Iterator[pa.RecordBatch]:
         if not self.ids:
@@ -210,10 +280,10 @@ class Block:
 
 
 def blocks(items: DataFrame, block_terms: int) -> Iterator[Block]:
-    """The items in blocks of about ``block_terms`` terms at most, or one item."""
+    """The items in blocks of about ``block_terms`` terms of four characters, or one item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.regexp_count("text", F.lit(TERM)))).first()[0] or 0
-    parts = -(-int(total) // block_terms)
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = -(-int(total) // (4 * block_terms))
     for part in range(parts):
         table = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
         named = zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)
