@@ -43,6 +43,37 @@ _ODD_SPACE = re.compile(r" (?:\s|$)")
 _MARKS = ".,;:!?#$%&*|\"'()[]{}<>/+-=_@~^`\\"
 
 
+# Of letters below this the splitting rule and Python agree whatever their Unicode versions.
+_LETTERS_BELOW = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class _Remembered(dict):
+    """Values of a function, remembered in two generations of bounded size.
+
+    A full dictionary becomes the old generation, from which what recurs is taken over.
+    """
+
+    def __init__(self, value, size: int):
+        self.value, self.size, self.old = value, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.value(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class UnitEncoder:
     """Byte-level BPE ids of whole texts, remembering the ids of recurring units.
 
@@ -50,84 +81,56 @@ class UnitEncoder:
     is followed by a non-space, and pieces are encoded independently, so a text
     cut at those spaces gives the same ids unit by unit.  A unit of letters and
     trailing punctuation is two such pieces.  Units and pieces are looked up in
-    bounded dictionaries; unknown pieces go to the ``tokenizers`` library, many in
-    one call with a tab between them (a tab there is a piece of its own).
+    bounded dictionaries; unknown ones go to the ``tokenizers`` library, a run of
+    letters or of punctuation straight to its model, as the splitting rule has
+    nothing to cut there.  A text in which a special token of the file is written out
+    goes to the library whole.
     """
 
-    def __init__(self, path: str, max_units: int = 500_000, max_pieces: int = 800_000):
+    def __init__(self, path: str, max_units: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.max_units, self.max_pieces = max_units, max_pieces
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        tab = self._library("\t")
-        self.tab = int(tab[0]) if len(tab) == 1 else None
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        joined = [p for p in pieces if self.tab is not None and p and "\t" not in p and not p[-1].isspace()]
-        if joined:
-            ids = self._library("\t".join(joined))
-            cuts = np.flatnonzero(ids == self.tab).tolist()
-            if len(cuts) == len(joined) - 1:
-                raw = ids.tobytes()
-                for p, i, j in zip(joined, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                    self.pieces[p] = raw[4 * i + 4:4 * j]
-        for p in pieces:
-            if p not in self.pieces:
-                self.pieces[p] = self._library(p).tobytes()
-
-    def _learn_units(self, units: set[str]) -> None:
-        """``units`` were found after a space, which is part of each one's first piece."""
-        if len(self.pieces) > self.max_pieces:
-            self.pieces.clear()
-        known, split, missing = self.pieces, [], []
-        for u in units:
-            head = u.rstrip(_MARKS)
-            if head.isalpha():
-                head = " " + head
-                tail = u[len(head) - 1:]
-                split.append((u, head, tail))
-                if head not in known:
-                    missing.append(head)
-                if tail and tail not in known:
-                    missing.append(tail)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = _byte_letters()
+        space, four = letters[0x20], [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        tokenize, library = self.tokenizer.model.tokenize, self._library
+
+        def piece_ids(piece: str) -> bytes:
+            return b"".join([four[t.id] for t in tokenize(piece)])
+
+        pieces = _Remembered(piece_ids, max_units)
+
+        def unit_ids(unit: str) -> bytes:
+            # a unit is found after a space, which is part of its first piece
+            head = unit.rstrip(_MARKS)
+            if not head.isalpha():
+                return library(" " + unit)
+            if head.isascii():
+                ids = pieces[space + head]
+            elif max(head) < _LETTERS_BELOW:
+                ids = pieces[space + head.encode().decode("latin-1").translate(letters)]
             else:
-                split.append((u, " " + u, ""))
-                missing.append(" " + u)
-        self._learn_pieces(list(dict.fromkeys(missing)))
-        for u, head, tail in split:
-            self.units[u] = known[head] + known[tail] if tail else known[head]
+                ids = library(" " + head)
+            return ids + pieces[unit[len(head):]] if len(head) < len(unit) else ids     # marks stand for themselves
+
+        self.units = _Remembered(unit_ids, max_units)
 
-    def _whole(self, text: str) -> bytes:
-        return self._library(text).tobytes() if text else b""
+    def _library(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
+        for s in self.special:
+            if s in text:
+                return self._library(text)
         if _ODD_SPACE.search(text):
             # a space run or a space before other white space: cut at the spaced words only
-            parts = _BEFORE_SPACED.split(text)
-            if len(parts) > 1:
-                return self._whole(parts[0]) + self._spaced([p[1:] for p in parts[1:]])
-            return self._whole(text)
-        parts = text.split(" ")
-        return self._whole(parts[0]) + self._spaced(parts[1:])
-
-    def _spaced(self, units: list[str]) -> bytes:
-        found = list(map(self.units.get, units))
-        if None in found:
-            if len(self.units) > self.max_units:
-                self.units.clear()
-                missing = set(units)
-            else:
-                missing = {u for u, f in zip(units, found, strict=True) if f is None}
-            self._learn_units(missing)
-            found = map(self.units.__getitem__, units)
-        return b"".join(found)
+            first, *units = _BEFORE_SPACED.split(text)
+            units = [u[1:] for u in units]
+        else:
+            first, *units = text.split(" ")
+        return (self._library(first) if first else b"") + b"".join(map(self.units.__getitem__, units))
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def expected(rows):
@@ -44,7 +42,7 @@ def test_crc_of_two_parts(a, b):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", "\t", ".", "'s", "'", "é", "1", "###", "'ll", "中",
-                                 "<|endoftext|>", "\x1c", "\xa0", "ñ́"]), max_size=12))
+                                 "<|endoftext|>", "\x1c", "\xa0", "ñ́", "ʼ", "ɐ", "²", "ǆ"]), max_size=12))
 def test_units_encode_as_the_library(parts):
     text = "".join(parts)
     got = np.frombuffer(B.encoder(PATH).encode(text), "<u4").tolist()
@@ -60,8 +58,21 @@ def library_once():
     return _LIBRARY[0]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a  <|endoftext|>  b c", "x<|endoftext|>", "<|endoftext", "a <|endoftext|>"])
+def test_special_tokens_as_the_library_has_them(text):
+    got = np.frombuffer(B.encoder(PATH).encode(text), "<u4").tolist()
+    assert got == library_once().encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_that_goes_straight_to_the_model():
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    for text in [" ".join(letters), " ".join(a + b for a, b in zip(letters, letters[7:], strict=False)),
+                 " ".join(f"a{m}" for m in B._MARKS), " ".join(f"é{m}{k}" for m in B._MARKS for k in B._MARKS)]:
+        assert np.frombuffer(B.encoder(PATH).encode(text), "<u4").tolist() == library_once().encode(text).ids
+
+
 def test_bounded_dictionaries_do_not_change_ids():
-    small = B.UnitEncoder(PATH, max_units=3, max_pieces=2)
+    small = B.UnitEncoder(PATH, max_units=3)
     for text in ["red green blue", "green blue, red. red", "x y z w red", "red green"] * 3:
         assert np.frombuffer(small.encode(text), "<u4").tolist() == library_once().encode(text).ids
 
