@@ -21,7 +21,6 @@ stay null.  Empty tables give empty results.  Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -97,30 +96,34 @@ def _free_windows(free: np.ndarray, length: int) -> np.ndarray:
 
 
 def _common_runs(item, doc, item_free, doc_free, item_roll, doc_roll, length) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least ``length`` unmarked tokens, as (length, item start, doc start)."""
-    starts = _free_windows(item_free, length)
-    places = _free_windows(doc_free, length)
+    """Maximal common runs of at least ``length`` unmarked tokens, as (length, item start, doc start).
+
+    Only pairs that no longer run reaches from the left are kept and followed, so equal
+    tokens in a row do not give all pairs of their places.
+    """
+    starts, places = _free_windows(item_free, length), _free_windows(doc_free, length)
     if not len(starts) or not len(places):
         return []
-    table = defaultdict(list)
-    for a, h in zip(starts.tolist(), item_roll.windows(length)[starts].tolist(), strict=True):
-        table[h].append(a)
     hashes = doc_roll.windows(length)[places]
-    hit = np.isin(hashes, np.fromiter(table, np.uint64, len(table)))
-    runs, last = [], {}
-    for b, h in zip(places[hit].tolist(), hashes[hit].tolist(), strict=True):
-        for a in table[h]:
-            if last.get(a - b, -1) >= b:             # inside a run already found on this diagonal
-                continue
-            if not np.array_equal(item[a:a + length], doc[b:b + length]):
-                continue
-            size = length
-            while (a + size < len(item) and b + size < len(doc) and item[a + size] == doc[b + size]
-                   and item_free[a + size] and doc_free[b + size]):
-                size += 1
-            last[a - b] = b + size - length
-            runs.append((size, a, b))
-    return runs
+    order = np.argsort(hashes, kind="stable")
+    low, high = (np.searchsorted(hashes[order], item_roll.windows(length)[starts], side=s) for s in ("left", "right"))
+    first_a, first_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, i, j in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True):
+        b = places[order[i:j]]
+        if a and item_free[a - 1] and len(b):
+            b = b[(b == 0) | ~doc_free[b - 1] | (doc[b - 1] != item[a - 1])]
+        first_a.append(np.full(len(b), a))
+        first_b.append(b)
+    a, b = np.concatenate(first_a), np.concatenate(first_b)
+    size, going = np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(going):                                # token by token, all runs at once
+        x, y = a[going] + size[going], b[going] + size[going]
+        inside = (x < len(item)) & (y < len(doc))
+        going, x, y = going[inside], x[inside], y[inside]
+        going = going[(item[x] == doc[y]) & item_free[x] & doc_free[y]]
+        size[going] += 1
+    good = size >= length
+    return list(zip(size[good].tolist(), a[good].tolist(), b[good].tolist(), strict=True))
 
 
 class Block:
@@ -163,20 +166,22 @@ class Block:
         hit = self.hashes[np.minimum(low, len(self.hashes) - 1)] == h
         if not hit.any():
             return []
-        low, places = low[hit], places[hit]
-        count = np.searchsorted(self.hashes, h[hit], side="right") - low
+        h, places = h[hit], places[hit]
+        # every different seed of the document once, with the item places that have it
+        seed = np.unique(h)
+        low = np.searchsorted(self.hashes, seed)
+        count = np.searchsorted(self.hashes, seed, side="right") - low
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        seeds_item, seeds_place, seeds_doc = self.item_of[entry], self.place[entry], np.repeat(places, count)
-        order = np.argsort(seeds_item, kind="stable")
-        cuts = np.flatnonzero(np.diff(seeds_item[order])) + 1
+        order = np.argsort(self.item_of[entry], kind="stable")
+        cuts = np.flatnonzero(np.diff(self.item_of[entry][order])) + 1
         out = []
-        for group in np.split(order, cuts):
-            n = int(seeds_item[group[0]])
+        for group in np.split(entry[order], cuts):
+            n = int(self.item_of[group[0]])
             item = self.items[n]
-            if _covered(seeds_place[group], k, len(item)).sum() < self.threshold * len(item):
+            if _covered(self.place[group], k, len(item)).sum() < self.threshold * len(item):
                 continue
             # only the seeded stretches of the document can hold tiles of this item
-            part = _covered(seeds_doc[group], k, len(doc))
+            part = _covered(places[np.isin(h, self.hashes[group])], k, len(doc))
             stretch = np.where(part, doc, -1)[part | np.concatenate([part[1:], [False]])]
             tiles = greedy_tiles(item, stretch, k)
             matched = sum(t[2] for t in tiles)
@@ -197,14 +202,14 @@ def blocks(benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = TH
     """Yield a broadcast :class:`Block` for each part of the benchmark of a bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                              F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")))).first()[0] or 0
     parts = -(-int(total) // block_tokens)
     spark = benchmark.sparkSession
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toPandas()
-        rows = rows.sort_values(["item_id", "text"], na_position="first")
-        ids = [None if x != x else int(x) for x in rows["item_id"]]
-        yield spark.sparkContext.broadcast(Block(ids, list(rows["text"]), min_tile, threshold))
+        table = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True),
+                      key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        yield spark.sparkContext.broadcast(Block([i for i, _ in rows], [t for _, t in rows], min_tile, threshold))
 
 
 FINDING = "doc_id long, item_id long, coverage double, n_tiles int, n_matched int"

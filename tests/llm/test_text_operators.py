@@ -223,3 +223,29 @@ def test_findings_against_every_pair(spark):
         text = " " + " ".join(T.tokens(r.text)) + " "
         want |= {(r.doc_id, i) for i, w in items.items() if " " + " ".join(w) + " " in text}
     assert want and want <= got and len(got) <= len(want) + 2
+
+
+def test_large_and_null_item_ids_stay_exact(spark):
+    item = "the early bird eats a long worm while every other bird sleeps"
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(2**60 + 3, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(big, item), (None, item), (big, item)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in T.contamination(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(2**60 + 3, big), (2**60 + 3, big), (2**60 + 3, None)], key=str)
+
+
+def test_equal_tokens_do_not_make_all_pairs_of_places():
+    import tracemalloc
+
+    block = T.Block([1], ["a " * 300])
+    tracemalloc.start()
+    assert block.findings("a " * 60_000) == [(1, 1.0, 1, 300)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert T.Block([1], ["a b c d e f " * 20]).findings("x " + "a b c d e f " * 50) == [(1, 1.0, 1, 120)]
+
+
+def test_items_without_white_space_count_by_their_tokens(spark):
+    bench = spark.createDataFrame([(i, ",".join(f"t{i}x{j}" for j in range(50))) for i in range(20)], "item_id long, text string")
+    sent = list(T.blocks(bench, block_tokens=250))
+    assert len(sent) >= 3 and sum(len(b.value.items) for b in sent) == 20
