@@ -36,8 +36,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def seeded(doc_id: Column, text: Column, seed: str) -> Column:
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2) -> DataFrame:
@@ -72,9 +73,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3,
 
 
 def cutoffs(slim: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2) -> DataFrame:
-    """(s, source_size, target, epochs, cutoff): one row per source of ``slim`` (source, size, h).
+    """(s, source_size, target, epochs, cutoff, border, border_rows): one row per source of ``slim`` (source, size, h).
 
-    A document is taken ``epochs`` times, and once more if its hash is at most ``cutoff``.
+    A document is taken ``epochs`` times, and once more if its hash is at most ``cutoff``;
+    of the rows whose hash is ``border``, ``border_rows`` are taken once more.
     """
     spots = slim.select("source", "size", "h", F.substring("h", 1, HASH_CHARS).alias("bucket"))
     per_bucket = spots.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -91,13 +93,18 @@ def cutoffs(slim: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, m
               .where("rest < upto and rest > upto - words")
               .select("s", F.col("bucket").alias("b"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left")))
     inside = (spots.join(border, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-              .groupBy("s", "b", "left", "h").agg(F.sum("size").alias("words")))
+              .groupBy("s", "b", "left", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
     by_hash = Window.partitionBy("s", "b", "left").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row is taken if more than half of it lies before the remainder's end; equal rows one after the other
+    room = 2 * (F.col("left") - F.col("upto") + F.col("words")) + F.col("words") / F.col("n")
+    taken = (F.when(F.col("words") > 0, F.least(F.floor(room / (2 * F.col("words") / F.col("n"))), F.col("n")))
+             .otherwise(F.when(F.col("upto") <= F.col("left"), F.col("n")).otherwise(0)))
     last = (inside.withColumn("upto", F.sum("words").over(by_hash))
-            .groupBy("s", "b").agg(F.max(F.when(2 * F.col("upto") - F.col("words") <= 2 * F.col("left"), F.col("h")))
-                                   .alias("last"))
+            .withColumn("k", F.greatest(taken, F.lit(0)).cast("long"))
+            .groupBy("s", "b").agg(F.max(F.when(F.col("k") == F.col("n"), F.col("h"))).alias("last"),
+                                   F.max(F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.struct("h", "k"))).alias("cut"))
             # a bare bucket name sorts after all earlier hashes and before its own
-            .select("s", F.coalesce("last", "b").alias("last")))
+            .select("s", F.coalesce("last", "b").alias("last"), F.col("cut.h").alias("border"), F.col("cut.k").alias("border_rows")))
     # without a border bucket the remainder ends between two buckets: after the last one that it fills
     filled = (per_bucket.withColumn("upto", F.sum("words").over(running))
               .join(goal.select("s", "rest"), F.col("source").eqNullSafe(F.col("s"))).where("upto <= rest")
@@ -105,23 +112,37 @@ def cutoffs(slim: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, m
     key = lambda df, name: df.withColumnRenamed("s", name)
     return (goal.join(key(last, "s1"), F.col("s").eqNullSafe(F.col("s1")), "left")
             .join(key(filled, "s2"), F.col("s").eqNullSafe(F.col("s2")), "left")
-            .select("s", "source_size", "target", "epochs", F.when(F.col("epochs") >= max_epochs, F.lit(""))
-                    .otherwise(F.coalesce("last", "filled", F.lit(""))).alias("cutoff")))
+            .withColumn("full", F.col("epochs") >= max_epochs)
+            .select("s", "source_size", "target", "epochs",
+                    F.when(F.col("full"), F.lit("")).otherwise(F.coalesce("last", "filled", F.lit(""))).alias("cutoff"),
+                    F.when(~F.col("full"), F.col("border")).alias("border"),
+                    F.when(~F.col("full"), F.col("border_rows")).alias("border_rows")))
 
 
 def _copies() -> Column:
     return (F.col("epochs") + (F.col("h") <= F.col("cutoff")).cast("long")).cast("long")
 
 
+def _met(rows: DataFrame, goal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their source's goal: those that the cutoff decides, and those with the border's hash."""
+    met = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    at = F.col("h").eqNullSafe(F.col("border"))
+    return met.where(~at), met.where(at)
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
         seed: str = "mix:") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
-    slim = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
-                            size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h")), "sizes")
+    slim = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"),
+                            seeded(F.col("doc_id"), F.col("text"), seed).alias("h")), "sizes")
     goal = save(cutoffs(slim, weights, budget_halves, max_epochs), "cutoffs")
-    return (slim.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
-            .select("doc_id", "source", "size", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+    clear, border = _met(slim, goal)
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    counted = (border.groupBy(*columns, "epochs", "border_rows").agg(F.count("*").alias("n"))
+               .withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+               .withColumn("copies", F.col("epochs") + (F.col("i") <= F.col("border_rows")).cast("long")))
+    return (clear.withColumn("copies", _copies()).select(*columns, "copies").unionByName(counted.select(*columns, "copies"))
+            .withColumn("taken", F.col("copies") * F.col("size")))
 
 
 def repeated(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2,
@@ -130,19 +151,26 @@ def repeated(docs: DataFrame, weights: tuple = WEIGHTS, budget_halves: int = 3,
 
     Only sizes and hashes are summed up; the rows themselves meet one small row per source.
     """
-    h = seeded(F.col("doc_id"), seed)
+    h = seeded(F.col("doc_id"), F.col("text"), seed)
     goal = save(cutoffs(save(docs.select("source", size_of(F.col("text")).alias("size"), h.alias("h")), "sizes"),
-                        weights, budget_halves, max_epochs).select("s", "epochs", "cutoff"), "cutoffs")
+                        weights, budget_halves, max_epochs).select("s", "epochs", "cutoff", "border", "border_rows"), "cutoffs")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), h.alias("h"))
-    return (rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
-            .select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*"))
+    clear, border = _met(rows, goal)
+    # rows of the border's hash: equal ones counted, then in the order of the other columns
+    upto = Window.partitionBy("s").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (border.groupBy("s", "row", "epochs", "border_rows").agg(F.count("*").alias("n"))
+               .withColumn("before", F.sum("n").over(upto) - F.col("n")))
+    more = F.greatest(F.least(F.col("border_rows") - F.col("before"), F.col("n")), F.lit(0))
+    times = clear.select("row", _copies().alias("copies")).unionByName(
+        counted.select("row", (F.col("epochs") * F.col("n") + more).alias("copies")))
+    return times.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -164,12 +192,12 @@ goal AS (
   FROM filled f LEFT JOIN level l ON true),
 parts AS (
   SELECT *, least(2, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT)) AS epochs FROM goal),
-by_hash AS (
-  SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) AS words
-  FROM sized GROUP BY source, h)
+ordered AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY h
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM sized)
 SELECT d.doc_id, d.size, p.source_size, p.target,
        CAST(d.size * (p.epochs + CASE WHEN p.epochs < 2 AND
-            2 * b.upto - b.words <= 2 * round(p.target - p.epochs * p.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
-JOIN by_hash b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h
+            2 * d.upto - d.size <= 2 * round(p.target - p.epochs * p.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ordered d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 """

@@ -51,6 +51,27 @@ def test_mix_edge_rows(edge_docs, no_docs):
     assert waterfill.mix(no_docs).collect() == [] and waterfill.repeated(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("ids", [lambda i: 5, lambda i: None, lambda i: i % 3])
+def test_one_id_or_none_and_repeated_rows_come_near_the_target(spark, ids):
+    rows = [(ids(i), " ".join(f"w{i % 4 if i < 200 else i}" for _ in range(100)), "a") for i in range(260)]
+    rows += [(1000 + i, "one two three", "b") for i in range(3000)] + [(7, "x y z", "c")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = waterfill.mix(docs).collect()
+    by_source = {}
+    for r in found:
+        t = by_source.setdefault(r.source, [r.target, 0])
+        t[1] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    for target, taken in by_source.values():
+        assert abs(taken - target) <= 101
+    key = lambda r: tuple(str(v) for v in r)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(key, ([r[c] for c in columns] for r in found))) == sorted(map(key, sql_rows(docs)))
+    out = waterfill.repeated(docs.withColumn("extra", F.lit(1)))
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(waterfill.size_of(F.col("text"))).alias("n")).collect()}
+    assert words == {s: taken for s, (_, taken) in by_source.items()}
+
+
 def test_mix_is_near_its_targets_and_repeats(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     docs = docs.withColumn("source", F.when(F.col("source") > "src3", F.col("source")))   # a hot null source
@@ -82,11 +103,13 @@ def test_dedup_keeps_one_row_of_each_component(spark, edge_docs):
 
     out = stages.simhash_near_dedup(spark, edge_docs, "")
     assert out.columns == edge_docs.columns
-    classes = {(r.component_id,) for r in near_duplicates(edge_docs).collect()}
+    # a component is named by its root: two of them have the doc_id 7
+    classes = {(r.root, r.component_id) for r in near_duplicates(edge_docs).collect()}
     rows = by_id([r.asDict() for r in out.collect()])
     assert len(rows) == len(classes)
     # texts without a word share one fingerprint; the repeated row of id 7 stays once, its other text too
-    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in classes)
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(c) for _, c in classes)
+    assert [r["doc_id"] for r in rows].count(7) == 2
 
 
 def test_dedup_keeps_different_texts_of_one_id_and_without_an_id(spark):
