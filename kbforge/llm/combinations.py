@@ -22,7 +22,8 @@ Sets that share a combination are candidates; size and the counts of shared toke
 rule out most, and the rest is verified exactly.  A combination that more than
 ``HOT`` sets share is not taken pair by pair: its sets are verified against three of
 them, and then only those that this left outside the largest component of the
-combination are verified against its other sets, in blocks.  Sets already
+combination are verified against its other sets, in blocks.  Combinations of one
+largest component are taken together.  Sets already
 connected need no link of their own, so components come out as if all pairs had been
 verified.
 
@@ -57,11 +58,12 @@ SUBCLASS = 6                # missing tokens a sub-class is meant to cover
 SMALL = 8                   # smaller sets use single tokens only
 HOT = 32
 BLOCK = 256                 # sets of one side of a verified block
+BUCKET_TOKENS = 3_000_000   # tokens a bucket is meant to receive
 HOT_SHARE = 200             # tokens in one of so many sets travel with their sets
 
 SETS = "doc_id long, key long, check long, n int, hot array<long>, hot_df array<long>"
 POSTINGS = "bucket int, key array<long>, n array<int>, count array<int>, token array<long>"
-SHARED = "bucket int, key array<long>, n array<int>, count array<int>, token array<long>, df array<long>"
+SHARED = "bucket int, key array<long>, n array<int>, count array<int>, token array<long>, df array<int>"
 SURVIVORS = "key long, n int, s int, token array<long>, sig array<long>"
 
 
@@ -71,7 +73,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -195,24 +197,25 @@ def _shared_tokens(postings: DataFrame, groups: int, hot: np.ndarray, hot_df: np
     target = schema_of(SHARED)
 
     def run(_key, table):
-        named, _ = flat(table["key"])
-        n, count = flat(table["n"])[0], flat(table["count"])[0]
-        token, df = flat(table["token"])[0], None
+        named, size, count = (flat(table[c])[0] for c in ("key", "n", "count"))
+        token = flat(table["token"])[0]
         _, once = np.unique(named, return_index=True)       # a set met by several tasks counts once
         first = np.zeros(len(named), bool)
         first[once] = True
-        keep = np.repeat(first, count)
-        key, n = np.repeat(named, count)[keep], np.repeat(n, count)[keep]
-        token = token[keep]
+        owner = np.repeat(np.arange(len(named), dtype=np.int32), count)
+        if not first.all():
+            keep = first[owner]
+            owner, token = owner[keep], token[keep]
         order = np.argsort(token, kind="stable")
         start = runs(token[order])
-        size = np.diff(np.append(start, len(order)))
-        df = np.empty(len(token), np.int64)
-        df[order] = np.repeat(size, size)
+        length = np.diff(np.append(start, len(order)))
+        df = np.empty(len(token), np.int32)
+        df[order] = np.repeat(length, length)
         common, at = _is_in(hot, token)
-        df[common] = hot_df[at[common]]
-        back = df > 1
-        rows = list(_deal_sets((mixed(key) % np.uint64(groups))[back], key[back], n[back],
+        df[common] = np.minimum(hot_df[at[common]], np.iinfo(np.int32).max)
+        back = np.flatnonzero(df > 1)
+        key = named[owner[back]]
+        rows = list(_deal_sets(mixed(key) % np.uint64(groups), key, size[owner[back]],
                                {"token": token[back], "df": df[back]}, target))
         return pa.Table.from_batches(rows, schema=target)
 
@@ -307,11 +310,13 @@ def _verified(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame
 def _by_combination(survivors: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs of all combinations, members of the combinations that more than ``hot`` sets share)."""
     rows = survivors.select(F.explode("sig").alias("sig"), "key", "n", "s")
-    least = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key", "n", "s")).alias(f"p{i}") for i in range(3)]
-    load = (rows.groupBy("sig").agg(F.count("*").alias("m"), *least, F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    # sets that share most of their tokens link with most others: the best of each third of a combination's sets
+    third = F.pmod(F.xxhash64("key"), F.lit(3))
+    best = [F.max(F.when(third == i, F.struct("s", "key", "n"))).alias(f"p{i}") for i in range(3)]
+    load = (rows.groupBy("sig").agg(F.count("*").alias("m"), *best, F.min("n").alias("least_n"), F.max("n").alias("most_n"))
             .where("m > 1"))
-    members = save(rows.join(load.select("sig", "m", "least_n", "most_n", F.when(F.col("m") > hot, F.array("p0", "p1", "p2"))
-                                         .alias("pivots")), "sig"), "combinations")
+    members = save(rows.join(load.select("sig", "m", "least_n", "most_n", F.when(
+        F.col("m") > hot, F.array_compact(F.array("p0", "p1", "p2"))).alias("pivots")), "sig"), "combinations")
     able = lambda x: _can_link(F.col("one.s"), F.col("one.n"), x["s"], x["n"], percent)
     few = (members.where(F.col("m") <= hot).groupBy("sig").agg(F.collect_list(F.struct("key", "n", "s")).alias("all"))
            .select("all", F.explode("all").alias("one"))
@@ -327,8 +332,10 @@ def _by_combination(survivors: DataFrame, percent: int, hot: int) -> tuple[DataF
 def _left_outside(many: DataFrame, roots: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     """Links between sets of a hot combination that are not connected yet.
 
-    Members outside a combination's largest component meet all its members, in blocks
-    of about ``BLOCK`` by ``BLOCK`` sets.
+    Members outside a combination's largest component meet all its members.  As
+    combinations with the same largest component have mostly the same members, they
+    are taken together: each outside member once against every member, in blocks of
+    about ``BLOCK`` by ``BLOCK`` sets.
     """
     # the partner of the best size for a set's shared tokens: if that cannot link, none can
     best = F.greatest(F.least("s", "most_n"), "least_n")
@@ -336,25 +343,27 @@ def _left_outside(many: DataFrame, roots: DataFrame, survivors: DataFrame, perce
     named = (able.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
              .select("sig", "key", F.coalesce("root", "key").alias("root")))
     held = named.groupBy("sig", "root").agg(F.count("*").alias("c"))
-    mode = (held.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"),
-                                    F.sum("c").alias("m"), F.max("c").alias("c")).where("roots > 1"))
+    mode = (held.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+            .where("roots > 1"))
+    met = save(named.join(mode.select("sig", "main"), "sig").select("main", "key", "root").distinct(), "outside")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    split = save(named.join(mode.select("sig", "main", blocks(F.col("m") - F.col("c")).alias("lefts"),
-                                        blocks(F.col("m")).alias("rights")), "sig"), "outside")
+    sizes = (met.groupBy("main").agg(F.count("*").alias("m"), F.count_if(F.col("root") != F.col("main")).alias("o"))
+             .select("main", blocks(F.col("o")).alias("lefts"), blocks(F.col("m")).alias("rights")))
+    split = met.join(sizes, "main")
     number = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = (split.where("root <> main").withColumn("l", number(F.col("lefts"))).withColumn("r", every(F.col("rights")))
             .withColumn("outside", F.lit(True)))
     right = (split.withColumn("r", number(F.col("rights"))).withColumn("l", every(F.col("lefts")))
              .withColumn("outside", F.lit(False)))
-    columns = ["sig", "l", "r", "outside", "key", "root"]
-    met = (left.select(*columns).unionByName(right.select(*columns))
-           .join(survivors.select("key", "n", "s", "token"), "key"))
+    columns = ["main", "l", "r", "outside", "key", "root"]
+    sides = (left.select(*columns).unionByName(right.select(*columns))
+             .join(survivors.select("key", "n", "token"), "key"))
     target = schema_of("u long, v long")
 
     def run(_key, table):
-        rows = table.to_pydict()
-        n, s, key, root = (np.array(rows[c]) for c in ("n", "s", "key", "root"))
+        rows = table.select(["n", "key", "root", "outside"]).to_pydict()
+        n, key, root = (np.array(rows[c]) for c in ("n", "key", "root"))
         token, ends = flat(table["token"])
         side = np.array(rows["outside"], bool)
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
@@ -369,7 +378,7 @@ def _left_outside(many: DataFrame, roots: DataFrame, survivors: DataFrame, perce
         _, once = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
         return pa.Table.from_arrays([pa.array(key[a][u[once]], pa.int64()), pa.array(key[b][v[once]], pa.int64())], schema=target)
 
-    return met.groupBy("sig", "l", "r").applyInArrow(run, "u long, v long")
+    return sides.groupBy("main", "l", "r").applyInArrow(run, "u long, v long")
 
 
 def _overlaps(token: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -411,7 +420,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, h
     sets, nodes, seed = _named_sets(docs, words)
     count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     hot_token, hot_df = _hot_tokens(sets, count)
-    parts = bucket_count(docs, total)
+    parts = bucket_count(docs, total, BUCKET_TOKENS)
     postings = _postings(docs, words, seed, parts, hot_token)
     survivors = _survivors(_shared_tokens(postings, parts, hot_token, hot_df), percent)
     pairs, many = _by_combination(survivors, percent, hot)

@@ -23,10 +23,10 @@ def schema_of(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def bucket_count(df: DataFrame, keys: int) -> int:
+def bucket_count(df: DataFrame, keys: int, of: int = BUCKET_KEYS) -> int:
     """Buckets for ``keys`` keys in all: enough for the cores, more as the input grows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-int(keys) // BUCKET_KEYS))
+    return max(cores, -(-int(keys) // of))
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:

@@ -63,7 +63,7 @@ class _Hashes(dict):
     def __missing__(self, term: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         h = xxhash.xxh64_intdigest(term)
         self[term] = h = h - (1 << 64) if h >> 63 else h
