@@ -7,8 +7,10 @@
 * strict (tags): any row with too many fields fails the job.
 * NA words (``NA``, ``null``, ``None``, ``nan``, empty, ...) become null.
 
-Multi-line CSV is not splittable, so :func:`csv_to_parquet` converts once and
-every later step reads parquet (pushdown, pruning, parallel splits).
+Files are read by byte ranges in many tasks (:mod:`.records`), also where quoted
+fields hold newlines; files in an encoding that cannot be cut at bytes are read whole,
+one task each.  :func:`csv_to_parquet` converts once, and every later step reads
+parquet (pushdown, pruning).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import NA_TOKENS, normalize_na
+from .records import csv_records, is_splittable
 
 # Fixed value: the source files are decoded as latin-1 by default.
 DEFAULT_ENCODING = "ISO-8859-1"
@@ -33,15 +36,17 @@ def field_count(line: Column) -> Column:
     return F.size(F.split(F.regexp_replace(line, r'"(?:[^"]++|"")*+"', "q"), ",", -1))
 
 
+_PARSE = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+
 def _raw(spark: SparkSession, path: str, schema: T.StructType, encoding: str) -> DataFrame:
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
                            + [T.StructField(_CORRUPT, T.StringType())])
-    return (spark.read.schema(as_text)
-            .option("header", "true").option("multiLine", "true")
-            .option("quote", '"').option("escape", '"')
-            .option("encoding", encoding).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .csv(path))
+    if is_splittable(encoding):
+        ddl = ", ".join(f"`{f.name}` STRING" for f in as_text.fields)
+        parsed = F.from_csv("record", ddl, _PARSE)
+        return csv_records(spark, path, encoding).select(parsed.alias("row")).select("row.*")
+    return (spark.read.schema(as_text).options(header="true", multiLine="true", encoding=encoding, **_PARSE).csv(path))
 
 
 def _touch_data(schema: T.StructType) -> Column:
