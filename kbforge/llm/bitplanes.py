@@ -54,24 +54,75 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class _Remembered(dict):
-    """Values of a function, remembered in two generations of bounded size.
+class _Units(dict):
+    """Ids of units, remembered in two generations of bounded size.
 
     A full dictionary becomes the old generation, from which what recurs is taken over.
+    A unit is what lies between two spaces, so that a space is part of its first piece.
     """
 
-    def __init__(self, value, size: int):
-        self.value, self.size, self.old = value, size, {}
+    def __init__(self, tokenizer, size: int):
+        self.size, self.old, self.marks = size, {}, {}
+        self.tokenize, self.tokenizer = tokenizer.model.tokenize, tokenizer
+        self.letters = _byte_letters()
+        self.space = self.letters[0x20]
+        self.newline = self.library("\n")
+        self.four = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.value(key)
+    def library(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def piece(self, letters: str) -> bytes:
+        """Ids of one piece, given in the letters of its bytes, by the model alone."""
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(letters)])
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            if unit.isalpha():
+                ids = self.run_of_letters(self.space, unit)
+            else:
+                head = unit.rstrip(_MARKS)
+                if head.isalpha():
+                    ids = self[head] + self.run_of_marks(unit[len(head):])
+                else:
+                    ids = self.other(unit)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[unit] = ids
+        return ids
+
+    def run_of_letters(self, space: str, run: str) -> bytes:
+        if run.isascii():
+            return self.piece(space + run)                          # these stand for themselves
+        if max(run) < _LETTERS_BELOW:
+            return self.piece(space + run.encode().decode("latin-1").translate(self.letters))
+        return self.library((" " if space else "") + run)
+
+    def run_of_marks(self, run: str) -> bytes:
+        ids = self.marks.get(run)
+        if ids is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[run] = ids = self.piece(run)                 # printable ASCII stands for itself
+        return ids
+
+    def other(self, unit: str) -> bytes:
+        """A unit that is no run of letters with marks: lines of such are taken apart."""
+        lines = unit.split("\n")
+        if len(lines) == 1:
+            return self.library(" " + unit)
+        cut = [(line.rstrip(_MARKS), line) for line in lines]
+        if not all(run.isalpha() for run, _ in cut):
+            return self.library(" " + unit)
+        out = [self[lines[0]]]
+        for run, line in cut[1:]:
+            out += (self.newline, self.run_of_letters("", run))
+            if len(run) < len(line):
+                out.append(self.run_of_marks(line[len(run):]))
+        return b"".join(out)
 
 
 class UnitEncoder:
@@ -80,57 +131,32 @@ class UnitEncoder:
     The tokenizer's own splitting rule always starts a new piece at a space that
     is followed by a non-space, and pieces are encoded independently, so a text
     cut at those spaces gives the same ids unit by unit.  A unit of letters and
-    trailing punctuation is two such pieces.  Units and pieces are looked up in
-    bounded dictionaries; unknown ones go to the ``tokenizers`` library, a run of
-    letters or of punctuation straight to its model, as the splitting rule has
-    nothing to cut there.  A text in which a special token of the file is written out
-    goes to the library whole.
+    trailing punctuation is two such pieces, and a newline between two non-spaces is a
+    piece of its own.  Units are looked up in a bounded dictionary; unknown ones go to
+    the ``tokenizers`` library, a run of letters or of punctuation straight to its
+    model, as the splitting rule has nothing to cut there.  A text in which a special
+    token of the file is written out goes to the library whole.
     """
 
-    def __init__(self, path: str, max_units: int = 300_000):
+    def __init__(self, path: str, max_units: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        letters = _byte_letters()
-        space, four = letters[0x20], [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        tokenize, library = self.tokenizer.model.tokenize, self._library
-
-        def piece_ids(piece: str) -> bytes:
-            return b"".join([four[t.id] for t in tokenize(piece)])
-
-        pieces = _Remembered(piece_ids, max_units)
-
-        def unit_ids(unit: str) -> bytes:
-            # a unit is found after a space, which is part of its first piece
-            head = unit.rstrip(_MARKS)
-            if not head.isalpha():
-                return library(" " + unit)
-            if head.isascii():
-                ids = pieces[space + head]
-            elif max(head) < _LETTERS_BELOW:
-                ids = pieces[space + head.encode().decode("latin-1").translate(letters)]
-            else:
-                ids = library(" " + head)
-            return ids + pieces[unit[len(head):]] if len(head) < len(unit) else ids     # marks stand for themselves
-
-        self.units = _Remembered(unit_ids, max_units)
-
-    def _library(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.units = _Units(tokenizer, max_units)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         for s in self.special:
             if s in text:
-                return self._library(text)
+                return self.units.library(text)
         if _ODD_SPACE.search(text):
             # a space run or a space before other white space: cut at the spaced words only
             first, *units = _BEFORE_SPACED.split(text)
             units = [u[1:] for u in units]
         else:
             first, *units = text.split(" ")
-        return (self._library(first) if first else b"") + b"".join(map(self.units.__getitem__, units))
+        return (self.units.library(first) if first else b"") + b"".join(map(self.units.__getitem__, units))
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
