@@ -53,8 +53,8 @@ from kbforge.llm.packed import bucket_count, deal, flat, lists, mixed, offsets,
 
 WORDS = 4
 PERCENT = 85
-CLASS_DF = (32, 1024)       # largest document frequency of class 1 and of class 2
-SUBCLASS = 6                # missing tokens a sub-class is meant to cover
+CLASS_DF = (32, 4096)       # largest document frequency of class 1 and of class 2
+SUBCLASS = 3                # missing tokens a sub-class is meant to cover
 SMALL = 8                   # smaller sets use single tokens only
 HOT = 32
 BLOCK = 256                 # sets of one side of a verified block
@@ -323,7 +323,9 @@ def _by_combination(survivors: DataFrame, percent: int, hot: int) -> tuple[DataF
            .select(F.col("one.key").alias("u"), F.explode(F.filter("all", lambda x: (x["key"] < F.col("one.key")) & able(x)))
                    .alias("other")).select("u", F.col("other.key").alias("v")))
     many = members.where(F.col("m") > hot)
-    stars = (many.select(F.struct("key", "n", "s").alias("one"), "pivots")
+    # combinations of one set mostly have the same pivots: gathered by set before they are listed
+    stars = (many.groupBy("key", "n", "s").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+             .select(F.struct("key", "n", "s").alias("one"), "pivots")
              .select("one.key", F.explode(F.filter("pivots", lambda x: (x["key"] != F.col("one.key")) & able(x))).alias("other"))
              .select(F.greatest("key", "other.key").alias("u"), F.least("key", "other.key").alias("v")))
     return few.unionByName(stars).distinct(), many
