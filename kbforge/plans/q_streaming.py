@@ -23,17 +23,22 @@ from .flagship import SQL_RAG_ANSWERS, _answers_out, conversation_questions, cur
 from .index import qa_records
 from .registry import register
 
-# Rows of one file of a replayed table; a trigger takes as many files as there are cores.
-ROWS_PER_FILE = 50_000
-
+# A replayed table arrives in so many files, two a micro-batch, whatever its size.
+REPLAY_FILES = 8
+FILES_PER_TRIGGER = 2
 
 
 def _as_file_stream(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    """Deal the rows to ``REPLAY_FILES`` files by a hash of all their columns."""
+    name = "__replay_file"
+    (df.withColumn(name, F.pmod(F.xxhash64(*df.columns), F.lit(REPLAY_FILES)))
+     .repartitionByRange(REPLAY_FILES, name).drop(name).write.mode("overwrite").parquet(path))
 
 
-def _per_trigger(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def _several(batches: int) -> None:
+    """The replay must have gone through state and several batches, or it shows nothing."""
+    if batches < REPLAY_FILES // FILES_PER_TRIGGER // 2:
+        raise RuntimeError(f"the stream ran in {batches} micro-batches")
 
 
 SQL_COUNTS = """
@@ -52,8 +57,8 @@ def stm3_stream(spark: SparkSession, sf: str) -> DataFrame:
     run = run_folder(spark, "metrics")
     ev = A.table(spark, sf, "events")
     _as_file_stream(ev, f"{run}/in")
-    request_metrics_to_table(spark, f"{run}/in", ev.schema, f"{run}/out", f"{run}/ckpt",
-                             DEFAULT_WINDOW, DEFAULT_WATERMARK, max_files_per_trigger=_per_trigger(spark))
+    _several(request_metrics_to_table(spark, f"{run}/in", ev.schema, f"{run}/out", f"{run}/ckpt",
+                                      DEFAULT_WINDOW, DEFAULT_WATERMARK, max_files_per_trigger=FILES_PER_TRIGGER))
     return spark.read.parquet(f"{run}/out")
 
 
@@ -69,8 +74,8 @@ def evt1_stream(spark: SparkSession, sf: str) -> DataFrame:
     run = run_folder(spark, "health")
     ev = A.table(spark, sf, "events")
     _as_file_stream(ev, f"{run}/in")
-    health_stream(spark, f"{run}/in", ev.schema, A.table(spark, sf, "embeddings"), f"{run}/out",
-                  f"{run}/ckpt", max_files_per_trigger=_per_trigger(spark))
+    _several(health_stream(spark, f"{run}/in", ev.schema, A.table(spark, sf, "embeddings"), f"{run}/out",
+                           f"{run}/ckpt", max_files_per_trigger=FILES_PER_TRIGGER))
     return spark.read.parquet(f"{run}/out")
 
 
@@ -97,9 +102,9 @@ def stm1(spark: SparkSession, sf: str) -> DataFrame:
             "meta", F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("question_score"),
                              F.lit(None).cast("int").alias("answer_score")))
 
-    incremental_index_load(spark, f"{run}/in", docs.schema, to_records, f"{run}/collection",
-                           f"{run}/ckpt", max_files_per_trigger=_per_trigger(spark),
-                           source_id=F.col("doc_id").cast("string"))
+    _several(incremental_index_load(spark, f"{run}/in", docs.schema, to_records, f"{run}/collection",
+                                    f"{run}/ckpt", max_files_per_trigger=FILES_PER_TRIGGER,
+                                    source_id=F.col("doc_id").cast("string")))
     col = spark.read.parquet(f"{run}/collection")
     return col.select("key", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n_buckets"))
 
@@ -113,9 +118,9 @@ def stm2(spark: SparkSession, sf: str) -> DataFrame:
     index = spark.read.parquet(f"{run}/index")
     qs = conversation_questions(spark, sf)
     _as_file_stream(qs, f"{run}/in")
-    streaming_ask(spark, f"{run}/in", qs.schema, index, f"{run}/answers", f"{run}/ckpt",
-                  HashingEmbedder(DEFAULT_DIM), present=lambda a: _answers_out({"answers": a}),
-                  max_files_per_trigger=_per_trigger(spark))
+    _several(streaming_ask(spark, f"{run}/in", qs.schema, index, f"{run}/answers", f"{run}/ckpt",
+                           HashingEmbedder(DEFAULT_DIM), present=lambda a: _answers_out({"answers": a}),
+                           max_files_per_trigger=FILES_PER_TRIGGER))
     return spark.read.parquet(f"{run}/answers").drop("batch")
 
 
@@ -130,8 +135,8 @@ def win2_stream(spark: SparkSession, sf: str) -> DataFrame:
     run = run_folder(spark, "history")
     conv = A.table(spark, sf, "conversations")
     _as_file_stream(conv, f"{run}/in")
-    history_stream(spark, f"{run}/in", conv.schema, "conv_id", "turn", "text", f"{run}/out", f"{run}/ckpt",
-                   max_files_per_trigger=_per_trigger(spark))
+    _several(history_stream(spark, f"{run}/in", conv.schema, "conv_id", "turn", "text", f"{run}/out", f"{run}/ckpt",
+                            max_files_per_trigger=FILES_PER_TRIGGER))
     return latest_history(spark, f"{run}/out", "conv_id", "turn")
 
 
@@ -147,6 +152,6 @@ def win2_event_stream(spark: SparkSession, sf: str) -> DataFrame:
     ev = A.table(spark, sf, "events").select(
         "user_id", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("ts_us"), "event_type")
     _as_file_stream(ev, f"{run}/in")
-    history_stream(spark, f"{run}/in", ev.schema, "user_id", "ts_us", "event_type", f"{run}/out", f"{run}/ckpt",
-                   max_files_per_trigger=_per_trigger(spark))
+    _several(history_stream(spark, f"{run}/in", ev.schema, "user_id", "ts_us", "event_type", f"{run}/out", f"{run}/ckpt",
+                            max_files_per_trigger=FILES_PER_TRIGGER))
     return latest_history(spark, f"{run}/out", "user_id", "ts_us")

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import ellipsis
 from ..operators.history import HISTORY_DEPTH, PREVIEW_CHARS
+from .batches import run_available
 
 
 def _newest(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
@@ -49,7 +50,7 @@ def _update_fn(depth: int, idle_ms: int | None):
 
 def history_stream(spark: SparkSession, source_dir: str, schema: T.StructType, session: str, time: str,
                    text: str, out_path: str, checkpoint: str, depth: int = HISTORY_DEPTH,
-                   max_files_per_trigger: int | None = None, idle_ms: int | None = None) -> None:
+                   max_files_per_trigger: int | None = None, idle_ms: int | None = None) -> int:
     """``idle_ms``: a session's state is dropped after that long without an entry (never if None)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -67,9 +68,7 @@ def history_stream(spark: SparkSession, source_dir: str, schema: T.StructType, s
         # failure (foreachBatch is at-least-once), so no emission is stored twice
         batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
-    q = (hist.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return run_available(hist, write, checkpoint, "update")
 
 
 def latest_history(spark: SparkSession, out_path: str, session: str, time: str) -> DataFrame:

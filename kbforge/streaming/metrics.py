@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import elapsed_seconds
+from .batches import run_available
 
 DEFAULT_WINDOW = "1 hour"
 DEFAULT_WATERMARK = "1 day"
@@ -65,7 +66,7 @@ def health_snapshot(events: DataFrame, index: DataFrame, ts: str = "ts") -> Data
 
 
 def health_stream(spark, source_dir: str, schema, index: DataFrame, out_path: str, checkpoint: str,
-                  ts: str = "ts", max_files_per_trigger: int | None = None) -> None:
+                  ts: str = "ts", max_files_per_trigger: int | None = None) -> int:
     """EVT-1 / STM-3 streaming form: running request total, first and last
     request time and uptime, refreshed every micro-batch (complete mode over a
     single global group, so state is one row).  The index size is counted once
@@ -84,6 +85,4 @@ def health_stream(spark, source_dir: str, schema, index: DataFrame, out_path: st
                       "requests_served", F.lit(size).cast("long").alias("index_size"))
          .write.mode("overwrite").parquet(out_path))
 
-    q = (running.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return run_available(running, write, checkpoint, "complete")

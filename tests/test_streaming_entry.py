@@ -1,6 +1,8 @@
 """Streaming forms equal their batch twins; driver contract smoke checks."""
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -137,3 +139,94 @@ def test_known_questions_are_not_embedded_again(spark, tmp_dir):
         incremental_index_load(spark, f"{tmp_dir}/in", docs.schema, to_records, f"{tmp_dir}/coll", f"{tmp_dir}/{run}",
                                max_files_per_trigger=2, source_id=F.col("doc_id").cast("string"))
     assert sum(seen) == 20 and spark.read.parquet(f"{tmp_dir}/coll").count() == 20
+
+
+def _numbered_files(spark, folder, files, rows, first=0):
+    for f in range(first, first + files):
+        (spark.createDataFrame([(f * rows + i - (1 if i == 0 and f else 0), f"text {f} {i}") for i in range(rows)],
+                               "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder))
+
+
+def _plain_records(b):
+    return b.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"))
+
+
+def test_a_batch_reads_none_of_its_own_history(spark, tmp_dir, monkeypatch):
+    """Fifty micro-batches: state grows by the ids alone, and nothing written before is read again."""
+    from kbforge.streaming import index_load
+    read = []
+    monkeypatch.setattr(index_load, "written_elsewhere", lambda *a: read.append(written(*a)) or read[-1])
+    written = __import__("kbforge.streaming.batches", fromlist=["x"]).written_elsewhere
+    _numbered_files(spark, f"{tmp_dir}/in", 50, 4)
+    schema = spark.read.parquet(f"{tmp_dir}/in").schema
+    batches = index_load.incremental_index_load(spark, f"{tmp_dir}/in", schema, _plain_records, f"{tmp_dir}/coll",
+                                                f"{tmp_dir}/ck", max_files_per_trigger=1,
+                                                source_id=F.col("doc_id").cast("string"))
+    assert batches == 50 and read == [None] * 50
+    # each file but the first repeats the last id of the one before it
+    ids = [r.id for r in spark.read.parquet(f"{tmp_dir}/coll").select("id").collect()]
+    assert len(ids) == len(set(ids)) == 50 * 4 - 49
+    again = index_load.incremental_index_load(spark, f"{tmp_dir}/in", schema, _plain_records, f"{tmp_dir}/coll",
+                                              f"{tmp_dir}/ck", max_files_per_trigger=1, source_id=F.col("doc_id").cast("string"))
+    assert again == 0 and spark.read.parquet(f"{tmp_dir}/coll").count() == len(ids)
+
+
+def test_a_batch_run_again_after_a_loss_adds_nothing(spark, tmp_dir):
+    """The last commit of the checkpoint is lost: its batch runs again from the state before it."""
+    import os
+
+    from kbforge.streaming.index_load import incremental_index_load
+    _numbered_files(spark, f"{tmp_dir}/in", 4, 5)
+    schema = spark.read.parquet(f"{tmp_dir}/in").schema
+
+    def load():
+        return incremental_index_load(spark, f"{tmp_dir}/in", schema, _plain_records, f"{tmp_dir}/coll", f"{tmp_dir}/ck",
+                                      max_files_per_trigger=2, source_id=F.col("doc_id").cast("string"))
+
+    assert load() == 2
+    want = sorted(r.id for r in spark.read.parquet(f"{tmp_dir}/coll").collect())
+    for name in ("1", ".1.crc"):
+        path = f"{tmp_dir}/ck/commits/{name}"
+        if os.path.exists(path):
+            os.remove(path)
+    assert load() == 1                                       # the uncommitted batch, once more
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_dir}/coll").collect()) == want
+    _numbered_files(spark, f"{tmp_dir}/in", 1, 5, first=4)
+    assert load() == 1 and spark.read.parquet(f"{tmp_dir}/coll").count() == len(want) + 4
+
+
+def test_ids_are_forgotten_after_their_time(spark, tmp_dir):
+    import os
+    import time
+
+    from kbforge.streaming.index_load import incremental_index_load
+    schema, now = "doc_id long, text string", time.time()
+    os.makedirs(f"{tmp_dir}/all")
+    for k, age in enumerate((7200, 3600, 0)):                # the same id, in files an hour apart
+        spark.createDataFrame([(1, f"v{k}"), (10 + k, "x")], schema).coalesce(1).write.parquet(f"{tmp_dir}/in{k}")
+        part = next(f"{tmp_dir}/in{k}/{n}" for n in os.listdir(f"{tmp_dir}/in{k}") if n.startswith("part-"))
+        os.replace(part, f"{tmp_dir}/all/{k}.parquet")
+        os.utime(f"{tmp_dir}/all/{k}.parquet", (now - age, now - age))
+        for keep, want in ((None, 1), ("1 day", 1), ("10 minutes", 1 + k // 2)):
+            out = f"{tmp_dir}/coll-{keep}"
+            incremental_index_load(spark, f"{tmp_dir}/all", spark.read.parquet(f"{tmp_dir}/all").schema, _plain_records, out,
+                                   f"{tmp_dir}/ck-{keep}", source_id=F.col("doc_id").cast("string"), keep_ids_for=keep)
+            got = spark.read.parquet(out)
+            # the second file still meets the state; it moves the watermark past the first one's time
+            assert got.where("id = '1'").count() == want and got.count() == want + k + 1
+
+
+def test_registered_streams_run_in_several_batches(spark):
+    import __spark_entry__ as E
+    from kbforge.plans import q_streaming as Q
+    with pytest.raises(RuntimeError, match="micro-batches"):
+        Q._several(1)
+    seen = []
+    for name in ("stm1_incremental_index", "stm3_request_counts_stream", "win2_event_history_stream"):
+        before = Q._several
+        try:
+            Q._several = lambda n: (seen.append(n), before(n))
+            E.queries()[name](spark, SF001).count()
+        finally:
+            Q._several = before
+    assert len(seen) == 3 and all(n >= 3 for n in seen)
