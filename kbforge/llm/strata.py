@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from kbforge.llm.common import prepare, save, scratch
 from kbforge.llm.packed import flat, lists, offsets, runs, schema_of
 
-PART_POSTINGS = 1_000_000
+PART_POSTINGS = 500_000
 BLOCK_TERMS = 100_000
 # ASCII letters in lower case, digits and all bytes of other characters; the rest parts terms
 _LOWER = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
