@@ -8,30 +8,34 @@ bytes, so the whole text counts.  A filter is a table with one row per byte and
 place; for scoring, the tables of two neighbouring places are added up once per
 byte pair.
 
-Training is Adam in numpy on windows of at most about ``max_rows`` documents outside
-the held-out fold, the same number of each language as far as there are any,
-chosen by a seeded hash of doc_id.
+Training is Adam in numpy on windows of about ``max_rows`` documents outside the
+held-out fold, the same number of each language as far as there are any and at least
+one of each, chosen by a seeded hash of doc_id and text; equal windows are learned from
+once.  Every language that occurs is learned; more than ``MAX_LANGUAGES`` different
+values of lang are an error, as they cannot be languages.
 
 ``und`` with score 0 is returned for null text, text without a letter, and when
 there is nothing to learn from.  Rows with a null doc_id are scored but not learned
-from.  Repeated rows are scored separately.  An empty table gives an empty result.
+from.  Of languages with equal probability the first by name is taken.  Repeated rows
+are scored separately.  An empty table gives an empty result.
 Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import held_out, map_batches
+from kbforge.llm.common import held_out, map_batches, save
 
 MAX_ROWS = 4_000
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 20_000
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -137,14 +141,24 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, per_document: int = 3) -> N
     """Learn from up to ``per_document`` windows, spread over the text, of the chosen documents."""
     usable = (docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
               .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(4, 2)))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
     share = max_rows // len(languages) + 1
-    rates = F.create_map(*[c for r in counts for c in (F.lit(r["lang"]), F.lit(min(1.0, share / r["count"])))])
-    draw = F.pmod(F.xxhash64(F.lit("cnn"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    chosen = usable.where(draw < F.coalesce(rates[F.col("lang")], F.lit(0.0)))
+    spark = docs.sparkSession
+    # one row a language
+    rates = spark.createDataFrame([(r["lang"], min(1.0, 2 * share / r["count"])) for r in counts], "lang string, rate double")
+    draw = F.pmod(F.xxhash64(F.lit("cnn"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(rates), "lang").where("draw < rate")
+    # exactly the first ones of each language, at least one; equal texts count once
+    first = (drawn.select("lang", "draw", F.xxhash64("text").alias("h")).distinct()
+             .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h")))
+             .where(F.col("place") <= share).select("lang", "h").distinct())
+    chosen = (drawn.withColumn("h", F.xxhash64("text")).join(F.broadcast(save(first, "chosen")), ["lang", "h"])
+              .select("doc_id", "text", "lang"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": [], "lang": [], "place": [], "bytes": []}
@@ -158,6 +172,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, per_document: int = 3) -> N
         return out
 
     rows = (map_batches(chosen, cut, "doc_id long, lang string, place int, bytes binary")
+            .groupBy("lang", "bytes").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
             .orderBy("doc_id", "place", "lang", "bytes").toArrow().to_pydict())
     if not rows["bytes"]:
         return None
@@ -169,10 +184,18 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, per_document: int = 3) -> N
 _PAIRS: dict[str, list] = {}
 
 
+def _pairs(key: str, net: Network) -> list:
+    """The pair tables of a network, kept by the worker for its next tasks (a function of the module, so not shipped)."""
+    if key not in _PAIRS:
+        _PAIRS.clear()
+        _PAIRS[key] = net.pairs()
+    return _PAIRS[key]
+
+
 def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    key = f"{docs.sparkSession.sparkContext.applicationId}-{id(sent)}"
+    key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         net = sent.value
@@ -180,10 +203,7 @@ def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if net else []
         if known:
-            if key not in _PAIRS:
-                _PAIRS.clear()
-                _PAIRS[key] = net.pairs()
-            at = 0
+            pairs, at = _pairs(key, net), 0
             while at < len(known):                   # about 4 MB of windows at a time
                 group, size = [], 0
                 while at < len(known) and size < 32_768:
@@ -192,7 +212,7 @@ def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
                     at += 1
                 x = np.concatenate([g[0] for g in group])
                 weight = np.concatenate([g[1] for g in group])[:, None]
-                p = net.probabilities(x, _PAIRS[key]) * weight
+                p = net.probabilities(x, pairs) * weight
                 start = np.concatenate([[0], np.cumsum([len(g[0]) for g in group])[:-1]])
                 mean = np.add.reduceat(p, start, axis=0) / np.add.reduceat(weight, start, axis=0)
                 for k, row in zip(known[at - len(group):at], mean, strict=True):

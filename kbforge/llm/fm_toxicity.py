@@ -8,21 +8,26 @@ terms'.  The score is the logistic of
     bias + sum of linear weights + (|sum of factors|^2 - sum of |factors|^2) / 2n
 
 over the n words, so pairs of words (an insult with a group's name) weigh in beside
-single ones.  Training is AdaGrad in numpy on at most ``max_rows`` labelled
-documents outside the held-out fold.  Only terms in at least ``min_docs`` of them whose
-share of documents differs between the labels (chi-square of ``min_chi`` or more) have
-a weight, which keeps rare words of single documents from being learned by heart.
-Whole texts are scored.
+single ones, also where neither word tells anything alone.  Training is AdaGrad in
+numpy on at most ``max_rows`` labelled documents outside the held-out fold, and
+on at most ``max_words`` different words of each (those of the smallest hash).  Every term
+in at least ``min_docs`` of them takes part, with a linear weight and with factors.
+What they do not earn is taken from them while they are learned: a lasso step
+shrinks linear weights and a group lasso step whole factor vectors, so rare words of
+single documents are not learned by heart and most terms end with neither.  Whole
+texts are scored.
 
 Null text is the empty text; it and texts without words score the logistic of the
-bias.  Without any usable label every score is 0.  Repeated rows are scored
-separately, null ids are kept.  An empty table gives an empty result.  Other
-columns are not read.
+bias.  Without any usable label every score is 0.  A score of exactly the threshold
+is toxic.  Of several texts under one labelled doc_id one is learned from, that with the
+smallest hash.  Repeated rows are scored separately, null ids are kept.  An empty
+table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -35,6 +40,7 @@ from kbforge.llm.common import held_out, id_and_text, map_batches, training_ids
 from kbforge.llm.trees import sigmoid
 
 MAX_ROWS = 10_000
+MAX_WORDS = 3_000
 TERMS = 4
 STEMS = (4, 5, 6)
 SPACE = 1 << 24
@@ -53,17 +59,11 @@ def terms(word: str) -> list[int]:
     return out
 
 
-def telling_terms(docs: list[np.ndarray], y: np.ndarray, min_docs: int, min_chi: float) -> np.ndarray:
-    """Sorted terms whose document counts differ between the labels by chi-square ``min_chi`` (2 x 2 table)."""
+def common_terms(docs: list[np.ndarray], min_docs: int) -> np.ndarray:
+    """Sorted terms that at least ``min_docs`` of the documents have."""
     sets = [np.unique(d) for d in docs] or [np.zeros(0, np.int64)]
-    every, where = np.unique(np.concatenate(sets), return_inverse=True)
-    label = np.repeat(y, [len(s) for s in sets]) if len(docs) else np.zeros(0)
-    count = np.bincount(where, minlength=len(every)).astype(float)
-    toxic = np.bincount(where, label, len(every))
-    n, m = max(1, len(y)), float(y.sum())
-    expected = count * m / n
-    spread = np.maximum(expected * (1 - m / n) * (1 - count / n), 1e-9)
-    return every[(count >= min_docs) & (every > 0) & ((toxic - expected) ** 2 / spread >= min_chi)]
+    every, count = np.unique(np.concatenate(sets), return_counts=True)
+    return every[(count >= min_docs) & (every > 0)]
 
 
 def _places(kept: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -83,9 +83,9 @@ class Machine:
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20, rate: float = 0.4,
-        ridge: float = 1e-5, min_docs: int = 4, min_chi: float = 12.0, batch: int = 64, seed: int = 11) -> Machine:
+        lasso: float = 7e-4, group_lasso: float = 1e-4, min_docs: int = 4, batch: int = 64, seed: int = 11) -> Machine:
     """``docs``: for each document the terms of its words, one row of ``TERMS`` a word."""
-    kept = telling_terms(docs, y, min_docs, min_chi)
+    kept = common_terms(docs, min_docs)
     rows = [_places(kept, d) for d in docs]
     length = np.array([max(1, len(d)) for d in docs])
     # words without a weight add nothing but their number; one empty word stands for a text without others
@@ -97,7 +97,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20,
     factors[0] = 0
     prior = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     bias = np.array(np.log(prior / (1 - prior)))
-    gl, gf, gb = np.full(len(linear), 1e-6), np.full(factors.shape, 1e-6), 1e-6
+    gl, gf, gb = np.full(len(linear), 1e-6), np.full(len(factors), 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -110,21 +110,25 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20,
             pair = (total ** 2).sum(axis=1) - np.add.reduceat((words ** 2).sum(axis=1), start)
             z = bias + np.add.reduceat(linear[idx].sum(axis=1), start) + pair / (2 * n)
             g = (sigmoid(z) - y[pick]) / len(pick)
-            each = np.repeat(g, own)
-            flat = idx.ravel()
-            size = len(linear)
-            d_linear = np.bincount(flat, np.repeat(each, TERMS), size) + ridge * linear
-            d_words = (np.repeat(g / n, own))[:, None] * (np.repeat(total, own, axis=0) - words)
-            d_factors = np.stack([np.bincount(flat, np.repeat(d_words[:, f], TERMS), size) for f in range(rank)],
-                                 axis=1) + ridge * factors
-            gl += d_linear ** 2
-            gf += d_factors ** 2
+            met, flat = np.unique(idx.ravel(), return_inverse=True)      # only terms of the batch move
+            d_linear = np.bincount(flat, np.repeat(np.repeat(g, own), TERMS), len(met))
+            d_words = np.repeat(g / n, own)[:, None] * (np.repeat(total, own, axis=0) - words)
+            d_factors = np.stack([np.bincount(flat, np.repeat(d_words[:, f], TERMS), len(met)) for f in range(rank)], axis=1)
+            gl[met] += d_linear ** 2
+            gf[met] += (d_factors ** 2).sum(axis=1)
             gb += g.sum() ** 2
-            linear -= rate * d_linear / np.sqrt(gl)
-            factors -= 0.3 * rate * d_factors / np.sqrt(gf)
+            step = rate / np.sqrt(gl[met])
+            w = linear[met] - step * d_linear
+            linear[met] = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
+            step = 0.3 * rate / np.sqrt(gf[met])
+            v = factors[met] - step[:, None] * d_factors
+            norm = np.sqrt((v ** 2).sum(axis=1))
+            factors[met] = v * (np.maximum(norm - step * group_lasso, 0) / np.maximum(norm, 1e-12))[:, None]
             bias = bias - rate * g.sum() / np.sqrt(gb)
             linear[0], factors[0] = 0, 0
-    return Machine(float(bias), {int(t): k + 1 for k, t in enumerate(kept)}, linear, factors)
+    used = np.flatnonzero((linear != 0) | factors.any(axis=1))          # only these are shipped
+    at = np.concatenate([[0], used])
+    return Machine(float(bias), {int(kept[t - 1]): k + 1 for k, t in enumerate(used)}, linear[at], factors[at])
 
 
 class Scorer:
@@ -175,16 +179,23 @@ class Scorer:
         return float(sigmoid(np.float64(z)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Machine | None:
     chosen = training_ids(labels, "toxic", 5, 0, max_rows)
 
+    def some(text: str) -> list[str]:
+        words = words_of(text)
+        if len(words) > max_words:
+            words = sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:max_words]
+        return sorted(words)
+
     def hashed(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0),
-                "terms": [[t for w in sorted(words_of(x.as_py())) for t in terms(w)] for x in batch.column(1)]}
+        return {"doc_id": batch.column(0), "terms": [[t for w in some(x.as_py()) for t in terms(w)] for x in batch.column(1)]}
 
     used = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    # one row a doc_id: at most max_rows come to the driver, of at most max_words words
     table = (map_batches(id_and_text(used), hashed, "doc_id long, terms array<int>")
-             .join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("terms")).toArrow())
+             .groupBy("doc_id").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms"))
+             .join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow())
     if not table.num_rows:
         return None
     # one row of TERMS a word, viewed without making Python objects
@@ -195,21 +206,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     return fit(rows, y)
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model: Machine) -> Scorer:
+    """The scorer of a model, kept by the worker for its next tasks (a function of the module, so not shipped)."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
 
 
 def scores(docs: DataFrame, model: Machine | None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = sent.id if hasattr(sent, "id") else id(sent)
+    key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         if sent.value is None:
             return {"doc_id": batch.column(0), "score": [0.0] * batch.num_rows}
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
-        score = _SCORERS[key].score
+        score = _scorer(key, sent.value).score
         return {"doc_id": batch.column(0), "score": [score(t.as_py()) for t in batch.column(1)]}
 
     return (map_batches(id_and_text(docs), run, "doc_id long, score double")

@@ -9,7 +9,8 @@ or exclamation marks can never raise a score.
 
 Null text is the empty text (no words: base_failed).  Without usable labels of
 both kinds there is no model and every document that passes the base rules is
-kept.  Repeated rows are scored separately, null ids are kept.  An empty table
+kept.  A score of exactly ``keep_score`` keeps.  Of several texts under one labelled
+doc_id the one with the smallest ratios is learned from.  Repeated rows are scored separately, null ids are kept.  An empty table
 gives an empty result.  Other columns are not read.
 """
 
@@ -44,8 +45,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 def training_table(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Ratios and 0/1 labels of at most ``max_rows`` documents outside the held-out fold."""
     chosen = training_ids(labels, label, 5, 0, max_rows)
+    # one row a doc_id, so at most max_rows come to the driver
     rows = (statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-            .select("doc_id", *RATIOS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *RATIOS).toPandas())
+            .groupBy("doc_id").agg(F.min(F.struct(*RATIOS)).alias("r")).select("doc_id", "r.*")
+            .join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas())
     return rows[list(RATIOS)].to_numpy(float), (rows["label"].to_numpy() > 0).astype(float)
 
 

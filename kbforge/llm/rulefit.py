@@ -6,7 +6,9 @@ them, and what is left becomes a Spark column expression: intercept plus the
 weights of the rules that hold, through the logistic function.
 
 Null text is the empty text, scored by its statistics (all 0).  Without usable
-labels of both kinds the score is 0.5 for every row.  Repeated rows are scored
+labels of both kinds the score is 0.5 for every row.  A score of exactly the threshold
+counts as good.  Of several texts under one labelled doc_id the one with the smallest
+statistics is learned from.  Columns of any name are kept.  Repeated rows are scored
 separately, null ids are kept.  An empty table gives an empty result.
 """
 
@@ -135,5 +137,7 @@ def keep_good(docs: DataFrame, model: RuleModel | None, threshold: float = THRES
         return pd.DataFrame([measure(t)[-n:] for t in text], columns=list(RATIOS), dtype=float)
 
     made = "__rulefit_stats"
+    while made.lower() in {c.lower() for c in docs.columns}:
+        made += "_"
     return (docs.withColumn(made, stats(F.coalesce("text", F.lit(""))))
             .where(score_column(model, lambda name: F.col(made)[name]) >= threshold).drop(made))

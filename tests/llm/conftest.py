@@ -20,7 +20,8 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string"
 # names that the operators use for themselves
 CLASHES = ["h", "fp", "cell", "size", "score", "copies", "bucket", "words", "s", "epochs", "cutoff", "row", "kept",
-           "component_id", "root", "node", "low", "keep", "n_chars", "label", "target", "held_out", "start", "shard"]
+           "component_id", "root", "node", "low", "keep", "n_chars", "label", "target", "held_out", "start", "shard", "__rulefit_stats",
+           "border", "draw", "terms", "seg", "codes", "m", "key", "bucket_", "one", "place"]
 
 
 @pytest.fixture(scope="session")

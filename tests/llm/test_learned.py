@@ -150,7 +150,7 @@ def test_pairs_matter_to_the_machine():
         words |= ({"rude"} if a else {"nice"}) | ({"folk"} if b else {"tree"})
         docs.append(np.array([X.terms(w) for w in sorted(words)]))
         y.append(float(a == b))                      # a linear model scores every document alike
-    model = X.fit(docs[:2500], np.array(y[:2500]), min_chi=0.0, epochs=40, rate=0.2)
+    model = X.fit(docs[:2500], np.array(y[:2500]))
     z = []
     for d in docs[2500:]:
         idx = np.array([[model.term.get(int(t), 0) for t in row] for row in d])
@@ -159,6 +159,48 @@ def test_pairs_matter_to_the_machine():
     assert np.mean((np.array(z) > 0) == np.array(y[2500:])) > 0.95
 
 
+def pair_sums(model, docs):
+    out = []
+    for d in docs:
+        idx = np.array([[model.term.get(int(t), 0) for t in row] for row in d] or [[0] * X.TERMS])
+        f = model.factors[idx].sum(axis=1)
+        out.append((model.bias + model.linear[idx].sum(), ((f.sum(axis=0) ** 2).sum() - (f ** 2).sum()) / (2 * max(1, len(d)))))
+    return np.array(out)
+
+
+def test_pairs_take_part_on_the_tables(tables):
+    """The shipped machine has factors, and the pair sum moves scores and decisions of real rows."""
+    docs, labels = tables
+    model = X.train(docs, labels)
+    assert 100 < model.factors.any(axis=1).sum() < len(model.linear) <= 20_000
+    texts = [r.text for r in docs.join(labels, "doc_id").select("text").collect()]
+    z = pair_sums(model, [[X.terms(w) for w in sorted(X.words_of(t or ""))] for t in texts])
+    linear, pairs = z[:, 0], z[:, 1]
+    assert (np.abs(pairs) > 0.1).mean() > 0.5 and ((linear >= 0) != (linear + pairs >= 0)).sum() >= 1
+
+
+def test_repeated_ids_do_not_pass_the_bound_of_training_rows(spark, monkeypatch):
+    rows = [(1, f"text number {i} of one id", "en") for i in range(3000)] + [(i, f"good words {i}", "en") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    x, y = Q.training_table(docs, labels, "quality", 50)
+    assert len(x) == len(y) <= 50
+    seen = []
+    monkeypatch.setattr(X, "fit", lambda rows, y: seen.append(len(rows)))
+    X.train(docs, labels, max_rows=60)
+    assert 30 < seen[0] <= 60
+    monkeypatch.setattr(L, "fit", lambda x, y, languages: seen.append(len(x)))
+    L.train(docs, max_rows=40)
+    assert 30 < seen[1] <= 3 * 41
+
+
+def test_all_languages_are_learned(spark):
+    names = [f"l{k:03d}" for k in range(230)]
+    rows = [(7 * k + j, f"abc {chr(0x400 + k)} {chr(0x400 + k) * 5} text", n) for k, n in enumerate(names) for j in range(6)]
+    net = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=300)
+    assert net.languages == names
+
+
 def test_bounded_word_rows_do_not_change_scores(tables):
     docs, labels = tables
     model = X.train(docs, labels, max_rows=1500)
