@@ -39,12 +39,10 @@ CHUNK_SCHEMA = ("shard int, chunk int, first_id long, n_ids int, first_doc long,
 
 _BEFORE_SPACED = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
-# Characters that, after a run of letters, form a piece of their own up to the next letter, digit or space.
-_MARKS = ".,;:!?#$%&*|\"'()[]{}<>/+-=_@~^`\\"
-
-
-# Of letters below this the splitting rule and Python agree whatever their Unicode versions.
-_LETTERS_BELOW = "\u0250"
+# Units of these characters are split here as the tokenizer splits them; on them its rule and Python's classes agree.
+_PLAIN = re.compile("[\x21-\x7e\\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[0-9]+"
+                     "| ?[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\\s+(?!\\S)|\\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,15 +60,14 @@ class _Units(dict):
     """
 
     def __init__(self, tokenizer, size: int):
-        self.size, self.old, self.marks = size, {}, {}
+        self.size, self.old, self.parts = size, {}, {}
         self.tokenize, self.tokenizer = tokenizer.model.tokenize, tokenizer
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
-        self.newline = self.library("\n")
         self.four = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
     def library(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, letters: str) -> bytes:
         """Ids of one piece, given in the letters of its bytes, by the model alone."""
@@ -80,49 +77,39 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            if unit.isalpha():
-                ids = self.run_of_letters(self.space, unit)
+            if unit.isalpha() and unit.isascii():
+                ids = self.piece(self.space + unit)             # ASCII letters stand for themselves
+            elif _PLAIN.fullmatch(unit):
+                first, *more = _PIECES.findall(" " + unit)
+                word = first[1:]
+                ids = self[word] if more and word.isalpha() else self.piece(self.in_letters(first))
+                for p in more:
+                    ids += self.part(p)
             else:
-                head = unit.rstrip(_MARKS)
-                if head.isalpha():
-                    ids = self[head] + self.run_of_marks(unit[len(head):])
-                else:
-                    ids = self.other(unit)
+                ids = self.library(" " + unit)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[unit] = ids
         return ids
 
-    def run_of_letters(self, space: str, run: str) -> bytes:
-        if run.isascii():
-            return self.piece(space + run)                          # these stand for themselves
-        if max(run) < _LETTERS_BELOW:
-            return self.piece(space + run.encode().decode("latin-1").translate(self.letters))
-        return self.library((" " if space else "") + run)
+    def in_letters(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.letters)
 
-    def run_of_marks(self, run: str) -> bytes:
-        ids = self.marks.get(run)
+    def part(self, piece: str) -> bytes:
+        """Ids of a piece that is not the first one of its unit."""
+        ids = self.parts.get(piece)
         if ids is None:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[run] = ids = self.piece(run)                 # printable ASCII stands for itself
+            if len(self.parts) >= self.size // 4:
+                self.parts.clear()
+            self.parts[piece] = ids = self.piece(self.in_letters(piece))
         return ids
 
-    def other(self, unit: str) -> bytes:
-        """A unit that is no run of letters with marks: lines of such are taken apart."""
-        lines = unit.split("\n")
-        if len(lines) == 1:
-            return self.library(" " + unit)
-        cut = [(line.rstrip(_MARKS), line) for line in lines]
-        if not all(run.isalpha() for run, _ in cut):
-            return self.library(" " + unit)
-        out = [self[lines[0]]]
-        for run, line in cut[1:]:
-            out += (self.newline, self.run_of_letters("", run))
-            if len(run) < len(line):
-                out.append(self.run_of_marks(line[len(run):]))
-        return b"".join(out)
+    def start(self, text: str) -> bytes:
+        """Ids of what a text begins with, before its first cut."""
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.part, _PIECES.findall(text)))
+        return self.library(text)
 
 
 class UnitEncoder:
@@ -130,12 +117,11 @@ class UnitEncoder:
 
     The tokenizer's own splitting rule always starts a new piece at a space that
     is followed by a non-space, and pieces are encoded independently, so a text
-    cut at those spaces gives the same ids unit by unit.  A unit of letters and
-    trailing punctuation is two such pieces, and a newline between two non-spaces is a
-    piece of its own.  Units are looked up in a bounded dictionary; unknown ones go to
-    the ``tokenizers`` library, a run of letters or of punctuation straight to its
-    model, as the splitting rule has nothing to cut there.  A text in which a special
-    token of the file is written out goes to the library whole.
+    cut at those spaces gives the same ids unit by unit.  Units are looked up in a
+    bounded dictionary.  Unknown ones of ASCII and Latin letters are split by that rule
+    and their pieces go to the model of the ``tokenizers`` library, all others to the
+    library as they are.  A text in which a special token of the file is written out
+    goes to the library whole.
     """
 
     def __init__(self, path: str, max_units: int = 500_000):
@@ -156,7 +142,7 @@ class UnitEncoder:
             units = [u[1:] for u in units]
         else:
             first, *units = text.split(" ")
-        return (self.units.library(first) if first else b"") + b"".join(map(self.units.__getitem__, units))
+        return self.units.start(first) + b"".join(map(self.units.__getitem__, units))
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

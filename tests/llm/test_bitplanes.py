@@ -64,13 +64,22 @@ def test_special_tokens_as_the_library_has_them(text):
     assert got == library_once().encode(text, add_special_tokens=False).ids
 
 
-def test_every_letter_that_goes_straight_to_the_model():
+def test_pieces_of_plain_units_are_the_librarys():
+    marks = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
     letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
     for text in [" ".join(letters), " ".join(a + b for a, b in zip(letters, letters[7:], strict=False)),
-                 " ".join(f"a{m}" for m in B._MARKS), " ".join(f"é{m}{k}" for m in B._MARKS for k in B._MARKS)]:
+                 " ".join(f"a{m}" for m in marks), " ".join(f"é{m}{k}" for m in marks for k in marks),
+                 " ".join(f"{m}s{k}'s{m}{k}'ll7x" for m in marks for k in marks), "x\n\ny \nz w\n v\n"]:
         assert np.frombuffer(B.encoder(PATH).encode(text), "<u4").tolist() == library_once().encode(text).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("aZé7'sltdre .,-|\n\t\x1f\x85\xa0²ªµß×÷ɏɐ中\U0001f600"), max_size=30))
+def test_any_text_encodes_as_the_library(text):
+    got = np.frombuffer(B.UnitEncoder.encode(B.encoder(PATH), text), "<u4").tolist()
+    assert got == library_once().encode(text, add_special_tokens=False).ids
+
+
 def test_bounded_dictionaries_do_not_change_ids():
     small = B.UnitEncoder(PATH, max_units=3)
     for text in ["red green blue", "green blue, red. red", "x y z w red", "red green"] * 3:
