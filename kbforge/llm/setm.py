@@ -46,8 +46,8 @@ _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
 
 SEGMENT = "seg long, lang string, n long, words array<binary>, counts array<int>, codes array<int>"
 RELATION = "seg long, lang string, codes array<int>, ids array<long>, named array<long>, words array<binary>"
-DEALT = "bucket int, seg long, at array<int>, a array<long>, b array<long>, c array<long>"
-COUNTED = "seg long, at array<int>, gid array<long>, lead array<boolean>, a array<long>, b array<long>, f array<long>"
+DEALT = "bucket int, seg long, at array<int>, a array<long>, b array<long>, c array<int>"
+COUNTED = "bucket long, seg long, at array<int>, g array<int>, lead array<boolean>, a array<long>, b array<long>, f array<long>"
 
 
 def words_and_breaks(text: str) -> list[bytes]:
@@ -131,7 +131,7 @@ def _deal_words(parts: int):
                 a, b = np.frombuffer(h, "<i8").reshape(-1, 2).T
                 yield from deal(mixed(a, b) % np.uint64(parts), {
                     "at": np.arange(len(a), dtype=np.int32), "a": a, "b": b,
-                    "c": np.asarray(row["counts"], np.int64)}, {"seg": row["seg"]}, target)
+                    "c": np.asarray(row["counts"], np.int32)}, {"seg": row["seg"]}, target)
 
     return run
 
@@ -169,39 +169,40 @@ def _deal_pairs(parts: int):
 def _count(dealt: DataFrame, min_count: int, give_back: bool) -> DataFrame:
     """Group-count of one bucket at a time.
 
-    Rows with ``seg`` -1 hold the frequent groups; with ``give_back`` the others tell
+    A frequent group is known by its bucket and a number in it.  Rows with ``seg`` -1 hold
+    the frequent groups; with ``give_back`` the others tell
     each segment which of its groups are frequent, and for which it leads, one segment
     a group.
     """
     target = schema_of(COUNTED)
 
-    def rows(seg, at, gid, lead, ends, a=(), b=(), f=(), named=None) -> pa.Table:
+    def rows(bucket, seg, at, g, lead, ends, a=(), b=(), f=(), named=None) -> pa.Table:
         named = np.zeros(len(seg) + 1, np.int32) if named is None else named
         kind = {f.name: f.type for f in target}
         return pa.Table.from_arrays(
-            [pa.array(seg, pa.int64()), lists(at, ends, kind["at"]), lists(gid, ends, kind["gid"]), lists(lead, ends, kind["lead"]),
+            [pa.array([bucket] * len(seg), pa.int64()), pa.array(seg, pa.int64()), lists(at, ends, kind["at"]),
+             lists(g, ends, kind["g"]), lists(lead, ends, kind["lead"]),
              lists(a, named, kind["a"]), lists(b, named, kind["b"]), lists(f, named, kind["f"])], schema=target)
 
     def run(key, table):
         (at, ends), (a, _), (b, _), (c, _) = (flat(table[n]) for n in ("at", "a", "b", "c"))
         order = np.lexsort((b, a))
         start = runs(a[order], b[order])
-        total = np.add.reduceat(c[order], start)
+        total = np.add.reduceat(c[order].astype(np.int64), start)
         good = np.flatnonzero(total >= min_count)
-        gid = np.full(len(total), -1, np.int64)
-        gid[good] = (key[0].as_py() << 32) + np.arange(len(good))
+        bucket, g = key[0].as_py(), np.full(len(total), -1, np.int32)
+        g[good] = np.arange(len(good), dtype=np.int32)
         named = offsets(np.array([len(good)]))
         head = order[start][good]
-        out = [rows([-1], np.arange(len(good), dtype=np.int32), gid[good], np.zeros(len(good), bool), named, a[head],
-                    b[head], total[good], named)]
+        out = [rows(bucket, [-1], g[good], g[good], np.zeros(len(good), bool), named, a[head], b[head], total[good], named)]
         if give_back:
-            group = np.empty(len(order), np.int64)
-            group[order] = np.repeat(gid, np.diff(np.append(start, len(order))))
+            group = np.empty(len(order), np.int32)
+            group[order] = np.repeat(g, np.diff(np.append(start, len(order))))
             lead = np.zeros(len(order), bool)
             lead[order[start]] = True
             back = group >= 0
             kept = np.diff(offsets(back)[ends])     # of each segment
-            out.append(rows(table["seg"].to_numpy(), at[back], group[back], lead[back], offsets(kept)))
+            out.append(rows(bucket, table["seg"].to_numpy(), at[back], group[back], lead[back], offsets(kept)))
         return pa.concat_tables(out)
 
     return save(dealt.groupBy("bucket").applyInArrow(run, COUNTED), "groups")
@@ -209,8 +210,8 @@ def _count(dealt: DataFrame, min_count: int, give_back: bool) -> DataFrame:
 
 def _frequent(counted: DataFrame) -> DataFrame:
     """(gid, a, b, f) of the frequent groups."""
-    return (counted.where("seg = -1").select(F.explode(F.arrays_zip("gid", "a", "b", "f")).alias("g"))
-            .select("g.gid", "g.a", "g.b", "g.f"))
+    return (counted.where("seg = -1").select("bucket", F.explode(F.arrays_zip("g", "a", "b", "f")).alias("x"))
+            .select((F.shiftleft("bucket", 32) + F.col("x.g")).alias("gid"), "x.a", "x.b", "x.f"))
 
 
 def _semi_join(relation: DataFrame, counted: DataFrame, first: bool) -> DataFrame:
@@ -221,7 +222,8 @@ def _semi_join(relation: DataFrame, counted: DataFrame, first: bool) -> DataFram
         if not left.num_rows or not right.num_rows:
             return target.empty_table()
         codes = flat(left["codes"])[0]
-        at, gid = flat(right["at"])[0], flat(right["gid"])[0]
+        at, (g, ends) = flat(right["at"])[0], flat(right["g"])
+        gid = np.repeat(np.asarray(right["bucket"]) << 32, np.diff(ends)) + g
         if first:
             n = len(left["words"][0])
         else:
@@ -236,7 +238,7 @@ def _semi_join(relation: DataFrame, counted: DataFrame, first: bool) -> DataFram
         return pa.Table.from_arrays([left["seg"], left["lang"], one(codes, "codes"), one(gid, "ids"),
                                      one(gid[lead], "named"), one(words, "words")], schema=target)
 
-    back = counted.where("seg >= 0").select("seg", "at", "gid", "lead")
+    back = counted.where("seg >= 0").select("bucket", "seg", "at", "g", "lead")
     columns = ["seg", "lang", "words", "codes"] if first else ["seg", "lang", "codes", "ids"]
     return save(relation.select(*columns).groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(run, RELATION),
                 "relation")
