@@ -4,12 +4,16 @@ A page is cut into text blocks at block-level tags.  Each block gets numbers: it
 words and link density, those of the blocks before and after it, and flags for the
 tags and class words around it.  A decision tree trained on a small labelled table
 (``block_examples``) decides which blocks are the article; their texts are joined
-in page order by a line break.  Character references are decoded, white space in a
+in page order by a line break.  Where the tree keeps no running text (pages of bare text, of
+one block, of lines parted by ``br``), the page's dominant blocks are kept: those that
+no tag or class word marks, with few links and at least ``DOMINANT`` of the words of the
+longest one.  Character references are decoded, white space in a
 block (line breaks of ``br`` included) becomes one space.  Scripts, styles,
 comments in the markup, forms' controls and hidden parts are not text.
 
 Null html is the empty page; pages without a kept block have text '' and n_chars 0.
-Pages of any length are read whole, in one pass; unclosed or misplaced tags end
+Pages of any length are read whole, in one pass whose time grows with the length;
+unclosed or misplaced tags end
 with the next enclosing end tag, except script, style, textarea and title, which
 hold everything up to their own end tag.  A head ends at the latest with the first
 text or tag that cannot stand in it.  Repeated rows are separate pages, null ids and
@@ -51,14 +55,23 @@ ASIDE_WORDS = frozenset(
     "warning share sharing social related recommended recommendations more popular trending sidebar side rail widget "
     "widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead topbar footer header "
     "copyright legal disclaimer contentinfo complementary search dialog skip tags meta byline".split())
+# Words that go with an aside word in one name ("share-buttons"); with others ("share-prices", inside
+# an article) the name is taken for the article's own.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block blocks bottom box button buttons col column container content group icon icons inner "
+    "item items left link links list lists module outer panel post posts right row section slot stories story the title top "
+    "unit view wrap wrapper".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion reviews".split())
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article",
             "page_has_article", "in_nav", "in_aside", "in_header", "in_footer", "in_form", "aside_words",
             "comment_words", "heading", "list_item", "paragraph")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-                  r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+# possessive, so that no tag is read twice; the last alternative is a tag with an unpaired quote
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
+                  r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+DOMINANT = 0.2
+_RAW_ENDS = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in sorted(RAW)}
 _NAMED = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)",
                     re.IGNORECASE)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -86,11 +99,18 @@ def _roles(name: str, attributes: str, article: bool) -> tuple:
             else:
                 pieces = {p.lower() for p in _PIECES.findall(value)}
                 comment |= bool(pieces & COMMENT_WORDS)
-                aside |= bool(pieces & ASIDE_WORDS) and name not in ("article", "main")
+                if pieces & ASIDE_WORDS and name not in ("article", "main"):
+                    aside |= not article or any(_is_aside(token) for token in value.split())
     return (name in ("article", "main"), name in ("nav", "menu"), name in ("aside", "dialog"),
             name == "header", name == "footer", name in ("form", "fieldset"), aside, comment, hidden)
 
 
+def _is_aside(token: str) -> bool:
+    """Whether a name consists of aside words and words that go with them."""
+    pieces = {p.lower() for p in _PIECES.findall(token)}
+    return bool(pieces & ASIDE_WORDS) and pieces <= ASIDE_WORDS | NEUTRAL_WORDS
+
+
 def drawing(stack: list, shown: int) -> int:
     """Place of the svg or math element in whose own markup the top of the stack is, 0 if there is none."""
     for k in range(len(stack) - 1, shown - 1, -1):
@@ -109,6 +129,8 @@ def blocks(html: str) -> list[Block]:
     buffer: list[str] = []
     linked: list[str] = []
     in_link, in_head, at, end = 0, False, 0, len(html)
+    last = html.rfind(">")                           # no tag ends after it
+    comment = html.rfind("<!--")
     # how many elements from the bottom of the stack are not hidden, and open inline elements around hidden ones
     shown, around = 1, Counter()
     opened = Counter()                               # names on the stack
@@ -155,7 +177,7 @@ def blocks(html: str) -> list[Block]:
         cut(next((k for k in range(shown, len(stack)) if stack[k][0] in HIDES), len(stack)))
 
     while at < end:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at <= max(last, comment) else None
         if m is None:
             take(html[at:])
             break
@@ -179,8 +201,8 @@ def blocks(html: str) -> list[Block]:
             if not closing and not attributes.endswith("/"):
                 if not hidden:
                     flush()
-                stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = stop.end() if stop else end
+                stop = _RAW_ENDS[name].search(html, at)
+                at = html.find(">", stop.end()) + 1 or end if stop else end
         elif hidden and not closing and (name in VOID or attributes.endswith("/")):
             continue
         elif hidden and closing and name in INLINE:
@@ -272,7 +294,12 @@ def main_text(html: str | None, tree: Tree) -> str:
     page = blocks(html or "")
     if not page:
         return ""
-    keep = tree.score(features(page)) > 0
+    # what is marked as no article, outside of one, is never kept
+    keep = (tree.score(features(page)) > 0) & ~np.array([b.flags[6] and not b.flags[0] for b in page])
+    if not any(k and b.tag not in HEADINGS for b, k in zip(page, keep, strict=True)):
+        plain = [not any(b.flags[1:]) and b.tag not in HEADINGS and b.linked <= 0.3 * b.words for b in page]
+        longest = max((b.words for b, p in zip(page, plain, strict=True) if p), default=0)
+        keep |= np.array([p and b.words >= DOMINANT * longest for b, p in zip(page, plain, strict=True)])
     return "\n".join(b.text for b, k in zip(page, keep, strict=True) if k)
 
 

@@ -249,3 +249,54 @@ def test_items_without_white_space_count_by_their_tokens(spark):
     bench = spark.createDataFrame([(i, ",".join(f"t{i}x{j}" for j in range(50))) for i in range(20)], "item_id long, text string")
     sent = list(T.blocks(bench, block_tokens=250))
     assert len(sent) >= 3 and sum(len(b.value.items) for b in sent) == 20
+
+
+# ---- operator 3: pages without marked containers, and markup of any kind in linear time
+def words_(n, stem="w"):
+    return " ".join(f"{stem}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body>{words_(80)}</body>", words_(80)), (f"<div>{words_(80)}</div>", words_(80)), (f"<p>{words_(80)}</p>", words_(80)),
+    (words_(30), words_(30)),
+    (f"<h1>T</h1>{words_(50)}<br>{words_(60, 'v')}", f"T\n{words_(50)} {words_(60, 'v')}"),
+    (f'<main><section id="share-prices">{words_(60)}</section></main>', words_(60)),
+    (f'<article><div class="read-more-text">{words_(60)}</div></article>', words_(60)),
+    (f'<article><p>{words_(50)}</p><div class="share-buttons">{words_(6, "s")}</div></article>', words_(50)),
+    (f'<div id="masthead"><h1>Site</h1></div><div>{words_(60)}</div>', words_(60)),
+    (f'<div class="cookie-notice">{words_(90, "c")}</div><div>{words_(40)}</div><div><a>{words_(50, "l")}</a></div>', words_(40)),
+    (f'<div class="comments">{words_(90, "c")}</div>', ""), (f"<nav>{words_(40)}</nav>", ""), ("", ""), (None, "")])
+def test_plain_pages(page, want):
+    assert H.main_text(page, H.default_tree()) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "<!", "</", '<a href="x', "<a 'b\"", "<!-", "<a b=c "])
+@pytest.mark.parametrize("end", ["", ">", '">', "'>"])
+def test_a_megabyte_of_unclosed_markup_takes_no_time(piece, end):
+    import time
+
+    began = time.process_time()
+    H.main_text(piece * (1_000_000 // len(piece)) + end, H.default_tree())
+    H.main_text("<style>" + "</style " * 120_000 + end, H.default_tree())
+    assert time.process_time() - began < 2
+
+
+def test_layouts_the_tree_has_not_seen():
+    """Each layout judged by a tree trained on the others: share of blocks labelled right."""
+    from kbforge.llm.block_examples import LAYOUTS, pages
+
+    filled, each = pages(), len(pages()) // len(LAYOUTS)
+    right = blocks = 0
+    for k in range(len(LAYOUTS)):
+        own = slice(k * each, (k + 1) * each)
+        tree = H.train(filled[:own.start] + filled[own.stop:])
+        for page in filled[own]:
+            want = [b.text.startswith("KEEP") for b in H.blocks(page)]
+            kept = H.main_text(page, tree).split("\n")
+            got = [b.text in kept for b in H.blocks(page)]
+            right += sum(g == w for g, w in zip(got, want, strict=True))
+            blocks += len(want)
+    assert blocks > 1500 and right / blocks > HELD_OUT_LAYOUTS
+
+
+HELD_OUT_LAYOUTS = 0.85
