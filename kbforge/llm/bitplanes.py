@@ -124,7 +124,7 @@ class UnitEncoder:
     goes to the library whole.
     """
 
-    def __init__(self, path: str, max_units: int = 500_000):
+    def __init__(self, path: str, max_units: int = 800_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)

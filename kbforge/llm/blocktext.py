@@ -70,6 +70,7 @@ FEATURES = ("words", "link_density", "words_before", "links_before", "words_afte
 # possessive, so that no tag is read twice; the last alternative is a tag with an unpaired quote
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+_BEGUN = re.compile(r"<(?=[a-zA-Z/!?])")
 DOMINANT = 0.2
 _RAW_ENDS = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in sorted(RAW)}
 _NAMED = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)",
@@ -179,7 +180,8 @@ def blocks(html: str) -> list[Block]:
     while at < end:
         m = _TAG.search(html, at) if at <= max(last, comment) else None
         if m is None:
-            take(html[at:])
+            unfinished = _BEGUN.search(html, at)     # a tag that the page does not finish is no text
+            take(html[at:unfinished.start() if unfinished else end])
             break
         take(html[at:m.start()])
         at = m.end()

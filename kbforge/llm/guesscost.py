@@ -9,7 +9,9 @@ Kind ``guess`` adds the values of a wider set of credential contexts (other name
 ``is``, quoted values with any characters, bearer tokens) that are hard to guess:
 the cheapest segmentation of the value into common words (with case and digit
 look-alikes), dates, repeats, keyboard walks and brute-force characters, found by
-dynamic programming, must cost at least ``MIN_BITS`` bits.  A brute-force character
+dynamic programming, must cost at least ``MIN_BITS`` bits.  Words are a fixed list and
+the ``TOP_WORDS`` words that most documents of the table have, a word costing the more
+the rarer it is; walks go to any neighbouring key, each turn at a cost.  A brute-force character
 costs the alphabet of all kinds of characters in the value; separators cost that of
 marks at most, and letters of a value made of what looks like words cost ``WORD_LETTER_BITS``.
 Placeholders, plain words and pass phrases of common words stay below.
@@ -27,9 +29,12 @@ import hashlib
 import math
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kbforge.llm.common import id_and_text, map_batches
 
@@ -57,12 +62,20 @@ COMMON_WORDS = (
     "insert replace enter value string text name email account system service summer winter spring autumn january "
     "february march april june july august september october november december monday tuesday wednesday thursday "
     "friday saturday sunday home work office company money secure security strong weak random really not must should "
-    "please this that with from have will what correct horse battery staple").split()
-KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
+    "please this that with from have will what correct horse battery staple butterfly chocolate barcelona manchester "
+    "liverpool arsenal chelsea computer internet michael jessica jennifer ashley daniel thomas charlie andrew matthew "
+    "jordan robert william samantha nicole hannah maggie ginger pepper cookie banana orange purple silver diamond angel "
+    "flower tiger eagle falcon phoenix hunter killer soccer hockey tennis guitar music lovely sweet happy lucky magic "
+    "genius forever friend family mother father brother sister school london paris america spider rainbow dolphin").split()
+# Keys of the usual keyboard with the place of each row's first key, and the alphabet.
+KEY_ROWS = (("`1234567890-=", -1.0), ("qwertyuiop[]", 0.5), ("asdfghjkl;'", 0.75), ("zxcvbnm,./", 1.25))
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
+TOP_WORDS = 20_000
+LONGEST = 20                 # letters of a word at most
 _RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+_CORPUS_WORD = re.compile(rf"(?<![A-Za-z])[A-Za-z]{{4,{LONGEST}}}(?![A-Za-z])")
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d", re.ASCII)
 _YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
@@ -78,16 +91,19 @@ MAX_WALK = 32
 MAX_TIMES = 16               # shorter repeats than the longest are tried up to this often
 
 
-def _next_keys() -> set[str]:
-    """Pairs of keys that follow each other, in either direction, along a row or the alphabet."""
-    pairs = set()
-    for row in KEY_ROWS:
-        for a, b in zip(row, row[1:]):
-            pairs |= {a + b, b + a}
-    return pairs
+def _steps() -> dict[str, tuple]:
+    """Direction of every step to a neighbouring key, and along the alphabet, by the two characters."""
+    at = {c: (first + x, y) for y, (row, first) in enumerate(KEY_ROWS) for x, c in enumerate(row)}
+    out = {a + b: (round(4 * (bx - ax)), by - ay) for a, (ax, ay) in at.items() for b, (bx, by) in at.items()
+           if a != b and abs(bx - ax) <= 1 and abs(by - ay) <= 1}
+    for a, b in zip(ALPHABET, ALPHABET[1:]):
+        out.setdefault(a + b, "on")
+        out.setdefault(b + a, "back")
+    return out
 
 
-_ADJACENT = _next_keys()
+_STEPS = _steps()
+_TURN_BITS = math.log2(6)    # to one of the other neighbours of a key
 
 
 def char_bits(c: str) -> float:
@@ -136,18 +152,14 @@ def brute_bits(value: str) -> list[float]:
     return out
 
 
-def guess_bits(value: str, per_char: list[float] | None = None) -> float:
-    """Bits of the cheapest segmentation of ``value``; a character costs ``per_char``, or else its own kind's alphabet."""
+def segments(value: str, per_char: list[float], ranks: dict[str, int]) -> Iterator[list[tuple[int, float]]]:
+    """One after the other, for each place of ``value`` the segments that begin there, as (end, bits)."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     plain = low.translate(LOOK_ALIKES)
-    cost = [0.0] + [math.inf] * n
-    # walk[i]: how many following characters continue a keyboard walk; same[p][i]: equal to the one p later
-    walk = [0] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        if low[i:i + 2] in _ADJACENT:
-            walk[i] = walk[i + 1] + 1
+    step = [_STEPS.get(low[i:i + 2]) for i in range(n)]
+    # same[p][i]: how many characters from i on are equal to the one p later
     same = []
     for p in range(1, MAX_PERIOD + 1):
         run = [0] * (n + 1)
@@ -155,44 +167,65 @@ def guess_bits(value: str, per_char: list[float] | None = None) -> float:
             if value[i] == value[i + p]:
                 run[i] = run[i + 1] + 1
         same.append(run)
-    if per_char is None:
-        per_char = [char_bits(c) + (1.0 if c.isupper() else 0.0) for c in value]
     for i in range(n):
-        here = cost[i]
-
-        def reach(j: int, bits: float, here=here) -> None:
-            if here + bits < cost[j]:
-                cost[j] = here + bits
-
-        reach(i + 1, per_char[i])
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            extra = 0.0
+        found = [(i + 1, per_char[i])]
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank, extra = ranks.get(low[i:j]), 0.0
             if rank is None:
-                rank, extra = _RANK.get(plain[i:j]), 2.0
+                rank, extra = ranks.get(plain[i:j]), 2.0
             if rank is not None:
                 upper = sum(c.isupper() for c in value[i:j])
                 case = 0.0 if not upper else 1.0 if upper in (1, j - i) else min(upper, j - i - upper) + 1.0
-                reach(j, math.log2(rank + 1) + extra + case + _SPLIT_BITS)
+                found.append((j, math.log2(rank + 1) + extra + case + _SPLIT_BITS))
         if low[i] in "0123":
             for pattern, bits in ((_DATE, _DATE_BITS), (_YEAR, _YEAR_BITS)):
                 if m := pattern.match(low, i):
-                    reach(m.end(), bits + _SPLIT_BITS)
-        turns = 0
-        for steps in range(2, min(walk[i], MAX_WALK) + 1):
-            if steps > 1 and low[i + steps] == low[i + steps - 2]:
-                turns += 1                           # back to the key before
-            reach(i + steps + 1, math.log2(47) + math.log2(steps + 1) + turns + _SPLIT_BITS)
+                    found.append((m.end(), bits + _SPLIT_BITS))
+        turns, steps = 0, 0
+        while i + steps < n and steps < MAX_WALK and step[i + steps] is not None:
+            turns += steps > 0 and step[i + steps] != step[i + steps - 1]
+            steps += 1
+            if steps >= (2 if not turns else 3):             # three keys in a line, or four
+                found.append((i + steps + 1, math.log2(47) + math.log2(steps + 1) + turns * _TURN_BITS + _SPLIT_BITS))
         for p in range(1, MAX_PERIOD + 1):
             most = same[p - 1][i] // p + 1
             if most >= 2:
                 block = sum(per_char[i:i + p]) + _SPLIT_BITS
-                for times in (*range(2, min(most, MAX_TIMES) + 1), most):
-                    reach(i + p * times, block + math.log2(times))
-    return cost[n]
+                found += [(i + p * times, block + math.log2(times)) for times in (*range(2, min(most, MAX_TIMES) + 1), most)]
+        yield found
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def guess_bits(value: str, per_char: list[float] | None = None, ranks: dict[str, int] | None = None) -> float:
+    """Bits of the cheapest segmentation of ``value``; a character costs ``per_char``, or else its own kind's alphabet."""
+    if per_char is None:
+        per_char = [char_bits(c) + (1.0 if c.isupper() else 0.0) for c in value]
+    cost = [0.0] + [math.inf] * len(value)
+    for i, found in enumerate(segments(value, per_char, _RANK if ranks is None else ranks)):
+        for j, bits in found:
+            cost[j] = min(cost[j], cost[i] + bits)
+    return cost[-1]
+
+
+def common_words(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
+    """Rank of the fixed words and, after them, of the ``top`` words that most documents have (ties by the word).
+
+    At most ``top`` words come to the driver and are sent to the tasks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: Counter = Counter()
+            for text in batch.column(0):
+                count.update({w.lower() for w in _CORPUS_WORD.findall(text.as_py())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
+                                             names=["word", "docs"])
+
+    found = (id_and_text(docs).select("text").mapInArrow(run, "word string, docs long").groupBy("word")
+             .agg(F.sum("docs").alias("docs")).where("docs > 1").orderBy(F.desc("docs"), "word").limit(top).collect())
+    words = list(dict.fromkeys([*COMMON_WORDS, *(r["word"] for r in found)]))
+    return {w: k + 1 for k, w in enumerate(words)}
+
+
+def spans(text: str, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all findings, by start and then kind."""
     out = [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if "AKIA" in text:
@@ -206,7 +239,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 value = text[start:end].rstrip(".,;:!?)]}>")
                 end = start + len(value)
             value = text[start:end]
-            if len(value) >= 6 and guess_bits(value, brute_bits(value)) >= MIN_BITS:
+            if len(value) >= 6 and guess_bits(value, brute_bits(value), ranks) >= MIN_BITS:
                 out.append(("guess", start, end))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -215,10 +248,12 @@ def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in found)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Counts, digest of the base spans and all spans of every row."""
+def scan(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
+    """Counts, digest of the base spans and all spans of every row (``ranks``: see :func:`common_words`)."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
     def run(batch: pa.RecordBatch) -> dict:
-        found = [spans(t.as_py()) for t in batch.column(1)]
+        found = [spans(t.as_py(), sent.value) for t in batch.column(1)]
         count = lambda kind: [sum(s[0] == kind for s in f) for f in found]
         return {"doc_id": batch.column(0), "n_assign": count("assign"), "n_access": count("access"),
                 "n_hex": count("hex"),

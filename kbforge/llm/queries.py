@@ -59,9 +59,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base kinds and hard-to-guess credential values."""
-    from kbforge.llm.guesscost import scan
+    from kbforge.llm.guesscost import common_words, scan
 
-    return scan(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return scan(docs, common_words(docs))
 
 
 def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

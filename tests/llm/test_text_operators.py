@@ -300,3 +300,50 @@ def test_layouts_the_tree_has_not_seen():
 
 
 HELD_OUT_LAYOUTS = 0.85
+
+
+# ---- operator 5: the cheapest segmentation against all segmentations
+def cheapest(value, per_char, ranks):
+    """Every way to cut the value into segments, one by one."""
+    seg = list(G.segments(value, per_char, ranks))
+
+    def rest(i):
+        return 0.0 if i == len(value) else min(bits + rest(j) for j, bits in seg[i])
+
+    return rest(0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "qwe", "1q2w", "zaq", "2023", "19991231", "pass", "p4ss", "LOVE", "11", "xyx", "-", "é",
+                                 "butterfly", "abab", "0", "hans"]), min_size=1, max_size=4).map("".join))
+def test_guess_cost_is_that_of_the_cheapest_segmentation(value):
+    value = value[:11]
+    ranks = G._RANK | {"hans": 900}
+    per_char = G.brute_bits(value)
+    assert G.guess_bits(value, per_char, ranks) == pytest.approx(cheapest(value, per_char, ranks))
+
+
+@pytest.mark.parametrize("value", ["butterfly2023", "chocolate1", "barcelona10", "Manchester2008", "1q2w3e4r5t", "zaq12wsx",
+                                   "qazwsxedc", "p4ssw0rd!", "19991231", "aaaaaaaaaaaa", "mnbvcxz", "abcdefgh", "1qaz2wsx"])
+def test_easy_values_stay_below_the_bound(value):
+    assert G.guess_bits(value, G.brute_bits(value)) < G.MIN_BITS
+
+
+def test_random_values_are_above_the_bound():
+    import string
+
+    rng = random.Random(4)
+    values = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(8)) for _ in range(2000)]
+    assert np.mean([G.guess_bits(v, G.brute_bits(v)) >= G.MIN_BITS for v in values]) > 0.9
+
+
+def test_words_of_the_documents_have_ranks(spark, no_docs):
+    rows = [(1, "Zyrgon zyrgon flumox"), (2, "the ZYRGON; flumox9 is"), (3, None), (4, "x" * 30 + " flumox"), (None, "zyrgon brillig")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranks = G.common_words(docs)
+    base = len(G.COMMON_WORDS)
+    assert ranks["zyrgon"] == base + 1 and ranks["flumox"] == base + 2 and "brillig" not in ranks       # one document only
+    assert len(G.common_words(docs, top=1)) == base + 1 and len(G.common_words(no_docs)) == base
+    secret = spark.createDataFrame([(1, "password = flumoxzyrgon77")], "doc_id long, text string")
+    kinds = lambda r: {s.split(":")[0] for s in r.first().spans.split(",")}
+    assert kinds(G.scan(secret)) == {"assign", "guess"} and kinds(G.scan(secret, ranks)) == {"assign"}
