@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +70,19 @@ def latency_spread(rows: DataFrame, group: list[str], id_col: str = "test_id",
                    status: str = "status", latency: str = "latency_s") -> DataFrame:
     """EVL-3: min / max / mean / median / p90 of PASS latency, fastest and slowest test.
 
-    The quantiles are exact and come from ranked counts: a partial count per distinct
-    latency, a running total over those, and the two values around each position.  No
-    buffer holds a group's latencies.
+    Latencies are taken in whole milliseconds (three decimals), so a group has as many
+    different ones as milliseconds it spans, however many rows it has.  Everything comes
+    from one table of partial counts per group and latency: quantiles, exact, from its
+    running totals, the rest from its sums and ends.  Rows without a latency count in ``n``
+    and in the mean's divisor only.
     """
-    p = rows.where(F.col(status) == PASS)
-    lat = F.col(latency)
-    counts = p.where(lat.isNotNull()).groupBy(*group, lat.alias("_lat")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_lat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (counts.withColumn("_upto", F.sum("_n").over(upto))
-              .withColumn("_all", F.sum("_n").over(Window.partitionBy(*group))))
+    known = F.col("_lat").isNotNull()
+    counts = (rows.where(F.col(status) == PASS).withColumn("_lat", F.round(F.col(latency), 3))
+              .groupBy(*group, "_lat").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first")))
+    by_group = Window.partitionBy(*group)
+    upto = by_group.orderBy("_lat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counts.withColumn("_upto", F.sum(F.when(known, F.col("_n"))).over(upto))
+              .withColumn("_all", F.sum(F.when(known, F.col("_n"))).over(by_group)))
 
     def quantile(q: float) -> Column:
         at = F.lit(q) * (F.col("_all") - 1)
@@ -90,18 +91,9 @@ def latency_spread(rows: DataFrame, group: list[str], id_col: str = "test_id",
         share = F.max(at - F.floor(at))
         return F.round((F.lit(1.0) - share) * low + share * high, 6)
 
-    keys = [F.col(g).alias(f"_g{k}") for k, g in enumerate(group)]
-    quantiles = (ranked.groupBy(*group).agg(quantile(0.5).alias("median_latency"), quantile(0.9).alias("p90_latency"))
-                 .select(*keys, "median_latency", "p90_latency"))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)])
-    rest = p.groupBy(*group).agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.min(lat).alias("min_latency"),
-        F.max(lat).alias("max_latency"),
-        (F.sum(latency_ms(lat)) / F.count(F.lit(1)) / F.lit(1000.0)).alias("mean_latency"),
-        F.min_by(F.col(id_col), F.struct(lat, F.col(id_col))).alias("fastest_id"),
-        F.max_by(F.col(id_col), F.struct(lat, -F.col(id_col))).alias("slowest_id"),
-    )
-    return (rest.join(quantiles, same, "left")
-            .select(*group, "n", "min_latency", "max_latency", "mean_latency", "median_latency", "p90_latency",
-                    "fastest_id", "slowest_id"))
+    n = F.sum("_n").cast("long")
+    return ranked.groupBy(*group).agg(
+        n.alias("n"), F.min("_lat").alias("min_latency"), F.max("_lat").alias("max_latency"),
+        (F.sum(latency_ms(F.col("_lat")) * F.col("_n")) / n / F.lit(1000.0)).alias("mean_latency"),
+        quantile(0.5).alias("median_latency"), quantile(0.9).alias("p90_latency"),
+        F.min_by("_first", "_lat").alias("fastest_id"), F.max_by("_first", "_lat").alias("slowest_id"))

@@ -7,26 +7,31 @@ a probe reads only the chosen cluster folders).
 Search:
 1. Each query is scored against the centroids (``n_clusters x dim`` values,
    a bounded broadcast) and keeps its ``nprobe`` nearest clusters.
-2. Cluster sizes (one row per cluster) decide how many *corpus splits* a cluster
-   needs so that no group holds more than ``max_group_rows`` corpus rows; query
-   counts per cluster decide *query splits* the same way.  A cluster holding a
-   third of the corpus is therefore scored by many tasks, never one.
-3. Corpus rows and probing queries meet in ``cogroup(cluster, csplit, qsplit)``;
-   each group runs one matrix product and emits at most ``k`` rows per query.
-4. ``row_number() <= k`` per query merges the groups.
-
-The probes (query vectors with their chosen clusters) are checkpointed once, so
-the query embedding behind them is never computed twice.
+2. Clusters are packed into *blocks* of at most ``max_group_rows`` corpus rows; a
+   larger cluster is split over several blocks, so one holding a third of the corpus is
+   scored by many tasks.  A query is sent once to each block that has one of its
+   clusters, with the list of them; blocks that many queries probe are split by query
+   (``max_group_queries``).
+3. Corpus rows and queries meet in ``cogroup(block, qsub)``, as Arrow arrays; each task
+   multiplies cluster by cluster and emits at most ``k`` rows per query.
+4. ``row_number() <= k`` per query merges the blocks.
+
+The routed queries are written once, so the query embedding behind them is never
+computed twice.
 
 With ``nprobe = n_clusters`` every corpus row is scored and the result equals
-the exact search (:mod:`kbforge.operators.knn`).
+the exact search (:mod:`kbforge.operators.knn`).  :func:`pruned_search` is exact as well
+but leaves out what cannot hold a result: no row of a cluster is nearer to a query
+than the angle to its centroid less the cluster's radius (the triangle inequality of
+angles), so after a first look at the nearest clusters only those within the k-th
+distance found are visited.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +41,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, checkpoint_dir
+from ..session import broadcast_limit, checkpoint_dir, run_folder
 from .knn import TopKAccumulator, _vectors_to_matrix, knn_search, rank_topk, topk_columns
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
@@ -52,8 +57,10 @@ class IvfIndex:
     centroids: np.ndarray        # (n_clusters, dim), unit rows
     id_col: str
     vec_col: str
-    # rows per cluster; only sizes the hot-cluster split
+    # rows per cluster; only sizes the blocks
     cluster_sizes: dict | None = None
+    # largest angle between a row and its centroid, by cluster
+    radii: np.ndarray | None = None
 
 
 def _unit(vec):
@@ -127,96 +134,278 @@ def open_ivf(spark: SparkSession, path: str, id_col: str = "id", vec_col: str =
 
 
 def _probe_fn(bc, nprobe: int):
+    """(_qid, cluster, _qv) of the ``nprobe`` nearest centroids of every row that has a vector."""
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centers = bc.value
         cids = np.arange(centers.shape[0], dtype=np.int64)
         for pdf in batches:
             pdf = pdf[pdf["_qv"].notna()]
-            if len(pdf) == 0:
-                continue
             # parts of a batch, so that the rows made of it stay few at a time
             step = max(1, PROBE_ROWS // nprobe)
             for at in range(0, len(pdf), step):
                 part = pdf.iloc[at:at + step]
-                qm = _vectors_to_matrix(part["_qv"])
-                qn = np.linalg.norm(qm, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = (centers @ qm.T) / np.where(qn > 0, qn, 1)[None, :]
-                d = 1.0 - sim                      # (n_clusters, nq)
-                cols, sel, _ = topk_columns(d, cids, nprobe)
-                # each probe row carries its query vector, so no join back to the queries
+                cols, sel, _ = topk_columns(_angles(centers, _vectors_to_matrix(part["_qv"]))[0], cids, nprobe)
                 yield pd.DataFrame({"_qid": part["_qid"].to_numpy(dtype=np.int64)[cols],
                                     "cluster": sel.astype(np.int32),
                                     "_qv": part["_qv"].to_numpy()[cols]})
     return probe
 
 
-def _score_fn(k: int, vec_col: str, id_col: str, exclude_self: bool):
-    def score(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        corpus = corpus[corpus[vec_col].notna()]
-        if len(corpus) == 0 or len(queries) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        acc = TopKAccumulator(queries["_qid"].to_numpy(dtype=np.int64), _vectors_to_matrix(queries["_qv"]),
-                              k, exclude_self)
-        acc.add(corpus[id_col].to_numpy(dtype=np.int64), _vectors_to_matrix(corpus[vec_col]))
-        return acc.result()
+def _angles(centers: np.ndarray, qm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine distances (clusters, queries) and their angles; a zero vector is at distance 1 of all."""
+    qn = np.linalg.norm(qm, axis=1)
+    sim = (centers @ qm.T) / np.where(qn > 0, qn, 1)[None, :]
+    return 1.0 - sim, np.arccos(np.clip(sim, -1, 1))
+
+
+class Blocks:
+    """Clusters packed into blocks of at most ``max_rows`` rows; a larger cluster has blocks of its own."""
+
+    def __init__(self, sizes: dict[int, int], n_clusters: int, max_rows: int):
+        self.first, self.splits = np.zeros(n_clusters, np.int64), np.ones(n_clusters, np.int64)
+        block, held = 0, 0
+        for c in range(n_clusters):
+            n = max(1, int(sizes.get(c, 1)))
+            if held and held + n > max_rows:
+                block, held = block + 1, 0
+            self.first[c] = block
+            self.splits[c] = -(-n // max_rows)
+            if self.splits[c] > 1:
+                block, held = block + int(self.splits[c]), 0
+            else:
+                held += n
+        self.count = block + 1
+
+    def route(self, clusters: np.ndarray) -> dict[int, list[int]]:
+        """Blocks that hold some of ``clusters``, with those."""
+        out: dict[int, list[int]] = {}
+        for c in clusters.tolist():
+            for b in range(int(self.first[c]), int(self.first[c] + self.splits[c])):
+                out.setdefault(b, []).append(c)
+        return out
+
+
+ROUTED = "_qid long, block int, clusters array<int>, _qv array<double>"
+
+
+def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable) -> DataFrame:
+    """Each query once per block that has a cluster ``choose(distances, angles, batch)`` names for it.
+
+    ``q`` is (_qid, _qv, further columns that ``choose`` reads); written once.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers = bc.value
+        for pdf in batches:
+            pdf = pdf[pdf["_qv"].notna()]
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at:at + 512]
+                out: dict[str, list] = {"_qid": [], "block": [], "clusters": [], "_qv": []}
+                distance, angle = _angles(centers, _vectors_to_matrix(part["_qv"]))
+                for qid, qv, own in zip(part["_qid"].tolist(), part["_qv"], choose(distance, angle, part), strict=True):
+                    for block, clusters in blocks.route(own).items():
+                        for name, v in zip(out, (qid, block, clusters, qv), strict=True):
+                            out[name].append(v)
+                if out["_qid"]:
+                    yield pd.DataFrame(out)
+
+    path = run_folder(q.sparkSession, "probes")
+    q.mapInPandas(run, ROUTED).write.parquet(path)
+    return q.sparkSession.read.schema(ROUTED).parquet(path)
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of an Arrow list column."""
+    arr = column.combine_chunks()
+    return np.asarray(arr.flatten(), dtype=np.float64), np.asarray(arr.value_lengths())
+
+
+def _score_blocks(k: int, exclude_self: bool):
+    import pyarrow as pa
+
+    target = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+    def score(corpus, queries):
+        if not corpus.num_rows or not queries.num_rows:
+            return target.empty_table()
+        rows, size = _flat(corpus["_cv"])
+        mat, ids = rows.reshape(len(size), -1), np.asarray(corpus["_cid"])
+        cluster = np.asarray(corpus["cluster"])
+        values, size = _flat(queries["_qv"])
+        qmat, qids = values.reshape(len(size), -1), np.asarray(queries["_qid"])
+        probed, count = _flat(queries["clusters"])
+        probed, who = probed.astype(np.int64), np.repeat(np.arange(len(count)), count)
+        found = []
+        for c in np.unique(cluster):
+            own, asking = np.flatnonzero(cluster == c), who[probed == c]
+            if len(asking):
+                acc = TopKAccumulator(qids[asking], qmat[asking], k, exclude_self)
+                acc.add(ids[own], mat[own])
+                found.append(acc.result())
+        if not found:
+            return target.empty_table()
+        best = pd.concat(found).sort_values(["query_id", "distance", "id"], kind="stable")
+        return pa.Table.from_pandas(best[best.groupby("query_id").cumcount() < k], schema=target, preserve_index=False)
+
     return score
 
 
+def _cluster_rows(index: IvfIndex) -> dict[int, int]:
+    """Rows per cluster; on a persisted index this reads parquet footers only."""
+    if index.cluster_sizes is None:
+        index.cluster_sizes = {r["cluster"]: r["n"] for r in index.assigned.groupBy("cluster")
+                               .agg(F.count(F.lit(1)).alias("n")).collect()}
+    return index.cluster_sizes
+
+
+def _scan_plan(spark: SparkSession, rows: DataFrame, id_col: str, routed: DataFrame, blocks: Blocks,
+               max_group_queries: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with ``cluster``) and routed queries, each with the (block, qsub) groups they meet in."""
+    load = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    probed = {r["c"] for r in routed.select(F.explode("clusters").alias("c")).distinct().collect()}
+    # few blocks are split by query as well, so that all cores work
+    cores = spark.sparkContext.defaultParallelism
+    spread = math.ceil(cores / max(1, len(load)))
+    parts = [(b, max(math.ceil(n / max_group_queries), min(spread, math.ceil(n / 64)))) for b, n in load.items()]
+    # one row per probed cluster and per block (bounded by the centroids, which fit the broadcast bound)
+    where = [(c, int(blocks.first[c]), int(blocks.splits[c])) for c in sorted(probed)]
+    clusters = F.broadcast(spark.createDataFrame(where, "cluster int, first int, splits int"))
+    split = F.broadcast(spark.createDataFrame(parts, "block int, qsplit int"))
+    # the join with the probed clusters prunes the cluster=... folders of a persisted index
+    corpus = (rows.join(clusters, "cluster")
+              .withColumn("block", (F.col("first") + F.pmod(F.xxhash64(id_col), F.col("splits"))).cast("int"))
+              .join(split, "block").withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("qsplit") - 1)))
+              .select("block", "qsub", *rows.columns))
+    asked = (routed.join(split, "block").withColumn("qsub", F.pmod(F.xxhash64("_qid"), F.col("qsplit")).cast("int"))
+             .select("block", "qsub", "_qid", "clusters", "_qv"))
+    return corpus, asked
+
+
+def _scan(spark: SparkSession, index: IvfIndex, routed: DataFrame, blocks: Blocks, k: int, exclude_self: bool,
+          max_group_queries: int) -> DataFrame:
+    """Candidates (query_id, id, distance) of the routed queries: k a query and block."""
+    rows = (index.assigned.select("cluster", F.col(index.id_col).cast("long").alias("_cid"), F.col(index.vec_col).alias("_cv"))
+            .where(F.col("_cv").isNotNull()))
+    corpus, asked = _scan_plan(spark, rows, "_cid", routed, blocks, max_group_queries)
+    return (corpus.groupBy("block", "qsub").cogroup(asked.groupBy("block", "qsub"))
+            .applyInArrow(_score_blocks(k, exclude_self), "query_id long, id long, distance double"))
+
+
+def _checked(spark: SparkSession, index: IvfIndex):
+    n_clusters = index.centroids.shape[0]
+    if index.centroids.nbytes > broadcast_limit(spark):
+        raise ValueError(f"{n_clusters} centroids ({index.centroids.nbytes} bytes) exceed the broadcast bound "
+                         "spark.kbforge.broadcast.maxBytes; use fewer clusters or raise the bound")
+    return spark.sparkContext.broadcast(index.centroids)
+
+
+_EMPTY = "query_id long, rank int, id long, distance double"
+
+
 def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 1,
                query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
                max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES) -> DataFrame:
     """Long result (query_id, rank, id, distance) like :func:`knn.knn_search`."""
     n_clusters = index.centroids.shape[0]
-    if index.centroids.nbytes > broadcast_limit(spark):
-        raise ValueError(f"{n_clusters} centroids ({index.centroids.nbytes} bytes) exceed the broadcast bound "
-                         "spark.kbforge.broadcast.maxBytes; use fewer clusters or raise the bound")
     nprobe = max(1, min(nprobe, n_clusters))
+    bc = _checked(spark, index)
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    bc = spark.sparkContext.broadcast(index.centroids)
-    qv_type = q.schema["_qv"].dataType.simpleString()
-    # probes (and the query embedding behind them) are computed once: written to the
-    # shared checkpoint folder, then both the per-cluster counts and the cogroup read them
-    checkpoint_dir(spark)
-    probes = q.mapInPandas(_probe_fn(bc, nprobe), f"_qid long, cluster int, _qv {qv_type}").checkpoint(eager=True)
-
-    # split plan from per-cluster counts (one row per cluster: bounded by n_clusters)
-    if index.cluster_sizes is not None:
-        csize = dict(index.cluster_sizes)
-    else:   # one row per cluster; on a persisted index this reads parquet footers only
-        csize = {r["cluster"]: r["n"] for r in index.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # every cluster id gets an entry (estimates may miss a cluster; its split is then 1)
-    csize = {c: max(1, int(csize.get(c, 1))) for c in range(n_clusters)}
-    qsize = {r["cluster"]: r["n"] for r in probes.select("cluster").groupBy("cluster")
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
-    csplit = {c: max(1, math.ceil(n / max_group_rows)) for c, n in csize.items()}
-    qsplit = {c: max(1, math.ceil(qsize.get(c, 0) / max_group_queries)) for c in csize}
-    if not qsize:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    # one row per probed cluster (bounded by n_clusters, whose centroids fit the broadcast bound)
-    split_rows = [(int(c), int(csplit[c]), int(qsplit[c])) for c in qsize]
-
-    def splits() -> DataFrame:
-        return F.broadcast(spark.createDataFrame(split_rows, "cluster int, csplit int, qsplit int"))
-
-
-    idc, vc = index.id_col, index.vec_col
-    # only clusters some query probes are read and shuffled: the join prunes the
-    # cluster=... folders of a persisted index
-    corpus = (index.assigned.join(splits(), "cluster")
-              .withColumn("csub", F.pmod(F.xxhash64(F.col(idc)), F.col("csplit")).cast("int"))
-              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("qsplit") - 1))))
-    qside = (probes.join(splits(), "cluster")
-             .withColumn("qsub", F.pmod(F.xxhash64(F.col("_qid")), F.col("qsplit")).cast("int"))
-             .withColumn("csub", F.explode(F.sequence(F.lit(0), F.col("csplit") - 1))))
-    keys = ["cluster", "csub", "qsub"]
-    cands = (corpus.groupBy(*keys).cogroup(qside.groupBy(*keys))
-             .applyInPandas(_score_fn(k, vc, idc, exclude_self), "query_id long, id long, distance double"))
+    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows)
+
+    def nearest(distance, angle, part):
+        cols, sel, _ = topk_columns(distance, np.arange(n_clusters), nprobe)
+        return np.split(sel, np.searchsorted(cols, np.arange(1, len(part))))
+
+    routed = _routed(q, bc, blocks, nearest)
+    if not routed.take(1):
+        return spark.createDataFrame([], _EMPTY)
+    cands = _scan(spark, index, routed, blocks, k, exclude_self, max_group_queries)
     return rank_topk(cands, k).select("query_id", "rank", "id", "distance")
 
 
+def measure_radii(index: IvfIndex) -> np.ndarray:
+    """The largest angle between a row and its centroid, by cluster (one row a cluster is collected)."""
+    spark = index.assigned.sparkSession
+    bc = _checked(spark, index)
+
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers = bc.value
+        most = np.full(len(centers), -1.0)
+        for pdf in batches:
+            pdf = pdf[pdf["_cv"].notna()]
+            if len(pdf):
+                mat, own = _vectors_to_matrix(pdf["_cv"]), pdf["cluster"].to_numpy()
+                norm = np.linalg.norm(mat, axis=1)
+                sim = (mat * centers[own]).sum(axis=1) / np.where(norm > 0, norm, 1)
+                np.maximum.at(most, own, np.arccos(np.clip(sim, -1, 1)))
+        met = np.flatnonzero(most >= 0)
+        yield pd.DataFrame({"cluster": met.astype(np.int32), "radius": most[met]})
+
+    rows = (index.assigned.select(F.col(index.vec_col).alias("_cv"), "cluster").mapInPandas(largest, "cluster int, radius double")
+            .groupBy("cluster").agg(F.max("radius").alias("radius")).collect())
+    out = np.zeros(len(index.centroids))
+    for c, radius in rows:
+        out[c] = radius
+    return out
+
+
+ROUNDING = 1e-7     # angles are compared with this much to spare, so rounding loses nothing
+
+
+def pruned_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, first: int = 2,
+                  query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
+                  max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES,
+                  measured: dict | None = None) -> DataFrame:
+    """The exact k nearest of every query (as :func:`knn.knn_search`), visiting only clusters that can hold one.
+
+    ``measured`` is given the number of (query, cluster) pairs and of those visited.
+    Index rows and queries without a direction (all zero) are at distance 1 of
+    everything, which no angle bounds: such a query visits all clusters, and clusters
+    that hold such a row are always visited.
+    """
+    n_clusters = index.centroids.shape[0]
+    bc = _checked(spark, index)
+    if index.radii is None:
+        index.radii = measure_radii(index)
+    zero = F.aggregate(F.col(index.vec_col), F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))) == 0
+    always = np.zeros(n_clusters, bool)
+    always[[r["cluster"] for r in index.assigned.where(zero).select("cluster").distinct().collect()]] = True
+    radii = index.radii
+    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
+    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows)
+    start = max(1, min(first, n_clusters))
+
+    def nearest(distance, angle, part):
+        cols, sel, _ = topk_columns(distance, np.arange(n_clusters), start)
+        return np.split(sel, np.searchsorted(cols, np.arange(1, len(part))))
+
+    def within(distance, angle, part):
+        reach = np.arccos(np.clip(1.0 - part["_kth"].to_numpy(float), -1, 1)) + ROUNDING     # NaN: fewer than k found
+        out = []
+        for i, v in enumerate(part["_qv"]):
+            can = always | ~(angle[:, i] - radii > reach[i]) if np.any(v) else np.ones(n_clusters, bool)
+            can[topk_columns(distance[:, i:i + 1], np.arange(n_clusters), start)[1]] = False     # seen in the first round
+            out.append(np.flatnonzero(can))
+        return out
+
+    routed = _routed(q, bc, blocks, nearest)
+    if not routed.take(1):
+        return spark.createDataFrame([], _EMPTY)
+    path = run_folder(spark, "first-round")
+    rank_topk(_scan(spark, index, routed, blocks, k, exclude_self, max_group_queries), k).write.parquet(path)
+    hits = spark.read.parquet(path)
+    kth = hits.where(F.col("rank") == k).select(F.col("query_id").alias("_k"), F.col("distance").alias("_kth"))
+    second = _routed(q.join(kth, F.col("_qid") == F.col("_k"), "left").select("_qid", "_qv", "_kth"), bc, blocks, within)
+    if measured is not None:
+        pairs = lambda df: df.select(F.explode("clusters").alias("c"), "_qid").distinct().count()
+        measured["pairs"] = n_clusters * q.where(F.col("_qv").isNotNull()).count()
+        measured["visited"] = pairs(routed) + pairs(second)
+    found = hits.select("query_id", "id", "distance")
+    if second.take(1):
+        found = found.unionByName(_scan(spark, index, second, blocks, k, exclude_self, max_group_queries))
+    return rank_topk(found, k).select("query_id", "rank", "id", "distance")
+
+
 def choose_nprobe(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, recall: float = TARGET_RECALL,
                   query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
                   sample_rows: int = SAMPLE_QUERIES) -> int:
@@ -255,4 +444,5 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     return j.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
-__all__ = ["IvfIndex", "assign_ivf", "build_ivf", "choose_nprobe", "persist_ivf", "open_ivf", "ivf_search", "recall_at_k"]
+__all__ = ["IvfIndex", "assign_ivf", "build_ivf", "choose_nprobe", "persist_ivf", "open_ivf", "ivf_search", "measure_radii",
+           "pruned_search", "recall_at_k"]

@@ -155,3 +155,25 @@ def win2_event_stream(spark: SparkSession, sf: str) -> DataFrame:
     _several(history_stream(spark, f"{run}/in", ev.schema, "user_id", "ts_us", "event_type", f"{run}/out", f"{run}/ckpt",
                             max_files_per_trigger=FILES_PER_TRIGGER))
     return latest_history(spark, f"{run}/out", "user_id", "ts_us")
+
+
+@register("stm3_sketched_values_stream", """
+SELECT event_type, CAST(count(*) AS BIGINT) AS values, min(value) AS least, max(value) AS most, true AS within
+FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def stm3_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of the event stream sketched per hour and batch, merged per type; ``within`` tells that the
+    exact ranks of the merged median and 90th percentile are inside the stated error."""
+    from ..operators.sketches import merge, quantiles, rank_error, sketch_stream
+    run = run_folder(spark, "sketches")
+    ev = A.table(spark, sf, "events")
+    _as_file_stream(ev, f"{run}/in")
+    _several(sketch_stream(spark, f"{run}/in", ev.schema, f"{run}/out", f"{run}/ckpt", ["event_type"], "value", "ts",
+                           max_files_per_trigger=FILES_PER_TRIGGER))
+    got = quantiles(merge(spark.read.parquet(f"{run}/out"), ["event_type"]), ["event_type"])
+    v, off = F.col("value").cast("double"), rank_error()
+    ranks = (ev.join(F.broadcast(got), "event_type").groupBy("event_type")
+             .agg(*[(F.count_if(v < F.col(q)) / F.count("value")).alias(f"below_{q}") for q in ("q50", "q90")],
+                  *[(F.count_if(v <= F.col(q)) / F.count("value")).alias(f"upto_{q}") for q in ("q50", "q90")]))
+    within = ((F.col("below_q50") <= 0.5 + off) & (F.col("upto_q50") >= 0.5 - off)
+              & (F.col("below_q90") <= 0.9 + off) & (F.col("upto_q90") >= 0.9 - off))
+    return got.join(ranks, "event_type").select("event_type", "values", "least", "most", within.alias("within"))

@@ -239,3 +239,57 @@ def agg7_states(spark: SparkSession, sf: str) -> DataFrame:
     build_collection(spark, _document_records(A.table(spark, sf, "documents").select("doc_id", "text")), path)
     return spark.createDataFrame([("absent", absent), ("built", index_size(spark, path))],
                                  "state string, index_size long")
+
+
+@register("vec4_ivfpq_recall", None)
+def vec4_ivfpq(spark: SparkSession, sf: str) -> DataFrame:
+    """VEC-4 with compressed codes: all codes are scanned, the vectors of a short list are read."""
+    from ..operators.ivfpq import build_ivfpq, choose_shortlist, ivfpq_search
+    e = A.table(spark, sf, "embeddings")
+    idx = build_ivfpq(build_ivf(e, id_col="vec_id", vec_col="embedding"), run_folder(spark, "ivfpq"))
+    size = choose_shortlist(spark, idx, e, K, query_id="vec_id", exclude_self=True)
+    h = ivfpq_search(spark, idx, e, K, shortlist=size, query_id="vec_id", query_vec="embedding", exclude_self=True)
+    return h.select("query_id", F.col("rank").cast("long"), "id", F.round("distance", 6).alias("distance"))
+
+
+@register("vec4_pruned_exact", _SQL_KNN_EMB +
+          f"SELECT query_id, CAST(rank AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM hits WHERE rank <= {K}")
+def vec4_pruned_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """VEC-3 over clusters: exact, without the clusters that the triangle inequality rules out."""
+    from ..operators.ivf import persist_ivf, pruned_search
+    e = A.table(spark, sf, "embeddings")
+    idx = persist_ivf(spark, build_ivf(e, id_col="vec_id", vec_col="embedding"), run_folder(spark, "ivf"))
+    h = pruned_search(spark, idx, e, K, query_id="vec_id", query_vec="embedding", exclude_self=True)
+    return h.select("query_id", F.col("rank").cast("long"), "id", F.round("distance", 6).alias("distance"))
+
+
+PQ_PARTS = 16
+
+
+@register("vec4_pq_codes", f"""
+WITH {_SQL_EMB},
+u AS (SELECT vec_id, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT vec_id, part, list_slice(v, CAST(part * 4 + 1 AS BIGINT), CAST(part * 4 + 4 AS BIGINT)) AS x
+      FROM u, (SELECT unnest(range(0, {PQ_PARTS})) AS part)),
+w AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS word, x FROM p WHERE vec_id % {PROBE_STEP} = 0
+      QUALIFY word < 256),
+near AS (SELECT p.vec_id, p.part, w.word, row_number() OVER (PARTITION BY p.vec_id, p.part ORDER BY
+         round(list_dot_product(w.x, w.x) - 2 * list_dot_product(p.x, w.x), 12), w.word) AS r
+         FROM p JOIN w ON p.part = w.part)
+SELECT vec_id, CAST(part AS BIGINT) AS part, CAST(word AS BIGINT) AS word FROM near WHERE r = 1""")
+def vec4_pq_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all vectors, by piece, for given codebooks of 256 words (a byte) at most.
+
+    The words are the pieces of every 25th vector, the first 256 of them, and there is no
+    centroid, so that the oracle can code by itself; :func:`vec4_ivfpq` trains its codebooks.
+    """
+    from ..operators.ivfpq import CODEWORDS, pieces, unit_rows, write_codes
+    e = A.table(spark, sf, "embeddings")
+    rows = e.where(F.col("vec_id") % PROBE_STEP == 0).orderBy("vec_id").limit(CODEWORDS).collect()
+    words = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    books = pieces(unit_rows(words), PQ_PARTS)
+    one = e.select(F.col("vec_id").alias("id"), "embedding", F.lit(0).alias("cluster"))
+    idx = write_codes(spark, one, np.zeros((1, words.shape[1])), books, run_folder(spark, "pq-codes"))
+    byte = F.conv(F.substring(F.hex("code"), F.col("part") * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    return (idx.codes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PQ_PARTS - 1))))
+            .select(F.col("id").alias("vec_id"), F.col("part").cast("long").alias("part"), byte.alias("word")))

@@ -235,3 +235,89 @@ def test_a_codebook_past_the_bound_is_refused_before_it_is_collected(spark):
             catalog.REGISTRY["vec4_ivf_pruned"][0](spark, SF01)
     finally:
         spark.conf.unset("spark.kbforge.broadcast.maxBytes")
+
+
+def _clustered(spark, groups=12, size=40, dim=16, spread=0.05, seed=5):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, dim))
+    rows = [(g * size + i, [float(x) for x in centers[g] + spread * rng.normal(size=dim)])
+            for g in range(groups) for i in range(size)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_pruned_search_is_exact_and_skips_clusters(spark):
+    from kbforge.operators.ivf import pruned_search
+    e = _clustered(spark)
+    exact = knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True)
+    idx, seen = build_ivf(e, 12, id_col="vec_id"), {}
+    got = pruned_search(spark, idx, e, 5, query_id="vec_id", exclude_self=True, measured=seen)
+    assert _hits_by_query(got) == _hits_by_query(exact)
+    assert seen["pairs"] == 12 * 480 and seen["visited"] < 0.5 * seen["pairs"]
+    # blocks of other sizes, and a first look that finds fewer than k
+    small = pruned_search(spark, idx, e, 60, first=1, query_id="vec_id", max_group_rows=15, max_group_queries=100)
+    assert _hits_by_query(small) == _hits_by_query(knn_search(spark, e, e, 60, corpus_id="vec_id", query_id="vec_id"))
+
+
+def test_pruned_search_on_unclustered_vectors_zeros_and_nulls(spark):
+    from kbforge.operators.ivf import assign_ivf, pruned_search
+    e = _emb(spark).select("vec_id", "embedding").unionByName(spark.createDataFrame(
+        [(9001, [0.0] * 64), (9002, None), (9003, [0.0] * 64)], "vec_id long, embedding array<float>"))
+    centroids = np.array([r["embedding"] for r in e.where("vec_id % 23 = 0").orderBy("vec_id").collect()])
+    exact = knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True)
+    got = pruned_search(spark, assign_ivf(e, centroids, "vec_id"), e, 5, query_id="vec_id", exclude_self=True)
+    assert _hits_by_query(got) == _hits_by_query(exact)
+
+
+def test_blocks_hold_all_clusters_and_split_large_ones():
+    from kbforge.operators.ivf import Blocks
+    b = Blocks({0: 5, 1: 5, 2: 40, 3: 1, 4: 9}, 6, 10)
+    assert b.splits.tolist() == [1, 1, 4, 1, 1, 1]
+    assert b.first.tolist() == [0, 0, 1, 5, 5, 6] and b.count == 7
+    assert b.route(np.array([0, 1, 2, 5])) == {0: [0, 1], 1: [2], 2: [2], 3: [2], 4: [2], 6: [5]}
+
+
+def test_codes_and_tables_give_the_products_of_the_coded_rows():
+    from kbforge.operators import ivfpq as P
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 10))
+    books = P.train_codebooks(x, 4, codewords=32)           # pieces of 3, the last one filled up
+    codes = P.encode(x, books)
+    coded = np.concatenate([books[p][codes[:, p]] for p in range(4)], axis=1)[:, :10]
+    assert codes.shape == (600, 4) and ((x - coded) ** 2).sum() < 0.4 * (x ** 2).sum()
+    for p, piece in enumerate(P.pieces(x, 4)):              # brute force over all words
+        d = ((piece[:, None, :] - books[p][None]) ** 2).sum(axis=2)
+        assert np.allclose(d[np.arange(600), codes[:, p]], d.min(axis=1))
+    q = rng.normal(size=(5, 10))
+    table = np.einsum("pqd,pwd->pqw", P.pieces(q, 4), books)
+    assert np.allclose(sum(table[p][:, codes[:, p]] for p in range(4)), q @ coded.T)
+
+
+def test_compressed_search_reaches_recall_from_a_tenth_of_the_vectors(spark, tmp_dir):
+    from kbforge.operators.ivfpq import build_ivfpq, choose_shortlist, ivfpq_search
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    n = e.count()
+    exact = knn_search(spark, e, e, 5, corpus_id="vec_id", query_id="vec_id", exclude_self=True).cache()
+    idx = build_ivfpq(build_ivf(e, id_col="vec_id"), f"{tmp_dir}/pq")
+    assert {len(r.code) for r in idx.codes.collect()} == {16} and idx.codes.count() == n
+    size = choose_shortlist(spark, idx, e, 5, query_id="vec_id", exclude_self=True)
+    assert size <= n // 10
+    got = ivfpq_search(spark, idx, e, 5, shortlist=size, query_id="vec_id", exclude_self=True)
+    assert recall_at_k(got, exact).first()["recall"] >= 0.9
+    # a list of everything, in small blocks, is the exact search
+    full = ivfpq_search(spark, idx, e.where("vec_id < 40"), 5, shortlist=n, query_id="vec_id", exclude_self=True,
+                        max_group_codes=60, max_group_queries=30)
+    assert _hits_by_query(full) == _hits_by_query(exact.where("query_id < 40"))
+
+
+def test_compressed_search_of_nulls_zeros_and_nothing(spark, tmp_dir):
+    from kbforge.operators.ivf import assign_ivf
+    from kbforge.operators.ivfpq import build_ivfpq, ivfpq_search
+    rows = [(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(30)] + [(50, [0.0] * 3), (51, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    idx = build_ivfpq(assign_ivf(df, np.eye(3)), f"{tmp_dir}/pq", parts=2)
+    q = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, None), (3, [0.0] * 3)], "query_id long, embedding array<double>")
+    got = ivfpq_search(spark, idx, q, 40, shortlist=100)
+    want = knn_search(spark, df, q, 40)
+    assert {(r.query_id, r.id, round(r.distance, 9)) for r in got.collect()} == {
+        (r.query_id, r.id, round(r.distance, 9)) for r in want.collect()}
+    assert ivfpq_search(spark, idx, q.where("query_id = 2"), 3).collect() == []
