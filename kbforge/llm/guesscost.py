@@ -94,7 +94,7 @@ MAX_TIMES = 16               # shorter repeats than the longest are tried up to
 def _steps() -> dict[str, tuple]:
     """Direction of every step to a neighbouring key, and along the alphabet, by the two characters."""
     at = {c: (first + x, y) for y, (row, first) in enumerate(KEY_ROWS) for x, c in enumerate(row)}
-    out = {a + b: (round(4 * (bx - ax)), by - ay) for a, (ax, ay) in at.items() for b, (bx, by) in at.items()
+    out = {a + b: ((bx > ax) - (bx < ax), by - ay) for a, (ax, ay) in at.items() for b, (bx, by) in at.items()
            if a != b and abs(bx - ax) <= 1 and abs(by - ay) <= 1}
     for a, b in zip(ALPHABET, ALPHABET[1:]):
         out.setdefault(a + b, "on")
