@@ -338,7 +338,7 @@ def test_random_values_are_above_the_bound():
 
 
 def test_words_of_the_documents_have_ranks(spark, no_docs):
-    rows = [(1, "Zyrgon zyrgon flumox"), (2, "the ZYRGON; flumox9 is"), (3, None), (4, "x" * 30 + " flumox"), (None, "zyrgon brillig")]
+    rows = [(1, "Zyrgon zyrgon flumox"), (2, "the ZYRGON; flumox9 is"), (3, None), (4, "x" * 30 + " flumox"), (None, "zyrgon brillig"), (6, "a zyrgon")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     ranks = G.common_words(docs)
     base = len(G.COMMON_WORDS)
