@@ -102,7 +102,6 @@ def build_ivfpq(index: IvfIndex, path: str, parts: int = PARTS, train_rows: int
     spark = index.assigned.sparkSession
     rows = index.assigned.select(F.col(index.id_col).cast("long").alias("id"), F.col(index.vec_col).alias("embedding"),
                                  "cluster").where(F.col("embedding").isNotNull())
-    rows.select("id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     sample = rows.orderBy(F.xxhash64(F.lit("pq"), "id"), "id").limit(train_rows).toPandas()
     width = index.centroids.shape[1]
     residual = (unit_rows(_vectors_to_matrix(sample["embedding"], width)) - index.centroids[sample["cluster"].to_numpy(int)]
@@ -112,7 +111,7 @@ def build_ivfpq(index: IvfIndex, path: str, parts: int = PARTS, train_rows: int
 
 
 def write_codes(spark: SparkSession, rows: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, path: str) -> PqIndex:
-    """``rows``: (id, embedding, cluster)."""
+    """Code ``rows`` (id, embedding, cluster) for given centroids and codebooks."""
     if centroids.nbytes + codebooks.nbytes > broadcast_limit(spark):
         raise ValueError("centroids and codebooks exceed the broadcast bound spark.kbforge.broadcast.maxBytes")
     sent = spark.sparkContext.broadcast((centroids, codebooks))
@@ -125,6 +124,7 @@ def write_codes(spark: SparkSession, rows: DataFrame, centroids: np.ndarray, cod
                 codes = encode(unit_rows(_vectors_to_matrix(pdf["embedding"])) - centers[own], books)
                 yield pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "code": [c.tobytes() for c in codes]})
 
+    rows.select("id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     coded = rows.mapInPandas(code, "id long, cluster int, code binary")
     coded.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/codes")
     (spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, centroid array<double>")

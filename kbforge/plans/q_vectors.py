@@ -268,7 +268,7 @@ PQ_PARTS = 16
 
 @register("vec4_pq_codes", f"""
 WITH {_SQL_EMB},
-u AS (SELECT vec_id, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS v FROM e),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 p AS (SELECT vec_id, part, list_slice(v, CAST(part * 4 + 1 AS BIGINT), CAST(part * 4 + 4 AS BIGINT)) AS x
       FROM u, (SELECT unnest(range(0, {PQ_PARTS})) AS part)),
 w AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS word, x FROM p WHERE vec_id % {PROBE_STEP} = 0
