@@ -127,7 +127,8 @@ def start_model(active: Column, primary: str = PRIMARY_MODEL,
 
 
 def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequence[str],
-                     attempt_id: str = "attempt_id", model: str = "model", error: str = "error") -> DataFrame:
+                     attempt_id: str = "attempt_id", model: str = "model", error: str = "error",
+                     present: Column | None = None) -> DataFrame:
     """RAG-4: outcome per request from an attempts log.
 
     Attempts are tried in ``order``; retry-class errors (STR-8) move on, the
@@ -137,15 +138,17 @@ def resolve_attempts(attempts: DataFrame, request: Sequence[str], order: Sequenc
 
     One partial ``min_by`` aggregation per request, ordered by a struct of the
     ordering columns (no window): a request with a third of all attempts still
-    combines map-side.
+    combines map-side.  Rows that are not ``present`` (of requests without any attempt,
+    from an outer join) decide and count nothing.
     """
     pos = F.struct(*[F.col(c) for c in order])
-    a = attempts.withColumn("_retry", is_retry_error(F.col(error)))
+    here = F.lit(True) if present is None else present
+    a = attempts.withColumn("_retry", is_retry_error(F.col(error)) | ~here)
     g = a.groupBy(*request).agg(
         F.min_by(F.struct(F.col(attempt_id).alias("attempt_id"), F.col(model).alias("model"),
                           F.col(error).alias("error")),
                  F.when(~F.col("_retry"), pos)).alias("_d"),
-        F.count(F.lit(1)).cast("long").alias("attempts"),
+        F.count(F.when(here, 1)).cast("long").alias("attempts"),
         F.max_by(F.col(error), pos).alias("_last_error"),
         F.max_by(F.col(attempt_id), pos).alias("_last_attempt"))
     return g.select(

@@ -193,7 +193,7 @@ def rag3(spark: SparkSession, sf: str) -> DataFrame:
 ATTEMPT_ERRORS = {"error": "model_not_found", "signup": "timeout"}
 
 
-@register("rag4_attempt_resolution", f"""
+RAG4_SQL = f"""
 WITH a AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, ts, event_type AS model,
                   CASE event_type {' '.join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in ATTEMPT_ERRORS.items())} END AS error
            FROM events),
@@ -209,15 +209,22 @@ SELECT user_id, day,
        CASE WHEN d IS NOT NULL AND d.error IS NULL THEN d.model END AS model,
        coalesce(d.attempt_id, last_attempt) AS decided_by,
        CASE WHEN d IS NULL THEN last_error ELSE d.error END AS error, attempts
-FROM g""")
+FROM g"""
+
+
+@register("rag4_attempt_resolution", RAG4_SQL)
 def rag4(spark: SparkSession, sf: str) -> DataFrame:
+    return rag.resolve_attempts(attempt_log(spark, sf), ["user_id", "day"], ["ts", "attempt_id"])
+
+
+def attempt_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events of one day as the attempts of a request, in time order."""
     e = A.table(spark, sf, "events")
     err = None
     for k, v in ATTEMPT_ERRORS.items():
         err = F.when(F.col("event_type") == k, F.lit(v)) if err is None else err.when(F.col("event_type") == k, F.lit(v))
-    att = e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("attempt_id"),
-                   "ts", F.col("event_type").alias("model"), err.alias("error"))
-    return rag.resolve_attempts(att, ["user_id", "day"], ["ts", "attempt_id"])
+    return e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("attempt_id"),
+                    "ts", F.col("event_type").alias("model"), err.alias("error"))
 
 
 # ---- WIN-2 / WIN-3 -------------------------------------------------------------------

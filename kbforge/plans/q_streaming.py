@@ -19,6 +19,7 @@ from ..streaming.index_load import incremental_index_load
 from ..streaming.metrics import DEFAULT_WATERMARK, DEFAULT_WINDOW, health_snapshot, health_stream, request_counts
 from . import adapters as A
 from . import sqltext as S
+from .q_eval import RAG4_SQL, attempt_log
 from .flagship import SQL_RAG_ANSWERS, _answers_out, conversation_questions, curated_pairs
 from .index import qa_records
 from .registry import register
@@ -177,3 +178,40 @@ def stm3_sketches(spark: SparkSession, sf: str) -> DataFrame:
     within = ((F.col("below_q50") <= 0.5 + off) & (F.col("upto_q50") >= 0.5 - off)
               & (F.col("below_q90") <= 0.9 + off) & (F.col("upto_q90") >= 0.9 - off))
     return got.join(ranks, "event_type").select("event_type", "values", "least", "most", within.alias("within"))
+
+
+HEARTBEAT = -1      # no user has this id
+
+
+def _in_time_order(df: DataFrame, ts: str, path: str) -> None:
+    """``REPLAY_FILES`` files by ranges of ``ts``, written oldest first, then one with a heartbeat a month later."""
+    micros = F.unix_micros(ts)
+    edges = df.agg(F.percentile_approx(micros, [i / REPLAY_FILES for i in range(1, REPLAY_FILES)]).alias("e")).first()["e"] or []
+    number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < micros)) if edges else F.lit(0)
+    for k in range(len(edges) + 1):
+        df.where(number == k).coalesce(1).write.mode("append").parquet(path)
+    tick = df.agg(F.max(ts).alias(ts)).select(*[
+        (F.col(ts) + F.expr("INTERVAL 30 DAYS")).alias(c) if c == ts
+        else F.lit(HEARTBEAT if c == "user_id" else None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    tick.coalesce(1).write.mode("append").parquet(path)
+
+
+@register("rag4_attempt_outcomes_stream", RAG4_SQL)
+def rag4_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """RAG-4 over two streams: a question per user and day, and the day's attempts, joined under a watermark."""
+    from ..streaming.attempts import outcome_stream
+    run = run_folder(spark, "attempts")
+    # NTZ wall clock as an instant, whatever the session's time zone
+    wall = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")))
+    log = attempt_log(spark, sf).withColumn("at", wall)
+    day = (F.floor(F.unix_micros("at") / F.lit(86_400_000_000)) * 86_400_000_000).cast("long")
+    asked = log.select("user_id", "day", F.timestamp_micros(day).alias("asked")).distinct()
+    attempts = log.select("user_id", "at", "attempt_id", "model", "error")
+    _in_time_order(asked, "asked", f"{run}/questions")
+    _in_time_order(attempts, "at", f"{run}/attempts")
+    questions = spark.read.parquet(f"{run}/questions")
+    _several(outcome_stream(spark, f"{run}/questions", questions.schema, f"{run}/attempts",
+                            spark.read.parquet(f"{run}/attempts").schema, f"{run}/out", f"{run}/ckpt", ["user_id"],
+                            max_files_per_trigger=FILES_PER_TRIGGER))
+    out = spark.read.parquet(f"{run}/out").where(F.col("user_id") != HEARTBEAT).join(asked.select("asked", "day").distinct(), "asked")
+    return out.select("user_id", "day", "outcome", "model", "decided_by", "error", "attempts")

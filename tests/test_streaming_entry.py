@@ -230,3 +230,44 @@ def test_registered_streams_run_in_several_batches(spark):
         finally:
             Q._several = before
     assert len(seen) == 3 and all(n >= 3 for n in seen)
+
+
+def test_attempt_outcomes_stream_equals_the_batch(spark, tmp_dir):
+    """Answered, failed and exhausted requests, one nobody attempted, and an open one that waits."""
+    from kbforge.streaming.attempts import outcome_stream, outcomes
+    t = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    questions = [(1, 0), (2, 1), (3, 2), (4, 30), (5, 31), (6, 200), (2, 60)]
+    attempts = [(1, 1, 10, "m1", "404 gone"), (1, 2, 11, "m2", None), (1, 3, 12, "m3", "boom"),       # answered by the second
+                (2, 2, 13, "m1", "boom"), (2, 3, 14, "m2", None),                                     # failed at the first
+                (3, 3, 15, "m1", "model_not_found"), (3, 4, 16, "m2", "404"),                         # exhausted
+                (5, 80, 17, "m1", None),                                                              # after its time
+                (2, 61, 18, "m9", None),                                                              # asked again later
+                (6, 201, 19, "m1", None)]
+    q_all = spark.createDataFrame([(r, t(h)) for r, h in questions], "req long, asked string").withColumn(
+        "asked", F.to_timestamp("asked"))
+    a_all = spark.createDataFrame([(r, t(h), i, m, e) for r, h, i, m, e in attempts],
+                                  "req long, at string, attempt_id long, model string, error string").withColumn(
+        "at", F.to_timestamp("at"))
+    for name, df, ts in (("q", q_all, "asked"), ("a", a_all, "at")):
+        for low, high in ((0, 3), (3, 50), (50, 100), (100, 300)):
+            part = df.where((F.col(ts) >= F.to_timestamp(F.lit(t(low)))) & (F.col(ts) < F.to_timestamp(F.lit(t(high)))))
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_dir}/{name}")
+    run = lambda: outcome_stream(spark, f"{tmp_dir}/q", q_all.schema, f"{tmp_dir}/a", a_all.schema, f"{tmp_dir}/out",
+                                 f"{tmp_dir}/ck", ["req"], max_files_per_trigger=1, timeout="1 day", late="1 hour")
+    assert run() >= 4
+    got = {(r.req, str(r.asked)): (r.outcome, r.model, r.decided_by, r.error, r.attempts)
+           for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    want = {(r.req, str(r.asked)): (r.outcome, r.model, r.decided_by, r.error, r.attempts)
+            for r in outcomes(q_all, a_all, ["req"], timeout="1 day").collect()}
+    still_open = {k for k in want if k[0] == 6}
+    assert got == {k: v for k, v in want.items() if k not in still_open}
+    assert {k[0]: v[0] for k, v in got.items() if k != (2, t(60))} == {
+        1: "answered", 2: "failed", 3: "exhausted", 4: "exhausted", 5: "exhausted"}
+    assert got[4, t(30)][4] == 0 and got[1, t(0)][1:3] == ("m2", 11)
+    # a heartbeat on both streams closes the log
+    for name, schema, row in (("q", q_all.schema, (-1, t(400))), ("a", a_all.schema, (-1, t(400), None, None, None))):
+        ts = "asked" if name == "q" else "at"
+        beat = spark.createDataFrame([row], ", ".join(f"{f.name} {'string' if f.name == ts else f.dataType.simpleString()}" for f in schema))
+        beat.withColumn(ts, F.to_timestamp(ts)).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/{name}")
+    assert run() >= 1
+    assert spark.read.parquet(f"{tmp_dir}/out").where("req = 6 and outcome = 'answered'").count() == 1
