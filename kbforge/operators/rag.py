@@ -7,8 +7,11 @@ Every per-question list here has at most ``k`` elements (the retrieval depth), s
 from __future__ import annotations
 
 import inspect
+import threading
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import RETRY_MARKERS as RETRY_MARKERS_PY
 from ..functions.text import default_score, default_title, fixed1, is_retry_error, relevance_pct
+from ..session import list_names, path_exists, run_folder
 
 # ---------------------------------------------------------------------------
 # Fixed values (prompt and context text the generator sees)
@@ -250,10 +254,31 @@ GENERATION_FIELDS = [
 _WORKER_STATE: dict = {}
 
 
+# Parts of error messages with which a model refuses a call that may be made again later.
+BUSY_MARKERS = ("429", "rate limit", "rate_limit", "overloaded")
+
+
+class _Pace:
+    """Spaces the calls that one worker begins, model by model."""
+
+    def __init__(self, calls_per_second: float | None):
+        self.gap = 1.0 / calls_per_second if calls_per_second else 0.0
+        self.lock, self.free = threading.Lock(), {}
+
+    def wait(self, model: str) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            begin = max(time.monotonic(), self.free.get(model, 0.0))
+            self.free[model] = begin + self.gap
+        time.sleep(max(0.0, begin - time.monotonic()))
+
+
 def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list], str]] | None = None,
              messages_col: str = "messages", candidates_col: str = "candidates",
              keep: Sequence[str] = ("query_id",), cache_key: str | None = None,
-             params: dict | None = None) -> DataFrame:
+             params: dict | None = None, in_flight: int = 1, calls_per_second: float | None = None,
+             busy_retries: int = 0, busy_wait_s: float = 1.0, busy_markers: Sequence[str] = BUSY_MARKERS) -> DataFrame:
     """RAG-5: ``mapInPandas`` that calls ``generate(model, messages)`` per row,
     trying candidate models in order with RAG-4 semantics.
 
@@ -268,6 +293,12 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
 
     ``params`` (default :data:`GENERATION_PARAMS`) go to the generator by name, as far
     as it takes them.
+
+    A worker has up to ``in_flight`` calls open at a time (the generator must then allow
+    threads); rows come out in their order.  ``calls_per_second`` bounds the calls that a
+    worker begins per model.  A call refused with one of ``busy_markers`` in its error is
+    made again up to ``busy_retries`` times, after ``busy_wait_s`` and twice as long each
+    time; then the error counts as any other.
     """
     params = GENERATION_PARAMS if params is None else params
     factory = generator_factory or _extractive_factory
@@ -283,40 +314,79 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str, list]
             holder["last_good"] = None
         gen = holder["gen"]
         options = _accepted(gen, params)
-        for pdf in batches:
-            answers, models, statuses, errors, latencies = [], [], [], [], []
-            for msgs, cands in zip(pdf[messages_col], pdf[candidates_col]):
-                t0 = time.perf_counter()
-                messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
-                order = list(dict.fromkeys(
-                    ([holder["last_good"]] if holder["last_good"] else []) + [c for c in cands if c]))
-                answer = model_used = err = None
-                status = "exhausted"
-                for model in order:
-                    try:
-                        answer = gen(model, messages, **options)
-                        model_used, status, err = model, "answered", None
-                        holder["last_good"] = model
-                        break
-                    except Exception as e:  # noqa: BLE001 - classify any generator error
-                        err = str(e)
-                        if isinstance(e, ModelUnavailable) or any(k in err for k in retry_markers):
-                            continue
-                        status = "failed"
-                        break
-                answers.append(answer)
-                models.append(model_used)
-                statuses.append(status)
-                errors.append(err)
-                latencies.append(round(time.perf_counter() - t0, 3))
-            out = pdf[keep].copy()
-            out["answer"] = answers
-            out["model"] = models
-            out["status"] = statuses
-            out["error"] = errors
-            out["latency_s"] = latencies
-            yield out
+        pace = holder.setdefault("pace", _self._Pace(calls_per_second))
+
+        def call(model: str, messages: list) -> str:
+            for attempt in range(busy_retries + 1):
+                pace.wait(model)
+                try:
+                    return gen(model, messages, **options)
+                except Exception as e:  # noqa: BLE001 - only refusals are made again
+                    if attempt == busy_retries or not any(k in str(e) for k in busy_markers):
+                        raise
+                    time.sleep(busy_wait_s * 2 ** attempt)
+            raise AssertionError
+
+        def answer_row(row: tuple) -> tuple:
+            msgs, cands = row
+            t0 = time.perf_counter()
+            messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
+            order = list(dict.fromkeys(
+                ([holder["last_good"]] if holder["last_good"] else []) + [c for c in cands if c]))
+            answer = model_used = err = None
+            status = "exhausted"
+            for model in order:
+                try:
+                    answer = call(model, messages)
+                    model_used, status, err = model, "answered", None
+                    holder["last_good"] = model
+                    break
+                except Exception as e:  # noqa: BLE001 - classify any generator error
+                    err = str(e)
+                    if isinstance(e, ModelUnavailable) or any(k in err for k in retry_markers):
+                        continue
+                    status = "failed"
+                    break
+            return answer, model_used, status, err, round(time.perf_counter() - t0, 3)
+
+        # map() keeps the order of the rows, and the pool the number of open calls
+        with ThreadPoolExecutor(in_flight) if in_flight > 1 else nullcontext() as pool:
+            for pdf in batches:
+                rows = zip(pdf[messages_col], pdf[candidates_col])
+                done = list((pool.map if pool else map)(answer_row, rows))
+                out = pdf[keep].copy()
+                for k, name in enumerate(("answer", "model", "status", "error", "latency_s")):
+                    out[name] = [d[k] for d in done]
+                yield out
 
     src = df.select(*keep, messages_col, candidates_col)
     schema = T.StructType([df.schema[c] for c in keep] + GENERATION_FIELDS)
     return src.mapInPandas(run, schema)
+
+
+def generate_to(df: DataFrame, path: str, generator_factory: Callable | None = None, keep: Sequence[str] = ("query_id",),
+                rows_per_task: int = 200, **how) -> DataFrame:
+    """:func:`generate` into a table that a later call continues; returns all rows of the table.
+
+    Rows whose ``keep[0]`` is in the table already are not generated again.  A task has
+    about ``rows_per_task`` rows and no input but its own, so a lost executor repeats
+    only the calls of the tasks that it had not finished.  Each call writes a folder of
+    its own, which counts once it is complete.
+    """
+    spark = df.sparkSession
+    done = [n for n in list_names(spark, path) if n.startswith("run=") and path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    known = [f"{path}/{n}" for n in sorted(done)]
+    if known:
+        seen = spark.read.parquet(*known).select(F.col(keep[0]).alias("_seen"))
+        df = df.join(seen, F.col(keep[0]).eqNullSafe(F.col("_seen")), "left_anti")
+    staged = run_folder(spark, "to-generate")       # counted and dealt without computing the messages twice
+    df.write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    tasks = -(-rows.count() // rows_per_task)
+    if tasks:
+        new = f"{path}/run={uuid.uuid4().hex}"
+        generate(rows.repartition(tasks), generator_factory, keep=keep, **how).write.parquet(new)
+        known.append(new)
+    if not known:
+        return generate(rows, generator_factory, keep=keep, **how)
+    return spark.read.parquet(*known)

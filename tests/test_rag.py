@@ -148,3 +148,82 @@ def test_a_registered_query_makes_generation_calls(spark, monkeypatch):
     rows = lambda name: sorted(map(str, catalog.REGISTRY[name][0](spark, SF001).collect()))
     assert rows("rag_ask_answers") and not calls
     assert rows("rag_ask_answers_ivf") == rows("rag_ask_answers") and len(calls) == 1
+
+
+_MSGS = "query_id long, messages array<struct<role string, content string>>, candidates array<string>"
+
+
+def _rows(spark, n, models=("m",)):
+    return spark.createDataFrame([(i, [("user", f"q{i}")], list(models)) for i in range(n)], _MSGS).coalesce(1)
+
+
+def _slow_client(pause):
+    """Answers with the number of calls that were open, its own included."""
+    def factory():
+        import threading
+        import time
+        lock, state = threading.Lock(), {"open": 0}
+
+        def gen(model, messages):
+            with lock:
+                state["open"] += 1
+                now = state["open"]
+            time.sleep(pause)
+            with lock:
+                state["open"] -= 1
+            return f"{messages[0]['content']} {now}"
+        return gen
+    return factory
+
+
+def test_calls_in_flight_are_bounded_and_shorten_the_run(spark):
+    import time
+    took = {}
+    for n in (1, 8):
+        began = time.perf_counter()
+        got = rag.generate(_rows(spark, 40), _slow_client(0.1), in_flight=n).collect()
+        took[n] = time.perf_counter() - began
+        assert [r.query_id for r in got] == list(range(40))                  # in the order of the rows
+        assert [r.answer.split()[0] for r in got] == [f"q{i}" for i in range(40)]
+        most = max(int(r.answer.split()[1]) for r in got)
+        assert most <= n and (n == 1 or most > 3)
+    assert took[8] < 0.5 * took[1]
+
+
+def test_pace_and_back_off(spark):
+    import time
+
+    def busy():
+        calls = {}
+
+        def gen(model, messages):
+            q = messages[0]["content"]
+            calls[q] = calls.get(q, 0) + 1
+            if model == "gone":
+                raise RuntimeError("404")
+            if calls[q] < 3:
+                raise RuntimeError("Error 429: rate limit")
+            return f"after {calls[q]}"
+        return gen
+
+    got = rag.generate(_rows(spark, 4), busy, busy_retries=3, busy_wait_s=0.01, in_flight=2).collect()
+    assert {(r.status, r.answer) for r in got} == {("answered", "after 3")}
+    got = rag.generate(_rows(spark, 4), busy, busy_retries=1, busy_wait_s=0.01).collect()
+    assert {(r.status, r.answer) for r in got} == {("failed", None)} and "429" in got[0].error
+    began = time.perf_counter()
+    rag.generate(_rows(spark, 10), lambda: lambda model, messages: "x", in_flight=10, calls_per_second=10).collect()
+    assert time.perf_counter() - began > 0.85                                # nine gaps of a tenth
+
+
+def test_generation_into_a_table_goes_on_where_it_was(spark, tmp_dir):
+    import os
+    path = f"{tmp_dir}/answers"
+    first = rag.generate_to(_rows(spark, 30), path, lambda: lambda model, messages: "one", rows_per_task=7)
+    assert first.count() == 30
+    os.makedirs(f"{path}/run=broken")                        # a call that ended before it was complete
+    spark.range(3).write.parquet(f"{tmp_dir}/part")
+    again = rag.generate_to(_rows(spark, 45), path, lambda: lambda model, messages: "two", rows_per_task=7)
+    got = {r.query_id: r.answer for r in again.collect()}
+    assert got == {i: "one" if i < 30 else "two" for i in range(45)} and again.count() == 45
+    assert rag.generate_to(_rows(spark, 45), path, lambda: lambda model, messages: "three").count() == 45
+    assert rag.generate_to(_rows(spark, 1).limit(0), f"{tmp_dir}/none").collect() == []
