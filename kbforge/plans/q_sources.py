@@ -95,3 +95,27 @@ def src5(spark: SparkSession, sf: str) -> DataFrame:
     write_eval_results(eval_rows(spark, sf), path)
     tests, _summary = read_eval_results(spark, path)
     return tests.select("test_id", "status", "observation", "latency_s")
+
+
+DOCUMENT_TESTS = 500        # tests of one results document
+
+
+@register("src5_drifting_documents", f"""WITH {SQL_EVAL_ROWS}
+SELECT test_id, status, CASE WHEN test_id % 3 = 0 THEN NULL ELSE http_status END AS http_status,
+       CASE WHEN test_id % 3 = 0 THEN NULL ELSE error END AS error,
+       CASE WHEN test_id % 3 = 2 THEN '"r' || (test_id % 7) || '"' END AS region, latency_s FROM er""")
+def src5_drifting(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-5: documents of three makes in one scan: without, with, and with more than the known fields."""
+    from ..sources.tables import read_eval_documents
+    path = run_folder(spark, "eval-documents")
+    make, names = F.col("test_id") % 3, ["test_id", "status", "latency_s", "http_status", "error"]
+    region = F.concat(F.lit("r"), (F.col("test_id") % 7).cast("string"))
+    one = (F.when(make == 0, F.to_json(F.struct(*names[:3]))).when(make == 1, F.to_json(F.struct(*names)))
+           .otherwise(F.to_json(F.struct(*names, region.alias("region")))))
+    # a document has at most DOCUMENT_TESTS tests of one make
+    docs = (eval_rows(spark, sf).select(make.alias("make"), F.floor(F.col("test_id") / (3 * DOCUMENT_TESTS)).alias("no"),
+                                        one.alias("test"))
+            .groupBy("make", "no").agg(F.concat_ws(",", F.collect_list("test")).alias("tests")))
+    docs.select(F.concat(F.lit('{"summary":{},"tests":['), "tests", F.lit("]}"))).write.text(path)
+    tests, _summary = read_eval_documents(spark, path, lines=True)
+    return tests.select("test_id", "status", "http_status", "error", F.col("other")["region"].alias("region"), "latency_s")

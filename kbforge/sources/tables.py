@@ -114,3 +114,28 @@ def read_eval_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     tests = raw.select(F.explode("tests").alias("t")).select("t.*")
     summary = raw.select("summary.*")
     return tests, summary
+
+
+def read_eval_documents(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC-5 for documents whose fields drift: (tests, summaries) of all files in one scan.
+
+    Every document is one VARIANT value (``lines``: a document a line, which splits
+    files over tasks; else a document a file), so no schema is inferred and none has
+    to fit: a field that a document lacks, or has with another type that cannot be
+    read as the known one, is null, and fields nobody knows are kept by name, as
+    JSON text, in the map ``other``.  ``file`` names the document's file.
+    """
+    raw = (spark.read.option("singleVariantColumn", "doc").option("multiLine", str(not lines).lower()).json(path)
+           .select("doc", F.col("_metadata.file_path").alias("file")))
+
+    def fields(value: str, schema: T.StructType) -> list:
+        known = [f.name for f in schema.fields]
+        every = F.try_variant_get(value, "$", "map<string,variant>")
+        other = F.transform_values(F.map_filter(every, lambda k, v: ~k.isin(known)), lambda k, v: F.to_json(v))
+        return [F.try_variant_get(value, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields] + [
+            other.alias("other")]
+
+    tests = raw.select("file", F.explode(F.try_variant_get("doc", "$.tests", "array<variant>")).alias("test"))
+    summary = raw.select("file", F.try_variant_get("doc", "$.summary", "variant").alias("summary"))
+    return (tests.select("file", *fields("test", EVAL_TEST_SCHEMA)),
+            summary.select("file", *fields("summary", EVAL_FILE_SCHEMA["summary"].dataType)))

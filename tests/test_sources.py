@@ -160,3 +160,26 @@ def test_read_tables_multi_path(spark, tmp_dir):
     assert read_tables(spark, [a, b]).count() == 8
     with pytest.raises(FileNotFoundError):
         read_tables(spark, [a, os.path.join(tmp_dir, "nope")])
+
+
+def test_documents_whose_fields_drift_are_read_in_one_scan(spark, tmp_dir):
+    from kbforge.sources.tables import read_eval_documents
+    docs = {
+        "old.json": {"summary": {"total": 1, "passed": 1}, "tests": [{"test_id": 1, "status": "PASS", "latency_s": 2, "sources": ["a", "b"]}]},
+        "new.json": {"summary": {"total": 2, "passed": 0, "host": "x"}, "tests": [
+            {"test_id": 2, "status": "FAIL", "http_status": 500, "latency_s": 0.25},
+            {"test_id": 3, "status": "ERROR", "error": "timeout é", "retries": [1, {"at": 2}], "http_status": "none"}]},
+        "empty.json": {"summary": {}, "tests": []}, "none.json": {"note": "no tests at all"}}
+    for name, doc in docs.items():
+        _write(tmp_dir, name, json.dumps(doc, indent=2, ensure_ascii=False).encode("utf-8"))
+    tests, summary = read_eval_documents(spark, tmp_dir)
+    got = {r.test_id: r for r in tests.collect()}
+    assert set(got) == {1, 2, 3} and got[1].sources == ["a", "b"] and got[1].latency_s == 2.0 and got[1].http_status is None
+    assert got[2].http_status == 500 and got[2].other == {}
+    assert got[3].error == "timeout é" and got[3].http_status is None and got[3].other == {"retries": '[1,{"at":2}]'}
+    assert os.path.basename(got[3].file) == "new.json"
+    assert sorted((r.total, r.other) for r in summary.collect() if r.total) == [(1, {}), (2, {"host": '"x"'})]
+    with open(os.path.join(tmp_dir, "lines.jsonl"), "w") as f:
+        f.writelines(json.dumps(d) + "\n" for d in docs.values())
+    by_line, _ = read_eval_documents(spark, os.path.join(tmp_dir, "lines.jsonl"), lines=True)
+    assert sorted(r.test_id for r in by_line.collect()) == [1, 2, 3]
