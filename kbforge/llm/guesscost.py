@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import id_and_text, map_batches
+from kbforge.llm.common import id_and_text, map_batches, save
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 41.0              # nine in ten random values of 8 letters and digits are above, the tested placeholders below
@@ -219,8 +219,15 @@ def common_words(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
                                              names=["word", "docs"])
 
-    found = (id_and_text(docs).select("text").mapInArrow(run, "word string, docs long").groupBy("word")
-             .agg(F.sum("docs").alias("docs")).where("docs > 1").orderBy(F.desc("docs"), "word").limit(top).collect())
+    counted = save(id_and_text(docs).select("text").mapInArrow(run, "word string, docs long").groupBy("word")
+                   .agg(F.sum("docs").alias("docs")).where("docs > 1"), "word-counts")
+    # the count that the last of the ``top`` words has, from how many words have each count
+    least, held = 2, 0
+    for n, words in counted.groupBy("docs").count().orderBy(F.desc("docs")).limit(top).collect():
+        least, held = n, held + words
+        if held >= top:
+            break
+    found = counted.where(F.col("docs") >= least).orderBy(F.desc("docs"), "word").limit(top).collect()
     words = list(dict.fromkeys([*COMMON_WORDS, *(r["word"] for r in found)]))
     return {w: k + 1 for k, w in enumerate(words)}
 
