@@ -38,7 +38,7 @@ PARTS = 16
 CODEWORDS = 256
 TRAIN_ROWS = 20_000
 MAX_GROUP_CODES = 500_000
-CELLS = 4_000_000           # scores held at once in a task
+CELLS = 1_000_000           # scores held at once in a task
 
 
 @dataclass
@@ -160,27 +160,23 @@ def _short_lists(sent, keep: int, exclude_self: bool):
         values, size = _flat(queries["_qv"])
         q, qids = unit_rows(values.reshape(len(size), -1)), np.asarray(queries["_qid"])
         probed, count = _flat(queries["clusters"])
-        probed, who = probed.astype(np.int64), np.repeat(np.arange(len(count)), count)
+        asks = np.zeros((len(qids), len(centers)), bool)
+        asks[np.repeat(np.arange(len(count)), count), probed.astype(np.int64)] = True
         found = []
-        # products of the queries' pieces with all codewords: (parts, queries, codewords)
-        table = np.einsum("pqd,pwd->pqw", pieces(q, len(books)), books)
-        for c in np.unique(cluster):
-            asking, own = who[probed == c], np.flatnonzero(cluster == c)
-            if not len(asking):
-                continue
-            base = q[asking] @ centers[c]
-            step = max(1, CELLS // len(asking))
-            for at in range(0, len(own), step):
-                part = own[at:at + step]
-                near = 1.0 - base[None, :] - sum(table[p][asking][:, code[part, p]] for p in range(len(books))).T
-                if exclude_self:
-                    near = np.where(ids[part][:, None] == qids[asking][None, :], np.inf, near)
-                cols, sel, dist = topk_columns(near, ids[part], keep)
-                found.append(pd.DataFrame({"query_id": qids[asking][cols], "id": sel, "near": dist}))
-        if not found:
-            return target.empty_table()
-        best = pd.concat(found).sort_values(["query_id", "near", "id"], kind="stable")
-        return pa.Table.from_pandas(best[best.groupby("query_id").cumcount() < keep], schema=target, preserve_index=False)
+        step = max(1, CELLS // len(ids))            # some queries at a time, against all codes of the block
+        for at in range(0, len(qids), step):
+            some = slice(at, at + step)
+            # products of the queries' pieces with all codewords: (parts, queries, codewords)
+            table = np.einsum("pqd,pwd->pqw", pieces(q[some], len(books)), books)
+            near = 1.0 - (q[some] @ centers.T)[:, cluster]
+            for p in range(len(books)):
+                near -= table[p][:, code[:, p]]
+            near[~asks[some][:, cluster]] = np.inf
+            if exclude_self:
+                near[ids[None, :] == qids[some][:, None]] = np.inf
+            cols, sel, dist = topk_columns(near.T, ids, keep)
+            found.append(pd.DataFrame({"query_id": qids[some][cols], "id": sel, "near": dist}))
+        return pa.Table.from_pandas(pd.concat(found), schema=target, preserve_index=False)
 
     return score
 
