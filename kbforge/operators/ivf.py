@@ -42,13 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_limit, checkpoint_dir, run_folder
-from .knn import TopKAccumulator, _vectors_to_matrix, knn_search, rank_topk, topk_columns
+from .knn import (TopKAccumulator, _vectors_to_matrix, flat, id_array, knn_search, matrix, rank_topk, runs,
+                  topk_columns)
 
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_GROUP_QUERIES = 5_000
 TARGET_RECALL = 0.92      # of the sample, so that all queries reach 0.9
 SAMPLE_QUERIES = 500
 PROBE_ROWS = 20_000
+PROBE_CELLS = 1_000_000   # (centroids x rows) angles held at once in a task
 
 
 @dataclass
@@ -133,6 +135,11 @@ def open_ivf(spark: SparkSession, path: str, id_col: str = "id", vec_col: str =
     return IvfIndex(spark.read.parquet(path), centroids, id_col, vec_col)
 
 
+def probe_step(n_clusters: int, most: int) -> int:
+    """Rows that are compared with all centroids at once."""
+    return max(1, min(most, PROBE_CELLS // max(1, n_clusters)))
+
+
 def _probe_fn(bc, nprobe: int):
     """(_qid, cluster, _qv) of the ``nprobe`` nearest centroids of every row that has a vector."""
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +148,7 @@ def _probe_fn(bc, nprobe: int):
         for pdf in batches:
             pdf = pdf[pdf["_qv"].notna()]
             # parts of a batch, so that the rows made of it stay few at a time
-            step = max(1, PROBE_ROWS // nprobe)
+            step = probe_step(len(centers), PROBE_ROWS // nprobe)
             for at in range(0, len(pdf), step):
                 part = pdf.iloc[at:at + step]
                 cols, sel, _ = topk_columns(_angles(centers, _vectors_to_matrix(part["_qv"]))[0], cids, nprobe)
@@ -197,8 +204,9 @@ def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable) -> DataFrame:
         centers = bc.value
         for pdf in batches:
             pdf = pdf[pdf["_qv"].notna()]
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at:at + 512]
+            step = probe_step(len(centers), 512)
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
                 out: dict[str, list] = {"_qid": [], "block": [], "clusters": [], "_qv": []}
                 distance, angle = _angles(centers, _vectors_to_matrix(part["_qv"]))
                 for qid, qv, own in zip(part["_qid"].tolist(), part["_qv"], choose(distance, angle, part), strict=True):
@@ -215,11 +223,12 @@ def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable) -> DataFrame:
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """(values, lengths) of an Arrow list column."""
-    arr = column.combine_chunks()
-    return np.asarray(arr.flatten(), dtype=np.float64), np.asarray(arr.value_lengths())
+    values, size = flat(column)
+    return values.astype(np.float64, copy=False), size
 
 
 def _score_blocks(k: int, exclude_self: bool):
+    """Cogrouped rows and queries -> at most ``k`` rows a query: one running top-k over the clusters of the block."""
     import pyarrow as pa
 
     target = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
@@ -227,24 +236,19 @@ def _score_blocks(k: int, exclude_self: bool):
     def score(corpus, queries):
         if not corpus.num_rows or not queries.num_rows:
             return target.empty_table()
-        rows, size = _flat(corpus["_cv"])
-        mat, ids = rows.reshape(len(size), -1), np.asarray(corpus["_cid"])
-        cluster = np.asarray(corpus["cluster"])
-        values, size = _flat(queries["_qv"])
-        qmat, qids = values.reshape(len(size), -1), np.asarray(queries["_qid"])
-        probed, count = _flat(queries["clusters"])
-        probed, who = probed.astype(np.int64), np.repeat(np.arange(len(count)), count)
-        found = []
-        for c in np.unique(cluster):
-            own, asking = np.flatnonzero(cluster == c), who[probed == c]
-            if len(asking):
-                acc = TopKAccumulator(qids[asking], qmat[asking], k, exclude_self)
-                acc.add(ids[own], mat[own])
-                found.append(acc.result())
-        if not found:
-            return target.empty_table()
-        best = pd.concat(found).sort_values(["query_id", "distance", "id"], kind="stable")
-        return pa.Table.from_pandas(best[best.groupby("query_id").cumcount() < k], schema=target, preserve_index=False)
+        mat, ids, cluster = matrix(corpus["_cv"]), id_array(corpus["_cid"]), np.asarray(corpus["cluster"])
+        probed, count = flat(queries["clusters"])
+        asking = np.repeat(np.arange(len(count)), count)
+        by_cluster, by_probe = np.argsort(cluster, kind="stable"), np.argsort(probed, kind="stable")
+        cluster, probed = cluster[by_cluster], probed[by_probe]
+        acc = TopKAccumulator(id_array(queries["_qid"]), matrix(queries["_qv"]), k, exclude_self)
+        starts, _ = runs(cluster)
+        for lo, hi in zip(starts, np.append(starts[1:], len(cluster)), strict=True):
+            first, last = np.searchsorted(probed, [cluster[lo], cluster[lo] + 1])
+            if first < last:
+                own = by_cluster[lo:hi]
+                acc.add(ids[own], mat[own], asking[by_probe[first:last]])
+        return pa.Table.from_arrays([pa.array(x) for x in acc.found()], schema=target)
 
     return score
 
