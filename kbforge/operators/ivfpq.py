@@ -7,10 +7,10 @@ and each piece is replaced by the number of its nearest codeword, one byte.  The
 search reads ``parts`` bytes a row instead of a vector.
 
 Search: the inner product of a query with a coded row is its product with the centroid
-plus one looked-up number per piece, from a table of products of the query's pieces
-with all codewords, which is made once per query.  Codes are scanned in blocks that
-meet the queries routed to them (:class:`.ivf.Blocks`), and each task keeps a short
-list per query.  Only the vectors of the ``shortlist`` best rows per query over all
+plus its pieces' products with the codewords.  Codes are scanned in blocks that meet the
+queries routed to them (:class:`.ivf.Blocks`); a task makes vectors of some codes at a
+time, scores them against all its queries in one matrix product, and keeps a short list
+per query.  Only the vectors of the ``shortlist`` best rows per query over all
 blocks are read, and those are ranked exactly.
 
 The codebooks are trained on at most ``train_rows`` rows, those of the smallest seeded
@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 from ..session import broadcast_limit, run_folder
-from .ivf import Blocks, IvfIndex, _angles, _flat, _routed, _scan_plan
-from .knn import _vectors_to_matrix, knn_search, rank_topk, topk_columns
+from .ivf import Blocks, IvfIndex, _routed, _scan_plan
+from .knn import (TopKAccumulator, _vectors_to_matrix, flat, id_array, knn_search, matrix, rank_topk, squares,
+                  topk_columns)
 
 PARTS = 16
 CODEWORDS = 256
 TRAIN_ROWS = 20_000
 MAX_GROUP_CODES = 500_000
-CELLS = 1_000_000           # scores held at once in a task
+DECODED = 16_384            # rows held as vectors at once in a task
 
 
 @dataclass
@@ -145,6 +146,36 @@ def open_ivfpq(spark: SparkSession, path: str) -> PqIndex:
     return PqIndex(codes, spark.read.parquet(f"{path}/vectors"), np.array([r["centroid"] for r in centers]), books, sizes)
 
 
+class _Coded(TopKAccumulator):
+    """Running short lists of unit queries over decoded rows, which are not scaled."""
+
+    def _rows(self, mat):
+        self.longest = max(1.0, float(np.sqrt(squares(mat).max(initial=0.0))))
+        return np.ones(len(mat)), mat.astype(np.float32)
+
+    @staticmethod
+    def _distances(dots, qn, square):
+        return 1.0 - dots
+
+
+def decode(code: np.ndarray, cluster: np.ndarray, centers: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for: centroid plus the codeword of every piece."""
+    width = centers.shape[1]
+    return centers[cluster] + np.concatenate([b[code[:, p]] for p, b in enumerate(books)], axis=1)[:, :width]
+
+
+def _asked(cluster: np.ndarray, probed: np.ndarray, who: np.ndarray, n_queries: int) -> Iterator[tuple]:
+    """(places of rows, places of the queries that ask for them); one pair if all queries ask for all rows."""
+    named = np.unique(cluster)
+    if np.isin(probed, named).sum() == len(named) * n_queries:
+        yield np.arange(len(cluster)), None
+        return
+    for c in named.tolist():
+        asking = who[probed == c]
+        if len(asking):
+            yield np.flatnonzero(cluster == c), asking
+
+
 def _short_lists(sent, keep: int, exclude_self: bool):
     """Cogrouped codes and queries -> at most ``keep`` (query_id, id, approximate distance) a query."""
     import pyarrow as pa
@@ -156,27 +187,15 @@ def _short_lists(sent, keep: int, exclude_self: bool):
         if not codes.num_rows or not queries.num_rows:
             return target.empty_table()
         code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(codes.num_rows, -1)
-        ids, cluster = np.asarray(codes["id"]), np.asarray(codes["cluster"])
-        values, size = _flat(queries["_qv"])
-        q, qids = unit_rows(values.reshape(len(size), -1)), np.asarray(queries["_qid"])
-        probed, count = _flat(queries["clusters"])
-        asks = np.zeros((len(qids), len(centers)), bool)
-        asks[np.repeat(np.arange(len(count)), count), probed.astype(np.int64)] = True
-        found = []
-        step = max(1, CELLS // len(ids))            # some queries at a time, against all codes of the block
-        for at in range(0, len(qids), step):
-            some = slice(at, at + step)
-            # products of the queries' pieces with all codewords: (parts, queries, codewords)
-            table = np.einsum("pqd,pwd->pqw", pieces(q[some], len(books)), books)
-            near = 1.0 - (q[some] @ centers.T)[:, cluster]
-            for p in range(len(books)):
-                near -= table[p][:, code[:, p]]
-            near[~asks[some][:, cluster]] = np.inf
-            if exclude_self:
-                near[ids[None, :] == qids[some][:, None]] = np.inf
-            cols, sel, dist = topk_columns(near.T, ids, keep)
-            found.append(pd.DataFrame({"query_id": qids[some][cols], "id": sel, "near": dist}))
-        return pa.Table.from_pandas(pd.concat(found), schema=target, preserve_index=False)
+        ids, cluster = id_array(codes["id"]), np.asarray(codes["cluster"])
+        q, qids = unit_rows(matrix(queries["_qv"])), id_array(queries["_qid"])
+        probed, count = flat(queries["clusters"])
+        acc = _Coded(qids, q, keep, exclude_self)
+        for own, asking in _asked(cluster, probed, np.repeat(np.arange(len(count)), count), len(qids)):
+            for at in range(0, len(own), DECODED):       # some rows at a time are made vectors again
+                some = own[at:at + DECODED]
+                acc.add(ids[some], decode(code[some], cluster[some], centers, books), asking)
+        return pa.Table.from_arrays([pa.array(x) for x in acc.found()], schema=target)
 
     return score
 
