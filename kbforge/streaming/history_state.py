@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,29 +23,42 @@ from ..operators.history import HISTORY_DEPTH, PREVIEW_CHARS
 from .batches import run_available
 
 
-def _newest(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
-    """Newest first; entries of one time by text, so any split into batches keeps the same ones."""
-    return rows.sort_values(["t", "text"], ascending=False, na_position="last", kind="stable").head(depth)
+def _newest(times: list, texts: list, depth: int) -> tuple[list, list]:
+    """Newest first; entries of one time by text, nulls last, so any split into batches keeps the same ones."""
+    known = [t == t and t is not None for t in times]
+    order = sorted(range(len(times)), reverse=True, key=lambda i: (
+        known[i], times[i] if known[i] else 0, isinstance(texts[i], str), texts[i] if isinstance(texts[i], str) else ""))[:depth]
+    return [times[i] for i in order], [texts[i] for i in order]
+
+
+def _latest(times: np.ndarray, texts: np.ndarray, depth: int) -> tuple[list, list]:
+    """Entries not older than the ``depth``-th newest: all that a long chunk can add."""
+    if len(times) > 4 * depth and times.dtype.kind == "i":       # no null among them
+        newer = times >= np.partition(times, len(times) - depth)[len(times) - depth]
+        times, texts = times[newer], texts[newer]
+    return _newest(times.tolist(), texts.tolist(), depth)
 
 
 def _update_fn(depth: int, idle_ms: int | None):
+    places = np.arange(1, depth + 1)
+
     def update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            times, texts = state.get
-            keep = pd.DataFrame({"t": list(times), "text": list(texts)})
-        else:
-            keep = pd.DataFrame({"t": pd.Series([], dtype="int64"), "text": pd.Series([], dtype="object")})
+        times, texts = map(list, state.get) if state.exists else ([], [])
         for pdf in pdfs:
             # reduce each chunk to its newest entries before merging: memory stays O(depth)
-            keep = _newest(pd.concat([keep, _newest(pdf[["t", "text"]], depth)]), depth)
+            t, x = _latest(pdf["t"].to_numpy(), pdf["text"].to_numpy(), depth)
+            times, texts = _newest(times + t, texts + x, depth)
+        # a time may be null; whether it stays depends on the batches so far, so it is no error
+        times = [int(t) if t is not None and t == t else None for t in times]
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        state.update((keep["t"].astype("int64").tolist(), keep["text"].tolist()))
-        yield pd.DataFrame({"session": [key[0]] * len(keep), "t": keep["t"].astype("int64").to_numpy(),
-                            "pos": range(1, len(keep) + 1), "text": keep["text"].to_numpy()})
+        state.update((times, texts))
+        # one frame a session is all that is made: frames cost more than the few entries
+        yield pd.DataFrame({"session": np.full(len(times), key[0]), "t": pd.array(times, "Int64"),
+                            "pos": places[:len(times)], "text": texts})
     return update
 
 
