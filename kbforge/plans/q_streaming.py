@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DEFAULT_DIM, HashingEmbedder
-from ..session import run_folder
+from ..session import list_names, run_folder
 from ..streaming.ask_stream import request_metrics_to_table, streaming_ask
 from ..streaming.index_load import incremental_index_load
 from ..streaming.metrics import DEFAULT_WATERMARK, DEFAULT_WINDOW, health_snapshot, health_stream, request_counts
@@ -188,8 +188,15 @@ def _in_time_order(df: DataFrame, ts: str, path: str) -> None:
     micros = F.unix_micros(ts)
     edges = df.agg(F.percentile_approx(micros, [i / REPLAY_FILES for i in range(1, REPLAY_FILES)]).alias("e")).first()["e"] or []
     number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < micros)) if edges else F.lit(0)
+    # dealt in one pass by all tasks; then a task reads the rows of its file only
+    part = "__replay_file"
+    dealt = run_folder(df.sparkSession, "time-ranges")
+    df.withColumn(part, number).write.partitionBy(part).parquet(dealt)
+    found = {int(n.partition("=")[2]) for n in list_names(df.sparkSession, dealt) if n.startswith(f"{part}=")}
     for k in range(len(edges) + 1):
-        df.where(number == k).coalesce(1).write.mode("append").parquet(path)
+        rows = (df.sparkSession.read.schema(df.schema).parquet(f"{dealt}/{part}={k}") if k in found
+                else df.sparkSession.createDataFrame([], df.schema))
+        rows.coalesce(1).write.mode("append").parquet(path)
     tick = df.agg(F.max(ts).alias(ts)).select(*[
         (F.col(ts) + F.expr("INTERVAL 30 DAYS")).alias(c) if c == ts
         else F.lit(HEARTBEAT if c == "user_id" else None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
@@ -203,7 +210,8 @@ def rag4_stream(spark: SparkSession, sf: str) -> DataFrame:
     run = run_folder(spark, "attempts")
     # NTZ wall clock as an instant, whatever the session's time zone
     wall = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")))
-    log = attempt_log(spark, sf).withColumn("at", wall)
+    attempt_log(spark, sf).withColumn("at", wall).write.parquet(f"{run}/log")     # read several times below
+    log = spark.read.parquet(f"{run}/log")
     day = (F.floor(F.unix_micros("at") / F.lit(86_400_000_000)) * 86_400_000_000).cast("long")
     asked = log.select("user_id", "day", F.timestamp_micros(day).alias("asked")).distinct()
     attempts = log.select("user_id", "at", "attempt_id", "model", "error")
