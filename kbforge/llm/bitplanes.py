@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from kbforge.llm.common import id_and_text, map_batches
 
 CHUNK_IDS = 1 << 16
+MAX_UNITS = 800_000         # units of a generation that a worker remembers, about 300 bytes each
 CHUNK_SCHEMA = ("shard int, chunk int, first_id long, n_ids int, first_doc long, bits boolean, "
                 "plane_bytes array<int>, payload binary, doc_ids array<long>, doc_ends array<int>")
 
@@ -124,7 +125,7 @@ class UnitEncoder:
     goes to the library whole.
     """
 
-    def __init__(self, path: str, max_units: int = 800_000):
+    def __init__(self, path: str, max_units: int = MAX_UNITS):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -145,14 +146,15 @@ class UnitEncoder:
         return self.units.start(first) + b"".join(map(self.units.__getitem__, units))
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, max_units: int = MAX_UNITS) -> UnitEncoder:
+    """One encoder per worker process, vocabulary file and size of its memory."""
+    key = path, max_units
+    if key not in _ENCODERS:
+        _ENCODERS[key] = UnitEncoder(path, max_units)
+    return _ENCODERS[key]
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -231,12 +233,13 @@ class _ShardWriter:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, bits: bool = False,
-              chunk_ids: int = CHUNK_IDS, level: int = 3) -> None:
+              chunk_ids: int = CHUNK_IDS, level: int = 3, max_units: int = MAX_UNITS) -> None:
     """Encode every document and write ``<path>/chunks`` and ``<path>/index``.
 
     One shuffle of the documents by range of (doc_id, text hash); the id stream of
     a range is cut into chunks as it is made, so a task holds one Arrow batch and
-    one chunk.  Parquet's commit protocol makes retried tasks safe.
+    one chunk.  A worker remembers up to twice ``max_units`` units: fewer take less memory
+    and more time, and give the same ids.  Parquet's commit protocol makes retried tasks safe.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -248,7 +251,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
         from pyspark import TaskContext
 
         writer = _ShardWriter(TaskContext.get().partitionId(), chunk_ids, bits, level)
-        ids_of = encoder(tokenizer_path).encode
+        ids_of = encoder(tokenizer_path, max_units).encode
         as_batch = lambda row: pa.RecordBatch.from_pylist([row], schema=target)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

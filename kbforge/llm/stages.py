@@ -14,6 +14,10 @@ from kbforge.llm.common import kept_folder, prepare, read_table, save
 from kbforge.llm.queries import tokenizer_path
 
 
+# The workers of this stage have served the stages before, so it remembers fewer units than operator 1 alone.
+STAGE_UNITS = 60_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the rule ensemble does not reject (score 0.3 or more).
 
@@ -79,5 +83,5 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty texts have the end id only.
     """
     path = kept_folder(prepare(spark), "token-ids")
-    bitplanes.write_ids(docs, path, tokenizer_path())
+    bitplanes.write_ids(docs, path, tokenizer_path(), max_units=STAGE_UNITS)
     return bitplanes.read_digests(spark, path)

@@ -164,3 +164,20 @@ def test_replayed_ranges_are_dealt_in_one_pass(spark, tmp_path):
     firsts = [spark.read.parquet(p).agg(F.min("at")).first()[0] for _, p in files]
     assert len(files) == Q.REPLAY_FILES + 1 and firsts == sorted(firsts)
     assert spark.read.parquet(str(tmp_path / "in")).where("user_id >= 0").select("user_id").distinct().count() == 1000
+
+
+def test_token_stage_remembers_few_units(monkeypatch, spark):
+    """pipeline: 800,000 units a generation in every worker took the executor over its limit in token_ids."""
+    from kbforge.llm import bitplanes as B
+    from kbforge.llm import stages
+    from kbforge.llm.queries import tokenizer_path
+
+    asked = {}
+    monkeypatch.setattr(stages.bitplanes, "write_ids", lambda *a, **k: asked.update(k))
+    monkeypatch.setattr(stages.bitplanes, "read_digests", lambda *a: None)
+    stages.token_ids(spark, None, "")
+    assert asked["max_units"] <= 100_000
+    few, many = B.encoder(tokenizer_path(), 50), B.encoder(tokenizer_path())
+    text = " ".join(f"word{i % 700} and{i}" for i in range(3000))
+    assert few is not many and few.encode(text) == many.encode(text)
+    assert len(few.units) <= 50 and len(few.units.old) <= 50
