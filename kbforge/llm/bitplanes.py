@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 from kbforge.llm.common import id_and_text, map_batches
 
 CHUNK_IDS = 1 << 16
-MAX_UNITS = 800_000         # units of a generation that a worker remembers, about 300 bytes each
+MAX_UNITS = 800_000         # pieces of a generation that a worker remembers, about 300 bytes each
 CHUNK_SCHEMA = ("shard int, chunk int, first_id long, n_ids int, first_doc long, bits boolean, "
                 "plane_bytes array<int>, payload binary, doc_ids array<long>, doc_ends array<int>")
 
 _BEFORE_SPACED = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
-# Units of these characters are split here as the tokenizer splits them; on them its rule and Python's classes agree.
-_PLAIN = re.compile("[\x21-\x7e\\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+# Texts and units without other characters are split here as the tokenizer splits them; on these its rule and Python's
+# classes agree.
+_OTHER = re.compile("[^\x20-\x7e\\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[0-9]+"
                      "| ?[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\\s+(?!\\S)|\\s+")
 
@@ -53,76 +54,75 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class _Units(dict):
-    """Ids of units, remembered in two generations of bounded size.
+class _Pieces(dict):
+    """Ids of pieces, by the model alone, remembered in two generations of bounded size.
 
     A full dictionary becomes the old generation, from which what recurs is taken over.
-    A unit is what lies between two spaces, so that a space is part of its first piece.
     """
 
     def __init__(self, tokenizer, size: int):
-        self.size, self.old, self.parts = size, {}, {}
-        self.tokenize, self.tokenizer = tokenizer.model.tokenize, tokenizer
-        self.letters = _byte_letters()
+        self.size, self.old = max(1, size), {}
+        self.tokenize, self.letters = tokenizer.model.tokenize, _byte_letters()
         self.space = self.letters[0x20]
         self.four = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            four = self.four
+            if piece.isascii() and piece.isprintable():             # all but the space stand for themselves
+                letters = piece.replace(" ", self.space)
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([four[t.id] for t in self.tokenize(letters)])
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        """Ids of a plain text, or of a plain part that begins where a piece begins."""
+        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+
+
+class _Units(dict):
+    """Ids of units, remembered as pieces are.
+
+    A unit is what lies between two spaces, so that a space is part of its first piece.
+    """
+
+    def __init__(self, tokenizer, pieces: _Pieces, size: int):
+        self.size, self.old, self.pieces, self.tokenizer = max(1, size), {}, pieces, tokenizer
+
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, letters: str) -> bytes:
-        """Ids of one piece, given in the letters of its bytes, by the model alone."""
-        four = self.four
-        return b"".join([four[t.id] for t in self.tokenize(letters)])
-
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            if unit.isalpha() and unit.isascii():
-                ids = self.piece(self.space + unit)             # ASCII letters stand for themselves
-            elif _PLAIN.fullmatch(unit):
-                first, *more = _PIECES.findall(" " + unit)
-                word = first[1:]
-                ids = self[word] if more and word.isalpha() else self.piece(self.in_letters(first))
-                for p in more:
-                    ids += self.part(p)
-            else:
-                ids = self.library(" " + unit)
+            ids = self.start(" " + unit)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[unit] = ids
         return ids
 
-    def in_letters(self, piece: str) -> str:
-        return piece.encode().decode("latin-1").translate(self.letters)
-
-    def part(self, piece: str) -> bytes:
-        """Ids of a piece that is not the first one of its unit."""
-        ids = self.parts.get(piece)
-        if ids is None:
-            if len(self.parts) >= self.size // 4:
-                self.parts.clear()
-            self.parts[piece] = ids = self.piece(self.in_letters(piece))
-        return ids
-
     def start(self, text: str) -> bytes:
-        """Ids of what a text begins with, before its first cut."""
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.part, _PIECES.findall(text)))
-        return self.library(text)
+        """Ids of a unit with its space, or of what a text begins with before its first cut."""
+        return self.library(text) if _OTHER.search(text) else self.pieces.of(text)
 
 
 class UnitEncoder:
     """Byte-level BPE ids of whole texts, remembering the ids of recurring units.
 
-    The tokenizer's own splitting rule always starts a new piece at a space that
-    is followed by a non-space, and pieces are encoded independently, so a text
-    cut at those spaces gives the same ids unit by unit.  Units are looked up in a
-    bounded dictionary.  Unknown ones of ASCII and Latin letters are split by that rule
-    and their pieces go to the model of the ``tokenizers`` library, all others to the
-    library as they are.  A text in which a special token of the file is written out
-    goes to the library whole.
+    A text of ASCII and Latin letters is split into pieces by the tokenizer's own rule;
+    pieces are encoded independently, and unknown ones go to the model of the
+    ``tokenizers`` library.  The rule always starts a new piece at a space that is
+    followed by a non-space, so a text with other characters is cut at those spaces
+    into units; those with other characters go to the library as they are.  Pieces and
+    units are looked up in bounded dictionaries.  A text in which a special token of the
+    file is written out goes to the library whole.
     """
 
     def __init__(self, path: str, max_units: int = MAX_UNITS):
@@ -130,13 +130,16 @@ class UnitEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.units = _Units(tokenizer, max_units)
+        self.pieces = _Pieces(tokenizer, max_units)
+        self.units = _Units(tokenizer, self.pieces, max_units // 4)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         for s in self.special:
             if s in text:
                 return self.units.library(text)
+        if not _OTHER.search(text):
+            return self.pieces.of(text)
         if _ODD_SPACE.search(text):
             # a space run or a space before other white space: cut at the spaced words only
             first, *units = _BEFORE_SPACED.split(text)
@@ -238,8 +241,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
 
     One shuffle of the documents by range of (doc_id, text hash); the id stream of
     a range is cut into chunks as it is made, so a task holds one Arrow batch and
-    one chunk.  A worker remembers up to twice ``max_units`` units: fewer take less memory
-    and more time, and give the same ids.  Parquet's commit protocol makes retried tasks safe.
+    one chunk.  A worker remembers up to twice ``max_units`` pieces, and a quarter as many units:
+    fewer take less memory and more time, and give the same ids.  Parquet's commit protocol makes retried tasks safe.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

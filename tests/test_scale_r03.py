@@ -181,3 +181,21 @@ def test_token_stage_remembers_few_units(monkeypatch, spark):
     text = " ".join(f"word{i % 700} and{i}" for i in range(3000))
     assert few is not many and few.encode(text) == many.encode(text)
     assert len(few.units) <= 50 and len(few.units.old) <= 50
+
+
+def test_pieces_are_remembered_not_units():
+    """op1: every new unit of known pieces ("word," "word." ...) was split, encoded and remembered by itself."""
+    from kbforge.llm import bitplanes as B
+    from kbforge.llm.queries import tokenizer_path
+
+    e = B.UnitEncoder(tokenizer_path())
+    asked, real = [], e.pieces.tokenize
+    e.pieces.tokenize = lambda letters: asked.append(letters) or real(letters)
+    words = [f"{a}{b}" for a in "red green blue".split() for b in "kiwi melon".split()]
+    text = " ".join(f"{w}{mark}{v}" for w in words for v in words for mark in (".\n", ",", "-"))
+    other = f"{text} 中 {text}"
+    lib = lambda t: np.asarray(e.units.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert e.encode(text) == lib(text) and not e.units
+    assert len(asked) <= 2 * len(words) + 4
+    assert e.encode(other) == lib(other)
+    assert len(asked) <= 2 * len(words) + 4
