@@ -7,8 +7,8 @@ a probe reads only the chosen cluster folders).
 Search:
 1. Each query is scored against the centroids (``n_clusters x dim`` values,
    a bounded broadcast) and keeps its ``nprobe`` nearest clusters.
-2. Clusters are packed into *blocks* of at most ``max_group_rows`` corpus rows; a
-   larger cluster is split over several blocks, so one holding a third of the corpus is
+2. Clusters are packed into *blocks* of at most ``max_group_rows`` corpus rows, by default
+   what ``spark.kbforge.block.maxBytes`` holds of their length (:func:`block_rows`); a larger cluster is split over several blocks, so one holding a third of the corpus is
    scored by many tasks.  A query is sent once to each block that has one of its
    clusters, with the list of them; blocks that many queries probe are split by query
    (``max_group_queries``).
@@ -41,7 +41,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, checkpoint_dir, run_folder
+from ..session import block_limit, broadcast_limit, checkpoint_dir, run_folder
 from .knn import (TopKAccumulator, _vectors_to_matrix, flat, id_array, knn_search, matrix, rank_topk, runs,
                   topk_columns)
 
@@ -67,7 +67,10 @@ class IvfIndex:
 
 def _unit(vec):
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # the outer function has one row of (vector, length): inside the inner one the length would be computed per number
+    once = F.array(F.struct(vec.alias("v"), norm.alias("n")))
+    return F.transform(once, lambda s: F.transform(
+        s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(F.lit(0.0))))[0]
 
 
 def cluster_count(n_rows: int, dim: int, bound_bytes: int) -> int:
@@ -192,6 +195,11 @@ class Blocks:
         return out
 
 
+def block_rows(spark: SparkSession, dim: int) -> int:
+    """Rows of a block: a task holds all of one, so long vectors make it shorter."""
+    return max(1, min(DEFAULT_MAX_GROUP_ROWS, block_limit(spark) // (8 * max(1, dim) + 16)))
+
+
 ROUTED = "_qid long, block int, clusters array<int>, _qv array<double>"
 
 
@@ -307,14 +315,14 @@ _EMPTY = "query_id long, rank int, id long, distance double"
 
 def ivf_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 1,
                query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
-               max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+               max_group_rows: int | None = None,
                max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES) -> DataFrame:
     """Long result (query_id, rank, id, distance) like :func:`knn.knn_search`."""
     n_clusters = index.centroids.shape[0]
     nprobe = max(1, min(nprobe, n_clusters))
     bc = _checked(spark, index)
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows)
+    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows or block_rows(spark, index.centroids.shape[1]))
 
     def nearest(distance, angle, part):
         cols, sel, _ = topk_columns(distance, np.arange(n_clusters), nprobe)
@@ -358,7 +366,7 @@ ROUNDING = 1e-7     # angles are compared with this much to spare, so rounding l
 
 def pruned_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: int = 5, first: int = 2,
                   query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
-                  max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES,
+                  max_group_rows: int | None = None, max_group_queries: int = DEFAULT_MAX_GROUP_QUERIES,
                   measured: dict | None = None) -> DataFrame:
     """The exact k nearest of every query (as :func:`knn.knn_search`), visiting only clusters that can hold one.
 
@@ -376,7 +384,7 @@ def pruned_search(spark: SparkSession, index: IvfIndex, queries: DataFrame, k: i
     always[[r["cluster"] for r in index.assigned.where(zero).select("cluster").distinct().collect()]] = True
     radii = index.radii
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows)
+    blocks = Blocks(_cluster_rows(index), n_clusters, max_group_rows or block_rows(spark, index.centroids.shape[1]))
     start = max(1, min(first, n_clusters))
 
     def nearest(distance, angle, part):
