@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .text import tokens
 
 DEFAULT_DIM = 256
+# Buckets that a task counts at once; a batch of long texts has many more.
+BUCKETS_AT_ONCE = 1_000_000
 
 
 def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -44,14 +46,21 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 def _bincount_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def bincount(buckets: pd.Series) -> pd.Series:
-        # one scatter-add for the whole Arrow batch instead of one call per row
-        n = len(buckets)
+        # rows are counted together, as many as have BUCKETS_AT_ONCE buckets
+        n, values = len(buckets), buckets.to_numpy()
         valid = buckets.notna().to_numpy()
-        lens = np.array([len(b) if ok else 0 for b, ok in zip(buckets.to_numpy(), valid)], dtype=np.int64)
+        lens = np.array([len(b) if ok else 0 for b, ok in zip(values, valid)], dtype=np.int64)
+        ends = np.cumsum(lens)
         m = np.zeros((n, dim), dtype=np.float64)
-        if lens.sum():
-            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b, ok in zip(buckets.to_numpy(), valid) if ok])
-            np.add.at(m, (np.repeat(np.arange(n), lens), flat), 1.0)
+        at = 0
+        while at < n:
+            most = ends[at] - lens[at] + BUCKETS_AT_ONCE
+            stop = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+            if ends[stop - 1] > ends[at] - lens[at]:
+                flat = np.concatenate([values[i] for i in range(at, stop) if lens[i]]).astype(np.int64)
+                flat += np.repeat(np.arange(stop - at), lens[at:stop]) * dim
+                m[at:stop] = np.bincount(flat, minlength=(stop - at) * dim).reshape(stop - at, dim)
+            at = stop
         return pd.Series([m[i] if valid[i] else None for i in range(n)])
     return bincount
 
