@@ -121,9 +121,11 @@ def grid_cells(fp: Column, segments: int) -> Column:
 
 def links(nodes: DataFrame, segments: int = 16, cell_rows: int = 48) -> DataFrame:
     """Verified links (u, v) that connect all different ``fp`` within two bits of each other."""
+    # Spark sizes rows after an explode as those before it, so the join is told not to broadcast them; the
+    # counts are written, so that both sides are exchanged and a crowded cell's rows can be split over tasks
     cells = nodes.select("fp", F.explode(grid_cells(F.col("fp"), segments)).alias("cell"))
-    load = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = save(cells.join(load, "cell"), "cells")
+    load = save(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell-loads")
+    shared = save(cells.hint("merge").join(load, "cell"), "cells")
     members = (shared.where(F.col("n") <= cell_rows).groupBy("cell").agg(F.collect_list("fp").alias("fps")))
     close = (members.select(F.explode("fps").alias("u"), "fps")
              .select("u", F.explode(F.filter("fps", lambda b: (b < F.col("u")) & (
@@ -131,7 +133,7 @@ def links(nodes: DataFrame, segments: int = 16, cell_rows: int = 48) -> DataFram
     crowded = shared.where(F.col("n") > cell_rows).select("fp").distinct()
     fine = save(crowded.select("fp", F.explode(grid_cells(F.col("fp"), 64)).alias("cell")), "fine-cells")
     least = fine.groupBy("cell").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    star = fine.join(least, "cell").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    star = fine.hint("merge").join(least, "cell").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return close.unionByName(star).distinct()
 
 

@@ -87,3 +87,24 @@ def test_documents_with_edge_rows(edge_docs, no_docs):
         assert r.component_id == (min(ids) if ids else None)
     assert S.near_duplicates(no_docs).collect() == []
     assert len(S.near_duplicates(edge_docs, max_bits=0).collect()) == len(rows)
+
+
+@pytest.fixture()
+def written_plans(monkeypatch):
+    """Plan of every table that the operator writes, by name."""
+    plans, save = {}, S.save
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return save(df, name)
+
+    monkeypatch.setattr(S, "save", noted)
+    return plans
+
+
+def test_exploded_rows_are_never_broadcast(spark, tmp_dir, written_plans):
+    """A small table of fingerprints has 33 and 129 cells each, which Spark sizes as the fingerprints alone."""
+    spark.createDataFrame([(v,) for v in sorted(set(clustered()))], "fp long").write.parquet(f"{tmp_dir}/fp")
+    links = S.links(spark.read.parquet(f"{tmp_dir}/fp"), cell_rows=2)
+    plans = [written_plans["cells"], links._jdf.queryExecution().sparkPlan().toString()]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
