@@ -29,11 +29,19 @@ def kept_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/kbforge-results/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (cuts lineage)."""
+# Parquet looks at its buffers every 100 rows; for rows of megabytes it has to after each.
+LONG_ROWS = {"parquet.block.size": str(8 * 1024 * 1024), "parquet.page.size.row.check.min": "1"}
+
+
+def save(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (cuts lineage).
+
+    With ``long_rows`` the writer holds a few MB of a file at once, and a reader as much:
+    readers take a row group at a time, however many bytes its rows have.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(LONG_ROWS if long_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -114,7 +114,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return save(rows.mapInArrow(run, SEGMENT), "occurrences")
+    return save(rows.mapInArrow(run, SEGMENT), "occurrences", long_rows=True)
 
 
 def _deal_words(parts: int):
@@ -125,13 +125,14 @@ def _deal_words(parts: int):
         import xxhash
 
         for batch in batches:
-            for row in batch.to_pylist():
-                lang = row["lang"].encode("utf-8", "surrogatepass") + b"\x00"
-                h = b"".join(xxhash.xxh3_128_digest(lang + w) for w in row["words"])
+            # the words of one segment are Python objects at a time, however many segments a batch has
+            for seg, lang, words, counts in zip(*(batch.column(n) for n in ("seg", "lang", "words", "counts")), strict=True):
+                lang = lang.as_py().encode("utf-8", "surrogatepass") + b"\x00"
+                h = b"".join(xxhash.xxh3_128_digest(lang + w) for w in words.values.to_pylist())
                 a, b = np.frombuffer(h, "<i8").reshape(-1, 2).T
                 yield from deal(mixed(a, b) % np.uint64(parts), {
                     "at": np.arange(len(a), dtype=np.int32), "a": a, "b": b,
-                    "c": np.asarray(row["counts"], np.int32)}, {"seg": row["seg"]}, target)
+                    "c": np.asarray(counts.values)}, {"seg": seg.as_py()}, target)
 
     return run
 
@@ -205,7 +206,7 @@ def _count(dealt: DataFrame, min_count: int, give_back: bool) -> DataFrame:
             out.append(rows(bucket, table["seg"].to_numpy(), at[back], group[back], lead[back], offsets(kept)))
         return pa.concat_tables(out)
 
-    return save(dealt.groupBy("bucket").applyInArrow(run, COUNTED), "groups")
+    return save(dealt.groupBy("bucket").applyInArrow(run, COUNTED), "groups", long_rows=True)
 
 
 def _frequent(counted: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def _semi_join(relation: DataFrame, counted: DataFrame, first: bool) -> DataFram
     back = counted.where("seg >= 0").select("bucket", "seg", "at", "g", "lead")
     columns = ["seg", "lang", "words", "codes"] if first else ["seg", "lang", "codes", "ids"]
     return save(relation.select(*columns).groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(run, RELATION),
-                "relation")
+                "relation", long_rows=True)
 
 
 def _vocabulary(relation: DataFrame) -> DataFrame:

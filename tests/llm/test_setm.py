@@ -2,7 +2,11 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kbforge.llm import setm
@@ -90,3 +94,34 @@ def test_small_segments_many_buckets_and_a_hot_word(spark, monkeypatch):
 def test_documents_of_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("phrase", F.lit("x"))
     assert mined(docs) == sql(docs)
+
+
+def test_long_rows_are_written_in_small_row_groups(spark, monkeypatch):
+    """A reader takes a row group at once, and the writer would look at its size after 100 rows only."""
+    monkeypatch.setattr(setm, "SEGMENT_WORDS", 50_000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**12, 50_000).tolist())) for _ in range(24)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1)
+    found = setm.segments(docs)
+    groups, rows = [], 0
+    for file in found.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file:")).metadata
+        rows += meta.num_rows
+        groups += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert rows == 24 and sum(groups) > 20_000_000
+    assert max(groups) < 15_000_000
+
+
+def test_each_segment_of_a_batch_deals_its_own_words(spark):
+    rows = [(s, lang, 0, [f"w{s}".encode(), "é".encode()] if s else [], [s, 7] if s else [], []) for s, lang in
+            [(0, "en"), (1, "en"), (2, "de"), (3, "und")]]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("seg", "lang", "n", "words", "counts", "codes"), r)) for r in rows],
+                                       schema=setm.schema_of(setm.SEGMENT)).slice(1)
+    dealt = [r for b in setm._deal_words(3)(iter([batch])) for r in b.to_pylist()]
+    got = {(r["seg"], at): (a, b, c) for r in dealt for at, a, b, c in zip(r["at"], r["a"], r["b"], r["c"])}
+    want = {}
+    for s, lang, _, words, counts, _ in rows[1:]:
+        for at, (w, c) in enumerate(zip(words, counts)):
+            a, b = np.frombuffer(xxhash.xxh3_128_digest(lang.encode() + b"\x00" + w), "<i8").tolist()
+            want[s, at] = (a, b, c)
+    assert got == want
