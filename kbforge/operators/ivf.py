@@ -203,10 +203,11 @@ def block_rows(spark: SparkSession, dim: int) -> int:
 ROUTED = "_qid long, block int, clusters array<int>, _qv array<double>"
 
 
-def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable) -> DataFrame:
+def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable | None) -> DataFrame:
     """Each query once per block that has a cluster ``choose(distances, angles, batch)`` names for it.
 
-    ``q`` is (_qid, _qv, further columns that ``choose`` reads); written once.
+    ``q`` is (_qid, _qv, further columns that ``choose`` reads); written once.  Without ``choose``
+    a query goes to every block, and its list of clusters is empty and means all of them.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centers = bc.value
@@ -225,7 +226,14 @@ def _routed(q: DataFrame, bc, blocks: Blocks, choose: Callable) -> DataFrame:
                     yield pd.DataFrame(out)
 
     path = run_folder(q.sparkSession, "probes")
-    q.mapInPandas(run, ROUTED).write.parquet(path)
+    if choose is None:
+        every = F.array(*[F.lit(b).cast("int") for b in blocks.route(np.arange(len(blocks.first)))])
+        routed = (q.where(F.col("_qv").isNotNull())
+                  .select("_qid", F.explode(every).alias("block"), F.array().cast("array<int>").alias("clusters"),
+                          F.col("_qv").cast("array<double>").alias("_qv")))
+    else:
+        routed = q.mapInPandas(run, ROUTED)
+    routed.write.parquet(path)
     return q.sparkSession.read.schema(ROUTED).parquet(path)
 
 
@@ -270,10 +278,16 @@ def _cluster_rows(index: IvfIndex) -> dict[int, int]:
 
 
 def _scan_plan(spark: SparkSession, rows: DataFrame, id_col: str, routed: DataFrame, blocks: Blocks,
-               max_group_queries: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (with ``cluster``) and routed queries, each with the (block, qsub) groups they meet in."""
+               max_group_queries: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with ``cluster``) and routed queries, each with the (block, qsub) groups they meet in.
+
+    ``every`` says that all queries ask for all clusters.
+    """
     load = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    probed = {r["c"] for r in routed.select(F.explode("clusters").alias("c")).distinct().collect()}
+    if every:
+        probed = set(range(len(blocks.first)))
+    else:
+        probed = {r["c"] for r in routed.select(F.explode("clusters").alias("c")).distinct().collect()}
     # few blocks are split by query as well, so that all cores work
     cores = spark.sparkContext.defaultParallelism
     spread = math.ceil(cores / max(1, len(load)))

@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance
-from ..session import broadcast_limit, run_folder
+from ..functions.vectors import paired_distances
+from ..session import block_limit, broadcast_limit, run_folder
 from .ivf import Blocks, IvfIndex, _routed, _scan_plan
 from .knn import (TopKAccumulator, _vectors_to_matrix, flat, id_array, knn_search, matrix, rank_topk, squares,
                   topk_columns)
@@ -39,6 +39,7 @@ PARTS = 16
 CODEWORDS = 256
 TRAIN_ROWS = 20_000
 MAX_GROUP_CODES = 500_000
+MIN_GROUP_QUERIES = 2_000
 DECODED = 16_384            # rows held as vectors at once in a task
 
 
@@ -165,9 +166,12 @@ def decode(code: np.ndarray, cluster: np.ndarray, centers: np.ndarray, books: np
 
 
 def _asked(cluster: np.ndarray, probed: np.ndarray, who: np.ndarray, n_queries: int) -> Iterator[tuple]:
-    """(places of rows, places of the queries that ask for them); one pair if all queries ask for all rows."""
+    """(places of rows, places of the queries that ask for them); one pair if all queries ask for all rows.
+
+    No cluster at all is what queries have that ask for every one.
+    """
     named = np.unique(cluster)
-    if np.isin(probed, named).sum() == len(named) * n_queries:
+    if not len(probed) or np.isin(probed, named).sum() == len(named) * n_queries:
         yield np.arange(len(cluster)), None
         return
     for c in named.tolist():
@@ -200,12 +204,32 @@ def _short_lists(sent, keep: int, exclude_self: bool):
     return score
 
 
+def _exact_distances(batches: Iterator) -> Iterator:
+    """(query_id, id, distance) of pairs of vectors."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            pairs = pa.Table.from_batches([batch])
+            distance = paired_distances(matrix(pairs["_qv"]), matrix(pairs["embedding"]))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(distance)],
+                                             names=["query_id", "id", "distance"])
+
+
+def group_queries(spark: SparkSession, dim: int, shortlist: int, asked: int) -> int:
+    """Queries of a task, of ``asked`` over all blocks: as many vectors and short lists as a block's bytes
+    hold, since codes are sent and made vectors for every group of queries; fewer if cores were idle."""
+    held = block_limit(spark) // (12 * dim + 16 * shortlist)
+    return max(MIN_GROUP_QUERIES, min(held, -(-asked // (4 * spark.sparkContext.defaultParallelism))))
+
+
 def ivfpq_search(spark: SparkSession, index: PqIndex, queries: DataFrame, k: int = 5, nprobe: int | None = None,
                  shortlist: int = 50, query_id: str = "query_id", query_vec: str = "embedding", exclude_self: bool = False,
-                 max_group_codes: int = MAX_GROUP_CODES, max_group_queries: int = 2_000) -> DataFrame:
+                 max_group_codes: int = MAX_GROUP_CODES, max_group_queries: int | None = None) -> DataFrame:
     """Long result (query_id, rank, id, distance); ``nprobe`` None scans the codes of all clusters.
 
     Distances are exact; only the vectors of ``shortlist`` rows a query are read for them.
+    ``max_group_queries`` is by default what :func:`group_queries` says.
     """
     n_clusters = len(index.centroids)
     probes = n_clusters if nprobe is None else max(1, min(nprobe, n_clusters))
@@ -213,23 +237,27 @@ def ivfpq_search(spark: SparkSession, index: PqIndex, queries: DataFrame, k: int
     sent = spark.sparkContext.broadcast((index.centroids, index.codebooks))
     q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
     blocks = Blocks(index.cluster_sizes, n_clusters, max_group_codes)
+    every = probes == n_clusters
 
     def nearest(distance, angle, part):
         cols, sel, _ = topk_columns(distance, np.arange(n_clusters), probes)
         return np.split(sel, np.searchsorted(cols, np.arange(1, len(part))))
 
-    routed = _routed(q, centers, blocks, nearest)
-    if not routed.take(1):
+    routed = _routed(q, centers, blocks, None if every else nearest)
+    n_asked = routed.count()
+    if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    codes, asked = _scan_plan(spark, index.codes, "id", routed, blocks, max_group_queries)
+    most = max_group_queries or group_queries(spark, index.centroids.shape[1], shortlist, n_asked)
+    codes, asked = _scan_plan(spark, index.codes, "id", routed, blocks, most, every)
     near = (codes.groupBy("block", "qsub").cogroup(asked.groupBy("block", "qsub"))
             .applyInArrow(_short_lists(sent, shortlist, exclude_self), "query_id long, id long, near double"))
     path = run_folder(spark, "short-lists")
     rank_topk(near, shortlist, order=("near", "id")).select("query_id", "id").write.parquet(path)
     listed = spark.read.parquet(path)
-    exact = (listed.join(index.vectors, "id")
+    pairs = (listed.join(index.vectors, "id")
              .join(q.where(F.col("_qv").isNotNull()), F.col("query_id") == F.col("_qid"))
-             .select("query_id", "id", cosine_distance(F.col("_qv"), F.col("embedding")).alias("distance")))
+             .select("query_id", "id", "_qv", "embedding"))
+    exact = pairs.mapInArrow(_exact_distances, "query_id long, id long, distance double")
     return rank_topk(exact, k).select("query_id", "rank", "id", "distance")
 
 
